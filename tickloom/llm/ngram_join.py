@@ -49,6 +49,7 @@ PARITY_WORDS = 8  # 64-bit words of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
 CLUSTER_BLOCK = 256  # rows of a cluster that one task multiplies
 MOST_WORDS = 1 << 20  # word hashes remembered by a worker
+NO_ID = -(1 << 63)  # stands for a missing id in a filter
 
 
 class _Words(dict):
@@ -59,16 +60,27 @@ class _Words(dict):
         return value
 
 
+#: Odd multipliers for the words of an n-gram, by place.
+_ODD = splitmix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingles(words: list[bytes], n: int, known: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a document's n-grams."""
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(n, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = splitmix(out ^ h[i : i + len(out)])
-    return np.unique(out)
+    size = len(h) - n + 1
+    out = h[:size] * _ODD[0]
+    for i in range(1, n):
+        out += h[i : i + size] * _ODD[i % len(_ODD)] ^ np.uint64(i)
+    out = splitmix(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+def _set_id(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63) if len(s) else 0
 
 
 def _rows(batches, n: int):
@@ -76,8 +88,7 @@ def _rows(batches, n: int):
     known = _Words()
     for batch in small_batches(batches, "text"):
         sets = [shingles(t.lower().split(), n, known) for t in texts_of(batch.column("text"))]
-        ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        yield batch.column("doc_id"), sets, ids
+        yield batch.column("doc_id"), sets, np.array([_set_id(s) for s in sets], np.int64)
 
 
 _FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("parity", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
@@ -157,6 +168,20 @@ def _entries(batches, n: int, num: int, den: int, classes: np.ndarray):
             yield as_batch(_ENTRY, np.concatenate(keys).view(np.int64), np.repeat(np.array(owners, np.int64), each), np.repeat(np.array(sizes, np.int64), each))
 
 
+def _fill(batches, bits: int):
+    pair = bloom.Pair(bits)
+    for batch in batches:
+        if batch.num_rows:
+            pair.add(batch.column(0).to_numpy().view(np.uint64))
+    yield pair.segments()
+
+
+def _met_twice(batches, twice: np.ndarray):
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.filter(pa.array(bloom.contains(twice, batch.column(0).to_numpy().view(np.uint64))))
+
+
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -255,18 +280,24 @@ _SET = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("grams", pa.bina
 
 
 def _sets_of(batches, n: int, wanted: np.ndarray):
-    for ids, sets, sids in _rows(batches, n):
-        may = np.flatnonzero(bloom.contains(wanted, sids.view(np.uint64)))
-        yield as_batch(_SET, ids.take(pa.array(may)), sids[may], [sets[i].tobytes() for i in may.tolist()])
+    known = _Words()
+    for batch in small_batches(batches, "text"):
+        keys = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        batch = batch.filter(pa.array(bloom.contains(wanted, keys)))
+        sets = [shingles(t.lower().split(), n, known) for t in texts_of(batch.column("text"))]
+        yield as_batch(_SET, batch.column("doc_id"), [_set_id(s) for s in sets], [s.tobytes() for s in sets])
 
 
 def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Deal each group's rows to blocks, and send each row once for every pair of blocks that needs it."""
+    """Deal each group's rows to blocks, with a row for every pair of blocks that needs it."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("members")).where("members > 1")
     rows = rows.join(sizes, group).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("members", "blocks", "other")
+    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("members", "blocks", "other")
+
+
+def _together(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y", "sid")
 
 
@@ -283,16 +314,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     entries = docs.mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes), "key long, sid long, n long")
     entries = staged(entries, "columns")
+    bits = bloom.bits_for(entries.count())
+    twice = bloom.gathered(entries.select("key").mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
+    entries = staged(entries.mapInArrow(partial(_met_twice, twice=twice), "key long, sid long, n long"), "shared").distinct()
     shared = entries.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key")
-    entries = entries.join(shared, "key").distinct().join(distinct.select("sid", "parity"), "sid")
-    maybe = components(_in_blocks(entries, "key", COLUMN_BLOCK).mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
-    maybe = staged(maybe.toDF("sid", "root"), "clusters")
+    entries = entries.join(shared, "key").join(distinct.select("sid", "parity"), "sid")
+    maybe = components(_together(_in_blocks(entries, "key", COLUMN_BLOCK), "key").mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
 
-    wanted = bloom.of_longs(maybe.select("sid"), maybe.count())
+    members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least"), "sid"), "clusters")
+    wanted = bloom.of_longs(members.select(F.coalesce("least", F.lit(NO_ID)).alias("least")), members.count())
     grams = docs.mapInArrow(partial(_sets_of, n=n, wanted=wanted), "doc_id long, sid long, grams binary")
-    members = maybe.join(distinct.select("sid", "least"), "sid")
-    grams = grams.join(members, "sid").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("sid", "root", "grams").dropDuplicates(["sid"])
-    links = _in_blocks(grams, "root", CLUSTER_BLOCK).mapInArrow(partial(_clusters, num=num, den=den), "a long, b long")
+    blocks = _in_blocks(members, "root", CLUSTER_BLOCK)
+    grams = grams.join(blocks, (grams["sid"] == blocks["sid"]) & grams["doc_id"].eqNullSafe(blocks["least"])).select(blocks["sid"], "root", "block", "x", "y", "grams")
+    links = _together(grams, "root").mapInArrow(partial(_clusters, num=num, den=den), "a long, b long")
     found = components(links).toDF("sid", "root")
 
     labelled = distinct.select("sid", "least").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
