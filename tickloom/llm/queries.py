@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, ngram_join
+from tickloom.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, oracle
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,9 +25,32 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal whole texts; the largest id stays."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 10 code points that repeat across documents go, except in the smallest id."""
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), 10)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds within 15 % of edits: a row per document and item."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_decontaminate": op7_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": oracle.ngram_components(3, 90, 100),
+    "op5_exact_dedup": oracle.EXACT_GROUPS,
+    "op6_line_dedup": oracle.LINES,
+}
