@@ -12,8 +12,8 @@ document id of its component.
    of the first ``n - ceil(t n) + 1`` n-grams of both rows, so only these columns
    of the product are multiplied.
 3. Columns are cut into blocks of rows; a block pair drops pairs by bounds from
-   their sizes and from 512-bit parity sketches (the sketches' distance never
-   exceeds the symmetric difference), and reports only a spanning forest of what
+   their sizes and from parity sketches of about a bit per n-gram (the sketches'
+   distance never exceeds the symmetric difference), and reports only a spanning forest of what
    is left.  Its components hold every true link, so they are safe to cut apart.
 4. Inside each such cluster the product is taken over all columns, again by
    pairs of row blocks: overlaps are accumulated per pair, and pairs below the
@@ -45,10 +45,10 @@ from tickloom.llm.components import components, forest
 
 SKETCH = 1 << 18  # counters of the count sketch
 PARTS = 64  # pieces that the counters are sent in
-PARITY_WORDS = 8  # 64-bit words of a parity sketch
+LEAST_PARITY = 512  # bits of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
 CLUSTER_BLOCK = 256  # rows of a cluster that one task multiplies
-MOST_WORDS = 1 << 20  # word hashes remembered by a worker
+MOST_WORDS = 1 << 19  # word hashes remembered by a worker
 NO_ID = -(1 << 63)  # stands for a missing id in a filter
 
 
@@ -96,8 +96,12 @@ _FIRST_DDL = "doc_id long, n long, sid long, parity binary, part int, counts bin
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """Each n-gram flips one of 512 bits: rows that differ in d n-grams differ in d bits at most."""
-    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=PARITY_WORDS * 64) & 1
+    """Each n-gram flips one bit: rows that differ in d n-grams differ in d bits at most.
+
+    There are about as many bits as n-grams; half as many are the two halves' exclusive or.
+    """
+    bits = max(LEAST_PARITY, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -190,27 +194,41 @@ def _enough(overlap, n, m, num: int, den: int):
     return (num + den) * overlap >= num * (n + m)
 
 
-def _column_block(sid: np.ndarray, n: np.ndarray, parity: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int):
+def _column_block(sid: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray, both_sides: bool, num: int, den: int):
     """Pairs of one column's block pair that the bounds leave, as a spanning forest."""
+    order = np.argsort(n, kind="stable")
+    sid, n, side = sid[order], n[order], side[order]
+    width = np.array([len(parity[i]) for i in order]) // 8  # grows with n
+    cuts = np.append(np.flatnonzero(np.append(True, width[1:] != width[:-1])), len(n))
+    sketch = [np.frombuffer(b"".join(parity[i] for i in order[lo:hi]), np.uint64).reshape(hi - lo, -1) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    last = np.searchsorted(n, n * den // num, "right")  # rows that are not too large for row i
     a, b = [], []
-    for i in left.tolist():
-        other = right[right > i] if left is right else right
-        big, small = np.maximum(n[i], n[other]), np.minimum(n[i], n[other])
-        other = other[den * small >= num * big]
-        if len(other):
-            apart = np.bitwise_count(parity[i] ^ parity[other]).sum(axis=1, dtype=np.int64)
-            both = n[i] + n[other]
-            other = other[_enough((both - apart) // 2, both, 0, num, den)]
-            a.append(np.full(len(other), i))
-            b.append(other)
+    for c, own in enumerate(sketch):
+        wider = None
+        if c + 1 < len(sketch) and sketch[c + 1].shape[1] == 2 * own.shape[1]:
+            w = own.shape[1]
+            wider = sketch[c + 1][:, :w] ^ sketch[c + 1][:, w:]
+        for i in range(cuts[c], cuts[c + 1]):
+            for rows, begin, end in ((own, cuts[c], cuts[c + 1]), (wider, cuts[c + 1], cuts[min(c + 2, len(cuts) - 1)])):
+                lo, hi = max(i + 1, begin), min(int(last[i]), end)
+                if rows is not None and lo < hi:
+                    apart = np.bitwise_count(own[i - cuts[c]] ^ rows[lo - begin : hi - begin]).sum(axis=1, dtype=np.int64)
+                    sizes = n[i] + n[lo:hi]
+                    ok = _enough((sizes - apart) // 2, sizes, 0, num, den)
+                    if both_sides:
+                        ok &= side[lo:hi] != side[i]
+                    if ok.any():
+                        other = lo + np.flatnonzero(ok)
+                        a.append(np.full(len(other), sid[i]))
+                        b.append(sid[other])
     if not a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = sid[np.concatenate(a)], sid[np.concatenate(b)]
+    a, b = np.concatenate(a), np.concatenate(b)
     kept = forest(a, b)
     return a[kept], b[kept]
 
 
-def _block_sides(x: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_sides(x: int, y: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the two blocks of a block pair (the same array twice where they are one)."""
     at = np.arange(len(own))
     if x == y:
@@ -223,12 +241,11 @@ def _columns(batches, num: int, den: int):
     for table in runs(batches, names):
         bounds = group_bounds(table, names)
         x, y, own, sid, n = (table.column(c).to_numpy() for c in ("x", "y", "block", "sid", "n"))
-        parity = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
+        parity = table.column("parity").to_pylist()
         found = []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo > 1:
-                left, right = _block_sides(x[lo], y[lo], own[lo:hi])
-                found.append(_column_block(sid[lo:hi], n[lo:hi], parity[lo:hi], left, right, num, den))
+                found.append(_column_block(sid[lo:hi], n[lo:hi], parity[lo:hi], own[lo:hi], x[lo] != y[lo], num, den))
         if found:
             a, b = (np.concatenate(v) for v in zip(*found, strict=True))
             kept = forest(a, b)
