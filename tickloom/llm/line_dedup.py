@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import bloom
 from tickloom.llm.common import as_batch, small_batches, staged, texts_of
 
+BYTES_A_LINE = 64  # guessed, for the size of the filters
 LAST = (1 << 63) - 1  # stands for a missing id, after all others
 
 
@@ -81,12 +82,13 @@ def _suspects(batches, least: int, twice: np.ndarray):
 def _flagged(batches, least: int, twice: np.ndarray, text_col: str):
     for batch in batches:
         if batch.num_rows:
-            marks, held = [], []
+            marks, held, lines = [], [], []
             for text in texts_of(batch.column(text_col)):
+                lines.append(text.count(b"\n") + 1)
                 keys = {k for _, k in line_keys(text, least)}
                 held.append(bool(keys) and bool(bloom.contains(twice, _hashes(keys)).any()))
                 marks.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64()), pa.array(held)], names=[*batch.schema.names, "_mark", "_held"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64()), pa.array(held), pa.array(lines, pa.int64())], names=[*batch.schema.names, "_mark", "_held", "n_lines"])
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,8 +98,9 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     """
     docs = docs.drop("n_lines", "n_dropped")
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text_col).alias("text"))
-    lines = plain.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    bits = bloom.bits_for(lines)
+    # about as many keys as lines; a wrong guess costs suspects, never results
+    lines = plain.select(F.sum(F.coalesce(F.octet_length("text") / BYTES_A_LINE, F.lit(0)) + 1)).first()[0] or 0
+    bits = bloom.bits_for(int(lines))
     twice = bloom.gathered(plain.mapInArrow(partial(_fill, least=least, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
 
     suspects = staged(plain.mapInArrow(partial(_suspects, least=least, twice=twice), "key binary, doc_id long, mark long, at array<int>"), "lines")
@@ -105,14 +108,12 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     drops = suspects.join(repeated, "key").where("doc_id > first").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("at")).alias("_drop"))
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_dmark"), "_drop")
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `_mark` bigint, `_held` boolean"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `_mark` bigint, `_held` boolean, `n_lines` bigint"
     marked = docs.mapInArrow(partial(_flagged, least=least, twice=twice, text_col=text_col), ddl)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    count = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
-    clean = marked.where("not _held").withColumns({"n_lines": count, "n_dropped": F.lit(0).cast("long")})
+    clean = marked.where("not _held").withColumn("n_dropped", F.lit(0).cast("long"))
     held = marked.where("_held").join(drops, (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_id")) & (F.col("_mark") == F.col("_dmark")), "left")
     dropped = F.coalesce(F.size(F.array_distinct("_drop")), F.lit(0)).cast("long")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_drop", i)), "\n")
-    held = held.withColumns({"n_lines": count, "n_dropped": dropped}).withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_drop", i)), "\n")
+    held = held.withColumn("n_dropped", dropped).withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept))
     names = [*docs.columns, "n_lines", "n_dropped"]
     return clean.select(*names).union(held.select(*names))
