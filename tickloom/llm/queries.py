@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, oracle, quality, toxicity
+from tickloom.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, oracle, pii, quality, toxicity
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -48,6 +48,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text, and the terms that give it away."""
+    return pii.digest(pii.sanitise(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
 }
 
