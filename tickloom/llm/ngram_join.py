@@ -12,7 +12,7 @@ document id of its component.
    of the first ``n - ceil(t n) + 1`` n-grams of both rows, so only these columns
    of the product are multiplied.
 3. Columns are cut into blocks of rows; a block pair drops pairs by bounds from
-   their sizes and from parity sketches of about a bit per n-gram (the sketches'
+   their sizes and from parity sketches as wide as the set asks for (the sketches'
    distance never exceeds the symmetric difference), and reports only a spanning forest of what
    is left.  Its components hold every true link, so they are safe to cut apart.
 4. Inside each such cluster the product is taken over all columns, again by
@@ -95,22 +95,25 @@ _FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64(
 _FIRST_DDL = "doc_id long, n long, sid long, parity binary, part int, counts binary"
 
 
-def _parity(s: np.ndarray) -> bytes:
+def _parity(s: np.ndarray, num: int, den: int) -> bytes:
     """Each n-gram flips one bit: rows that differ in d n-grams differ in d bits at most.
 
-    There are about as many bits as n-grams; half as many are the two halves' exclusive or.
+    Unrelated rows differ in half the bits, so there are a little over twice as
+    many as the threshold lets rows of this size differ in.  Half as many bits
+    are the two halves' exclusive or.
     """
-    bits = max(LEAST_PARITY, 1 << max(0, len(s) - 1).bit_length())
+    apart = 2 * len(s) * (den - num) // (den + num)
+    bits = max(LEAST_PARITY, 1 << max(0, int(2.2 * apart) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _first_pass(batches, n: int):
+def _first_pass(batches, n: int, num: int, den: int):
     counts = np.zeros(SKETCH, np.int64)
     for ids, sets, sids in _rows(batches, n):
         counts += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         k = len(sets)
-        yield as_batch(_FIRST, ids, [len(s) for s in sets], sids, [_parity(s) for s in sets], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()))
+        yield as_batch(_FIRST, ids, [len(s) for s in sets], sids, [_parity(s, num, den) for s in sets], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()))
     z = zstandard.ZstdCompressor(level=1)
     blobs = [z.compress(x.tobytes()) for x in counts.reshape(PARTS, -1)]
     none = lambda t: pa.nulls(PARTS, t)
@@ -324,7 +327,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Words are runs of anything but ASCII white space, with A-Z lower-cased.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = staged(docs.mapInArrow(partial(_first_pass, n=n), _FIRST_DDL), "sets")
+    first = staged(docs.mapInArrow(partial(_first_pass, n=n, num=num, den=den), _FIRST_DDL), "sets")
     classes = common_classes(first)
     rows = first.where("counts is null").select("doc_id", "n", "sid", "parity")
     distinct = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("parity").alias("parity"))
@@ -334,9 +337,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     bits = bloom.bits_for(entries.count())
     twice = bloom.gathered(entries.select("key").mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
     entries = staged(entries.mapInArrow(partial(_met_twice, twice=twice), "key long, sid long, n long"), "shared").distinct()
-    shared = entries.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key")
-    entries = entries.join(shared, "key").join(distinct.select("sid", "parity"), "sid")
-    maybe = components(_together(_in_blocks(entries, "key", COLUMN_BLOCK), "key").mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
+    entries = _in_blocks(entries, "key", COLUMN_BLOCK).join(distinct.select("sid", "parity"), "sid")
+    maybe = components(_together(entries, "key").mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
 
     members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least"), "sid"), "clusters")
     wanted = bloom.of_longs(members.select(F.coalesce("least", F.lit(NO_ID)).alias("least")), members.count())
