@@ -36,3 +36,6 @@ marked AS (SELECT d.*, f.keeper IS NOT NULL AND d.doc_id <> f.keeper AS gone FRO
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+SHARDS = """
+SELECT doc_id, lang AS arrival, sha256(coalesce(text, '')) AS text_sha256, count(*) OVER () AS manifest_rows FROM documents"""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, oracle, pii, quality, toxicity
+from tickloom.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, oracle, pii, quality, sharding, token_counts, toxicity
+from tickloom.llm.common import shared_folder, staged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -15,6 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages arrive one after another as small shards, tiers are merged, and the newest version is read back.
+
+    A row per document, with the rows that the manifest lists.
+    """
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{shared_folder(spark)}/tickloom/shards-{uuid.uuid4().hex}", docs.schema)
+    store.append_by(docs, F.col("lang"))
+    store.append_by(docs, F.col("lang"))  # a retry: every arrival is known
+    rows = store.manifest().agg(F.sum("rows")).first()[0] or 0
+    read = store.read().select("doc_id", F.col("lang").alias("arrival"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return read.withColumn("manifest_rows", F.lit(rows).cast("long"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of whole texts at 3-word shingles and a Jaccard similarity of 0.9, closed to components."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
@@ -59,7 +76,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after inserts, revised counts and deletes, with a batch sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    counts = staged(token_counts.document_counts(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN), "counts")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    gone = counts.join(toxic, "doc_id", "left_semi")
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark)}/tickloom/rollup-{uuid.uuid4().hex}")
+    rollup.apply("words", token_counts.signed(counts, 1, "words-1", "blanks"))
+    rollup.apply("bpe", token_counts.signed(counts, 1, "byte_bpe_multi_50k", "bpe"))
+    rollup.apply("recount", token_counts.revised(counts, "words-1", "blanks", "words"))
+    rollup.apply("bpe", token_counts.signed(counts, 1, "byte_bpe_multi_50k", "bpe"))
+    rollup.apply("toxic", token_counts.signed(gone, -1, "words-1", "words").union(token_counts.signed(gone, -1, "byte_bpe_multi_50k", "bpe")))
+    return rollup.totals()
+
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_toxicity": op4_toxicity,
@@ -68,9 +101,11 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": oracle.SHARDS,
     "op2_ngram_jaccard": oracle.ngram_components(3, 90, 100),
     "op5_exact_dedup": oracle.EXACT_GROUPS,
     "op6_line_dedup": oracle.LINES,
