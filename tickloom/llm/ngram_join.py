@@ -47,8 +47,8 @@ SKETCH = 1 << 18  # counters of the count sketch
 PARTS = 64  # pieces that the counters are sent in
 LEAST_PARITY = 512  # bits of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
-CLUSTER_BLOCK = 256  # rows of a cluster that one task multiplies
-MOST_WORDS = 1 << 19  # word hashes remembered by a worker
+CLUSTER_BLOCK = 512  # rows of a cluster that one task multiplies
+MOST_WORDS = 400_000  # word hashes remembered by a worker
 NO_ID = -(1 << 63)  # stands for a missing id in a filter
 
 
@@ -308,15 +308,20 @@ def _sets_of(batches, n: int, wanted: np.ndarray):
         yield as_batch(_SET, batch.column("doc_id"), [_set_id(s) for s in sets], [s.tobytes() for s in sets])
 
 
-def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Deal each group's rows to blocks, with a row for every pair of blocks that needs it."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("members")).where("members > 1")
+def _in_blocks(rows: DataFrame, sizes: DataFrame, group: str, block: int) -> DataFrame:
+    """Deal each group's rows to blocks, with a row for every pair of blocks that needs it; ``sizes`` has the groups' ``members``."""
     rows = rows.join(sizes, group).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("members", "blocks", "other")
 
 
+def _worth_a_look(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Columns with different rows, unless there are two whose sizes alone rule a link out."""
+    found = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return found.where(f"lo <> hi and (members > 2 or {den} * least >= {num} * most)").select("key", "members")
+
+
 def _together(rows: DataFrame, group: str) -> DataFrame:
     return rows.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y", "sid")
 
@@ -336,14 +341,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     entries = staged(entries, "columns")
     bits = bloom.bits_for(entries.count())
     twice = bloom.gathered(entries.select("key").mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
-    entries = staged(entries.mapInArrow(partial(_met_twice, twice=twice), "key long, sid long, n long"), "shared").distinct()
-    entries = _in_blocks(entries, "key", COLUMN_BLOCK).join(distinct.select("sid", "parity"), "sid")
+    entries = staged(entries.mapInArrow(partial(_met_twice, twice=twice), "key long, sid long, n long"), "shared")
+    # a set comes from several tasks where its text is copied: one row of it is enough
+    entries = _in_blocks(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK).distinct().join(distinct.select("sid", "parity"), "sid")
     maybe = components(_together(entries, "key").mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
 
     members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least"), "sid"), "clusters")
     wanted = bloom.of_longs(members.select(F.coalesce("least", F.lit(NO_ID)).alias("least")), members.count())
     grams = docs.mapInArrow(partial(_sets_of, n=n, wanted=wanted), "doc_id long, sid long, grams binary")
-    blocks = _in_blocks(members, "root", CLUSTER_BLOCK)
+    sizes = members.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    blocks = _in_blocks(members, sizes, "root", CLUSTER_BLOCK)
     grams = grams.join(blocks, (grams["sid"] == blocks["sid"]) & grams["doc_id"].eqNullSafe(blocks["least"])).select(blocks["sid"], "root", "block", "x", "y", "grams")
     links = _together(grams, "root").mapInArrow(partial(_clusters, num=num, den=den), "a long, b long")
     found = components(links).toDF("sid", "root")
