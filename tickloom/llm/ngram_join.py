@@ -45,7 +45,7 @@ from tickloom.llm.components import components, forest
 
 SKETCH = 1 << 18  # counters of the count sketch
 PARTS = 64  # pieces that the counters are sent in
-LEAST_PARITY = 512  # bits of a parity sketch
+LEAST_PARITY = 128  # bits of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
 CLUSTER_BLOCK = 512  # rows of a cluster that one task multiplies
 MOST_WORDS = 400_000  # word hashes remembered by a worker
@@ -98,12 +98,12 @@ _FIRST_DDL = "doc_id long, n long, sid long, parity binary, part int, counts bin
 def _parity(s: np.ndarray, num: int, den: int) -> bytes:
     """Each n-gram flips one bit: rows that differ in d n-grams differ in d bits at most.
 
-    Unrelated rows differ in half the bits, so there are a little over twice as
+    Unrelated rows differ in half the bits, so there are at least three times as
     many as the threshold lets rows of this size differ in.  Half as many bits
     are the two halves' exclusive or.
     """
     apart = 2 * len(s) * (den - num) // (den + num)
-    bits = max(LEAST_PARITY, 1 << max(0, int(2.2 * apart) - 1).bit_length())
+    bits = max(LEAST_PARITY, 1 << max(0, 3 * apart - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
