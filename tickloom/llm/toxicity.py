@@ -38,7 +38,7 @@ GRADES = 4
 LEAST_DOCS = 4  # sampled documents that a feature must occur in
 TELLING = 4.0  # standard errors
 FEWEST = 200  # features kept at least
-MOST_WORDS = 1 << 18  # words whose features a worker remembers
+MOST_WORDS = 1 << 17  # words whose features a worker remembers
 EDGE = b".,;:!?\"'()[]{}<>|*#$%&-_~`+=/\\"
 
 
@@ -187,21 +187,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 def _score(batches, model, text_col: str):
     model, known = model.value, _Features()
-    for batch in small_batches(batches, text_col):
+    for batch in small_batches(batches, text_col, 4 << 20):
         found = severity(model, _dot(*features(texts_of(batch.column(text_col)), known), model.weights))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "severity"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "_severity"])
+
+
+def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`_severity` double"])
+    held = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte, whatever the input
+    return docs.mapInArrow(partial(_score, model=held, text_col=text_col), ddl)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``severity`` (0 to 3), ``grade`` (rounded) and ``toxic``; columns of these names are replaced."""
-    docs = docs.drop("severity", "grade", "toxic")
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`severity` double"])
-    held = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte, whatever the input
-    scored = docs.mapInArrow(partial(_score, model=held, text_col=text_col), ddl)
+    scored = _scored(docs.drop("severity", "grade", "toxic"), model, text_col).withColumnRenamed("_severity", "severity")
     return scored.withColumns({"grade": F.round("severity").cast("int"), "toxic": F.col("severity") >= F.lit(float(model.cut))})
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = 6000, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that count as toxic, with their own columns only."""
-    scored = score(docs.select("*", F.struct("*").alias("_own")), train(docs, labels, most=most), text_col)
-    return scored.where("not toxic").select("_own.*")
+    model = train(docs, labels, most=most)
+    return _scored(docs, model, text_col).where(F.col("_severity") < F.lit(float(model.cut))).select(*docs.columns)
