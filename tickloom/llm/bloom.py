@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import as_batch, runs, splitmix
+from tickloom.llm.common import as_batch, light_batches, runs, splitmix
 
 MOST_BITS = 1 << 29
 LEAST_BITS = 1 << 16
@@ -95,7 +95,7 @@ def _merge(batches):
 
 def gathered(segments: DataFrame, which: str, bits: int) -> np.ndarray:
     """Merge the tasks' segments by number and bring one filter (at most 64 MB) to the driver."""
-    merged = segments.repartition("seg").sortWithinPartitions("seg").mapInArrow(_merge, _DDL)
+    merged = segments.repartition("seg").sortWithinPartitions("seg").transform(light_batches).mapInArrow(_merge, _DDL)
     z, held = zstandard.ZstdDecompressor(), np.zeros(bits // 8, np.uint8)
     width = bits // 8 // SEGMENTS
     for row in merged.select("seg", which).collect():
@@ -115,4 +115,4 @@ def of_longs(keys: DataFrame, count: int) -> np.ndarray:
                 pair.add(v.astype(np.int64).view(np.uint64))
         yield pair.segments()
 
-    return gathered(keys.mapInArrow(build, _DDL), "once", bits)
+    return gathered(keys.transform(light_batches).mapInArrow(build, _DDL), "once", bits)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import as_batch, small_batches, texts_of
+from tickloom.llm.common import as_batch, light_batches, small_batches, texts_of
 
 #: Pieces remembered by a worker; the table is emptied when full.
 MOST_PIECES = 1 << 19
@@ -144,7 +144,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
             columns = [batch.column(c) for c in (id_col, *carry)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=[id_col, *carry, "ids"])
 
-    return kept.mapInArrow(run, ddl)
+    return kept.transform(light_batches).mapInArrow(run, ddl)
 
 
 def decode(encoded: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -158,7 +158,7 @@ def decode(encoded: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc
             texts = [own.decode(x or b"").decode() for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return kept.mapInArrow(run, ddl)
+    return kept.transform(light_batches).mapInArrow(run, ddl)
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -180,4 +180,4 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "do
             )
 
     kept = docs.selectExpr(f"cast(`{id_col}` as bigint) `{id_col}`", f"`{text_col}`")
-    return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return kept.transform(light_batches).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most_bytes`` of ``column`` (one long text may exceed it)."""
     for batch in batches:
         if not batch.num_rows:
@@ -96,8 +96,10 @@ def group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def light_batches(df: DataFrame) -> DataFrame:
+    """Have Spark send Python few rows at a time: whole texts are large, and a worker holds a batch several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import staged
+from tickloom.llm.common import light_batches, staged
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,7 +54,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``links(a long, b long)`` to ``(node long, root long)``: each linked node with the least node of its component."""
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    links = staged(links.mapInArrow(_thinned, "a long, b long").distinct(), "links")
+    # thinned after the shuffle, so that no task runs two Python workers
+    links = staged(links.distinct().transform(light_batches).mapInArrow(_thinned, "a long, b long"), "links")
     mark = None
     for _ in range(most_rounds):
         links = staged(_star(_star(links, True), False), "links")

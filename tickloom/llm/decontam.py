@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, small_batches, splitmix, texts_of
+from tickloom.llm.common import as_batch, light_batches, small_batches, splitmix, texts_of
 
 #: Steps of a walk by the end of each stage, and the samples that the stage takes.
 STAGES = ((12, 5), (32, 4), (80, 5))
@@ -194,7 +194,7 @@ def _verified(items: Items, text: bytes, at: np.ndarray, item: np.ndarray, offse
 
 def _find(batches, items):
     items = items.value
-    for batch in small_batches(batches, "text", 4 << 20):
+    for batch in small_batches(batches, "text"):
         texts = [normalised(t) for t in texts_of(batch.column("text"))]
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
         joined = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
@@ -235,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = 0.15, repet
     ddl, found = "doc_id long, item_id long, edits long, allowed long", None
     for rows in _blocks(benchmark.select(F.col(item_id).cast("long"), item_text)):
         items = spark.sparkContext.broadcast(Items(rows, most_edits, repetitions, least))
-        hits = docs.mapInArrow(partial(_find, items=items), ddl)
+        hits = docs.transform(light_batches).mapInArrow(partial(_find, items=items), ddl)
         found = hits if found is None else found.union(hits)
     if found is None:
         return spark.createDataFrame([], ddl)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, small_batches, staged, texts_of
+from tickloom.llm.common import as_batch, light_batches, small_batches, staged, texts_of
 
 BITS = 48  # of a fingerprint
 LIST = 1 << 18  # rows that a task holds before it sends its lists
@@ -130,14 +130,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # owners grow with the input, so that an owner's fingerprints always fit one task
     owner_bits = min(24, max(5, (docs.count() >> 18).bit_length()))
-    lists = staged(docs.mapInArrow(partial(_send, owner_bits=owner_bits), _LISTS_DDL), "lists")
+    lists = staged(docs.transform(light_batches).mapInArrow(partial(_send, owner_bits=owner_bits), _LISTS_DDL), "lists")
     answers = lists.select("part", "owner", "n", "k", "unary", "low").groupBy("owner").applyInArrow(_answer, "part long, owner int, elsewhere binary")
     mine = lists.select("part", "owner", "ids", "slots", "again", "shas").join(answers, ["part", "owner"])
-    rows = staged(mine.mapInArrow(_opened, "doc_id long, sha binary, suspect boolean"), "prints")
+    rows = staged(mine.transform(light_batches).mapInArrow(_opened, "doc_id long, sha binary, suspect boolean"), "prints")
 
     suspects = rows.where("suspect").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
     wanted = bloom.of_longs(suspects, suspects.count())
-    texts = docs.mapInArrow(partial(_texts_of_suspects, wanted=wanted), "doc_id long, text string")
+    texts = docs.transform(light_batches).mapInArrow(partial(_texts_of_suspects, wanted=wanted), "doc_id long, text string")
     groups = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     # the digest only addresses the verified group from here on
     groups = groups.select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")

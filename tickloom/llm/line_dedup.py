@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, small_batches, staged, texts_of
+from tickloom.llm.common import as_batch, light_batches, small_batches, staged, texts_of
 
 BYTES_A_LINE = 64  # guessed, for the size of the filters
 LAST = (1 << 63) - 1  # stands for a missing id, after all others
@@ -101,15 +101,15 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     # about as many keys as lines; a wrong guess costs suspects, never results
     lines = plain.select(F.sum(F.coalesce(F.octet_length("text") / BYTES_A_LINE, F.lit(0)) + 1)).first()[0] or 0
     bits = bloom.bits_for(int(lines))
-    twice = bloom.gathered(plain.mapInArrow(partial(_fill, least=least, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
+    twice = bloom.gathered(plain.transform(light_batches).mapInArrow(partial(_fill, least=least, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
 
-    suspects = staged(plain.mapInArrow(partial(_suspects, least=least, twice=twice), "key binary, doc_id long, mark long, at array<int>"), "lines")
+    suspects = staged(plain.transform(light_batches).mapInArrow(partial(_suspects, least=least, twice=twice), "key binary, doc_id long, mark long, at array<int>"), "lines")
     repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
     drops = suspects.join(repeated, "key").where("doc_id > first").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("at")).alias("_drop"))
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_dmark"), "_drop")
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `_mark` bigint, `_held` boolean, `n_lines` bigint"
-    marked = docs.mapInArrow(partial(_flagged, least=least, twice=twice, text_col=text_col), ddl)
+    marked = docs.transform(light_batches).mapInArrow(partial(_flagged, least=least, twice=twice, text_col=text_col), ddl)
     clean = marked.where("not _held").withColumn("n_dropped", F.lit(0).cast("long"))
     held = marked.where("_held").join(drops, (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_id")) & (F.col("_mark") == F.col("_dmark")), "left")
     dropped = F.coalesce(F.size(F.array_distinct("_drop")), F.lit(0)).cast("long")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, group_bounds, runs, small_batches, splitmix, staged, texts_of
+from tickloom.llm.common import as_batch, group_bounds, light_batches, runs, small_batches, splitmix, staged, texts_of
 from tickloom.llm.components import components, forest
 
 SKETCH = 1 << 18  # counters of the count sketch
@@ -139,7 +139,7 @@ def _summed(batches):
 
 def common_classes(first: DataFrame) -> np.ndarray:
     """A class per counter: 0 where n-grams are as rare as usual, else the order of magnitude (256 KB in all)."""
-    sums = first.where("counts is not null").select("part", "counts").repartition("part").sortWithinPartitions("part").mapInArrow(_summed, "part int, counts binary")
+    sums = first.where("counts is not null").select("part", "counts").repartition("part").sortWithinPartitions("part").transform(light_batches).mapInArrow(_summed, "part int, counts binary")
     total = np.zeros((PARTS, SKETCH // PARTS), np.int64)
     for part, blob in sums.collect():  # 2 MB whatever the input
         total[part] = np.frombuffer(bytes(blob), np.int64)
@@ -332,27 +332,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Words are runs of anything but ASCII white space, with A-Z lower-cased.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = staged(docs.mapInArrow(partial(_first_pass, n=n, num=num, den=den), _FIRST_DDL), "sets")
+    first = staged(docs.transform(light_batches).mapInArrow(partial(_first_pass, n=n, num=num, den=den), _FIRST_DDL), "sets")
     classes = common_classes(first)
     rows = first.where("counts is null").select("doc_id", "n", "sid", "parity")
     distinct = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("parity").alias("parity"))
 
-    entries = docs.mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes), "key long, sid long, n long")
+    entries = docs.transform(light_batches).mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes), "key long, sid long, n long")
     entries = staged(entries, "columns")
     bits = bloom.bits_for(entries.count())
-    twice = bloom.gathered(entries.select("key").mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
-    entries = staged(entries.mapInArrow(partial(_met_twice, twice=twice), "key long, sid long, n long"), "shared")
+    twice = bloom.gathered(entries.select("key").transform(light_batches).mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
+    entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=twice), "key long, sid long, n long"), "shared")
     # a set comes from several tasks where its text is copied: one row of it is enough
     entries = _in_blocks(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK).distinct().join(distinct.select("sid", "parity"), "sid")
-    maybe = components(_together(entries, "key").mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
+    maybe = components(_together(entries, "key").transform(light_batches).mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
 
     members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least"), "sid"), "clusters")
     wanted = bloom.of_longs(members.select(F.coalesce("least", F.lit(NO_ID)).alias("least")), members.count())
-    grams = docs.mapInArrow(partial(_sets_of, n=n, wanted=wanted), "doc_id long, sid long, grams binary")
+    grams = docs.transform(light_batches).mapInArrow(partial(_sets_of, n=n, wanted=wanted), "doc_id long, sid long, grams binary")
     sizes = members.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
     blocks = _in_blocks(members, sizes, "root", CLUSTER_BLOCK)
     grams = grams.join(blocks, (grams["sid"] == blocks["sid"]) & grams["doc_id"].eqNullSafe(blocks["least"])).select(blocks["sid"], "root", "block", "x", "y", "grams")
-    links = _together(grams, "root").mapInArrow(partial(_clusters, num=num, den=den), "a long, b long")
+    links = _together(grams, "root").transform(light_batches).mapInArrow(partial(_clusters, num=num, den=den), "a long, b long")
     found = components(links).toDF("sid", "root")
 
     labelled = distinct.select("sid", "least").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

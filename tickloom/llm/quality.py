@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, small_batches, texts_of
+from tickloom.llm.common import as_batch, light_batches, small_batches, texts_of
 from tickloom.llm.labelled import sample
 
 STATISTICS = (
@@ -140,7 +140,7 @@ def held_out(column: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 16000) -> Trees:
     """Fit on at most ``most`` labelled documents outside the held-out fold, brought to the driver as statistics."""
     usable = labels.where(~held_out(F.col("doc_id")))
-    rows = sample(docs, usable, label, most).mapInArrow(_sampled, "doc_id long, label int, x array<double>").collect()
+    rows = sample(docs, usable, label, most).transform(light_batches).mapInArrow(_sampled, "doc_id long, label int, x array<double>").collect()
     rows.sort(key=lambda r: r[0])
     return grow(np.array([r[2] for r in rows]).reshape(len(rows), len(STATISTICS)), np.array([float(r[1] > 0) for r in rows]))
 
@@ -156,5 +156,5 @@ def score(docs: DataFrame, model: Trees, cut: float = 0.3, id_col: str = "doc_id
     """``doc_id, held_out, score, predicted`` of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # some tens of kilobytes, whatever the input
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = docs.mapInArrow(partial(_score, model=held), "doc_id long, score double")
+    scored = docs.transform(light_batches).mapInArrow(partial(_score, model=held), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= F.lit(cut)).cast("int").alias("predicted"))

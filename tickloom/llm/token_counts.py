@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe
-from tickloom.llm.common import small_batches, texts_of
+from tickloom.llm.common import light_batches, small_batches, texts_of
 from tickloom.llm.versions import Versions
 
 KEYS = ("source", "lang", "tokenizer")
@@ -100,4 +100,4 @@ def document_counts(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame
                         F.length(text).cast("long").alias("n_chars"), count(r"[^\x20\x09-\x0D]+").alias("blanks"),
                         count(r"[^\x20\x09-\x0D\p{L}\p{N}]*+[\p{L}\p{N}][^\x20\x09-\x0D]*+").alias("words"), text.alias("text"))
     ddl = "doc_id long, source string, lang string, n_chars long, blanks long, words long, bpe long"
-    return plain.mapInArrow(partial(_count, ranks_file=ranks_file, pattern=pattern), ddl)
+    return plain.transform(light_batches).mapInArrow(partial(_count, ranks_file=ranks_file, pattern=pattern), ddl)

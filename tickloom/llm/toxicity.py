@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, small_batches, texts_of
+from tickloom.llm.common import as_batch, light_batches, small_batches, texts_of
 from tickloom.llm.labelled import sample
 
 WIDTH = 1 << 17  # hashed features
@@ -177,7 +177,7 @@ def _sampled(batches):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 6000) -> Model:
     """Fit on at most ``most`` labelled documents, brought to the driver as sparse features."""
-    rows = sample(docs, labels, label, most).mapInArrow(_sampled, "doc_id long, label int, columns binary, values binary").collect()
+    rows = sample(docs, labels, label, most).transform(light_batches).mapInArrow(_sampled, "doc_id long, label int, columns binary, values binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     offsets = np.append(0, np.cumsum([len(r[2]) // 4 for r in rows])).astype(np.int64)
     columns = np.frombuffer(b"".join(r[2] for r in rows), "<u4").astype(np.int64)
@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 def _score(batches, model, text_col: str):
     model, known = model.value, _Features()
-    for batch in small_batches(batches, text_col, 4 << 20):
+    for batch in small_batches(batches, text_col):
         found = severity(model, _dot(*features(texts_of(batch.column(text_col)), known), model.weights))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "_severity"])
 
@@ -195,7 +195,7 @@ def _score(batches, model, text_col: str):
 def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`_severity` double"])
     held = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte, whatever the input
-    return docs.mapInArrow(partial(_score, model=held, text_col=text_col), ddl)
+    return docs.transform(light_batches).mapInArrow(partial(_score, model=held, text_col=text_col), ddl)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
