@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("d")
+
+def by_ticker():
+    """A ticker's bars in order of date."""
+    return Window.partitionBy("ticker").orderBy("d")
 
 
 def last_bars(n: int):
     """The last ``n`` bars of a ticker, the current one included."""
-    return BY_TICKER.rowsBetween(-(n - 1), 0)
+    return by_ticker().rowsBetween(-(n - 1), 0)
 
 
 def full(column: Column | str, n: int, agg) -> Column:
@@ -62,3 +65,9 @@ def phrase(*parts: Column) -> Column:
 def rounded(**columns: tuple[Column | str, int] | Column) -> list[Column]:
     """Columns rounded to so many places, under their names."""
     return [F.round(*c).alias(n) if isinstance(c, tuple) else c.alias(n) for n, c in columns.items()]
+
+
+def percent_up(price: Column, percent: int) -> Column:
+    """A price in cents raised by whole percents, rounded half up to cents by integer arithmetic."""
+    cents = F.round(price * 100).cast("long") * (100 + percent)
+    return F.floor((cents + 50) / 100) / 100e0

@@ -65,21 +65,20 @@ def _count(condition) -> F.Column:
     return F.count(F.when(condition, True))
 
 
-METRICS = {
-    "total_signals": F.count("*"),
-    "wins": _count(C("outcome") == "win"),
-    "losses": _count(C("outcome") == "loss"),
-    "expectancy_pct": F.coalesce(F.round(F.avg("return_pct"), 4), F.lit(0.0)),
-    "median_holding": F.coalesce(F.round(F.median("holding"), 1), F.lit(0.0)),
-    "median_win_return": F.coalesce(F.round(F.median(F.when(C("outcome") == "win", C("return_pct"))), 4), F.lit(0.0)),
-}
-WIN_RATE = F.coalesce(F.round(F.try_divide(C("wins") * 1e2, C("wins") + C("losses")), 2), F.lit(0.0))
+def trade_metrics() -> list[F.Column]:
+    win = C("outcome") == "win"
+    return [
+        F.count("*").alias("total_signals"), _count(win).alias("wins"), _count(C("outcome") == "loss").alias("losses"),
+        F.coalesce(F.round(F.avg("return_pct"), 4), F.lit(0.0)).alias("expectancy_pct"),
+        F.coalesce(F.round(F.median("holding"), 1), F.lit(0.0)).alias("median_holding"),
+        F.coalesce(F.round(F.median(F.when(win, C("return_pct"))), 4), F.lit(0.0)).alias("median_win_return"),
+    ]
 
 
 def metrics(trades: DataFrame, *keys: str) -> DataFrame:
     """Counts, win rate, expectancy and medians of trades by the given keys."""
     grouped = trades.groupBy(*keys) if keys else trades.groupBy()
-    return grouped.agg(*(c.alias(n) for n, c in METRICS.items())).withColumn("win_rate", WIN_RATE)
+    return grouped.agg(*trade_metrics()).withColumn("win_rate", F.coalesce(F.round(F.try_divide(C("wins") * 1e2, C("wins") + C("losses")), 2), F.lit(0.0)))
 
 
 def ticker_metrics(trades: DataFrame, universe: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import BY_TICKER, clip, full, last_bars, ratio
+from tickloom.functions.columns import by_ticker, clip, full, last_bars, ratio
 from tickloom.functions.recursive import decayed_sums, ema, from_first, wilder_sum
 
 C = F.col
@@ -15,7 +15,7 @@ C = F.col
 
 def moves(bars: DataFrame) -> DataFrame:
     """Bar-to-bar moves: return, gain, loss, true range, directional moves."""
-    prev = {n: F.lag(n).over(BY_TICKER) for n in ("close", "high", "low")}
+    prev = {n: F.lag(n).over(by_ticker()) for n in ("close", "high", "low")}
     bars = bars.withColumns({f"_{n}": c for n, c in prev.items()})
     change = C("close") - C("_close")
     # rounded to 8 places so that equal moves compare as equal
@@ -58,13 +58,13 @@ def recursive_indicators(moved: DataFrame) -> DataFrame:
 
 def swing_low() -> F.Column:
     """The latest low among bars t-17 to t-2 that is below its two neighbours on each side and below the close."""
-    reach = [F.when(F.lag("pivot", k).over(BY_TICKER) & (F.lag("low", k).over(BY_TICKER) < C("close")), F.lag("low", k).over(BY_TICKER)) for k in range(2, 18)]
+    reach = [F.when(F.lag("pivot", k).over(by_ticker()) & (F.lag("low", k).over(by_ticker()) < C("close")), F.lag("low", k).over(by_ticker())) for k in range(2, 18)]
     return F.when(C("t") >= 19, F.coalesce(*reach))
 
 
 def window_indicators(bars: DataFrame) -> DataFrame:
     """Everything that a fixed number of bars decides."""
-    near = [F.lag("low", k).over(BY_TICKER) for k in (1, 2)] + [F.lead("low", k).over(BY_TICKER) for k in (1, 2)]
+    near = [F.lag("low", k).over(by_ticker()) for k in (1, 2)] + [F.lead("low", k).over(by_ticker()) for k in (1, 2)]
     pivot = reduce(lambda a, b: a & b, [C("low") < x for x in near])
     mid, dev = full("close", 20, F.avg), full("close", 20, F.stddev_samp)
     volume_full = full("volume", 20, F.avg)
@@ -77,7 +77,7 @@ def window_indicators(bars: DataFrame) -> DataFrame:
         "bb_up": mid + 2 * dev, "bb_low": mid - 2 * dev,
         "high_20": full("high", 20, F.max), "high_252": full("high", 252, F.max), "low_10": full("low", 10, F.min), "low_20": full("low", 20, F.min),
         "rsi_min_10": full("rsi_14", 10, F.min), "rsi_min_5": full("rsi_14", 5, F.min),
-        "return_63": (ratio(C("close"), F.lag("close", 62).over(BY_TICKER)) - 1) * 100,
+        "return_63": (ratio(C("close"), F.lag("close", 62).over(by_ticker())) - 1) * 100,
         "worst_5": F.min("ret").over(last_bars(5)), "best_5": F.max("ret").over(last_bars(5)),
         "atr_proxy": F.when((C("t") >= 13) & (spread > 0), spread).otherwise(C("close") * 0.02),
         "pivot": F.coalesce(pivot, F.lit(False)),
@@ -131,10 +131,10 @@ def latest(indicators: DataFrame, *partition: str) -> DataFrame:
 
 def hmm_features(index: DataFrame, vix: DataFrame) -> DataFrame:
     """20-bar log return, annualised deviation, vix/100 and share of rising bars, on dates that both tables have."""
-    both = index.join(vix.where("vix is not null"), "d").withColumn("t", (F.row_number().over(BY_TICKER) - 1).cast("long"))
-    both = both.withColumn("lr", F.log(C("close") / F.lag("close").over(BY_TICKER)))
+    both = index.join(vix.where("vix is not null"), "d").withColumn("t", (F.row_number().over(by_ticker()) - 1).cast("long"))
+    both = both.withColumn("lr", F.log(C("close") / F.lag("close").over(by_ticker())))
     return both.withColumns({
-        "return_20": F.log(C("close") / F.lag("close", 20).over(BY_TICKER)),
+        "return_20": F.log(C("close") / F.lag("close", 20).over(by_ticker())),
         "vol_20": F.when(C("t") >= 20, F.stddev_samp("lr").over(last_bars(20)) * F.sqrt(F.lit(252e0))),
         "vix_norm": C("vix") / 100,
         "breadth_20": full(F.when(C("lr") > 0, 1.0).otherwise(0.0), 20, F.avg),
@@ -143,7 +143,7 @@ def hmm_features(index: DataFrame, vix: DataFrame) -> DataFrame:
 
 def significant_highs(bars: DataFrame, apart: float = 0.02) -> DataFrame:
     """Five-bar pivot highs of the last 120 bars, rounded, and thinned to ``apart`` from the last one kept."""
-    pivot = bars.withColumn("top", F.max("high").over(BY_TICKER.rowsBetween(-2, 2))).withColumn("age", F.max("t").over(Window.partitionBy("ticker")) - C("t"))
+    pivot = bars.withColumn("top", F.max("high").over(by_ticker().rowsBetween(-2, 2))).withColumn("age", F.max("t").over(Window.partitionBy("ticker")) - C("t"))
     highs = pivot.where((C("high") == C("top")) & (C("age") < 120)).groupBy("ticker").agg(F.array_sort(F.collect_set(F.round("high", 2))).alias("highs"))
     keep = F.aggregate("highs", F.array().cast("array<double>"), lambda kept, h: F.when((F.size(kept) == 0) | (h > F.try_element_at(kept, F.lit(-1)) * (1 + apart)), F.concat(kept, F.array(h))).otherwise(kept))
     return highs.select("ticker", keep.alias("highs"))
@@ -157,7 +157,7 @@ def candles(bars: DataFrame) -> DataFrame:
     Inside bar: the range within the range before.  Entries: the close, or 0.1 %
     over the hammer's or inside bar's high.
     """
-    o, c, h, low = (F.lag(x).over(BY_TICKER) for x in ("open", "close", "high", "low"))
+    o, c, h, low = (F.lag(x).over(by_ticker()) for x in ("open", "close", "high", "low"))
     body = F.abs(C("close") - C("open"))
     named = bars.withColumns({
         "engulfing": (C("close") > C("open")) & (c < o) & (C("close") >= o) & (C("open") <= c),

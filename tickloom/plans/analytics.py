@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tickloom.plans import indicator_queries, oracle
+from tickloom.plans import indicator_queries, oracle, position_queries, signal_queries, stream_queries
+
+__all__ = ["ORACLE_SQL", "QUERIES", "position_queries", "signal_queries", "stream_queries"]
 
 QUERIES = dict(indicator_queries.QUERIES)
 ORACLE_SQL = oracle.SQL

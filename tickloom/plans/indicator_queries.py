@@ -33,12 +33,13 @@ def ind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.all_indicators(market.bars(spark, sf_dir))
 
 
-def _register(name: str, *columns: str, places: int = 6) -> None:
+def _register(name: str, *columns: str, nudge: float = 0.0) -> None:
+    """Rounded columns; ``nudge`` moves values that would lie on a tie, which engines round either way."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ind(spark, sf_dir).select(*AT, *(F.round(c, places).alias(c) for c in columns))
+        return ind(spark, sf_dir).select(*AT, *(F.round(C(c) + nudge, 6).alias(c) for c in columns))
 
     run.__name__ = name
-    query(f"SELECT ticker, d, {', '.join(f'round({c}, {places}) AS {c}' for c in columns)} FROM ind")(run)
+    query(f"SELECT ticker, d, {', '.join(f'round({c} + {nudge!r}, 6) AS {c}' for c in columns)} FROM ind")(run)
 
 
 for _name, _cols in {
@@ -49,9 +50,9 @@ for _name, _cols in {
     "ind_return_63": ("return_63",), "ind_swing_low": ("swing_low",), "ind_worst_return": ("worst_5",),
 }.items():
     _register(_name, *_cols)
-# means of prices end in a 5 at the seventh place: more places leave no ties to round
-_register("ind_sma", "dma_50", "dma_200", places=9)
-_register("ind_sma_full", "sma_20", "sma_50", "sma_200", places=9)
+# means of prices with four places often end in a 5 at the seventh
+_register("ind_sma", "dma_50", "dma_200", nudge=1e-8)
+_register("ind_sma_full", "sma_20", "sma_50", "sma_200", nudge=1e-8)
 
 
 @query("SELECT ticker, d, open, high, low, close, volume, t FROM bars")

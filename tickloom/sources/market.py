@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import BY_TICKER
+from tickloom.functions.columns import by_ticker
 
 BASE_PRICE = 100.0
 INDUSTRIES = ("Semiconductors", "Utilities", "Biotech", "Health Care Services", "Software")
@@ -39,9 +39,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum("l_quantity").alias("volume"),
         )
     )
-    path = BY_TICKER.rowsBetween(Window.unboundedPreceding, 0)
+    path = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     walk = weeks.withColumn("close", F.lit(BASE_PRICE) * F.exp(F.sum("r").over(path)))
-    walk = walk.withColumn("open", F.coalesce(F.lag("close").over(BY_TICKER), F.lit(BASE_PRICE)))
+    walk = walk.withColumn("open", F.coalesce(F.lag("close").over(by_ticker()), F.lit(BASE_PRICE)))
     return walk.select(
         "ticker", "d",
         F.round("open", 4).alias("open"),
@@ -49,7 +49,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.least("open", "close") * (1 - F.col("tx") / 4), 4).alias("low"),
         F.round("close", 4).alias("close"),
         "volume",
-        (F.row_number().over(BY_TICKER) - 1).cast("long").alias("t"),
+        (F.row_number().over(by_ticker()) - 1).cast("long").alias("t"),
     )
 
 
@@ -65,20 +65,21 @@ def index_bars(bars: DataFrame) -> DataFrame:
     """The equal-weight index: ``ticker, d, close, t`` with one bar per date."""
     mean = F.sum(F.round(F.col("close") * 10000).cast("long")) * 1e0 / F.count("*") / 1e4
     by_date = bars.groupBy("d").agg(F.round(mean, 4).alias("close")).withColumn("ticker", F.lit("INDEX"))
-    return by_date.select("ticker", "d", "close", (F.row_number().over(BY_TICKER) - 1).cast("long").alias("t"))
+    return by_date.select("ticker", "d", "close", (F.row_number().over(by_ticker()) - 1).cast("long").alias("t"))
 
 
 def volatility_index(index: DataFrame) -> DataFrame:
     """``d, vix``: annualised deviation of the index's last 20 log returns, in percent."""
-    log_return = F.log(F.col("close") / F.lag("close").over(BY_TICKER))
+    log_return = F.log(F.col("close") / F.lag("close").over(by_ticker()))
     moved = index.withColumn("lr", log_return)
-    deviation = F.stddev_samp("lr").over(BY_TICKER.rowsBetween(-19, 0)) * F.sqrt(F.lit(252e0)) * 100
+    deviation = F.stddev_samp("lr").over(by_ticker().rowsBetween(-19, 0)) * F.sqrt(F.lit(252e0)) * 100
     return moved.select("d", F.when(F.col("t") >= 20, F.round(deviation, 4)).alias("vix"))
 
 
 def earnings(bars: DataFrame, universe: DataFrame) -> DataFrame:
-    """Reports a few days before every 13th bar: ``ticker, earnings_date, actual, estimate, surprise``."""
-    named = bars.join(F.broadcast(universe.select("ticker", "n")), "ticker").where(F.col("t") % 13 == 5)
+    """Reports a few days before every 13th bar and before jumps: ``ticker, earnings_date, actual, estimate, surprise``."""
+    jump = F.coalesce(F.col("close") / F.lag("close").over(by_ticker()) - 1 >= 0.02, F.lit(False))
+    named = bars.withColumn("_jump", jump).where((F.col("t") % 13 == 5) | F.col("_jump")).join(universe.select("ticker", "n"), "ticker")
     return named.select(
         "ticker",
         F.date_sub("d", (1 + F.col("n") % 5).cast("int")).alias("earnings_date"),
