@@ -66,8 +66,8 @@ def split_adjusted(positions: DataFrame, splits: DataFrame) -> DataFrame:
     rows = positions.join(splits.select("ticker", "split_date", "ratio"), "ticker", "left")
     tag = F.concat(F.lit("[SPLIT "), C("split_date").cast("string"), F.lit("]"))
     due = F.coalesce((C("ratio") > 0) & (C("ratio") != 1) & ~F.coalesce(C("narrative"), F.lit("")).contains(tag), F.lit(False))
-    prices = {c: F.when(due, F.round(C(c) / C("ratio"), 2)).otherwise(C(c)) for c in ("entry_price", "stop_loss", "target_1", "target_2", "target_3")}
-    more = {"max_shares": F.when(due, F.round(C("max_shares") * C("ratio"), 4)).otherwise(C("max_shares")), "narrative": F.when(due, F.concat_ws(" ", "narrative", tag)).otherwise(C("narrative"))}
+    prices = {c: F.when(due, F.round(C(c) / C("ratio") + TIE, 2)).otherwise(C(c)) for c in ("entry_price", "stop_loss", "target_1", "target_2", "target_3")}
+    more = {"max_shares": F.when(due, F.round(C("max_shares") * C("ratio") + TIE, 4)).otherwise(C("max_shares")), "narrative": F.when(due, F.concat_ws(" ", "narrative", tag)).otherwise(C("narrative"))}
     return rows.withColumns(prices | more).drop("split_date", "ratio")
 
 

@@ -121,10 +121,10 @@ def pos_pending_gate(spark, sf_dir):
     return positions.pending_gate(held(spark, sf_dir).where("status = 'pending'"), last_bars(spark, sf_dir)).select("id", "entry_price", "gap_pct", "status")
 
 
-_SPLIT = "CASE WHEN due THEN round({c} / ratio, 2) ELSE {c} END AS {c}"
+_SPLIT = "CASE WHEN due THEN round({c} / ratio + 1e-9, 2) ELSE {c} END AS {c}"
 
 
-@query(f"""SELECT id, {', '.join(_SPLIT.format(c=c) for c in ('entry_price', 'stop_loss', 'target_1'))}, CASE WHEN due THEN round(max_shares * ratio, 4) ELSE max_shares END AS max_shares, due FROM (
+@query(f"""SELECT id, {', '.join(_SPLIT.format(c=c) for c in ('entry_price', 'stop_loss', 'target_1'))}, CASE WHEN due THEN round(max_shares * ratio + 1e-9, 4) ELSE max_shares END AS max_shares, due FROM (
   SELECT h.*, u.ratio, coalesce(u.ratio <> 1, false) AS due FROM held h LEFT JOIN (SELECT ticker, CASE n % 4 WHEN 0 THEN 2e0 WHEN 1 THEN 3e0 ELSE 1e0 END AS ratio FROM universe WHERE n % 2 = 0 OR n % 4 = 1) u ON h.ticker = u.ticker)""")
 def pos_split_adjust(spark, sf_dir):
     n = C("n")
