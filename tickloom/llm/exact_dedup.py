@@ -63,35 +63,35 @@ _LISTS = pa.schema(
 _LISTS_DDL = "part long, owner int, n int, k int, unary binary, low binary, ids array<long>, slots binary, again binary, shas binary"
 
 
-def _lists(part: int, owner_bits: int, ids: pa.Array, prints: np.ndarray, shas: np.ndarray) -> pa.RecordBatch:
+def _lists(part: int, owner_bits: int, bits: int, ids: pa.Array, prints: np.ndarray, shas: np.ndarray) -> pa.RecordBatch:
     """One row per owner: the coded list, and beside it (kept, not sent) the rows' ids, slots in the list and digests."""
     order = np.argsort(prints, kind="stable")
     prints, shas, ids = prints[order], shas[order], ids.take(pa.array(order))
-    owners = (prints >> np.uint64(BITS - owner_bits)).astype(np.int64)
+    owners = (prints >> np.uint64(bits - owner_bits)).astype(np.int64)
     cuts = np.append(np.flatnonzero(np.append(True, owners[1:] != owners[:-1])), len(prints))
     rows = []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         own, slots, times = np.unique(prints[lo:hi], return_inverse=True, return_counts=True)
-        k, unary, low = golomb_encode(own & np.uint64((1 << (BITS - owner_bits)) - 1), BITS - owner_bits)
+        k, unary, low = golomb_encode(own & np.uint64((1 << (bits - owner_bits)) - 1), bits - owner_bits)
         again = np.packbits((times > 1).astype(np.uint8)).tobytes()
         rows.append((part, int(owners[lo]), len(own), k, unary, low, ids.slice(lo, hi - lo).to_pylist(), slots.astype("<u4").tobytes(), again, shas[lo:hi].tobytes()))
     return as_batch(_LISTS, *(list(c) for c in zip(*rows, strict=True)))
 
 
-def _send(batches, owner_bits: int):
+def _send(batches, owner_bits: int, bits: int):
     part = TaskContext.get().partitionId() << 24
     ids, prints, shas, held = [], [], [], 0
     for batch in small_batches(batches, "text"):
         texts = texts_of(batch.column("text"))
         ids.append(batch.column("doc_id"))
-        prints.append(np.array([xxhash.xxh3_64_intdigest(t) >> (64 - BITS) for t in texts], np.uint64))
+        prints.append(np.array([xxhash.xxh3_64_intdigest(t) >> (64 - bits) for t in texts], np.uint64))
         shas.append(np.frombuffer(b"".join(hashlib.sha256(t).digest() for t in texts), np.uint8).reshape(-1, 32))
         held += len(texts)
         if held >= LIST:
-            yield _lists(part, owner_bits, pa.concat_arrays(ids), np.concatenate(prints), np.concatenate(shas))
+            yield _lists(part, owner_bits, bits, pa.concat_arrays(ids), np.concatenate(prints), np.concatenate(shas))
             part, ids, prints, shas, held = part + 1, [], [], [], 0
     if held:
-        yield _lists(part, owner_bits, pa.concat_arrays(ids), np.concatenate(prints), np.concatenate(shas))
+        yield _lists(part, owner_bits, bits, pa.concat_arrays(ids), np.concatenate(prints), np.concatenate(shas))
 
 
 _ANSWER = pa.schema([("part", pa.int64()), ("owner", pa.int32()), ("elsewhere", pa.binary())])
@@ -125,12 +125,15 @@ def _texts_of_suspects(batches, wanted: np.ndarray):
             yield batch.filter(pa.array(bloom.contains(wanted, keys)))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, keep_id, group_size, kept, text_sha256`` of every row; of equal texts the largest id stays."""
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, text_sha256`` of every row; of equal texts the largest id stays.
+
+    ``bits`` is the width of a fingerprint: fewer make more suspects, and the same result.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # owners grow with the input, so that an owner's fingerprints always fit one task
-    owner_bits = min(24, max(5, (docs.count() >> 18).bit_length()))
-    lists = staged(docs.transform(light_batches).mapInArrow(partial(_send, owner_bits=owner_bits), _LISTS_DDL), "lists")
+    owner_bits = min(24, bits, max(5, (docs.count() >> 18).bit_length()))
+    lists = staged(docs.transform(light_batches).mapInArrow(partial(_send, owner_bits=owner_bits, bits=bits), _LISTS_DDL), "lists")
     answers = lists.select("part", "owner", "n", "k", "unary", "low").groupBy("owner").applyInArrow(_answer, "part long, owner int, elsewhere binary")
     mine = lists.select("part", "owner", "ids", "slots", "again", "shas").join(answers, ["part", "owner"])
     rows = staged(mine.transform(light_batches).mapInArrow(_opened, "doc_id long, sha binary, suspect boolean"), "prints")
