@@ -17,6 +17,16 @@ from tickloom.functions.columns import by_ticker
 BASE_PRICE = 100.0
 INDUSTRIES = ("Semiconductors", "Utilities", "Biotech", "Health Care Services", "Software")
 
+#: Sector funds (fixed values).
+SECTOR_FUNDS = (
+    ("XLK", "Technology"), ("XLF", "Financials"), ("XLE", "Energy"), ("XLI", "Industrials"), ("XLP", "Consumer Staples"), ("XLU", "Utilities"), ("XLV", "Health Care"), ("XLY", "Consumer Discretionary"),
+    ("XLB", "Materials"), ("XLRE", "Real Estate"), ("XBI", "Biotech"), ("SOXX", "Semiconductors"), ("KRE", "Regional Banks"), ("SMH", "Semiconductors"), ("IBB", "Biotech"),
+)
+
+
+def sector_funds(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SECTOR_FUNDS), "ticker string, sector string")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
