@@ -105,6 +105,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
 
     suspects = staged(plain.transform(light_batches).mapInArrow(partial(_suspects, least=least, twice=twice), "key binary, doc_id long, mark long, at array<int>"), "lines")
     repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    # as a table of its own it is shuffled for the join alone, which lets Spark split the rows of a very common line
+    repeated = staged(repeated, "repeated")
     drops = suspects.join(repeated, "key").where("doc_id > first").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("at")).alias("_drop"))
     drops = drops.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_dmark"), "_drop")
 
