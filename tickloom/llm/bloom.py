@@ -24,9 +24,9 @@ _SEGMENT = pa.schema([("seg", pa.int32()), ("once", pa.binary()), ("twice", pa.b
 _DDL = "seg int, once binary, twice binary"
 
 
-def bits_for(keys: int, per_key: int = 8) -> int:
+def bits_for(keys: float, per_key: int = 8) -> int:
     """A power of two of bits for so many keys, within the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, keys * per_key - 1).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, int(keys) * per_key - 1).bit_length()))
 
 
 def positions(keys: np.ndarray, bits: int) -> np.ndarray:

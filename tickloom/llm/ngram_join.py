@@ -49,6 +49,7 @@ LEAST_PARITY = 128  # bits of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
 CLUSTER_BLOCK = 512  # rows of a cluster that one task multiplies
 MOST_WORDS = 400_000  # word hashes remembered by a worker
+SHARED = 16  # leading n-grams that linked rows of some size must share
 NO_ID = -(1 << 63)  # stands for a missing id in a filter
 
 
@@ -148,45 +149,67 @@ def common_classes(first: DataFrame) -> np.ndarray:
     return np.where(total <= usual, 0, np.clip(np.log2(np.maximum(total, 1)), 1, 62)).astype(np.uint8)
 
 
+def shared_at_least(n: int, num: int, den: int) -> int:
+    """How many leading n-grams a row of size n shares with any partner no larger than it."""
+    return min(SHARED, -(-n * num // den))
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """How many leading n-grams of a row of size n every pair at the threshold shares at least one of."""
-    return n - -(-n * num // den) + 1
+    """How many leading n-grams of a row of size n are needed for that.
+
+    The shorter prefix of two linked rows misses ``ceil(t n) - shared`` of its
+    row's n-grams, and the rows share ``ceil(t n)`` at least.
+    """
+    return n - -(-n * num // den) + shared_at_least(n, num, den)
+
 
+_ENTRY = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
+_KEYED = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int64())])
 
-_ENTRY = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int64())])
 
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-def _entries(batches, n: int, num: int, den: int, classes: np.ndarray):
-    seen: set[int] = set()
-    for _, sets, sids in _rows(batches, n):
-        keys, owners, sizes = [], [], []
-        for s, sid in zip(sets, sids.tolist(), strict=True):
-            if not len(s) or sid in seen:
-                continue
-            if len(seen) >= MOST_WORDS:
-                seen.clear()
-            seen.add(sid)
-            order = np.argsort(classes[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
-            keys.append(s[order[: prefix_length(len(s), num, den)]])
-            owners.append(sid)
-            sizes.append(len(s))
-        if keys:
-            each = [len(k) for k in keys]
-            yield as_batch(_ENTRY, np.concatenate(keys).view(np.int64), np.repeat(np.array(owners, np.int64), each), np.repeat(np.array(sizes, np.int64), each))
+
+def _entries(batches, n: int, num: int, den: int, classes: np.ndarray, owners: np.ndarray):
+    """The leading n-grams of each distinct set, from the document with the least id that has it (and few others)."""
+    for batch in small_batches(batches, "text"):
+        batch = batch.filter(pa.array(bloom.contains(owners, _ids(batch))))
+        for _, sets, sids in _rows([batch], n):
+            rows = []
+            for s, sid in zip(sets, sids.tolist(), strict=True):
+                if len(s):
+                    order = np.argsort(classes[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
+                    rows.append((sid, len(s), s[order[: prefix_length(len(s), num, den)]].tobytes()))
+            if rows:
+                yield as_batch(_ENTRY, *(list(c) for c in zip(*rows, strict=True)))
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint64)
 
 
 def _fill(batches, bits: int):
     pair = bloom.Pair(bits)
     for batch in batches:
         if batch.num_rows:
-            pair.add(batch.column(0).to_numpy().view(np.uint64))
+            pair.add(_keys(batch))
     yield pair.segments()
 
 
-def _met_twice(batches, twice: np.ndarray):
+def _met_twice(batches, twice: np.ndarray, num: int, den: int):
+    """Columns that several rows may share, of rows that have as many of these as any link needs."""
     for batch in batches:
-        if batch.num_rows:
-            yield batch.filter(pa.array(bloom.contains(twice, batch.column(0).to_numpy().view(np.uint64))))
+        if not batch.num_rows:
+            continue
+        sizes = batch.column("n").to_numpy()
+        keys, each = _keys(batch), np.array([prefix_length(n, num, den) for n in sizes.tolist()])
+        owner = np.repeat(np.arange(len(sizes)), each)
+        shared = bloom.contains(twice, keys)
+        need = np.array([shared_at_least(-(-n * num // den), num, den) for n in sizes.tolist()])
+        shared &= (np.bincount(owner[shared], minlength=len(sizes)) >= need)[owner]
+        owner = owner[shared]
+        yield as_batch(_KEYED, keys[shared].view(np.int64), batch.column("sid").to_numpy()[owner], sizes[owner])
 
 
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -302,8 +325,7 @@ _SET = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("grams", pa.bina
 def _sets_of(batches, n: int, wanted: np.ndarray):
     known = _Words()
     for batch in small_batches(batches, "text"):
-        keys = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        batch = batch.filter(pa.array(bloom.contains(wanted, keys)))
+        batch = batch.filter(pa.array(bloom.contains(wanted, _ids(batch))))
         sets = [shingles(t.lower().split(), n, known) for t in texts_of(batch.column("text"))]
         yield as_batch(_SET, batch.column("doc_id"), [_set_id(s) for s in sets], [s.tobytes() for s in sets])
 
@@ -337,12 +359,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rows = first.where("counts is null").select("doc_id", "n", "sid", "parity")
     distinct = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("parity").alias("parity"))
 
-    entries = docs.transform(light_batches).mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes), "key long, sid long, n long")
+    owners = distinct.select(F.coalesce("least", F.lit(NO_ID)).alias("least"))
+    owners = bloom.of_longs(owners, distinct.count())
+    entries = docs.transform(light_batches).mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes, owners=owners), "sid long, n long, keys binary")
     entries = staged(entries, "columns")
-    bits = bloom.bits_for(entries.count())
-    twice = bloom.gathered(entries.select("key").transform(light_batches).mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
-    entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=twice), "key long, sid long, n long"), "shared")
-    # a set comes from several tasks where its text is copied: one row of it is enough
+    bits = bloom.bits_for(entries.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0, 4)
+    twice = bloom.gathered(entries.transform(light_batches).mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
+    entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=twice, num=num, den=den), "key long, sid long, n long"), "shared")
+    # the filter of owners lets a few copies through: one row of a set is enough
     entries = _in_blocks(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK).distinct().join(distinct.select("sid", "parity"), "sid")
     maybe = components(_together(entries, "key").transform(light_batches).mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
 
