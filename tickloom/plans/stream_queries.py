@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.plans.indicator_queries import C, query
 from tickloom.plans.position_queries import held
-from tickloom.sources import market
+from tickloom.sources import market, tables
 from tickloom.streaming import ticks as streams
 
 
@@ -40,33 +37,25 @@ def stream_positions_batch(spark, sf_dir):
     return streams.position_events_batch(_position_ticks(spark, sf_dir))
 
 
-def _shared(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tickloom-")
-    return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
-def _run(stream: DataFrame, folder: str) -> None:
-    out = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    out.awaitTermination()
+def _run(rows: DataFrame, plan) -> DataFrame:
+    """A plan over the rows as a stream of files, to its end; state and results in the shared folder."""
+    spark, source = rows.sparkSession, tables.written(rows, "ticks")
+    folder = source.inputFiles()[0].rpartition("/")[0] if source.inputFiles() else None
+    if folder is None:
+        return plan(rows)
+    stream = plan(spark.readStream.schema(rows.schema).parquet(folder))
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}-out")
 
 
 @query(None)
 def stream_tick_bars(spark, sf_dir):
     """The same bars from a stream of files; windows that the watermark has not passed are still open."""
-    folder = _shared(spark)
-    ticks(spark, sf_dir).write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    stream = streams.tick_bars(source)
-    _run(stream, folder)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return _run(ticks(spark, sf_dir), streams.tick_bars)
 
 
 @query(None)
 def stream_positions(spark, sf_dir):
     """Position events from a stream with state per position."""
-    folder = _shared(spark)
-    _position_ticks(spark, sf_dir).write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
-    stream = streams.position_events(source)
-    _run(stream, folder)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return _run(_position_ticks(spark, sf_dir), streams.position_events)

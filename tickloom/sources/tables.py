@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,22 @@ C = F.col
 BAR = "ticker string, d date, open double, high double, low double, close double, volume double"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once to the folder that driver and executors share, for plans that read them several times.
+
+    The folder is ``spark.checkpoint.dir``; only where that is unset (one
+    machine) a temporary one is made.
+    """
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def clean_symbol(symbol: Column, dot: str = ".") -> Column:
     return F.upper(F.replace(F.trim(symbol), F.lit(dot), F.lit("-")))
 
