@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, group_bounds, light_batches, runs, small_batches, splitmix, staged, texts_of
+from tickloom.llm.common import as_batch, discard, group_bounds, light_batches, runs, small_batches, splitmix, staged, texts_of
 from tickloom.llm.components import components, forest
 
 SKETCH = 1 << 18  # counters of the count sketch
@@ -49,7 +49,7 @@ LEAST_PARITY = 128  # bits of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
 CLUSTER_BLOCK = 512  # rows of a cluster that one task multiplies
 MOST_WORDS = 400_000  # word hashes remembered by a worker
-SHARED = 16  # leading n-grams that linked rows of some size must share
+SHARED, SHARED_PART = 16, 24  # leading n-grams that linked rows must share: so many, or a 24th of the row
 NO_ID = -(1 << 63)  # stands for a missing id in a filter
 
 
@@ -150,8 +150,11 @@ def common_classes(first: DataFrame) -> np.ndarray:
 
 
 def shared_at_least(n: int, num: int, den: int) -> int:
-    """How many leading n-grams a row of size n shares with any partner no larger than it."""
-    return min(SHARED, -(-n * num // den))
+    """How many leading n-grams a row of size n shares with any partner no larger than it.
+
+    More for larger rows, as more of their n-grams are met elsewhere by chance.
+    """
+    return min(max(SHARED, n // SHARED_PART), -(-n * num // den))
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -362,10 +365,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     owners = distinct.select(F.coalesce("least", F.lit(NO_ID)).alias("least"))
     owners = bloom.of_longs(owners, distinct.count())
     entries = docs.transform(light_batches).mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes, owners=owners), "sid long, n long, keys binary")
-    entries = staged(entries, "columns")
+    columns = entries = staged(entries, "columns")
     bits = bloom.bits_for(entries.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0, 4)
     twice = bloom.gathered(entries.transform(light_batches).mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
     entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=twice, num=num, den=den), "key long, sid long, n long"), "shared")
+    discard(columns)
     # the filter of owners lets a few copies through: one row of a set is enough
     entries = _in_blocks(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK).distinct().join(distinct.select("sid", "parity"), "sid")
     maybe = components(_together(entries, "key").transform(light_batches).mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
