@@ -166,4 +166,4 @@ def candles(bars: DataFrame) -> DataFrame:
     })
     pattern = F.when(C("engulfing"), "engulfing").when(C("hammer"), "hammer").when(C("inside"), "inside")
     entry = F.when(C("engulfing"), C("close")).otherwise(C("high") * 1.001)
-    return named.withColumns({"pattern": pattern, "entry": F.round(entry, 2)}).where("pattern is not null").select("ticker", "d", "t", "pattern", "entry")
+    return named.withColumns({"pattern": pattern, "entry": F.round(entry + 1e-9, 2)}).where("pattern is not null").select("ticker", "d", "t", "pattern", "entry")

@@ -35,6 +35,7 @@ RULES = {
 }
 #: Points for bull, sideways and other regimes.
 REGIME_POINTS = {"trend": (10, 5, 0), "mean_reversion": (7, 10, 5), "sector": (10, 7, 5), "pead": (10, 8, 6), "high_52w": (10, 6, 3), "csm": (10, 6, 3)}
+TIE = 1e-9  # prices on a tie round up in every engine
 TIERS = [(70, "Strong Buy"), (50, "Buy"), (35, "Watch")]
 
 
@@ -72,7 +73,7 @@ def weighted_rr() -> Column:
 def _finish(found: DataFrame, strategy: str, entry: Column, stop: Column, momentum: Column, narrative: Column, least_risk: float = 2.5, extra: tuple[Column, ...] = ()) -> DataFrame:
     """Prices, targets, risk gate, points, tier, guard and quality of the bars that passed a scan's own gates."""
     targets, _, _, factor = RULES[strategy]
-    found = found.withColumns({"entry_price": F.round(entry, 2), "stop_loss": F.round(stop, 2)})
+    found = found.withColumns({"entry_price": F.round(entry + TIE, 2), "stop_loss": F.round(stop + TIE, 2)})
     risk = (C("entry_price") - C("stop_loss")) / C("entry_price") * 100
     found = found.where(passes(risk < least_risk, *extra))
     found = found.withColumns({f"target_{k}": percent_up(C("entry_price"), p) for k, p in enumerate(targets, 1)})

@@ -128,7 +128,7 @@ def ind_significant_highs(spark, sf_dir):
     return indicators.significant_highs(market.bars(spark, sf_dir))
 
 
-@query(f"""SELECT ticker, d, t, pattern, round(CASE WHEN pattern = 'engulfing' THEN close ELSE high * 1.001e0 END, 2) AS entry FROM (
+@query(f"""SELECT ticker, d, t, pattern, round(CASE WHEN pattern = 'engulfing' THEN close ELSE high * 1.001e0 END + 1e-9, 2) AS entry FROM (
   SELECT *, CASE WHEN close > open AND pc < po AND close >= po AND open <= pc THEN 'engulfing'
     WHEN abs(close - open) > 0 AND least(open, close) - low >= 2 * abs(close - open) AND high - greatest(open, close) <= 0.5e0 * abs(close - open) THEN 'hammer'
     WHEN high < ph AND low > pl THEN 'inside' END AS pattern

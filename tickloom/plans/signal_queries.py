@@ -174,7 +174,7 @@ def _scan_sql(name: str) -> str:
   CASE WHEN guard_reason IS NOT NULL THEN 'Blocked' WHEN composite_score >= 70 THEN 'Strong Buy' WHEN composite_score >= 50 THEN 'Buy' WHEN composite_score >= 35 THEN 'Watch' ELSE 'Speculative' END AS tier_label,
   guard_reason, {quality} AS quality_score, narrative, round(return_63, 4) AS returns_3m, days_since, regime
   FROM (SELECT *, round(CAST(momentum AS DOUBLE) + {points}, 4) AS composite_score, {reason} AS guard_reason, {t[0]} AS target_1, {t[1]} AS target_2, {t[2]} AS target_3
-    FROM (SELECT *, round({entry}, 2) AS entry_price, round({stop}, 2) AS stop_loss, {momentum} AS momentum, {told} AS narrative FROM {source} WHERE {gates}))
+    FROM (SELECT *, round({entry} + 1e-9, 2) AS entry_price, round({stop} + 1e-9, 2) AS stop_loss, {momentum} AS momentum, {told} AS narrative FROM {source} WHERE {gates}))
   WHERE NOT coalesce((entry_price - stop_loss) / entry_price * 100 < {risk}e0, false)"""
 
 
