@@ -335,6 +335,24 @@ def test_leaks_are_found_at_the_target_rate(spark, empty):
     assert decontam.leaks(empty, benchmark).count() == 0 and decontam.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("least", "most"), [(60, 80), (80, 120), (120, 180), (180, 300)])
+def test_leaks_with_all_allowed_edits_are_found_at_each_length(spark, least, most):
+    rng = random.Random(least)
+    syllables = ["an", "er", "tion", "the", "ing", "ou", "re", "st", "wh", "éa", "ß"]
+    words = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    items = [(i, words(most)[: rng.randrange(least, most)].rstrip().ljust(least, "x")) for i in range(100)]
+    rows = []
+    for d in range(400):
+        leak = list(items[d % 100][1])
+        for _ in range(int(0.15 * len(leak))):
+            p = rng.randrange(len(leak))
+            leak[p : p + 1] = rng.choice([[], [rng.choice("aeinrst ")], [leak[p], rng.choice("aeinrst ")]])
+        rows.append((d, f"{words(20)} {''.join(leak)} {words(20)}"))
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_edits=0.15)
+    held = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert np.mean([(d, d % 100) in held for d, _ in rows]) >= 0.95
+
+
 # --- 8 personal data -----------------------------------------------------------------------------------------------
 
 

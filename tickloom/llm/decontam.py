@@ -13,9 +13,10 @@ item's length, in code points) of a benchmark item.
   are.  Every repetition has its own walk and its own sampled steps; windows whose sampled characters all agree
   become a candidate.  Samples are compared in stages, and only windows that
   agree so far walk on, which finds the same pairs as walking all to the end.
-* An item of w words has up to w windows and ``repetitions`` walks each, so one
-  stretch without edits is enough.  ``tests/llm`` measures the recall at the
-  target.
+* An item of w words has up to w windows with as many walks each as its windows
+  and its allowed edits ask for (``repetitions`` at least), so one stretch with
+  hardly any edits is enough.  ``tests/llm`` measures the recall by length of
+  item at the largest share of edits.
 * Each candidate places the whole item in the document; the item-sized window
   there, with room for the allowed edits, is verified by the exact
   (bit-parallel) edit distance.
@@ -30,7 +31,8 @@ under each of their ids; repeated rows are reported once per id.
 
 from __future__ import annotations
 
-from functools import partial
+import math
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import as_batch, light_batches, small_batches, splitmix, texts_of
 
 #: Steps of a walk by the end of each stage, and the samples that the stage takes.
-STAGES = ((12, 5), (32, 4), (80, 5))
-TABLE_BITS = 22  # of the first stage's table
+STAGES = ((30, 10), (48, 5))
+CODE_BITS, TABLE_BITS = 28, 24  # of the first stage's code, and of its table at most
+CLASSES = 32  # of bytes, in the first stage
+DENSE = 34  # how fast the windows that an item needs grow with its share of edits
 BLOCK_BYTES = 8 << 20  # of items compared at a time
 ROOM = 1 << 17  # windows walked at a time
 
@@ -57,7 +61,11 @@ def word_starts(joined: np.ndarray) -> np.ndarray:
 
 
 class Walk:
-    """One repetition: its coins, and the steps that it samples, in stages."""
+    """One repetition: its coins, and the steps that it samples, in stages.
+
+    The first stage is walked three steps at a time, by tables over the classes of
+    the three next bytes: all that a walk can see until then.
+    """
 
     def __init__(self, number: int):
         rng = np.random.default_rng(1_000 + number)
@@ -67,19 +75,29 @@ class Walk:
         for end, samples in STAGES:
             self.sampled[begin + rng.choice(end - begin, samples, replace=False)] = True
             begin = end
-        self.code = rng.integers(0, 1 << TABLE_BITS, (STAGES[0][1], 256)).astype(np.int64)  # spreads the first stage's samples
         self.letter = rng.integers(0, 1 << 63, 256).astype(np.uint64)
-
-    def first(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        coins = rng.integers(0, 2, (STAGES[0][0], CLASSES))
+        coins[:, 0] = 0  # the line feed's class
+        code = rng.integers(0, 1 << CODE_BITS, (STAGES[0][0], CLASSES)) * self.sampled[: STAGES[0][0], None]
+        next_three = np.arange(CLASSES**3)
+        seen = np.stack([next_three >> 5 * k & CLASSES - 1 for k in range(3)])
+        self.moves = []  # the code's change, and in the lowest two bits how far the walk gets
+        for step in range(0, STAGES[0][0], 3):
+            at, change = np.zeros(CLASSES**3, np.int64), np.zeros(CLASSES**3, np.int64)
+            for k in range(step, step + 3):
+                c = seen[at, next_three]
+                change ^= code[k].take(c)
+                at += coins[k].take(c)
+            self.moves.append((change << 2 | at).astype(np.int32))
+
+    def first(self, three: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code of the first stage's samples; ``at`` is moved to where the walks then stand."""
-        code, taken = np.zeros(len(at), np.int64), 0
-        for step in range(STAGES[0][0]):
-            c = text.take(at)
-            if self.sampled[step]:
-                code ^= self.code[taken].take(c)
-                taken += 1
-            at += self.coins[step].take(c)
-        return code
+        code = np.zeros(len(at), np.int32)
+        for moves in self.moves:
+            move = moves.take(three.take(at))
+            code ^= move
+            at += move & 3
+        return code >> 2
 
     def later(self, stage: int, text: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The key with a later stage's samples added; ``at`` is moved on."""
@@ -91,6 +109,25 @@ class Walk:
         return key
 
 
+_walk = cache(Walk)  # made once by each worker
+
+
+def next_threes(text: np.ndarray) -> np.ndarray:
+    """The classes of the three bytes from each position on; the line feed has one of its own."""
+    classes = np.where(text == 10, 0, 1 + text % (CLASSES - 1)).astype(np.int32)
+    classes = np.append(classes, np.zeros(2, np.int32))
+    return classes[:-2] | classes[1:-1] << 5 | classes[2:] << 10
+
+
+def repetitions_for(length: int, edits: int, windows: int, least: int) -> int:
+    """Walks that find an item at the target rate from its own windows and allowed edits.
+
+    A key agrees where the stretch that it samples has hardly any edits, which is
+    rarer the denser they are and the fewer windows there are to choose from.
+    """
+    return max(least, math.ceil(math.exp(DENSE * edits / length) / max(1, windows)))
+
+
 class Items:
     """One block of benchmark items with the tables to look windows up in."""
 
@@ -106,30 +143,36 @@ class Items:
         begin = np.cumsum([0] + [len(t) + 1 for t in self.texts])
         starts = word_starts(joined)
         owner = np.searchsorted(begin, starts, "right") - 1
-        self.walks = []
-        for r in range(repetitions if len(starts) else 0):
-            walk, at = Walk(r), starts.astype(np.int64)
-            code = walk.first(joined, at)
-            table = np.zeros(1 << TABLE_BITS, bool)
-            table[code] = True
+        reach = STAGES[-1][0] // 2  # about as far as a walk gets
+        usable = np.bincount(owner[starts + reach < begin[owner + 1]], minlength=len(self.texts)).tolist()
+        needed = np.array([repetitions_for(len(t.decode()), e, w, repetitions) for t, e, w in zip(self.texts, self.edits, usable, strict=True)], np.int64)
+        self.bits = min(TABLE_BITS, max(16, (128 * len(starts)).bit_length()))
+        self.walks, three = [], next_threes(joined)
+        for r in range(needed.max(initial=0)):
+            walk, some = _walk(r), needed[owner] > r
+            own, at = owner[some], starts[some].astype(np.int64)
+            code = walk.first(three, at)
+            table = np.zeros(1 << self.bits, bool)
+            table[code & (1 << self.bits) - 1] = True
             key, keys = code.astype(np.uint64), []
             for stage in range(1, len(STAGES)):
                 key = walk.later(stage, joined, key, at)
                 keys.append(np.unique(key))
             inside = joined[at] != 10  # a walk that has met the item's end would only match a document's end
-            inside |= np.append(True, owner[1:] != owner[:-1])
+            inside |= np.append(True, own[1:] != own[:-1])
             order = np.flatnonzero(inside)[np.argsort(key[inside], kind="stable")]
-            self.walks.append((walk, table, keys[:-1], key[order], owner[order].astype(np.int64), (starts - begin[owner])[order].astype(np.int64)))
+            self.walks.append((table, keys[:-1], key[order], own[order].astype(np.int64), (starts[some] - begin[own])[order].astype(np.int64)))
 
     def candidates(self, text: np.ndarray, starts: np.ndarray):
         """Arrays of window start, item number and the window's offset in the item."""
-        found = [(np.empty(0, np.int64),) * 3]
-        for walk, table, partial_keys, keys, owner, offset in self.walks:
+        found, three = [(np.empty(0, np.int64),) * 3], next_threes(text)
+        for number, (table, partial_keys, keys, owner, offset) in enumerate(self.walks):
+            walk = _walk(number)
             for lo in range(0, len(starts), ROOM):
                 own = starts[lo : lo + ROOM].astype(np.int64)
                 at = own.copy()
-                code = walk.first(text, at)
-                may = np.flatnonzero(table.take(code))
+                code = walk.first(three, at)
+                may = np.flatnonzero(table.take(code & (1 << self.bits) - 1))
                 own, at, key = own[may], at[may], code[may].astype(np.uint64)
                 for stage in range(1, len(STAGES)):
                     key = walk.later(stage, text, key, at)
