@@ -399,6 +399,24 @@ def test_revealing_terms_are_marked_and_others_left(spark):
     assert got[201].spans == [] and got[201].sanitised == rows[-1][1] and got[50].sanitised == rows[50][1]
 
 
+def test_terms_of_entities_met_once_or_twice_are_marked(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(prose(rng, 12, 300) for _ in range(6))) for i in range(300)]
+    plant = lambda i, *lines: rows.__setitem__(i, (i, "\n".join([rows[i][1], *lines])))
+    plant(0, "ask Brindle at x7@one.example.org", *(f"Brindle {prose(rng, 3, 300)}" for _ in range(3)))  # one line with the entity, more in its document
+    plant(1, f"Ostwick {prose(rng, 2, 300)} k9@two.example.org")  # two lines in two documents
+    plant(2, f"{prose(rng, 2, 300)} Ostwick has k9@two.example.org")
+    for i in range(3, 7):  # each once, but one domain
+        plant(i, f"Farrowgate {prose(rng, 2, 300)} u{i}@three.example.org")
+    plant(7, "mail to t.velmarsh@four.example.org", prose(rng, 4, 300), "Velmarsh will answer")  # a word of the entity
+    plant(8, "Solitary words stand by z1@five.example.org")  # once, and nowhere else
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    marked = {i: {s.value for s in r.spans if s.kind >= len(pii.KINDS)} for i, r in got.items()}
+    assert "Brindle" in marked[0] and "Velmarsh" in marked[7]
+    assert "Ostwick" in marked[1] & marked[2] and all("Farrowgate" in marked[i] for i in range(3, 7))
+    assert "Solitary" not in marked[8] and not any(marked[i] for i in range(9, 300))
+
+
 # --- 10 token counts --------------------------------------------------------------------------------------------------
 
 

@@ -10,9 +10,17 @@ itself,
 
     share(t, e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
 
-which is 1 when seeing t leaves nothing of e to be told.  Only terms that meet
-the entity in at least ``least`` different lines count (a line that is copied
-many times is one line, so copies of one line tell nothing).  From ``blur`` on a
+which is 1 when seeing t leaves nothing of e to be told.  Most entities are met
+once or twice, so e is also looked at through what it belongs to: its parts
+(domain and local part, number or network prefix) over lines, and the documents
+that hold it over their lines, for terms that stand in a line with an entity;
+there n(t, part) and n(part) take the place of n(t, e) and n(e) above the line.  A
+term counts if it meets e in at least ``least`` different lines, or e, a part or
+a document in more than chance brings about (a line that is copied many times is
+one line, so copies of one line tell nothing): the chance of as many lines
+(Chernoff's bound of the Poisson tail) must be under ``CHANCE`` over N terms.  One
+line is never enough for that, as any line has words that stand nowhere else.  A
+word of e itself needs no count: n(t, e) is n(e).  From ``blur`` on a
 term is generalised (``[NAME]`` for a capitalised word, ``[NUMBER]``, ``[TERM]``),
 from ``remove`` on it is removed; both become spans of kind ``term``.
 
@@ -87,6 +95,8 @@ def base_spans(text: Column) -> Column:
 WORD = r"[\p{L}\p{N}]{2,}"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 NAMES = (*KINDS, "generalised", "removed")
+CHANCE = 0.05  # that any of N terms meets an entity or a part as often by chance
+LEAST_OWN = 3  # letters or digits of an entity's own word
 MOST_BROADCAST = 100_000  # candidate terms, counted before they are broadcast
 
 
@@ -94,30 +104,64 @@ def _values(base: Column) -> Column:
     return F.array_distinct(F.transform(base, lambda s: F.lower(s["value"])))
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _parts(span: Column) -> Column:
+    """What an entity is looked at through over lines: its value, and by kind its domain and local part, network or leading digits."""
+    value, digits = F.lower(span["value"]), F.regexp_replace(span["value"], "[^0-9]", "")
+    more = (
+        F.when(span["kind"] == 0, F.array(F.concat(F.lit("domain "), F.substring_index(value, "@", -1)), F.concat(F.lit("local "), F.substring_index(value, "@", 1))))
+        .when(span["kind"] == 1, F.array(F.concat(F.lit("net "), F.substring_index(value, ".", 3))))
+        .when(span["kind"] == 2, F.array(F.concat(F.lit("card "), F.substring(digits, 1, 6))))
+        .otherwise(F.array(F.concat(F.lit("phone "), F.substring(digits, F.lit(1), F.length(digits) - 7))))
+    )
+    return F.concat(F.array(F.concat(F.lit("value "), value)), more)
+
+
 def revealing_terms(docs: DataFrame, marked: DataFrame, least: int, blur: float) -> DataFrame:
     """``entity, term, share`` of the terms whose share is ``blur`` or more.
 
     ``docs`` has every text; ``marked`` the texts with base spans, and these.
     """
-    split = lambda df: df.select(F.explode(F.split("text", "\n", -1)).alias("line"))
     total = docs.select(F.sum(F.size(F.split("text", "\n", -1)).cast("long"))).first()[0] or 0
-    held = split(marked).where(F.col("line").rlike(HINT)).select("line", base_spans(F.col("line")).alias("base"))
+    once = staged(marked.groupBy(F.xxhash64("text").alias("doc"), "text").agg(F.count("*").alias("copies")), "once")
+    lines = once.select("doc", "copies", F.explode(F.split("text", "\n", -1)).alias("line"))
+    held = lines.where(F.col("line").rlike(HINT)).select("doc", "copies", "line", base_spans(F.col("line")).alias("base")).where(F.size("base") > 0)
     bare = F.aggregate("base", F.col("line"), lambda text, e: F.replace(text, e["value"], F.lit(" ")))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)))
-    pairs = staged(held.select(F.xxhash64("line").alias("mark"), F.explode(_values(F.col("base"))).alias("entity"), terms.alias("terms")), "pairs")
-    entities = pairs.groupBy("entity", "mark").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("lines"))
-    entities = entities.where(F.col("lines") >= least).drop("lines")
-    joint = pairs.join(entities, "entity").select("entity", "n_e", "mark", F.explode("terms").alias("term"))
-    joint = joint.groupBy("entity", "n_e", "term", "mark").agg(F.count("*").alias("n")).groupBy("entity", "n_e", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines"))
-    joint = staged(joint.where(F.col("lines") >= least), "joint")
-
-    wanted = staged(joint.select("term").distinct(), "terms")
+    entity = lambda e: F.struct(F.lower(e["value"]).alias("entity"), _parts(e).alias("parts"))
+    pairs = held.select("doc", "copies", F.xxhash64("line").alias("mark"), F.array_distinct(F.transform("base", entity)).alias("entities"), _words(bare).alias("terms"))
+    pairs = staged(pairs, "pairs")
+    entities = pairs.select("copies", F.explode(F.array_distinct("entities.entity")).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    entities = staged(entities.where(F.col("n_e") < total), "entities")
+
+    # lines by part, and the lines of whole documents with the terms that stand in a line with an entity
+    document = F.concat(F.lit("doc "), F.col("doc"))
+    near = pairs.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("near"))
+    context = lines.join(near, "doc").select(document.alias("part"), F.xxhash64("line").alias("mark"), "copies", F.array_intersect(_words(F.col("line")), "near").alias("terms"))
+    met = pairs.select(F.explode(F.array_distinct(F.flatten("entities.parts"))).alias("part"), "mark", "copies", "terms").union(context)
+    parts = met.groupBy("part", "mark").agg(F.sum("copies").alias("n")).groupBy("part").agg(F.sum("n").alias("n_p"), F.count("*").alias("of"))
+    several = parts.where(F.least(F.lit(2), F.lit(least)) <= F.col("of"))  # one line is within chance
+    joint = met.join(several, "part").select("part", "n_p", "of", "mark", "copies", F.explode("terms").alias("term"))
+    joint = joint.groupBy("part", "n_p", "of", "term", "mark").agg(F.sum("copies").alias("n")).groupBy("part", "n_p", "of", "term").agg(F.sum("n").alias("n_tp"), F.count("*").alias("lines"))
+    joint = staged(joint.where(F.least(F.lit(2), F.lit(least)) <= F.col("lines")), "joint")
+    own = entities.select("entity", "n_e", F.explode(_words(F.col("entity"))).alias("term")).where(F.length("term") >= LEAST_OWN)
+
+    wanted = staged(joint.select("term").union(own.select("term")).distinct(), "terms")
     small = wanted.count() <= MOST_BROADCAST
-    each = split(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))).alias("term"))
-    each = each.join(F.broadcast(wanted) if small else wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    told = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    share = F.when(F.col("n_e") < total, told)
-    return joint.join(each, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= blur)
+    each = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(_words(F.col("line"))).alias("term"))
+    each = staged(each.join(F.broadcast(wanted) if small else wanted, "term").groupBy("term").agg(F.count("*").alias("n_t")), "each")
+    n = F.lit(float(max(total, 1)))
+    expected = F.col("n_t") * F.col("of") / n
+    rare = (F.col("lines") > expected) & (F.col("lines") * F.log(F.col("lines") / expected) - F.col("lines") + expected >= F.log(n / CHANCE))
+    whole = F.col("part").startswith("value ") & (F.col("lines") >= least)
+    told = joint.join(each, "term").where(whole | rare).select("part", "term", F.log(n * F.col("n_tp") / (F.col("n_t") * F.col("n_p"))).alias("told")).where("told > 0")
+    links = pairs.select("doc", F.explode("entities").alias("e")).select(F.col("e.entity").alias("entity"), F.explode(F.concat("e.parts", F.array(document))).alias("part")).distinct()
+    told = told.join(links, "part").join(entities, "entity").select("entity", "n_e", "term", "told")
+    told = told.union(own.join(each, "term").select("entity", "n_e", "term", F.log(n / F.greatest("n_t", "n_e")).alias("told")))
+    shares = told.select("entity", "term", (F.col("told") / F.log(n / F.col("n_e"))).alias("share")).where(F.col("share") >= blur)
+    return shares.groupBy("entity", "term").agg(F.max("share").alias("share"))
 
 
 def _term_spans(text: Column, terms: Column, base: Column, remove: float) -> Column:
