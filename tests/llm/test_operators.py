@@ -353,6 +353,24 @@ def test_leaks_with_all_allowed_edits_are_found_at_each_length(spark, least, mos
     assert np.mean([(d, d % 100) in held for d, _ in rows]) >= 0.95
 
 
+def test_short_items_are_all_found(spark):
+    rng = random.Random(13)
+    words = lambda n: " ".join("".join(rng.choice(["an", "er", "tion", "the", "ou", "éa", "ß"]) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+    items = [(i, words(30)[: 12 + i // 2].strip().ljust(12 + i // 2, "x")) for i in range(100)]  # 12 to 61 characters
+    rows = []
+    for d in range(400):
+        leak = list(items[d % 100][1])
+        for _ in range(int(0.15 * len(leak)) if d % 2 else 0):
+            p = rng.randrange(len(leak))
+            leak[p : p + 1] = rng.choice([[], ["s"], [leak[p], "t"]])
+        rows.append((d, f"{words(20)} {''.join(leak)} {words(20)}"))
+    found = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_edits=0.15)
+    held = {(r.doc_id, r.item_id): r.edits for r in found.collect()}
+    assert all(held[d, d % 100] == 0 for d in range(0, 400, 2))  # exact copies
+    truth = {(d, i) for d, text in rows for i, item in items if decontam.least_edits(decontam.normalised(item.encode()).decode(), decontam.normalised(text.encode()).decode())[0] <= int(0.15 * len(item))}
+    assert set(held) <= truth and {x for x in truth if len(items[x[1]][1]) < 60} <= set(held)
+
+
 # --- 8 personal data -----------------------------------------------------------------------------------------------
 
 

@@ -17,6 +17,10 @@ item's length, in code points) of a benchmark item.
   and its allowed edits ask for (``repetitions`` at least), so one stretch with
   hardly any edits is enough.  ``tests/llm`` measures the recall by length of
   item at the largest share of edits.
+* Items too short for the walks (under ``SHORT`` or ``least`` code points, or with
+  too few windows) are cut into one piece more than their
+  allowed edits, so a leak holds one piece unchanged: every place of a piece in a
+  document is a candidate, and nothing is missed.
 * Each candidate places the whole item in the document; the item-sized window
   there, with room for the allowed edits, is verified by the exact
   (bit-parallel) edit distance.
@@ -24,8 +28,7 @@ item's length, in code points) of a benchmark item.
 Items are a stated query set against all documents: they are read in blocks of
 at most ``BLOCK_BYTES``, and only one block's tables are broadcast at a time.
 
-Defined cases: items that are null, blank or shorter than ``least`` code points
-match nothing; null or blank documents hold nothing; repeated items are reported
+Defined cases: items that are null or blank match nothing; null or blank documents hold nothing; repeated items are reported
 under each of their ids; repeated rows are reported once per id.
 """
 
@@ -45,6 +48,8 @@ from tickloom.llm.common import as_batch, light_batches, small_batches, splitmix
 STAGES = ((30, 10), (48, 5))
 CODE_BITS, TABLE_BITS = 28, 24  # of the first stage's code, and of its table at most
 CLASSES = 32  # of bytes, in the first stage
+SHORT = 60  # code points from which items are walked
+MOST_WALKS = 24  # items that need more are searched by pieces
 DENSE = 34  # how fast the windows that an item needs grow with its share of edits
 BLOCK_BYTES = 8 << 20  # of items compared at a time
 ROOM = 1 << 17  # windows walked at a time
@@ -128,6 +133,18 @@ def repetitions_for(length: int, edits: int, windows: int, least: int) -> int:
     return max(least, math.ceil(math.exp(DENSE * edits / length) / max(1, windows)))
 
 
+def _short_code(codes: np.ndarray) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+
+
+def _each_match(own: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, offset: np.ndarray):
+    """Places in a text with every item and offset of their ranges of matches."""
+    times = last - first
+    each = np.repeat(np.arange(len(own)), times)
+    which = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + first[each]
+    return own[each], item[which], offset[which]
+
+
 class Items:
     """One block of benchmark items with the tables to look windows up in."""
 
@@ -135,7 +152,7 @@ class Items:
         self.ids, self.texts = [], []
         for item_id, text in rows:
             text = normalised((text or "").encode())
-            if len(text.decode()) >= least:
+            if text:
                 self.ids.append(item_id)
                 self.texts.append(text)
         self.edits = [int(most_edits * len(t.decode())) for t in self.texts]
@@ -146,6 +163,9 @@ class Items:
         reach = STAGES[-1][0] // 2  # about as far as a walk gets
         usable = np.bincount(owner[starts + reach < begin[owner + 1]], minlength=len(self.texts)).tolist()
         needed = np.array([repetitions_for(len(t.decode()), e, w, repetitions) for t, e, w in zip(self.texts, self.edits, usable, strict=True)], np.int64)
+        short = np.array([len(t.decode()) < max(SHORT, least) for t in self.texts], bool) | (needed > max(MOST_WALKS, repetitions))
+        needed[short] = 0
+        self.pieces = self._pieces(np.flatnonzero(short).tolist())
         self.bits = min(TABLE_BITS, max(16, (128 * len(starts)).bit_length()))
         self.walks, three = [], next_threes(joined)
         for r in range(needed.max(initial=0)):
@@ -159,13 +179,42 @@ class Items:
                 key = walk.later(stage, joined, key, at)
                 keys.append(np.unique(key))
             inside = joined[at] != 10  # a walk that has met the item's end would only match a document's end
-            inside |= np.append(True, own[1:] != own[:-1])
             order = np.flatnonzero(inside)[np.argsort(key[inside], kind="stable")]
             self.walks.append((table, keys[:-1], key[order], own[order].astype(np.int64), (starts[some] - begin[own])[order].astype(np.int64)))
 
+    def _pieces(self, numbers: list[int]) -> list[tuple]:
+        """By width in bytes (8 at most): the sorted leading bytes of the items' pieces, a table of them, the items and offsets."""
+        by_width: dict[int, list[tuple[int, int, int]]] = {}
+        for t in numbers:
+            text = self.texts[t].decode()
+            cuts = np.linspace(0, len(text), min(self.edits[t] + 1, len(text)) + 1).astype(int).tolist()
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = text[lo:hi].encode()[:8]
+                by_width.setdefault(len(piece), []).append((int.from_bytes(piece, "little"), t, len(text[:lo].encode())))
+        out = []
+        for width, rows in by_width.items():
+            rows.sort()
+            codes, item, offset = (np.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+            table = np.zeros(1 << 16, bool)
+            table[_short_code(codes)] = True
+            out.append((width, codes, table, item, offset))
+        return out
+
+    def _places(self, text: np.ndarray):
+        """Candidates by unchanged pieces of short items."""
+        for width, codes, table, item, offset in self.pieces:
+            if len(text) < width:
+                continue
+            code = np.zeros(len(text) - width + 1, np.uint64)
+            for k in range(width):
+                code |= text[k : k + len(code)].astype(np.uint64) << np.uint64(8 * k)
+            own = np.flatnonzero(table.take(_short_code(code)))
+            first, last = np.searchsorted(codes, code[own], "left"), np.searchsorted(codes, code[own], "right")
+            yield _each_match(own, first, last, item, offset)
+
     def candidates(self, text: np.ndarray, starts: np.ndarray):
         """Arrays of window start, item number and the window's offset in the item."""
-        found, three = [(np.empty(0, np.int64),) * 3], next_threes(text)
+        found, three = [(np.empty(0, np.int64),) * 3, *self._places(text)], next_threes(text)
         for number, (table, partial_keys, keys, owner, offset) in enumerate(self.walks):
             walk = _walk(number)
             for lo in range(0, len(starts), ROOM):
@@ -181,10 +230,7 @@ class Items:
                         may = np.flatnonzero(known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key)
                         own, at, key = own[may], at[may], key[may]
                 first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                times = last - first
-                each = np.repeat(np.arange(len(own)), times)
-                which = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + first[each]
-                found.append((own[each], owner[which], offset[which]))
+                found.append(_each_match(own, first, last, owner, offset))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
