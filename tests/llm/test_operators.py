@@ -136,6 +136,15 @@ def test_jaccard_components(docs, rows, n, num, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
 
 
+def test_rows_with_sketches_four_times_as_wide_link():
+    grams = np.sort(np.random.default_rng(4).integers(0, 1 << 63, 104).astype(np.uint64))
+    sets = [grams[:42], grams]  # a similarity of 42 / 104, over 0.4
+    parity = [ngram_join._parity(s, 40, 100) for s in sets]
+    assert len(parity[1]) == 4 * len(parity[0])
+    a, b = ngram_join._column_block(np.array([1, 2]), np.array([42, 104]), parity, np.zeros(2), False, 40, 100)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(1, 2)]
+
+
 def test_one_of_each_keeps_columns_and_null_ids(spark, empty):
     clash = spark.createDataFrame([(None, "a b c d e f", 1), (2, "a b c d e f", 2), (3, "A B c d e f", 3), (4, None, 4)], "doc_id long, text string, sid int")
     kept = ngram_join.one_of_each(clash)

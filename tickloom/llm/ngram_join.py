@@ -233,14 +233,14 @@ def _column_block(sid: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.
     last = np.searchsorted(n, n * den // num, "right")  # rows that are not too large for row i
     a, b = [], []
     for c, own in enumerate(sketch):
-        wider = None
-        if c + 1 < len(sketch) and sketch[c + 1].shape[1] == 2 * own.shape[1]:
-            w = own.shape[1]
-            wider = sketch[c + 1][:, :w] ^ sketch[c + 1][:, w:]
+        within = [(own, cuts[c], cuts[c + 1])]
+        for e in range(c + 1, len(sketch)):  # wider rows within the size bound, folded to this width
+            if cuts[e] < last[cuts[c + 1] - 1]:
+                within.append((np.bitwise_xor.reduce(sketch[e].reshape(len(sketch[e]), -1, own.shape[1]), axis=1), cuts[e], cuts[e + 1]))
         for i in range(cuts[c], cuts[c + 1]):
-            for rows, begin, end in ((own, cuts[c], cuts[c + 1]), (wider, cuts[c + 1], cuts[min(c + 2, len(cuts) - 1)])):
+            for rows, begin, end in within:
                 lo, hi = max(i + 1, begin), min(int(last[i]), end)
-                if rows is not None and lo < hi:
+                if lo < hi:
                     apart = np.bitwise_count(own[i - cuts[c]] ^ rows[lo - begin : hi - begin]).sum(axis=1, dtype=np.int64)
                     sizes = n[i] + n[lo:hi]
                     ok = _enough((sizes - apart) // 2, sizes, 0, num, den)
