@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -44,3 +45,8 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_streamed_bars_are_all_bars(spark):
+    streamed, whole = (entry.queries()[n](spark, SF).select("ticker", F.col("start").cast("timestamp_ntz"), "open", "high", "low", "close", "ticks") for n in ("stream_tick_bars", "stream_tick_bars_batch"))
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, whole.collect()))

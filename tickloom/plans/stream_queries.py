@@ -51,8 +51,11 @@ def _run(rows: DataFrame, plan) -> DataFrame:
 
 @query(None)
 def stream_tick_bars(spark, sf_dir):
-    """The same bars from a stream of files; windows that the watermark has not passed are still open."""
-    return _run(ticks(spark, sf_dir), streams.tick_bars)
+    """The same bars from a stream of files, and at the end of input those of windows that the watermark has not passed."""
+    rows = ticks(spark, sf_dir)
+    closed = _run(rows, streams.tick_bars)
+    still_open = streams.tick_bars(rows).join(closed.select("ticker", "start"), ["ticker", "start"], "left_anti")
+    return closed.union(still_open.select(*closed.columns))
 
 
 @query(None)
