@@ -9,7 +9,7 @@ from tickloom.plans import oracle
 from tickloom.plans.indicator_queries import C, bt_metrics, query
 from tickloom.plans.position_queries import CASH, VALUE, held
 from tickloom.plans.signal_queries import context_scores, pool, scan_union
-from tickloom.sources import market, tables
+from tickloom.sources import market, shared, tables
 
 CTE = oracle.CTE
 KEYS = "strategy, ticker, d"
@@ -50,7 +50,7 @@ def final_candidates(spark, sf_dir):
 
 @query("SELECT h.d, count(o.outcome) AS rated, count(*) FILTER (o.outcome IS NULL) AS unrated, round(avg(o.return_pct) + 1e-8, 4) AS mean_return FROM held h LEFT JOIN outcome o ON h.id = o.id GROUP BY h.d")
 def hist_rollup(spark, sf_dir):
-    rows = tables.written(held(spark, sf_dir), "held")
+    rows = shared.written(held(spark, sf_dir), "held")
     rated = positions.outcomes(rows, market.bars(spark, sf_dir)).select("strategy", "ticker", "d", "outcome", "return_pct")
     return final.history_rollup(rows.select("strategy", "ticker", "d").join(rated, ["strategy", "ticker", "d"], "left"))
 
@@ -79,7 +79,7 @@ def table_update(spark, sf_dir):
     """Positions with the stops that the nightly evaluation raised."""
     from tickloom.plans.position_queries import last_bars
 
-    rows = tables.written(held(spark, sf_dir), "held")
+    rows = shared.written(held(spark, sf_dir), "held")
     changes = positions.nightly(rows, last_bars(spark, sf_dir)).select("id", "stop_loss")
     return tables.updated(rows.select("id", "stop_loss", "entry_price"), changes, ["id"])
 

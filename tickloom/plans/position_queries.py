@@ -9,7 +9,7 @@ from tickloom.operators import calendar, indicators, joins, positions, ranking,
 from tickloom.plans import oracle
 from tickloom.plans.indicator_queries import C, query
 from tickloom.plans.signal_queries import percent_up, scan_union, wide_metrics
-from tickloom.sources import market, tables
+from tickloom.sources import market, shared, tables
 
 CTE = oracle.CTE
 VALUE, CASH = 10000.0, 900.0
@@ -195,7 +195,7 @@ def pos_ratchet_step(spark, sf_dir):
 
 def _view(spark, sf_dir) -> DataFrame:
     bars = market.bars(spark, sf_dir)
-    rows = tables.written(held(spark, sf_dir), "held")
+    rows = shared.written(held(spark, sf_dir), "held")
     found = positions.outcomes(rows, bars).select("strategy", "ticker", "d", "outcome", "outcome_date", "return_pct")
     history = rows.where("status = 'closed'").drop("status", "sell_signal_reason").join(found, ["strategy", "ticker", "d"]).withColumn("exit_price", F.round(C("entry_price") * (1 + C("return_pct") / 100), 4))
     metrics = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars).select("ticker", "win_rate", "expectancy_pct", "wins", "losses")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import backtest, context, indicators, joins, ranking, regime, strategies
 from tickloom.plans import oracle
 from tickloom.plans.indicator_queries import C, query
-from tickloom.sources import market, tables
+from tickloom.sources import market, shared
 
 CTE = oracle.CTE
 
@@ -197,7 +197,7 @@ CTE["all_signals"] = " UNION ALL ".join(f"SELECT * FROM s_{s} WHERE regime IN ({
 @query("SELECT * FROM all_signals")
 def scan_union(spark, sf_dir):
     """All scans that the regimes run."""
-    return strategies.scan_all(tables.written(scan_input(spark, sf_dir), "scan"))  # read by seven scans
+    return strategies.scan_all(shared.written(scan_input(spark, sf_dir), "scan"))  # read by seven scans
 
 
 @query("SELECT d, ticker, round(return_63, 6) AS return_63 FROM strong")
@@ -283,7 +283,7 @@ def ctx_cache_hits(spark, sf_dir):
 
 def pool(spark, sf_dir) -> DataFrame:
     """All signals with what the ranker needs."""
-    rows = tables.written(scan_input(spark, sf_dir), "scan")
+    rows = shared.written(scan_input(spark, sf_dir), "scan")
     more = rows.select("ticker", "d", "industry", "dma_50", "macd_hist", "win_rate", "expectancy_pct", "total_signals")
     return strategies.scan_all(rows).join(more, ["ticker", "d"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.plans.indicator_queries import C, query
 from tickloom.plans.position_queries import held
-from tickloom.sources import market, tables
+from tickloom.sources import market, shared
 from tickloom.streaming import ticks as streams
 
 
@@ -39,7 +39,7 @@ def stream_positions_batch(spark, sf_dir):
 
 def _run(rows: DataFrame, plan) -> DataFrame:
     """A plan over the rows as a stream of files, to its end; state and results in the shared folder."""
-    spark, source = rows.sparkSession, tables.written(rows, "ticks")
+    spark, source = rows.sparkSession, shared.written(rows, "ticks")
     folder = source.inputFiles()[0].rpartition("/")[0] if source.inputFiles() else None
     if folder is None:
         return plan(rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,22 +11,6 @@ C = F.col
 BAR = "ticker string, d date, open double, high double, low double, close double, volume double"
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """Rows written once to the folder that driver and executors share, for plans that read them several times.
-
-    The folder is ``spark.checkpoint.dir``; only where that is unset (one
-    machine) a temporary one is made.
-    """
-    spark = rows.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def clean_symbol(symbol: Column, dot: str = ".") -> Column:
     return F.upper(F.replace(F.trim(symbol), F.lit(dot), F.lit("-")))
 
@@ -128,15 +111,27 @@ def preferred(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame
 
 
 def replace_table(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Swap a table's files for new rows that may have been read from it: written aside, then renamed."""
-    aside = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
+    """Swap a table's files for new rows that may have been read from it.
+
+    The new files are written aside; the old ones are renamed, and deleted only
+    when the new ones stand in their place.  If that fails, they are put back.
+    """
+    path = path.rstrip("/")
+    aside, before = f"{path}__{uuid.uuid4().hex}", f"{path}__before"
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where(before)):
+        if fs.exists(where(path)):
+            fs.delete(where(before), True)  # an earlier swap got as far as the new files
+        else:
+            fs.rename(where(before), where(path))  # it did not
     rows.write.parquet(aside)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    if fs.exists(where(path)) and not fs.rename(where(path), where(before)):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(where(aside), where(path)):
+        fs.rename(where(before), where(path))
         raise OSError(f"could not move {aside} to {path}")
+    fs.delete(where(before), True)
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
