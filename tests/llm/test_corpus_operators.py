@@ -89,15 +89,63 @@ def test_shards_are_merged_and_commits_are_idempotent(spark, docs, rows, tmp_pat
     shards = store.manifest().collect()
     assert sum(s.rows for s in shards) == len(rows) and len(shards) < 8
     version, says = store.versions.latest()
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(FileExistsError):
         store.versions.commit(version, says)
+    store.vacuum(keep=1)
     data = {f for _, _, files in os.walk(f"{tmp_path}/s/data") for f in files if f.endswith(".parquet")}
     assert data == {os.path.basename(s.path) for s in shards}  # merged shards are gone
+    assert store.read().count() == len(rows) and store.vacuum(keep=1) == 0
+
+
+def test_open_readers_outlive_a_merge_until_vacuum(spark, docs, rows, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", docs.schema, fan_in=2)
+    store.append(docs.coalesce(1), "first")
+    before = store.read()
+    store.append(docs.coalesce(1), "second")  # merges both
+    assert store.manifest().count() == 1 and before.count() == len(rows) and store.read().count() == 2 * len(rows)
+    assert store.vacuum(keep=3) == 0 and before.count() == len(rows)
+    assert store.vacuum(keep=1) == 2
+
+
+def test_a_torn_version_does_not_stop_the_store(spark, docs, rows, tmp_path):
+    docs = docs.coalesce(1)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", docs.schema)
+    store.append(docs, "a")
+    version = store.versions.latest()[0]
+    open(store.versions._name(version + 1)[len("file://") :], "w").close()  # a writer that died at once
+    assert store.read().count() == len(rows) and store.append(docs, "b") and not store.append(docs, "b")
+    assert store.read().count() == 2 * len(rows)
+    # a writer that died between its version and its batch's marker
+    os.remove(store.versions._marker("b")[len("file://") :])
+    assert not store.append(docs, "b")
+    rollup = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    counts = docs.select("source", "lang", "n_chars", F.lit(1).alias("one"))
+    rollup.apply("x", token_counts.signed(counts, 1, "v", "one"))
+    open(rollup.versions._name(2)[len("file://") :], "w").close()
+    assert rollup.apply("y", token_counts.signed(counts, 1, "v", "one")) and not rollup.apply("x", token_counts.signed(counts, 1, "v", "one"))
+    assert rollup.totals().agg(F.sum("n_docs")).first()[0] == 2 * len(rows)
+
+
+def test_groups_of_a_merge_stay_near_the_target(spark, tmp_path):
+    """One source holds nearly all rows; a task still gets one target's worth of shards."""
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=2000)), "hot" if i % 50 else "x") for i in range(2000)], "doc_id long, text string, source string")
+    target = 1 << 18
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", docs.schema, target=target, fan_in=4)
+    store.append(docs.repartition(60), "all")
+    sizes = {s.path: s.bytes for s in store.manifest().collect()}
+    assert len(sizes) < 20 and max(sizes.values()) <= 1.6 * target and store.read().count() == 2000
 
 
-def test_shards_of_nothing(spark, empty, tmp_path):
+def test_shards_of_nothing_and_of_odd_names(spark, empty, docs, rows, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", empty.schema)
-    assert store.read().count() == 0 and store.append_by(empty, F.col("lang")) == [] and not store.compact()
+    assert store.read().count() == 0 and store.append_by(empty, F.col("lang")) == [] and not store.compact() and store.vacuum() == 0
+    assert store.append(empty, "nothing") and not store.append(docs, "nothing") and store.versions.latest()[0] == 1 and store.read().count() == 0
+    odd = docs.withColumns({c: F.lit(c) for c in ("_batch", "_path", "_group", "_metadata", "path", "a b`c")})
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/odd", odd.schema, fan_in=2)
+    names = store.append_by(odd, F.concat(F.coalesce("lang", F.lit("none")), F.lit(" 50% a/b+ü=")))
+    assert names == [f"{x} 50% a/b+ü=" for x in ("de", "en", "none")] and store.append_by(odd, F.lit(names[0])) == []
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, odd.collect()))
 
 
 # --- 2 n-gram Jaccard join -----------------------------------------------------------------------------

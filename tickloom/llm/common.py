@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.sources.shared import shared_folder, written as staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and remembered.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage with files that outlive a lost executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "staged"]
 
 
 def discard(table: DataFrame) -> None:
@@ -105,11 +84,47 @@ def group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def light_batches(df: DataFrame) -> DataFrame:
-    """Have Spark send Python few rows at a time: whole texts are large, and a worker holds a batch several times over."""
+    """Have Spark send Python few rows and few bytes at a time: whole texts are large, and a worker holds a batch several times over.
+
+    Spark reads these two settings when a plan runs, so they are the session's;
+    they bound memory and change no result.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores added to those that ``taken`` (in any letter case) has."""
+    taken, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: Iterable[str]) -> list[str]:
+    """Column names that Spark takes as they are, whatever they contain."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
+def ddl_of(schema) -> str:
+    """A schema as text, with quoted names."""
+    return ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(quoted(schema.names), schema.fields, strict=True))
+
+
+@contextmanager
+def sent(spark: SparkSession, value):
+    """A value broadcast to the executors and freed there afterwards: for passes whose result is staged inside."""
+    held = spark.sparkContext.broadcast(value)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over uint64 arrays (wraps on overflow)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

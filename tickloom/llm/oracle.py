@@ -38,4 +38,6 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 SHARDS = """
-SELECT doc_id, lang AS arrival, sha256(coalesce(text, '')) AS text_sha256, count(*) OVER () AS manifest_rows FROM documents"""
+SELECT doc_id, lang AS arrival, sha256(coalesce(text, '')) AS text_sha256, count(*) OVER () AS manifest_rows,
+       arrivals, CAST(0 AS BIGINT) AS arrivals_again, arrivals >= 4 AS merged
+FROM documents, (SELECT count(DISTINCT coalesce(lang, 'none')) AS arrivals FROM documents)"""

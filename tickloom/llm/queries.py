@@ -21,15 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages arrive one after another as small shards, tiers are merged, and the newest version is read back.
 
-    A row per document, with the rows that the manifest lists.
+    A row per document; beside it the rows that the manifest lists, the arrivals
+    that committed, those that a retry committed again, and whether there are
+    fewer shards than the arrivals wrote.
     """
     docs = table(spark, sf_dir, "documents")
     store = sharding.ShardStore(spark, f"{shared_folder(spark)}/tickloom/shards-{uuid.uuid4().hex}", docs.schema)
-    store.append_by(docs, F.col("lang"))
-    store.append_by(docs, F.col("lang"))  # a retry: every arrival is known
-    rows = store.manifest().agg(F.sum("rows")).first()[0] or 0
+    arrivals = store.append_by(docs, F.col("lang"))
+    again = store.append_by(docs, F.col("lang"))  # a retry: every arrival is known
+    replaced = store.vacuum(keep=1)  # nobody reads the versions in between
+    said = store.manifest().agg(F.sum("rows"), F.count("*")).first()
     read = store.read().select("doc_id", F.col("lang").alias("arrival"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return read.withColumn("manifest_rows", F.lit(rows).cast("long"))
+    counts = {"manifest_rows": said[0] or 0, "arrivals": len(arrivals), "arrivals_again": len(again)}
+    return read.withColumns({k: F.lit(v).cast("long") for k, v in counts.items()} | {"merged": F.lit(replaced > 0)})
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,27 +3,39 @@
 An arrival is written as small immutable Parquet shards and becomes visible with
 the manifest version that lists it.  Shards of a similar size (a tier spans a
 factor of ``fan_in``) are merged once a tier holds ``fan_in`` of them, into files
-of about ``target`` bytes; files that have reached the target are left alone, so
+of about ``target`` bytes; files that have reached half the target are left alone, so
 a row is rewritten about once per tier.  A merge is one Spark job over all groups
-of a compaction: every group goes to one task of about the target size, whatever
-the source or key of its rows.  Readers hold on to the files of the version that
-they opened; ``vacuum`` deletes files that the newest one does not list.
+of a compaction: every group (less than one and a half targets of shards) goes to
+one task, whatever the source or key of its rows.
+
+Merged shards stay on disk, so whoever has opened an older version can go on
+reading it.  ``vacuum(keep)`` deletes what only versions before the newest
+``keep`` list.
+
+The driver handles one manifest line (some 150 bytes) per shard, about 1 MB for
+each TB of data in shards of the target size; compaction takes only the lines of
+shards below half the target.
 
 Defined cases: an arrival that was committed before is skipped (a retried batch
-changes nothing), and arrivals without a name are one named "none"; rows keep all columns and nulls as they are, repeated rows
-included; an empty arrival commits an empty list; a manifest without shards reads
-as an empty table with the given schema.
+changes nothing), and arrivals without a name are one named "none"; rows keep all
+columns, nulls, repeated rows and texts of any length as they are; an empty
+arrival commits an empty list under its name (``append_by`` has no names to
+commit without rows); equal sizes merge in order of their paths; columns of any
+name are fine; a manifest without shards reads as an empty table with the given
+schema.  A version file that a crash has torn is passed over.
 """
 
 from __future__ import annotations
 
 import uuid
+from itertools import groupby
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tickloom.llm.common import fresh
 from tickloom.llm.versions import Versions
 
 MANIFEST = "path string, batch string, tier int, bytes long, rows long"
@@ -53,72 +65,116 @@ class ShardStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def _commit(self, version: int, shards: DataFrame, batches: list[str]) -> None:
+    def _commit(self, version: int, shards: DataFrame, batch: str | None = None, gone: list[str] = ()) -> None:
         where = f"{self.path}/manifests/{version:012d}-{uuid.uuid4().hex}"
         shards.coalesce(1).write.parquet(where)  # one line per shard
-        self.versions.commit(version, {"manifest": where, "batches": batches})
+        says = {"manifest": where}
+        if gone:
+            says["gone"] = f"{self.path}/gone/{version:012d}-{uuid.uuid4().hex}"
+            self.spark.createDataFrame([(p,) for p in gone], "path string").coalesce(1).write.parquet(says["gone"])
+        self.versions.commit(version, says, batch)
+
+    def _files(self, *paths: str) -> DataFrame:
+        """Rows of shards; their files through ``metadataColumn``, which no column of the table can hide."""
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    @staticmethod
+    def _file(rows: DataFrame) -> F.Column:
+        """The file that a row is read from, as a path (Spark gives it URL-encoded)."""
+        return F.url_decode(F.replace(rows.metadataColumn("_metadata")["file_path"], F.lit("+"), F.lit("%2B")))
 
     def _listed(self, folder: str, batch: str) -> DataFrame:
         """Manifest lines of the files in a folder, with sizes and row counts as Spark reads them."""
-        rows = self.spark.read.schema(self.schema).parquet(folder).select("_metadata.file_path", "_metadata.file_size")
-        rows = rows.groupBy(F.col("file_path").alias("path"), F.col("file_size").alias("bytes")).agg(F.count("*").alias("rows"))
+        rows = self._files(folder)
+        rows = rows.select(self._file(rows).alias("path"), rows.metadataColumn("_metadata")["file_size"].alias("bytes")).groupBy("path", "bytes").agg(F.count("*").alias("rows"))
         tier = F.greatest(F.lit(0), F.floor(F.log(float(self.fan_in), F.col("bytes") / SMALLEST))).cast("int")
         return rows.select("path", F.lit(batch).alias("batch"), tier.alias("tier"), "bytes", "rows")
 
     def append(self, rows: DataFrame, batch: str) -> bool:
         """Write and commit one arrival; False if it was committed before."""
-        return bool(self.append_by(rows, F.lit(batch)))
+        if self.versions.known(batch):
+            return False
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows.select(*self._columns()).write.option("compression", "zstd").parquet(folder)
+        self._arrived(folder, batch)
+        return True
 
     def append_by(self, rows: DataFrame, batch: F.Column) -> list[str]:
         """Write several arrivals in one pass over ``rows`` and commit them one after another, in order of their names."""
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        named = rows.select(*[F.col(c) for c in self.schema.names], F.coalesce(batch.cast("string"), F.lit("none")).alias("_batch"))
-        known = self.versions.latest()[1].get("batches", [])
-        named = named.where(~F.col("_batch").isin(known)) if known else named
-        named.write.option("compression", "zstd").partitionBy("_batch").parquet(folder)
-        if not named.limit(1).count():
+        (name,) = fresh(self.schema.names, "_batch")
+        named = rows.select(*self._columns(), F.coalesce(batch.cast("string"), F.lit("none")).alias(name))
+        new = sorted(r[0] for r in named.select(name).distinct().collect() if not self.versions.known(r[0]))  # one line per arrival
+        if not new:
             return []
-        # one line per arrival
-        places = self.spark.read.parquet(folder).groupBy("_batch").agg(F.min("_metadata.file_path").alias("file")).collect()
-        parts = {unquote(p.rpartition("_batch=")[2]): p for p in (r.file.rpartition("/")[0] for r in places)}
-        for name in sorted(parts):
-            version, says = self.versions.latest()
-            self._commit(version + 1, self.manifest().union(self._listed(parts[name], name)), [*says.get("batches", []), name])
-            self.compact()
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        named.where(F.col(name).isin(new)).write.option("compression", "zstd").partitionBy(name).parquet(folder)
+        rows = self._files(folder)
+        places = rows.select(F.regexp_extract(self._file(rows), "^(.*)/[^/]*$", 1).alias("folder")).distinct().collect()
+        parts = {unquote(r.folder.rpartition(f"{name}=")[2]): r.folder for r in places}
+        for arrival in sorted(parts):
+            self._arrived(parts[arrival], arrival)
         return sorted(parts)
 
+    def _columns(self) -> list[F.Column]:
+        return [F.col(f"`{c.replace('`', '``')}`") for c in self.schema.names]
+
+    def _arrived(self, folder: str, batch: str) -> None:
+        self._commit(self.versions.latest()[0] + 1, self.manifest().union(self._listed(folder, batch)), batch)
+        self.compact()
+
+    def _groups(self) -> list[tuple[str, int]]:
+        """Small shards of full tiers with the numbers of the groups that they merge into."""
+        small = self.manifest().where(F.col("bytes") < self.target // 2).select("tier", "bytes", "path").collect()
+        grouped, number = [], -1
+        for _, shards in groupby(sorted(small), key=lambda r: r.tier):
+            shards, held = list(shards), self.target
+            for s in shards if len(shards) >= self.fan_in else []:
+                if held >= self.target:
+                    number, held = number + 1, 0
+                grouped.append((s.path, number))
+                held += s.bytes
+        return grouped
+
     def compact(self) -> bool:
         """Merge the tiers that have filled up; True if a new version was committed."""
-        version, says = self.versions.latest()
-        shards = self.manifest().where(F.col("bytes") < self.target // 2)
-        full = shards.withColumn("runs", F.count("*").over(Window.partitionBy("tier"))).where(F.col("runs") >= self.fan_in)
-        before = F.sum("bytes").over(Window.partitionBy("tier").orderBy("bytes", "path").rowsBetween(Window.unboundedPreceding, -1))
-        grouped = full.select("path", "tier", F.floor(F.coalesce(before, F.lit(0)) / self.target).alias("slot"))
-        number = F.dense_rank().over(Window.orderBy("tier", "slot")) - 1
-        grouped = grouped.select("path", number.cast("int").alias("_group")).orderBy("_group", "path").collect()  # manifest lines only
+        version = self.versions.latest()[0]
+        grouped = self._groups()
         if not grouped:
             return False
+        path, group = fresh(self.schema.names, "_path", "_group")
         merged = None
         for part in _jobs(grouped, MOST_FILES):
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             first = part[0][1]
-            places = F.broadcast(self.spark.createDataFrame([(p, g - first) for p, g in part], "_path string, _group int"))
-            rows = self.spark.read.schema(self.schema).parquet(*[p for p, _ in part]).select("*", F.col("_metadata.file_path").alias("_path"))
-            rows = rows.join(places, "_path").repartitionById(part[-1][1] - first + 1, F.col("_group"))
-            rows.select(*self.schema.names).write.option("compression", "zstd").parquet(folder)
+            places = F.broadcast(self.spark.createDataFrame([(p, g - first) for p, g in part], f"{path} string, {group} int"))  # MOST_FILES lines
+            rows = self._files(*[p for p, _ in part])
+            rows = rows.select(*self._columns(), self._file(rows).alias(path))
+            rows = rows.join(places, path).repartitionById(part[-1][1] - first + 1, F.col(group))
+            rows.select(*self._columns()).write.option("compression", "zstd").parquet(folder)
             lines = self._listed(folder, f"merge-{version + 1}")
             merged = lines if merged is None else merged.union(lines)
-        gone = self.spark.createDataFrame([(p,) for p, _ in grouped], "path string")
-        self._commit(version + 1, self.manifest().join(gone, "path", "left_anti").union(merged), says["batches"])
-        self.vacuum([p for p, _ in grouped])
+        gone = [p for p, _ in grouped]
+        left = self.manifest().join(self.spark.createDataFrame([(p,) for p in gone], "path string"), "path", "left_anti")
+        self._commit(version + 1, left.union(merged), gone=gone)
         return True
 
-    def vacuum(self, paths: list[str]) -> None:
-        """Delete shards that the newest version no longer lists."""
-        live = {r.path for r in self.manifest().select("path").collect()}
-        for p in paths:
-            if p not in live:
-                self.versions.delete(p)
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete shards, manifests and versions that none of the newest ``keep`` versions needs; how many shards went."""
+        numbers, went = self.versions.numbers(), 0
+        oldest = numbers[-max(1, keep)] if len(numbers) >= max(1, keep) else 0
+        for n in numbers:
+            says = self.versions.says(n) or {}
+            # shards that version n replaced are read by versions before n only
+            if n <= oldest and "gone" in says and self.versions._fs.exists(self.versions._path(says["gone"])):
+                for row in self.spark.read.schema("path string").parquet(says["gone"]).toLocalIterator():
+                    self.versions.delete(row.path)
+                    went += 1
+                self.versions.delete(says["gone"])
+            if n < oldest:
+                if "manifest" in says:
+                    self.versions.delete(says["manifest"])
+                self.versions.forget(n)
+        return went
 
 
 def _jobs(grouped: list, most: int) -> list[list]:
