@@ -10,13 +10,17 @@ neighbours are all compatible is the one that the merges by rank produce, and
 each position is given up at most once, so time is linear in the piece.
 
 Defined cases: a null text counts as empty and has no ids; a piece that is
-itself a token becomes that token; very long pieces need no recursion.
+itself a token becomes that token; very long pieces need no recursion, and memory
+for their ids and one stretch of matches only; repeated rows and rows without an
+id each come back; of other columns only those asked for are carried, and one
+named like the result gets an underscore there.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -24,14 +28,37 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, light_batches, small_batches, texts_of
+from tickloom.llm.common import as_batch, ddl_of, fresh, light_batches, quoted, small_batches, texts_of
 
 #: Pieces remembered by a worker; the table is emptied when full.
 MOST_PIECES = 1 << 19
 MOST_PAIRS = 1 << 19
 #: Longer pieces are encoded each time rather than remembered.
 LONG_PIECE = 64
+STRETCH = 1 << 14  # bytes of a piece whose matches are held at a time
+
+
+class _Matches:
+    """The tokens that begin at each position of a piece, longest last, found a stretch at a time."""
+
+    def __init__(self, automaton, piece: str, longest: int):
+        self.automaton, self.piece, self.longest = automaton, piece, longest
+        self.held: dict[int, list] = {}
+
+    def at(self, position: int) -> list[tuple[int, int]]:
+        number = position // STRETCH
+        stretch = self.held.get(number)
+        if stretch is None:
+            if len(self.held) > 2:
+                self.held.clear()
+            begin = number * STRETCH
+            stretch = self.held[number] = [[] for _ in range(min(STRETCH, len(self.piece) - begin))]
+            for end, (rank, length) in self.automaton.iter(self.piece[begin : begin + STRETCH + self.longest]):
+                if end - length + 1 < STRETCH:
+                    stretch[end - length + 1].append((length, rank))  # ends grow, so the longest comes last
+        return stretch[position - number * STRETCH]
 
 
 class Coder:
@@ -46,6 +73,7 @@ class Coder:
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.ranks))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
@@ -81,27 +109,25 @@ class Coder:
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
         n = len(piece)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (rank, length) in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - length + 1].append((length, rank))  # ends grow, so the longest comes last
+        matches = _Matches(self.automaton, piece.decode("latin-1"), self.longest)
         given_up = bytearray(n + 1)
-        path: list[tuple[int, int]] = []  # (start, id)
+        path = array("q")  # ids
         at = 0
-        options = list(starts[0])
+        options = list(matches.at(0))
         while at < n:
             while options:
                 length, rank = options.pop()
-                if not given_up[at + length] and self.reachable(rank) and (not path or self.compatible(path[-1][1], rank)):
-                    path.append((at, rank))
+                if not given_up[at + length] and self.reachable(rank) and (not path or self.compatible(path[-1], rank)):
+                    path.append(rank)
                     at += length
-                    options = list(starts[at]) if at < n else []
+                    options = list(matches.at(at)) if at < n else []
                     break
             else:
                 given_up[at] = 1
-                at, rank = path.pop()
-                shorter = len(self.tokens[rank])
-                options = [x for x in starts[at] if x[0] < shorter]
-        return [rank for _, rank in path]
+                shorter = len(self.tokens[path.pop()])
+                at -= shorter
+                options = [x for x in matches.at(at) if x[0] < shorter]
+        return path.tolist()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -132,17 +158,17 @@ def coder(ranks_file: str, pattern: str) -> Coder:
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Whole texts to ids: the id column, the ``carry`` columns and ``ids`` (binary, little-endian unsigned 32-bit)."""
-    carry = carry or []
-    kept = docs.select(id_col, *carry, text_col)
-    schema = kept.select(id_col, *carry).schema
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["`ids` binary"])
+    own, text = quoted([id_col, *(carry or [])]), quoted([text_col])
+    (carried_text,) = fresh([id_col, *(carry or [])], "text")
+    (ids_col,) = fresh([id_col, *(carry or [])], "ids")
+    kept = docs.select(*own, F.col(*text).alias(carried_text))
+    ddl = f"{ddl_of(kept.schema[:-1])}, {ids_col} binary"
 
     def run(batches):
         own = coder(ranks_file, pattern)
-        for batch in small_batches(batches, text_col):
-            ids = [own.encode(t.decode()) for t in texts_of(batch.column(text_col))]
-            columns = [batch.column(c) for c in (id_col, *carry)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=[id_col, *carry, "ids"])
+        for batch in small_batches(batches, carried_text):
+            ids = [own.encode(t.decode()) for t in texts_of(batch.column(carried_text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*batch.schema.names[:-1], ids_col])
 
     return kept.transform(light_batches).mapInArrow(run, ddl)
 
@@ -169,15 +195,15 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "do
 
     def run(batches):
         own = coder(ranks_file, pattern)
-        for batch in small_batches(batches, text_col):
-            ids = [own.encode(t.decode()) for t in texts_of(batch.column(text_col))]
+        for batch in small_batches(batches, "text"):
+            ids = [own.encode(t.decode()) for t in texts_of(batch.column("text"))]
             yield as_batch(
                 _DIGEST,
-                batch.column(id_col),
+                batch.column("doc_id"),
                 [len(x) // 4 for x in ids],
                 [hashlib.sha256(x).hexdigest() for x in ids],
                 [hashlib.sha256(own.decode(x)).hexdigest() for x in ids],
             )
 
-    kept = docs.selectExpr(f"cast(`{id_col}` as bigint) `{id_col}`", f"`{text_col}`")
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.transform(light_batches).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.sources.shared import shared_folder, written as staged
 
@@ -115,6 +116,22 @@ def ddl_of(schema) -> str:
     return ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(quoted(schema.names), schema.fields, strict=True))
 
 
+def plain_names(names: Iterable[str]) -> list[str]:
+    """The names, with those that Python functions over batches cannot take replaced by numbered ones (for ``toDF`` there and back)."""
+    names = list(names)
+    odd = [i for i, n in enumerate(names) if "`" in n or "." in n]
+    for i, n in zip(odd, fresh(names, *(f"_c{i}" for i in odd)), strict=True):
+        names[i] = n
+    return names
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; rows without an id stay."""
+    (name,) = fresh(docs.columns, "_gone")
+    gone = gone.toDF(name).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
+
+
 @contextmanager
 def sent(spark: SparkSession, value):
     """A value broadcast to the executors and freed there afterwards: for passes whose result is staged inside."""

@@ -26,10 +26,14 @@ item's length, in code points) of a benchmark item.
   (bit-parallel) edit distance.
 
 Items are a stated query set against all documents: they are read in blocks of
-at most ``BLOCK_BYTES``, and only one block's tables are broadcast at a time.
-
-Defined cases: items that are null or blank match nothing; null or blank documents hold nothing; repeated items are reported
-under each of their ids; repeated rows are reported once per id.
+at most ``BLOCK_BYTES`` (or one item).  Each block's tables are broadcast, its leaks
+written to the shared folder, and the tables freed before the next block's.
+
+Defined cases: items that are null or blank match nothing; null or blank documents
+hold nothing; texts of any length are searched whole; repeated items are reported
+under each of their ids; repeated rows are reported once per id, with the fewest
+edits; a stretch with exactly the allowed edits counts; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, light_batches, small_batches, splitmix, texts_of
+from tickloom.llm.common import as_batch, light_batches, sent, small_batches, splitmix, staged, texts_of, without_ids
 
 #: Steps of a walk by the end of each stage, and the samples that the stage takes.
 STAGES = ((30, 10), (48, 5))
@@ -323,8 +327,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = 0.15, repet
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ddl, found = "doc_id long, item_id long, edits long, allowed long", None
     for rows in _blocks(benchmark.select(F.col(item_id).cast("long"), item_text)):
-        items = spark.sparkContext.broadcast(Items(rows, most_edits, repetitions, least))
-        hits = docs.transform(light_batches).mapInArrow(partial(_find, items=items), ddl)
+        with sent(spark, Items(rows, most_edits, repetitions, least)) as items:
+            hits = staged(docs.transform(light_batches).mapInArrow(partial(_find, items=items), ddl), "leaks")
         found = hits if found is None else found.union(hits)
     if found is None:
         return spark.createDataFrame([], ddl)
@@ -333,5 +337,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most_edits: float = 0.15, repet
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without an id stay."""
-    gone = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without_ids(docs, leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("doc_id"), id_col)

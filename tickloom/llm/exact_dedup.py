@@ -13,7 +13,8 @@
 Defined cases: a null text counts as empty; of equal texts the row with the
 largest id stays; repeated rows (same id and text) are all counted in
 ``group_size`` and share one decision; a missing id never wins over a present
-one, and rows that have no id are kept only where no copy has one.
+one, and rows that have no id are kept only where no copy has one; texts of any
+length are compared whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, light_batches, small_batches, staged, texts_of
+from tickloom.llm.common import as_batch, fresh, light_batches, small_batches, staged, texts_of
 
 BITS = 48  # of a fingerprint
 LIST = 1 << 18  # rows that a task holds before it sends its lists
@@ -153,6 +154,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row's id of each group of equal texts, all columns kept."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")
+    id_name, sha_name = fresh(docs.columns, "_gone", "_sha")
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_name), F.col("text_sha256").alias(sha_name)).distinct()
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(id_name)) & (sha == F.col(sha_name)), "left_anti")

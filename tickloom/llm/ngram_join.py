@@ -23,9 +23,11 @@ document id of its component.
 Nothing is capped: a column or cluster of any size is split into block pairs.
 
 Defined cases: null or blank texts have an empty set, size 0, and link with
-nothing; fewer words than n make one n-gram of the whole sequence; repeated rows
+nothing; fewer words than n make one n-gram of the whole sequence; texts of any
+length are taken whole; a similarity equal to the threshold links; repeated rows
 each come back; rows without an id stay alone unless their set is shared, and an
-id that is missing never names a component.
+id that is missing never names a component; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, discard, group_bounds, light_batches, runs, small_batches, splitmix, staged, texts_of
+from tickloom.llm.common import as_batch, discard, group_bounds, light_batches, runs, small_batches, splitmix, staged, texts_of, without_ids
 from tickloom.llm.components import components, forest
 
 SKETCH = 1 << 18  # counters of the count sketch
@@ -395,5 +397,23 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
 
     Rows without words or without an id stay.
     """
-    gone = jaccard_components(docs, n, num, den, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without_ids(docs, jaccard_components(docs, n, num, den, id_col, text_col).where("component_id < doc_id").select("doc_id"), id_col)
+
+
+def one_of_each_source(docs: DataFrame, sources: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near copies by their texts in ``sources``, for texts that an earlier step has taken lines from.
+
+    Line removal takes from a copy all that it shares with its original, so the
+    rest no longer shows whose copy it is.  Groups are those of the rows of
+    ``sources`` (same columns); of each group the row of ``docs`` with the least id
+    stays.  A row goes only if its text is made of lines of a source text with its
+    id, so rows of other origin stay, as do rows without an id.
+    """
+    groups = jaccard_components(sources, n, num, den, id_col, text_col).select("doc_id", F.col("component_id").alias("group")).distinct()
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    kept = groups.join(ids, "doc_id")
+    least = kept.groupBy("group").agg(F.min("doc_id").alias("least"))
+    gone = staged(kept.join(least, "group").where("least < doc_id").select("doc_id").distinct(), "copies")
+    lines = lambda rows, name: rows.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias(name)).join(gone, "doc_id")
+    made = lines(docs, "own").join(lines(sources, "source"), "doc_id").where(F.size(F.array_except("own", "source")) == 0)
+    return without_ids(docs, made.select("doc_id"), id_col)

@@ -15,7 +15,10 @@ parameter); a fifth of them, not used for the weights, sets the severity from
 which a document counts as toxic (best F1).  All documents are scored in tasks.
 
 Defined cases: a null or wordless text scores the severity of no features; with
-no usable labels of both kinds every severity is 0 and nothing is toxic.
+no usable labels of both kinds every severity is 0 and nothing is toxic; a severity
+equal to the cut is toxic; repeated rows and rows without an id are scored like
+any other, each by its own text alone; texts of any length are scored whole;
+columns of any name are kept, but those of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, light_batches, small_batches, texts_of
+from tickloom.llm.common import as_batch, ddl_of, fresh, light_batches, plain_names, quoted, small_batches, texts_of
 from tickloom.llm.labelled import sample
 
 WIDTH = 1 << 17  # hashed features
@@ -78,8 +81,9 @@ def features(texts: list[bytes], known: _Features) -> tuple[np.ndarray, np.ndarr
 
 
 def _dot(offsets, columns, values, weights) -> np.ndarray:
-    sums = np.append(0.0, np.cumsum(values * weights[columns]))
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    """Scores of sparse rows; each row is summed alone, so that its score does not depend on its batch."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return np.bincount(rows, values * weights[columns], minlength=len(offsets) - 1)
 
 
 def _sigmoid(x):
@@ -185,26 +189,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return fit(offsets, columns, values, np.array([int(r[1] > 0) for r in rows], np.int64))
 
 
-def _score(batches, model, text_col: str):
+def _score(batches, model, text_col: str, name: str):
     model, known = model.value, _Features()
     for batch in small_batches(batches, text_col):
         found = severity(model, _dot(*features(texts_of(batch.column(text_col)), known), model.weights))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "_severity"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
 
-def _scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "`_severity` double"])
+def _scored(docs: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # half a megabyte, whatever the input
-    return docs.transform(light_batches).mapInArrow(partial(_score, model=held, text_col=text_col), ddl)
+    plain = docs.toDF(*plain_names(docs.columns)).transform(light_batches)
+    return plain.mapInArrow(partial(_score, model=held, text_col=text_col, name=name), f"{ddl_of(plain.schema)}, {name} double").toDF(*docs.columns, name)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``severity`` (0 to 3), ``grade`` (rounded) and ``toxic``; columns of these names are replaced."""
-    scored = _scored(docs.drop("severity", "grade", "toxic"), model, text_col).withColumnRenamed("_severity", "severity")
+    scored = _scored(docs.drop("severity", "grade", "toxic"), model, text_col, "severity")
     return scored.withColumns({"grade": F.round("severity").cast("int"), "toxic": F.col("severity") >= F.lit(float(model.cut))})
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most: int = 6000, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that count as toxic, with their own columns only."""
     model = train(docs, labels, most=most)
-    return _scored(docs, model, text_col).where(F.col("_severity") < F.lit(float(model.cut))).select(*docs.columns)
+    (name,) = fresh(docs.columns, "_severity")
+    return _scored(docs, model, text_col, name).where(F.col(name) < F.lit(float(model.cut))).select(*quoted(docs.columns))
