@@ -17,14 +17,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat across documents go, except where first found; ``n_chars`` follows the text."""
+    """Lines that repeat across documents go, except where first found, and documents that keep no text by it; ``n_chars`` follows the text."""
     cut = line_dedup.dedup_lines(docs)
+    cut = cut.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 5-word shingles and a similarity of 0.8 stays."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group linked at 5-word shingles and a similarity of 0.8 stays.
+
+    Linked by the texts in ``documents``, as line dedup has cut from copies what
+    they share with their originals, and then by the texts as they are now.
+    """
+    docs = ngram_join.one_of_each_source(docs, table(spark, sf_dir, "documents"))
+    return ngram_join.one_of_each(staged(docs, "sources_apart"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
