@@ -109,3 +109,9 @@ def diagnostics(indicators: DataFrame) -> DataFrame:
     counted = indicators.where("t >= 200").agg(F.count("*").alias("bars"), *(_count(c).alias(n) for n, c in fails.items()))
     long = counted.unpivot(["bars"], list(fails), "filter", "failures")
     return long.select("filter", "failures", F.round(F.try_divide(C("failures") * 1e2, C("bars")), 2).alias("failure_pct"))
+
+
+def profitable_years(trades: DataFrame) -> DataFrame:
+    """Years with decided trades, how many of them have a positive mean return, and the average holding."""
+    years = trades.where("outcome is not null").groupBy(F.year("d").alias("y")).agg(F.avg("return_pct").alias("mean"), F.sum("holding").alias("h"), F.count("holding").alias("n"))
+    return years.agg(F.count("*").alias("years"), _count(C("mean") > 0).alias("profitable_years"), F.round(F.try_divide(F.sum("h"), F.sum("n")) + 1e-8, 4).alias("average_holding"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import calendar, joins
+
 C = F.col
 START_VALUE = 10000.0
 TIE = 1e-9  # ties round up, however the product came out in its last bits
@@ -48,11 +50,20 @@ def nightly(positions: DataFrame, last: DataFrame) -> DataFrame:
     })
 
 
-def outcomes(signals: DataFrame, bars: DataFrame, most: int = 20) -> DataFrame:
-    """The validator's outcome of past signals: per later bar the stop, then targets 3 to 1, and expiry at the ``most``-th bar's close."""
-    later = bars.select(C("ticker").alias("_t"), C("d").alias("bd"), "high", "low", "close")
-    rows = signals.where("target_1 is not null").join(later, (C("ticker") == C("_t")) & (C("bd") > C("d")))
-    rows = rows.withColumn("holding", F.row_number().over(Window.partitionBy("ticker", "d", "strategy").orderBy("bd"))).where(C("holding") <= most)
+def outcomes(signals: DataFrame, bars: DataFrame, most: int = 20, today: Column | None = None, age: int = 10) -> DataFrame:
+    """The validator's outcome of past signals: per later bar the stop, then targets 3 to 1, and expiry at the ``most``-th bar's close.
+
+    With ``today``, only signals at least ``age`` business days old are judged.
+    Bars are numbered by ticker (``t``), and a signal meets the ``most`` bars after
+    its own through blocks of as many bars, so a long series costs no more pairs.
+    """
+    signals = signals.where("target_1 is not null")
+    if today is not None:
+        signals = signals.where(C("d") <= calendar.business_days_ago(today, age))
+    later = bars.select("ticker", C("t").alias("bt"), C("d").alias("bd"), "high", "low", "close", F.floor(C("t") / most).alias("_block"))
+    rows = joins.as_of(signals, bars.select("ticker", C("d").alias("_on"), C("t").alias("_at")), "ticker", "d", "_on", ["_at"]).withColumn("_at", F.coalesce("_at", F.lit(-1)))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.floor((C("_at") + 1) / most), F.floor((C("_at") + most) / most))))
+    rows = rows.join(later, ["ticker", "_block"]).where(C("bt").between(C("_at") + 1, C("_at") + most)).withColumn("holding", (C("bt") - C("_at")).cast("int"))
     hit = F.when(C("low") <= C("stop_loss"), "stopped").when(C("high") >= C("target_3"), "hit_t3").when(C("high") >= C("target_2"), "hit_t2").when(C("high") >= C("target_1"), "hit_t1").when(C("holding") >= most, "expired")
     rows = rows.withColumn("outcome", hit).where("outcome is not null")
     price = _mapped(C("outcome"), {"stopped": C("stop_loss"), "hit_t3": C("target_3"), "hit_t2": C("target_2"), "hit_t1": C("target_1")}, C("close"))
@@ -144,3 +155,8 @@ def recommendations(signals: DataFrame, history: DataFrame, metrics: DataFrame)
     both = live.unionByName(closed).join(metrics, "ticker", "left")
     zero = {c: F.coalesce(C(c), F.lit(0)) for c in ("wins", "losses")} | {c: F.coalesce(C(c), F.lit(0.0)) for c in ("win_rate", "expectancy_pct")}
     return both.withColumns(zero).withColumn("total_trades", C("wins") + C("losses"))
+
+
+def as_json(*columns: str) -> Column:
+    """Columns as one JSON object; nulls are left out."""
+    return F.to_json(F.struct(*columns))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, percentile_rank, sigmoid
-from tickloom.operators.strategies import ORDER
+from tickloom.operators.strategies import CAPS, ORDER
 
 C = F.col
 POOL = ("strategy", "d")
+MOST = 50  # of a scan without a cap of its own
 #: Weights of momentum, expectancy, win rate, regime and context.
 WEIGHTS = {"bull": (0.30, 0.30, 0.15, 0.10, 0.15), "sideways": (0.25, 0.35, 0.15, 0.10, 0.15), "bear": (0.15, 0.35, 0.10, 0.10, 0.30)}
 DEFENSIVE = ("Utilities", "Consumer Staples", "Health Care", "Insurance", "Telecommunication Services")
@@ -71,13 +72,30 @@ def tier(context: Column | None = None) -> Column:
 
 
 def tiered(scored: DataFrame) -> DataFrame:
-    """Tiers 1 and 2 of every pool in order: by tier first where there are three of tier 1, else by score."""
-    kept = scored.withColumn("tier", tier()).where("tier <= 2")
+    """Tiers 1 and 2 of every pool in order: by tier first where there are three of tier 1, else by score.
+
+    In a bear regime only a context score, where there is one, opens tier 1.
+    """
+    context = F.coalesce(C("context_score"), F.lit(0.0)) if "context_score" in scored.columns else None
+    kept = scored.withColumn("tier", tier(context)).where("tier <= 2")
     kept = kept.withColumn("_firsts", F.count(F.when(C("tier") == 1, 1)).over(Window.partitionBy(*POOL)))
     order = Window.partitionBy(*POOL).orderBy(F.when(C("_firsts") >= 3, C("tier")).otherwise(0), F.desc("rank_score"), "ticker")
     return kept.withColumn("place", F.row_number().over(order)).drop("_firsts")
 
 
+def by_strategy(signals: DataFrame) -> DataFrame:
+    """What each scan hands on for a date: unblocked signals in its own order, up to its cap.
+
+    Most scans order by composite score; cross-sectional momentum by three-month
+    return first, and of equal earnings drifts the more recent one leads.
+    """
+    of_momentum, of_drift = C("strategy") == "csm", C("strategy") == "pead"
+    then = F.when(of_momentum, -C("composite_score")).when(of_drift, F.coalesce("days_since", F.lit(5)).cast("double")).otherwise(0.0)
+    order = Window.partitionBy(*POOL).orderBy(F.desc(F.when(of_momentum, F.coalesce("returns_3m", F.lit(0.0))).otherwise(C("composite_score"))), then, "ticker")
+    cap = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in CAPS.items() for x in pair)), C("strategy")), F.lit(MOST))
+    return signals.where("guard_reason is null").withColumn("scan_place", F.row_number().over(order)).where(C("scan_place") <= cap)
+
+
 def registry_place() -> Column:
     return F.array_position(F.array(*(F.lit(s) for s in ORDER)), C("strategy"))
 

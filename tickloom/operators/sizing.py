@@ -34,7 +34,9 @@ def normalised(signals: DataFrame, *group: str) -> DataFrame:
     shares = F.when(C("entry_price") > 0, F.round(C("allocated_dollars") / C("entry_price"), 4)).otherwise(0.0)
     share = F.when(C("portfolio_value") > 0, C("allocated_dollars") / C("portfolio_value") * 100).otherwise(0.0)
     rows = rows.withColumns({"max_shares": shares, "whole_shares": F.floor(shares), "pct": F.round(share + 1e-9, 1)})
-    return rows.withColumn("position_sizing", F.concat(F.lit("K: "), F.format_string("%.1f", "pct"), F.lit("%")))
+    held = F.when(C("max_shares") < 1, F.format_string("%.2f", F.round(C("max_shares") + 1e-9, 2))).otherwise(C("whole_shares").cast("string"))
+    suffix = F.when(C("max_shares") > 0, F.concat(F.lit(" ("), held, F.lit(" sh)"))).otherwise("")
+    return rows.withColumn("position_sizing", F.concat(F.lit("K: "), F.format_string("%.1f", "pct"), F.lit("%"), suffix))
 
 
 def ceiling(signals: DataFrame) -> DataFrame:

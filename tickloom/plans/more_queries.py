@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import final, joins, positions, ranking
 from tickloom.plans import oracle
 from tickloom.plans.indicator_queries import C, bt_metrics, query
-from tickloom.plans.position_queries import CASH, VALUE, held
-from tickloom.plans.signal_queries import context_scores, pool, scan_union
+from tickloom.plans.position_queries import CASH, SHARES, SIZED, VALUE, held
+from tickloom.plans.signal_queries import context_scores, handed, percent_up, pool, scan_union
 from tickloom.sources import market, shared, tables
 
 CTE = oracle.CTE
@@ -33,19 +35,59 @@ def rank_compatible(spark, sf_dir):
     return final.compatible(pool(spark, sf_dir)).select("strategy", "ticker", "d", "rank_score")
 
 
-CTE["best3"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY composite_score DESC, ticker) AS place FROM (SELECT *, max(composite_score) OVER (PARTITION BY d) AS best FROM kelly) WHERE best < 80 OR composite_score >= 80) WHERE place <= 3"""
+CTE["ranked_ctx"] = """SELECT r.*, context_score, round(CASE r.regime WHEN 'bull' THEN 0.3e0 * momentum_score + 0.3e0 * expectancy_score + 0.15e0 * winrate_score + 0.1e0 * regime_score + 0.15e0 * context_score
+  WHEN 'bear' THEN 0.15e0 * momentum_score + 0.35e0 * expectancy_score + 0.1e0 * winrate_score + 0.1e0 * regime_score + 0.3e0 * context_score
+  ELSE 0.25e0 * momentum_score + 0.35e0 * expectancy_score + 0.15e0 * winrate_score + 0.1e0 * regime_score + 0.15e0 * context_score END, 4) AS score FROM ranked r JOIN ctx USING (ticker)"""
+CTE["tiers_ctx"] = """SELECT *, CASE WHEN score >= CASE WHEN regime = 'bull' THEN 80 ELSE 75 END AND (regime <> 'bear' OR context_score > 50) AND expectancy_pct > 0 AND win_rate >= 35 AND total_signals >= 10 THEN 1
+  WHEN score >= 50 AND expectancy_pct >= 0 AND win_rate >= 25 AND total_signals >= 10 THEN 2 WHEN score >= 40 AND expectancy_pct >= -2 THEN 3 ELSE 4 END AS tier FROM ranked_ctx"""
+
+
+@query(f"""SELECT {KEYS}, context_score, tier, row_number() OVER (PARTITION BY strategy, d ORDER BY CASE WHEN firsts >= 3 THEN tier ELSE 0 END, score DESC, ticker) AS place
+  FROM (SELECT * REPLACE (round(context_score, 6) AS context_score), count(*) FILTER (tier = 1) OVER (PARTITION BY strategy, d) AS firsts FROM tiers_ctx WHERE tier <= 2)""")
+def rank_tiers_context(spark, sf_dir):
+    """Tiers with context: in a bear regime only a context score over 50 opens tier 1."""
+    scored = final.with_context(ranking.scores(pool(spark, sf_dir)), context_scores(spark, sf_dir))
+    return ranking.tiered(scored).select("strategy", "ticker", "d", F.round("context_score", 6).alias("context_score"), "tier", "place")
+
+
+@query(f"SELECT {KEYS}, CASE WHEN n % 2 = 0 THEN 40e0 ELSE round(context_score, 6) END AS context_score FROM ranked JOIN universe USING (ticker) JOIN ctx USING (ticker)")
+def rank_late_context(spark, sf_dir):
+    """Rows that were ranked without context get it late; those that have a score (here 40, for every other ticker) keep it."""
+    universe = market.universe(spark, sf_dir)
+    early = pool(spark, sf_dir).join(universe.select("ticker", F.when(C("n") % 2 == 0, 40.0).otherwise(0.0).alias("context_score")), "ticker")
+    found = final.with_context(ranking.scores(early), context_scores(spark, sf_dir))
+    return found.select("strategy", "ticker", "d", F.round("context_score", 6).alias("context_score"))
+
 
+CTE["open_then"] = "SELECT DISTINCT upper(ticker) AS ticker, d + 7 AS d FROM held WHERE status = 'open'"
+CTE["best3"] = """SELECT c.* REPLACE (greatest(stop_loss, round(entry_price * 0.93e0, 2)) AS stop_loss), least(10000e0 * greatest(0e0, (p - (1 - p) / rr) / 2), 500e0) AS wanted FROM (SELECT *, CASE WHEN composite_score >= 90 THEN 0.75e0 WHEN composite_score >= 80 THEN 0.68e0
+    WHEN composite_score >= 70 THEN 0.6e0 WHEN composite_score >= 60 THEN 0.52e0 WHEN composite_score >= 50 THEN 0.45e0 ELSE 0.35e0 END AS p, CASE WHEN weighted_rr > 0 THEN weighted_rr ELSE 2e0 END AS rr
+  FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY composite_score DESC, ticker) AS place FROM (SELECT *, max(composite_score) OVER (PARTITION BY d) AS best FROM chosen) WHERE best < 80 OR composite_score >= 80)
+  WHERE place <= 3) c WHERE NOT EXISTS (SELECT 1 FROM open_then o WHERE o.ticker = upper(c.ticker) AND o.d = c.d)"""
+_RAISED = ", ".join(f"CASE WHEN target_1 <= entry_price THEN {percent_up('entry_price', p)} ELSE target_{k} END AS target_{k}" for k, p in ((1, 7), (2, 12), (3, 18)))
 
-@query(f"""SELECT d, ticker, strategy, place, allocated_dollars, CASE WHEN entry_price > 0 THEN round(allocated_dollars / entry_price, 4) ELSE 0e0 END AS max_shares, CASE dayofweek(d) WHEN 5 THEN d + 3 WHEN 6 THEN d + 2 ELSE d + 1 END AS entry_date, 'pending' AS status
-  FROM (SELECT *, round(wanted * CASE WHEN sum(wanted) OVER (PARTITION BY d) > {CASH} THEN {CASH} / sum(wanted) OVER (PARTITION BY d) ELSE 1e0 END, 2) AS allocated_dollars FROM (SELECT *, least({VALUE} * fraction, {VALUE * 0.05}) AS wanted FROM best3))""")
+
+@query(f"""SELECT d, ticker, strategy, place, stop_loss, {_RAISED}, allocated_dollars, {SHARES} AS max_shares, {SIZED} AS position_sizing, CASE dayofweek(d) WHEN 5 THEN d + 3 WHEN 6 THEN d + 2 ELSE d + 1 END AS entry_date, 'pending' AS status
+  FROM (SELECT *, round(wanted * CASE WHEN sum(wanted) OVER (PARTITION BY d) > {CASH} THEN {CASH} / sum(wanted) OVER (PARTITION BY d) ELSE 1e0 END, 2) AS allocated_dollars FROM best3)""")
 def final_recommended(spark, sf_dir):
-    rows = final.recommended(scan_union(spark, sf_dir), VALUE, CASH)
-    return rows.select("d", "ticker", "strategy", "place", "allocated_dollars", "max_shares", "entry_date", "status")
+    """The rows of a nightly run: unblocked, capped, best of each ticker, gated, not already held (opened a week before), within the stop ceiling, sized."""
+    signals = shared.written(scan_union(spark, sf_dir), "signals")
+    open_then = held(spark, sf_dir).where("status = 'open'").select("ticker", F.date_add("d", 7).alias("d"))
+    rows = final.recommended(signals, VALUE, CASH, positions=open_then)
+    return rows.select("d", "ticker", "strategy", "place", "stop_loss", "target_1", "target_2", "target_3", "allocated_dollars", "max_shares", "position_sizing", "entry_date", "status")
+
+
+_PRESENT = {"scan_date": "CAST(d AS VARCHAR)", "is_fallback": "false", "is_blocked": "false", "blocked_reason": "CAST(NULL AS VARCHAR)", "regime": "coalesce(regime, 'bull')", "position_sizing": "'50/30/20'", "tier_label": "coalesce(tier_label, 'Unrated')",
+            "target_1": "target_1", "target_2": "target_2", "target_3": "target_3"}
+_PRESENT |= {c: f"coalesce({c}, 0e0)" for c in ("price", "entry_price", "stop_loss", "upside_pct", "current_rsi", "volume_ratio", "adx_value", "composite_score", "quality_score", "weighted_rr")}
+_PRESENT |= {c: f"coalesce({c}, '')" for c in ("ticker", "narrative", "strategy")}
+_ABSENT = {"string": "''", "double": "0e0", "int": "0"}
 
 
-@query("""SELECT ticker, '' AS company_name, 'Unknown' AS industry, strategy, coalesce(price, 0e0) AS price, coalesce(weighted_rr, 0e0) AS weighted_rr, coalesce(current_rsi, 50e0) AS current_rsi, 0 AS total_trades, coalesce(narrative, '') AS narrative, 'pending' AS status FROM all_signals""")
+@query("SELECT " + ", ".join(f"{_PRESENT.get(n, _ABSENT.get(k))} AS {n}" for n, (k, _) in final.CANDIDATE.items()) + " FROM handed")
 def final_candidates(spark, sf_dir):
-    return final.candidates(scan_union(spark, sf_dir)).select("ticker", "company_name", "industry", "strategy", "price", "weighted_rr", "current_rsi", "total_trades", "narrative", "status")
+    """All 45 fields of the signals that the scans hand on."""
+    return final.candidates(handed(spark, sf_dir))
 
 
 @query("SELECT h.d, count(o.outcome) AS rated, count(*) FILTER (o.outcome IS NULL) AS unrated, round(avg(o.return_pct) + 1e-8, 4) AS mean_return FROM held h LEFT JOIN outcome o ON h.id = o.id GROUP BY h.d")
@@ -93,3 +135,112 @@ def universe_funds(spark, sf_dir):
 def bars_by_month(spark, sf_dir):
     """Bars in each partition of a store by month."""
     return market.bars(spark, sf_dir).groupBy("ticker", tables.month(C("d")).alias("month")).agg(F.count("*").alias("bars"))
+
+
+# --- stores and keyed tables that are really written and read back ------------------------------------
+
+
+def _store(bars, name: str) -> str:
+    path = f"{shared.shared_folder(bars.sparkSession)}/tickloom/{name}-{uuid.uuid4().hex}"
+    tables.write_bars(bars, path)
+    return path
+
+
+@query("SELECT ticker, d, open, high, low, close, volume FROM bars WHERE d BETWEEN DATE '2000-02-10' AND DATE '2000-08-20'")
+def store_range(spark, sf_dir):
+    """A range of dates out of a store by month: other months are never opened."""
+    return tables.read_bars(spark, _store(market.bars(spark, sf_dir), "bars"), "2000-02-10", "2000-08-20")
+
+
+@query("SELECT ticker, d, open, high, low, close, volume FROM bars WHERE d >= DATE '1999-03-01' AND d < DATE '1999-06-01'")
+def store_slice(spark, sf_dir):
+    """A slice that leaves its last date out."""
+    return tables.read_bars(spark, _store(market.bars(spark, sf_dir), "bars"), "1999-03-01", "1999-06-01", end_exclusive=True)
+
+
+@query("SELECT ticker, d, open, high, low, close, volume FROM bars WHERE d = (SELECT max(d) FROM bars)")
+def store_one_date(spark, sf_dir):
+    """All tickers of the last date, from that date's month alone."""
+    bars = market.bars(spark, sf_dir)
+    last = str(bars.agg(F.max("d")).first()[0])
+    return tables.read_bars(spark, _store(bars, "bars"), last, last)
+
+
+@query("SELECT ticker, count(*) AS bars, max(d) AS last FROM bars GROUP BY ticker")
+def store_refresh(spark, sf_dir):
+    """A store that ends in 1997 is brought up to date by the later bars only."""
+    bars = market.bars(spark, sf_dir)
+    path = _store(bars.where("d <= date'1997-06-10'"), "bars")
+    tables.refresh(spark, path, bars)
+    return tables.read_bars(spark, path).groupBy("ticker").agg(F.count("*").alias("bars"), F.max("d").alias("last"))
+
+
+@query("SELECT ticker, min(d) <= DATE '1994-01-01' AND max(d) >= DATE '2000-01-01' AS covered FROM bars GROUP BY ticker")
+def store_coverage(spark, sf_dir):
+    """Whether each ticker's stored bars reach over a range."""
+    return tables.covers(market.bars(spark, sf_dir), "1994-01-01", "2000-01-01")
+
+
+@query("SELECT ticker, total_signals FROM (SELECT w.*, (SELECT max(d) FROM bars b WHERE b.ticker = w.ticker) AS updated FROM wide w) WHERE CAST('2001-10-01' AS DATE) - updated BETWEEN 0 AND 1200")
+def metrics_current(spark, sf_dir):
+    """Cached metrics within their lifetime (1200 days before October 2001)."""
+    from tickloom.operators import indicators
+    from tickloom.plans.signal_queries import wide_metrics
+
+    bars = market.bars(spark, sf_dir)
+    stored = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars).join(bars.groupBy("ticker").agg(F.max("d").alias("updated")), "ticker")
+    return tables.current(stored, "updated", F.lit("2001-10-01").cast("timestamp"), 24 * 1200).select("ticker", "total_signals")
+
+
+@query("SELECT id, status, entry_price FROM held WHERE status = 'open' UNION ALL SELECT 'new:' || strategy || ':' || ticker || ':' || d, 'pending', entry_price FROM chosen")
+def table_insert(spark, sf_dir):
+    """The nightly insert: rows that are not open go, and the new signals come in as pending."""
+    rows = held(spark, sf_dir).select("id", "status", "entry_price")
+    best = ranking.best_of_ticker(handed(spark, sf_dir))
+    new = best.select(F.concat_ws(":", F.lit("new"), "strategy", "ticker", C("d").cast("string")).alias("id"), F.lit("pending").alias("status"), "entry_price")
+    return tables.inserted(rows, new, C("status") == "open")
+
+
+@query("SELECT h.id, coalesce(o.outcome, 'open') AS outcome, o.return_pct, o.holding FROM held h LEFT JOIN outcome o ON h.id = o.id")
+def hist_update(spark, sf_dir):
+    """The history with outcome, return and holding days of the signals that have been decided."""
+    rows = shared.written(held(spark, sf_dir), "held")
+    history = rows.select("id", F.lit("open").alias("outcome"), F.lit(None).cast("double").alias("return_pct"), F.lit(None).cast("int").alias("holding"))
+    found = positions.outcomes(rows, market.bars(spark, sf_dir)).select(F.concat_ws(":", "strategy", "ticker", C("d").cast("string")).alias("id"), "outcome", "return_pct", "holding")
+    return tables.updated(history, found, ["id"])
+
+
+@query("SELECT ticker, d, CASE WHEN t % 5 = 0 THEN open WHEN t % 3 = 0 THEN high WHEN t % 2 = 0 THEN low ELSE close END AS price FROM bars")
+def quote_preferred(spark, sf_dir):
+    """One price out of four sources, some of which have none or zero."""
+    t = C("t")
+    rows = market.bars(spark, sf_dir).withColumns({"a": F.when(t % 5 == 0, C("open")), "b": F.when(t % 3 == 0, C("high")).otherwise(0.0), "c": F.when(t % 2 == 0, C("low")), "e": C("close")})
+    return rows.select("ticker", "d", tables.quote("a", "b", "c", "e").alias("price"))
+
+
+@query("SELECT ticker, d, close, volume FROM bars")
+def csv_round_trip(spark, sf_dir):
+    """Bars out to CSV files and back in a stated schema."""
+    path = f"{shared.shared_folder(spark)}/tickloom/csv-{uuid.uuid4().hex}"
+    tables.export_csv(market.bars(spark, sf_dir).select("ticker", "d", "close", "volume"), path)
+    return tables.read_csv(spark, path, "ticker string, d date, close double, volume double")
+
+
+@query("""SELECT id, '{"ticker":"' || ticker || '","outcome":"' || outcome || '","fraction":' || CAST(fraction AS VARCHAR) || '}' AS result FROM night WHERE outcome IS NOT NULL""")
+def pos_exit_json(spark, sf_dir):
+    """The nightly exits as JSON, as a caller of the exit step receives them."""
+    from tickloom.plans.position_queries import last_bars
+
+    exits = positions.nightly(held(spark, sf_dir), last_bars(spark, sf_dir)).where("outcome is not null")
+    return exits.select("id", positions.as_json("ticker", "outcome", "fraction").alias("result"))
+
+
+@query("""SELECT count(*) AS years, count(*) FILTER (mean > 0) AS profitable_years, round(sum(h) / nullif(sum(n), 0) + 1e-8, 4) AS average_holding
+  FROM (SELECT year(d) AS y, avg(return_pct) AS mean, sum(holding) AS h, count(holding) AS n FROM wide_trades WHERE outcome IS NOT NULL GROUP BY 1)""")
+def bt_profitable_years(spark, sf_dir):
+    """Years with trades, those with a positive mean return, and the average holding of all trades."""
+    from tickloom.operators import backtest, indicators
+
+    bars = market.bars(spark, sf_dir)
+    trades = backtest.simulate(backtest.signals(indicators.all_indicators(bars), use=("trend",)), bars)
+    return backtest.profitable_years(trades)

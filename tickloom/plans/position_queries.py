@@ -46,7 +46,11 @@ def size_kelly(spark, sf_dir):
     return best.select("d", "ticker", F.round(sizing.half_kelly(C("composite_score"), C("weighted_rr")), 6).alias("fraction"))
 
 
-@query(f"""SELECT d, ticker, allocated_dollars, CASE WHEN entry_price > 0 THEN round(allocated_dollars / entry_price, 4) ELSE 0e0 END AS max_shares, 'K: ' || printf('%.1f', round(allocated_dollars / {VALUE} * 100 + 1e-9, 1)) || '%' AS position_sizing
+SHARES = "CASE WHEN entry_price > 0 THEN round(allocated_dollars / entry_price, 4) ELSE 0e0 END"
+SIZED = f"""'K: ' || printf('%.1f', round(allocated_dollars / {VALUE} * 100 + 1e-9, 1)) || '%' || CASE WHEN {SHARES} > 0 THEN ' (' || CASE WHEN {SHARES} < 1 THEN printf('%.2f', round({SHARES} + 1e-9, 2)) ELSE CAST(CAST(floor({SHARES}) AS BIGINT) AS VARCHAR) END || ' sh)' ELSE '' END"""
+
+
+@query(f"""SELECT d, ticker, allocated_dollars, CASE WHEN entry_price > 0 THEN round(allocated_dollars / entry_price, 4) ELSE 0e0 END AS max_shares, {SIZED} AS position_sizing
   FROM (SELECT *, round(wanted * CASE WHEN sum(wanted) OVER (PARTITION BY d) > {CASH} THEN {CASH} / sum(wanted) OVER (PARTITION BY d) ELSE 1e0 END, 2) AS allocated_dollars
   FROM (SELECT *, least({VALUE} * fraction, {VALUE * sizing.CAP}) AS wanted FROM kelly))""")
 def size_normalized(spark, sf_dir):
@@ -92,9 +96,13 @@ CTE["outcome"] = """SELECT id, strategy, ticker, d, entry_price, stop_loss, targ
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY holding) = 1"""
 
 
-@query("SELECT strategy, ticker, d, outcome, holding, outcome_date, return_pct FROM outcome")
+@query("""SELECT strategy, ticker, d, outcome, holding, outcome_date, return_pct FROM outcome
+  WHERE d <= (SELECT max(d) - CASE dayofweek(max(d)) WHEN 0 THEN 2 WHEN 6 THEN 1 ELSE 0 END - 14 FROM bars)""")
 def pos_outcomes(spark, sf_dir):
-    return positions.outcomes(held(spark, sf_dir), market.bars(spark, sf_dir))
+    """Outcomes of the positions that are ten business days old on the last bar's date."""
+    bars = market.bars(spark, sf_dir)
+    last = bars.agg(F.max("d")).first()[0]
+    return positions.outcomes(held(spark, sf_dir), bars, today=F.lit(last))
 
 
 def last_bars(spark, sf_dir) -> DataFrame:

@@ -336,31 +336,52 @@ def rank_tier_counts(spark, sf_dir):
     return ranking.scores(pool(spark, sf_dir)).groupBy("d", ranking.tier().alias("tier")).agg(F.count("*").alias("signals"))
 
 
-@query(f"SELECT {KEYS}, preliminary, row_number() OVER (PARTITION BY strategy, d ORDER BY preliminary DESC, ticker) AS place FROM ranked QUALIFY row_number() OVER (PARTITION BY strategy, d ORDER BY preliminary DESC, ticker) <= 5")
+@query(f"SELECT {KEYS}, preliminary, row_number() OVER (PARTITION BY strategy, d ORDER BY preliminary DESC, ticker) AS place FROM ranked QUALIFY row_number() OVER (PARTITION BY strategy, d ORDER BY preliminary DESC, ticker) <= 50")
 def rank_topk(spark, sf_dir):
-    """The five best of each pool before context."""
-    return ranking.top(ranking.scores(pool(spark, sf_dir)), 5, "preliminary", "strategy", "d").select("strategy", "ticker", "d", "preliminary", "place")
+    """The fifty best of each pool before context."""
+    return ranking.top(ranking.scores(pool(spark, sf_dir)), 50, "preliminary", "strategy", "d").select("strategy", "ticker", "d", "preliminary", "place")
 
 
 CTE["placed"] = "SELECT *, CASE strategy " + " ".join(f"WHEN '{s}' THEN {k}" for k, s in enumerate(strategies.ORDER)) + " END AS reg FROM all_signals"
 CTE["deduped"] = "SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY d, ticker ORDER BY quality_score DESC, reg) = 1"
 
 
-@query("SELECT d, ticker, strategy, quality_score FROM deduped")
+# what each scan's ranker hands on: written from the rules of the scans, blocked signals out
+CTE["handed"] = """SELECT * FROM all_signals WHERE guard_reason IS NULL QUALIFY row_number() OVER (PARTITION BY strategy, d ORDER BY CASE strategy WHEN 'csm' THEN coalesce(returns_3m, 0e0) ELSE composite_score END DESC,
+  CASE strategy WHEN 'csm' THEN -composite_score WHEN 'pead' THEN CAST(coalesce(days_since, 5) AS DOUBLE) ELSE 0e0 END, ticker)
+  <= CASE strategy WHEN 'trend' THEN 5 WHEN 'mean_reversion' THEN 5 WHEN 'csm' THEN 5 WHEN 'sector' THEN 3 WHEN 'pead' THEN 3 WHEN 'high_52w' THEN 3 ELSE 50 END"""
+CTE["chosen"] = "SELECT * FROM (SELECT *, CASE strategy " + " ".join(f"WHEN '{s}' THEN {k}" for k, s in enumerate(strategies.ORDER)) + " END AS reg FROM handed) QUALIFY row_number() OVER (PARTITION BY d, ticker ORDER BY quality_score DESC, reg) = 1"
+
+
+def handed(spark, sf_dir) -> DataFrame:
+    return ranking.by_strategy(scan_union(spark, sf_dir))
+
+
+@query("SELECT strategy, d, ticker, composite_score, returns_3m, days_since FROM handed")
+def rank_by_strategy(spark, sf_dir):
+    """What each scan hands on: unblocked, in its own order, capped."""
+    return handed(spark, sf_dir).select("strategy", "d", "ticker", "composite_score", "returns_3m", "days_since")
+
+
+@query("SELECT strategy, d, count(*) AS signals, count(*) FILTER (guard_reason IS NOT NULL) AS blocked FROM all_signals GROUP BY strategy, d")
+def rank_blocked(spark, sf_dir):
+    """Signals and blocked ones of each scan and date."""
+    return scan_union(spark, sf_dir).groupBy("strategy", "d").agg(F.count("*").alias("signals"), F.count("guard_reason").alias("blocked"))
+
+
+@query("SELECT d, ticker, strategy, quality_score FROM chosen")
 def rank_dedupe(spark, sf_dir):
-    return ranking.best_of_ticker(scan_union(spark, sf_dir)).select("d", "ticker", "strategy", "quality_score")
+    return ranking.best_of_ticker(handed(spark, sf_dir)).select("d", "ticker", "strategy", "quality_score")
 
 
 @query("""SELECT d, ticker, strategy, composite_score, place FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY composite_score DESC, ticker) AS place
-  FROM (SELECT *, max(composite_score) OVER (PARTITION BY d) AS best FROM deduped) WHERE best < 80 OR composite_score >= 80) WHERE place <= 3""")
+  FROM (SELECT *, max(composite_score) OVER (PARTITION BY d) AS best FROM chosen) WHERE best < 80 OR composite_score >= 80) WHERE place <= 3""")
 def rank_quality_gate(spark, sf_dir):
-    best = ranking.best_of_ticker(scan_union(spark, sf_dir))
+    best = ranking.best_of_ticker(handed(spark, sf_dir))
     return ranking.quality_gate(best).select("d", "ticker", "strategy", "composite_score", "place")
 
 
-@query("""SELECT strategy, d, ticker, composite_score FROM all_signals QUALIFY row_number() OVER (PARTITION BY strategy, d ORDER BY composite_score DESC, ticker) <= CASE strategy """ + " ".join(f"WHEN '{s}' THEN {k}" for s, k in strategies.CAPS.items()) + " ELSE 5 END")
+@query("SELECT strategy, d, count(*) AS handed_on, min(composite_score) AS least FROM handed GROUP BY strategy, d")
 def rank_strategy_caps(spark, sf_dir):
-    """Each scan's cap on signals a date."""
-    caps = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in strategies.CAPS.items() for x in pair)), C("strategy")), F.lit(5))
-    w = Window.partitionBy("strategy", "d").orderBy(F.desc("composite_score"), "ticker")
-    return scan_union(spark, sf_dir).withColumn("_n", F.row_number().over(w)).where(C("_n") <= caps).select("strategy", "d", "ticker", "composite_score")
+    """How many signals each scan hands on under its cap, and the lowest score among them."""
+    return handed(spark, sf_dir).groupBy("strategy", "d").agg(F.count("*").alias("handed_on"), F.min("composite_score").alias("least"))

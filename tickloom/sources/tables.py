@@ -134,6 +134,41 @@ def replace_table(spark: SparkSession, rows: DataFrame, path: str) -> None:
     fs.delete(where(before), True)
 
 
+def inserted(target: DataFrame, new: DataFrame, kept: Column) -> DataFrame:
+    """``target``'s rows for which ``kept`` holds, and the new rows; columns that one side lacks are null."""
+    return target.where(F.coalesce(kept, F.lit(False))).unionByName(new, allowMissingColumns=True)
+
+
+def current(rows: DataFrame, stamp: str, now: Column, hours: float) -> DataFrame:
+    """Cached rows that were written within the last ``hours``; rows without a time are out of date."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(C(stamp).cast("timestamp"))
+    return rows.where(age.between(0, int(hours * 3600)))
+
+
+def covers(stored: DataFrame, first: str, last: str) -> DataFrame:
+    """For each ticker of a store, whether its bars reach over a range of dates."""
+    return stored.groupBy("ticker").agg(((F.min("d") <= F.lit(first).cast("date")) & (F.max("d") >= F.lit(last).cast("date"))).alias("covered"))
+
+
+def quote(*sources: str) -> Column:
+    """The first positive price of several quote sources, in order of preference."""
+    return F.coalesce(*(F.when(C(s) > 0, C(s)) for s in sources))
+
+
+MODES = ("force", "incremental", "local")
+
+
+def refresh_mode(*choices: str | None, ci: bool = False) -> str:
+    """The first of the choices (flag, argument, environment) that names a mode; else incremental on a build server, local elsewhere."""
+    named = (c.strip().lower() for c in choices if c)
+    return next((c for c in named if c in MODES), "incremental" if ci else "local")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header, in the given schema; unreadable values are null."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
