@@ -1,6 +1,7 @@
 """Operators against loops and hand-computed values."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import percentile_rank
 from tickloom.functions.recursive import decayed_sums, ema, from_first, wilder_sum
-from tickloom.operators import backtest, calendar, indicators, joins, positions, ranking, regime, sizing
+from tickloom.operators import backtest, calendar, final, indicators, joins, positions, ranking, regime, sizing
 from tickloom.sources import tables
 from tickloom.streaming import ticks
 
@@ -214,3 +215,68 @@ def test_stream_equals_batch(spark, tmp_path):
     out.awaitTermination()
     got = sorted(map(tuple, spark.table("tick_bars").where("ticker <> 'T9'").collect()))
     assert got == sorted(map(tuple, ticks.tick_bars(frame).collect())) and len(got) > 10
+
+
+# --- rank steps, final rows and stores -----------------------------------------------------------------
+
+
+def signal_rows(spark):
+    rows = [("csm", "A", 50.0, 12.0, None, None), ("csm", "B", 90.0, 30.0, None, None), ("csm", "C", 95.0, 40.0, None, "few trades"), ("csm", "D", 60.0, 12.0, None, None)]
+    rows += [("pead", "A", 70.0, 1.0, 4, None), ("pead", "B", 70.0, 2.0, 1, None), ("pead", "C", 80.0, 2.0, 5, None), ("pead", "D", 70.0, 2.0, None, None)]
+    return spark.createDataFrame([(*r, 1) for r in rows], "strategy string, ticker string, composite_score double, returns_3m double, days_since int, guard_reason string, d int")
+
+
+def test_scans_hand_on_unblocked_signals_in_their_own_order(spark):
+    found = ranking.by_strategy(signal_rows(spark)).orderBy("strategy", "scan_place").collect()
+    assert [(r.strategy, r.ticker) for r in found] == [("csm", "B"), ("csm", "D"), ("csm", "A"), ("pead", "C"), ("pead", "B"), ("pead", "A")]
+
+
+def test_open_tickers_are_not_recommended_again(spark):
+    held = spark.createDataFrame([("b", 1), ("A", 2)], "ticker string, d int")
+    assert {r.ticker for r in final.without_open(signal_rows(spark), held).collect()} == {"A", "C", "D"}
+
+
+def test_candidates_have_all_fields_and_defaults(spark):
+    rows = spark.createDataFrame([("X", "12.5", "bad", None, 33.0, True)], "ticker string, price string, stop_loss string, target_1 double, win_rate double, is_blocked boolean")
+    r = final.candidates(rows).first()
+    assert len(r) == 45 and (r.ticker, r.price, r.stop_loss, r.target_1, r.past_win_rate, r.is_blocked, r.position_sizing, r.tier_label) == ("X", 12.5, 0.0, None, 33.0, False, "50/30/20", "Unrated")
+
+
+def test_size_labels_name_shares(spark):
+    rows = spark.createDataFrame([(1, 0.04, 100.0), (1, 0.04, 1000.0), (1, 0.0, 10.0)], "d int, fraction double, entry_price double").withColumns({"portfolio_value": F.lit(10000.0), "cash": F.lit(1e6)})
+    assert sorted(r.position_sizing for r in sizing.normalised(rows, "d").collect()) == ["K: 0.0%", "K: 4.0% (0.40 sh)", "K: 4.0% (4 sh)"]
+
+
+def test_a_range_prunes_months_and_a_swap_keeps_a_table(spark, tmp_path):
+    day = dt.date(2000, 1, 5)
+    bars = spark.createDataFrame([("A", day + dt.timedelta(days=20 * k), 1.0, 2.0, 0.5, 1.5, 9.0) for k in range(12)], tables.BAR)
+    path = f"file://{tmp_path}/bars"
+    tables.write_bars(bars, path)
+    some = tables.read_bars(spark, path, "2000-03-01", "2000-04-30")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and {r.d.month for r in some.collect()} == {3, 4}
+    tables.write_bars(bars, path)  # the same months again: replaced, not added
+    assert tables.read_bars(spark, path).count() == 12
+    own = f"file://{tmp_path}/table"
+    tables.replace_table(spark, bars, own)
+    tables.replace_table(spark, spark.read.parquet(own).limit(5), own)
+    assert spark.read.parquet(own).count() == 5
+    # a swap that stopped halfway is taken back before the next one
+    os.rename(f"{tmp_path}/table", f"{tmp_path}/table__before")
+    tables.replace_table(spark, bars, own)
+    assert spark.read.parquet(own).count() == 12 and not os.path.exists(f"{tmp_path}/table__before")
+
+
+def test_refresh_modes_and_quotes(spark):
+    assert [tables.refresh_mode(*c, ci=ci) for c, ci in (((None, "FORCE"), True), (("odd", None), True), ((), False), (("local", "force"), True))] == ["force", "incremental", "local", "local"]
+    row = spark.createDataFrame([(None, 0.0, 3.0, 4.0)], "a double, b double, c double, e double")
+    assert row.select(tables.quote("a", "b", "c", "e")).first()[0] == 3.0
+
+
+def test_outcomes_look_no_further_than_their_bars(spark):
+    day = dt.date(2000, 1, 3)
+    bars = spark.createDataFrame([("A", day + dt.timedelta(days=k), k, 10.0 + (k == 30), 9.0, 9.5) for k in range(60)], "ticker string, d date, t int, high double, low double, close double")
+    signals = spark.createDataFrame([("s", "A", day + dt.timedelta(days=k), 9.4, 8.0, 10.5, 11.0, 12.0) for k in (5, 25, 55)], "strategy string, ticker string, d date, entry_price double, stop_loss double, target_1 double, target_2 double, target_3 double")
+    found = {r.d: (r.outcome, r.holding) for r in positions.outcomes(signals, bars).collect()}
+    assert found == {day + dt.timedelta(days=5): ("expired", 20), day + dt.timedelta(days=25): ("hit_t2", 5)}
+    assert positions.outcomes(signals, bars, today=F.lit(day + dt.timedelta(days=25))).count() == 1

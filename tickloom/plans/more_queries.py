@@ -181,15 +181,17 @@ def store_coverage(spark, sf_dir):
     return tables.covers(market.bars(spark, sf_dir), "1994-01-01", "2000-01-01")
 
 
-@query("SELECT ticker, total_signals FROM (SELECT w.*, (SELECT max(d) FROM bars b WHERE b.ticker = w.ticker) AS updated FROM wide w) WHERE CAST('2001-10-01' AS DATE) - updated BETWEEN 0 AND 1200")
+@query("""SELECT w.ticker, total_signals FROM wide w JOIN (SELECT ticker, d FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY close DESC, d DESC) = 1) s ON w.ticker = s.ticker
+  WHERE DATE '2001-10-30' - s.d BETWEEN 0 AND 1200""")
 def metrics_current(spark, sf_dir):
-    """Cached metrics within their lifetime (1200 days before October 2001)."""
+    """Cached metrics within their lifetime: 1200 days before the end of October 2001, stamped with each ticker's day of highest close."""
     from tickloom.operators import indicators
     from tickloom.plans.signal_queries import wide_metrics
 
     bars = market.bars(spark, sf_dir)
-    stored = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars).join(bars.groupBy("ticker").agg(F.max("d").alias("updated")), "ticker")
-    return tables.current(stored, "updated", F.lit("2001-10-01").cast("timestamp"), 24 * 1200).select("ticker", "total_signals")
+    stamps = bars.groupBy("ticker").agg(F.max(F.struct("close", "d")).getField("d").alias("updated"))
+    stored = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars).join(stamps, "ticker")
+    return tables.current(stored, "updated", F.lit("2001-10-30").cast("timestamp"), 24 * 1200).select("ticker", "total_signals")
 
 
 @query("SELECT id, status, entry_price FROM held WHERE status = 'open' UNION ALL SELECT 'new:' || strategy || ':' || ticker || ':' || d, 'pending', entry_price FROM chosen")
