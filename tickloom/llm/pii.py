@@ -201,8 +201,9 @@ def revealing_terms(docs: DataFrame, marked: DataFrame, least: int, blur: float)
     parts = named.select("part", "mark", "copies").union(context.select("part", "mark", "copies"))
     parts = parts.groupBy("part", "mark").agg(F.sum("copies").alias("n")).groupBy("part").agg(F.sum("n").alias("n_p"), F.count("*").alias("of"))
     several = staged(parts.where(F.least(F.lit(2), F.lit(least)) <= F.col("of")), "parts")
-    met = named.join(several, "part").join(pairs.select("doc", "mark", "copies", "terms"), ["doc", "mark", "copies"])
-    met = met.select("part", "n_p", "of", "mark", "copies", "terms").union(context.join(several, "part").select("part", "n_p", "of", "mark", "copies", "terms"))
+    met = named.join(several.select("part"), "part", "left_semi").join(pairs.select("doc", "mark", "copies", "terms"), ["doc", "mark", "copies"])
+    # joined on the part last, so that the sums by part below find their rows together
+    met = met.select("part", "mark", "copies", "terms").union(context).join(several, "part")
     joint = met.select("part", "n_p", "of", "mark", "copies", F.explode("terms").alias("term"))
     joint = joint.groupBy("part", "n_p", "of", "term", "mark").agg(F.sum("copies").alias("n")).groupBy("part", "n_p", "of", "term").agg(F.sum("n").alias("n_tp"), F.count("*").alias("lines"))
     joint = staged(joint.where(F.least(F.lit(2), F.lit(least)) <= F.col("lines")), "joint")
