@@ -184,6 +184,40 @@ def test_jaccard_components(docs, rows, n, num, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
 
 
+def near_copies(copies: int):
+    """Copies of one text with a word or two exchanged, a chain that drifts away from it, and texts of their own."""
+    base = [f"w{i}" for i in range(60)]
+    chain = [[f"z{i}{j}" if i < j else w for i, w in enumerate(base)] for j in range(1, 12)]
+    edited = [[f"y{i}" if j in (i % 60, i * 7 % 60) else w for j, w in enumerate(base)] for i in range(copies)]
+    other = [[f"{k}o{i}" for i in range(40)] for k in range(9)]
+    return [(i, " ".join(words)) for i, words in enumerate([*chain, *edited, *other])]
+
+
+@pytest.mark.parametrize("block", [3, 8])
+def test_large_groups_are_joined_over_pivots(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMN_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CLUSTER_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
+    texts = near_copies(50)
+    found = ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 3, 80, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 3, 80, 100)
+
+
+def test_rows_of_one_label_are_not_dealt_to_pairs(spark):
+    """40 rows with one label, 6 with another, 5 without: every pair of different or no labels meets in one block pair."""
+    labels = [1] * 40 + [2] * 6 + [None] * 5
+    marked = spark.createDataFrame([(7, i, v) for i, v in enumerate(labels)], "root long, sid long, label long")
+    met, rows = {}, ngram_join._dealt(marked, "root", 8).collect()
+    for r in rows:
+        met.setdefault((r.x, r.y), []).append(r)
+    pairs = set()
+    for (x, y), group in met.items():
+        pairs |= {(a.sid, b.sid) for a in group for b in group if a.sid < b.sid and (x == y or a.block != b.block)}
+    different = {(i, j) for i in range(51) for j in range(i + 1, 51) if labels[i] is None or labels[i] != labels[j]}
+    assert different <= pairs and not any(labels[i] == labels[j] == 1 for i, j in pairs)
+    assert len(rows) < 51 * 5  # all pairs of seven blocks would take 51 * 7
+
+
 def test_rows_with_sketches_four_times_as_wide_link():
     grams = np.sort(np.random.default_rng(4).integers(0, 1 << 63, 104).astype(np.uint64))
     sets = [grams[:42], grams]  # a similarity of 42 / 104, over 0.4

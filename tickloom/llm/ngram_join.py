@@ -20,7 +20,9 @@ document id of its component.
    size-derived bound are dropped.  Again only a spanning forest leaves a task.
 5. Components of the exact links give the result.
 
-Nothing is capped: a column or cluster of any size is split into block pairs.
+Nothing is capped: a column or cluster of any size is split into block pairs.  Its
+rows are first multiplied with a few of them, and pairs of rows that this has put
+into one component need no block pair: they add nothing to the result.
 
 Defined cases: null or blank texts have an empty set, size 0, and link with
 nothing; fewer words than n make one n-gram of the whole sequence; texts of any
@@ -38,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
@@ -50,6 +52,7 @@ PARTS = 64  # pieces that the counters are sent in
 LEAST_PARITY = 128  # bits of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
 CLUSTER_BLOCK = 512  # rows of a cluster that one task multiplies
+PIVOTS = 128  # rows of a larger column or cluster that all its rows are multiplied with first, about
 MOST_WORDS = 400_000  # word hashes remembered by a worker
 SHARED, SHARED_PART = 16, 24  # leading n-grams that linked rows must share: so many, or a 24th of the row
 NO_ID = -(1 << 63)  # stands for a missing id in a filter
@@ -335,12 +338,59 @@ def _sets_of(batches, n: int, wanted: np.ndarray):
         yield as_batch(_SET, batch.column("doc_id"), [_set_id(s) for s in sets], [s.tobytes() for s in sets])
 
 
-def _in_blocks(rows: DataFrame, sizes: DataFrame, group: str, block: int) -> DataFrame:
-    """Deal each group's rows to blocks, with a row for every pair of blocks that needs it; ``sizes`` has the groups' ``members``."""
-    rows = rows.join(sizes, group).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("members", "blocks", "other")
+def _spread(blocks: str):
+    """The block of a row, by its set id."""
+    return F.pmod(F.xxhash64("sid", F.lit(7)), F.col(blocks)).cast("int")
+
+
+def _dealt(marked: DataFrame, group: str, block: int) -> DataFrame:
+    """Rows of large groups by pairs of blocks, for all pairs of rows but those with one label.
+
+    Labels with half a block of rows or more get blocks of their own, which are not
+    paired with each other; the rest share blocks that meet every block.
+    """
+    parts = marked.groupBy(group, "label").agg(F.count("*").alias("held"))
+    parts = parts.withColumn("part", F.when(F.col("held") * 2 >= block, F.col("label")))
+    sizes = parts.groupBy(group, "part").agg(F.ceil(F.sum("held") / block).cast("int").alias("blocks"))
+    whole = Window.partitionBy(group)
+    before = F.sum("blocks").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumns({"start": F.coalesce(before, F.lit(0)).cast("int"), "total": F.sum("blocks").over(whole).cast("int")})
+    sizes = sizes.withColumnsRenamed({group: "of", "part": "of_part"})
+    deal = parts.join(sizes, (F.col(group) == F.col("of")) & F.col("part").eqNullSafe(F.col("of_part")))
+    deal = deal.select("of", F.col("label").alias("of_label"), "part", "blocks", "start", "total")
+    rows = marked.join(deal, (F.col(group) == F.col("of")) & F.col("label").eqNullSafe(F.col("of_label")))
+    rows = rows.withColumn("block", F.col("start") + _spread("blocks"))
+    none = "cast(array() as array<int>)"
+    others = f"""if(part is null, sequence(0, total - 1), concat(
+        if(start > 0, sequence(0, start - 1), {none}), if(start + blocks < total, sequence(start + blocks, total - 1), {none})))"""
+    rows = rows.withColumn("other", F.explode(F.expr(others)))
+    return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+
+
+def _links(rows: DataFrame, sizes: DataFrame, group: str, block: int, attach, work) -> DataFrame:
+    """``a, b``: links whose components are those of all pairs that ``work`` links inside the groups.
+
+    A group of up to ``block`` rows is one block.  In a larger one every row is
+    multiplied with about ``PIVOTS`` of the group's rows first; rows joined by
+    that have one label, and only pairs with two labels, or none, are left for the
+    block pairs.  ``sizes`` has the groups' ``members``; ``attach`` adds what
+    ``work`` needs to the dealt rows.
+    """
+    names = [*rows.columns, "block", "x", "y"]
+    multiply = lambda dealt: _together(attach(dealt.select(*names)), group).transform(light_batches).mapInArrow(work, "a long, b long")
+    zero = F.lit(0)
+    alone = rows.join(sizes.where(F.col("members") <= block), group).withColumns({"block": zero, "x": zero, "y": zero})
+    large = staged(sizes.where(F.col("members") > block), "large")
+    if large.isEmpty():
+        return multiply(alone)
+    rows = staged(rows.distinct().join(large, group).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")), "large_rows")
+    own = rows.withColumn("block", _spread("blocks")).withColumns({"x": F.lit(-1), "y": F.col("block")})
+    pivots = rows.where(F.pmod(F.xxhash64("sid", F.lit(11)), F.ceil(F.col("members") / PIVOTS)) == 0)
+    pivots = pivots.withColumns({"block": F.lit(-1), "x": F.lit(-1)}).withColumn("y", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    labels = staged(components(multiply(own.select(*names).union(pivots.select(*names)))).toDF("sid", "label"), "labels")
+    marked = rows.drop("blocks").join(labels, "sid", "left")
+    left = _dealt(marked, group, block)
+    return multiply(alone.select(*names).union(left.select(*names))).union(labels.toDF("a", "b"))
 
 
 def _worth_a_look(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -370,20 +420,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     columns = entries = staged(entries, "columns")
     bits = bloom.bits_for(entries.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0, 4)
     twice = bloom.gathered(entries.transform(light_batches).mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
-    entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=twice, num=num, den=den), "key long, sid long, n long"), "shared")
+    shared = entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=twice, num=num, den=den), "key long, sid long, n long"), "shared")
     discard(columns)
     # the filter of owners lets a few copies through: one row of a set is enough
-    entries = _in_blocks(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK).distinct().join(distinct.select("sid", "parity"), "sid")
-    maybe = components(_together(entries, "key").transform(light_batches).mapInArrow(partial(_columns, num=num, den=den), "a long, b long"))
+    sketched = lambda dealt: dealt.distinct().join(distinct.select("sid", "parity"), "sid")
+    maybe = components(_links(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK, sketched, partial(_columns, num=num, den=den)))
+    discard(shared)
 
     members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least"), "sid"), "clusters")
     wanted = bloom.of_longs(members.select(F.coalesce("least", F.lit(NO_ID)).alias("least")), members.count())
     grams = docs.transform(light_batches).mapInArrow(partial(_sets_of, n=n, wanted=wanted), "doc_id long, sid long, grams binary")
     sizes = members.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = _in_blocks(members, sizes, "root", CLUSTER_BLOCK)
-    grams = grams.join(blocks, (grams["sid"] == blocks["sid"]) & grams["doc_id"].eqNullSafe(blocks["least"])).select(blocks["sid"], "root", "block", "x", "y", "grams")
-    links = _together(grams, "root").transform(light_batches).mapInArrow(partial(_clusters, num=num, den=den), "a long, b long")
-    found = components(links).toDF("sid", "root")
+    grams = staged(grams.toDF("doc_id", "set", "grams"), "grams")
+
+    def filled(blocks: DataFrame) -> DataFrame:
+        found = blocks.join(grams, (F.col("sid") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("least")))
+        return found.select("sid", "root", "block", "x", "y", "grams")
+
+    found = components(_links(members, sizes, "root", CLUSTER_BLOCK, filled, partial(_clusters, num=num, den=den))).toDF("sid", "root")
+    discard(grams)
 
     labelled = distinct.select("sid", "least").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
