@@ -77,6 +77,12 @@ def test_components_of_a_chain_a_star_and_pairs(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_chain_that_no_task_sees_whole(spark):
+    links = spark.range(2500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = components.components(links, chunk=1)  # a batch at a time
+    assert found.agg(F.count("*"), F.countDistinct("node"), F.max("root")).first()[:] == (2501, 2501, 0)
+
+
 # --- 1 sharding -------------------------------------------------------------------------------------
 
 
