@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, str] = {}  # folders of local applications without the setting
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``.
@@ -20,8 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
-        folder = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # the setting is the context's, which takes no new value once it runs
+        name = spark.sparkContext.applicationId
+        folder = _made[name] = _made.get(name) or "file://" + tempfile.mkdtemp(prefix="tickloom-")
     return folder.rstrip("/")
 
 
