@@ -1,4 +1,4 @@
-"""Historical signals, trade simulation by range joins, and metrics."""
+"""Historical signals, trade simulation by blocks of bars, and metrics."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 C = F.col
 COST = 0.10  # percent per trade
 SEARCH = 5  # bars in which an entry may trigger
+BLOCK = 64  # bars whose least low and greatest high are looked at first
 
 
 def signals(indicators: DataFrame, volume: float = 1.0, use: tuple[str, ...] = ("trend", "dip", "band", "volume")) -> DataFrame:
@@ -31,6 +32,22 @@ def signals(indicators: DataFrame, volume: float = 1.0, use: tuple[str, ...] = (
     return found.withColumn("target", F.round(C("entry") + 3 * (C("entry") - C("stop")), 2))
 
 
+def _first_touch(fills: DataFrame, bars: DataFrame) -> DataFrame:
+    """``fills`` with their first bar from ``entry_t`` on whose low reaches the stop or whose high the target, as struct ``x``.
+
+    A fill meets the lows and highs of blocks of ``BLOCK`` bars, and then only the
+    bars of its own block and of the first later block that reaches a price.
+    """
+    bars = bars.select("ticker", C("t").alias("bt"), "open", "high", "low", F.floor(C("t") / BLOCK).alias("_block"))
+    blocks = bars.groupBy("ticker", C("_block").alias("_later")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+    own = F.floor(C("entry_t") / BLOCK)
+    touched = (C("_later") > own) & ((C("_low") <= C("stop")) | (C("_high") >= C("target")))
+    later = fills.join(blocks, "ticker").groupBy(*fills.columns).agg(F.min(F.when(touched, C("_later"))).alias("_later"))
+    found = later.withColumn("_block", F.explode(F.array_compact(F.array(own, "_later")))).join(bars, ["ticker", "_block"])
+    found = found.where((C("bt") >= C("entry_t")) & ((C("low") <= C("stop")) | (C("high") >= C("target"))))
+    return found.groupBy(*fills.columns).agg(F.min(F.struct("bt", "open", "high", "low")).alias("x"))
+
+
 def simulate(signals: DataFrame, bars: DataFrame, idealised: bool = False) -> DataFrame:
     """Each signal with its fill and exit; outcome null while unresolved.
 
@@ -38,17 +55,15 @@ def simulate(signals: DataFrame, bars: DataFrame, idealised: bool = False) -> Da
     entry or a higher open.  Exit, from the entry bar on: a later bar that opens
     at or under the stop, an open at or over the target, then low against stop,
     then high against target.  ``idealised`` fills at entry, stop and target and
-    leaves costs out.  Both searches are equi-joins on the ticker with a bound on
-    the bar number, reduced to the first match by a grouped minimum.
+    leaves costs out.  A signal's own bar carries the next ones, so an entry costs
+    one row; an exit costs the ticker's blocks and the bars of two of them.
     """
-    later = bars.select(C("ticker").alias("_ticker"), C("t").alias("bt"), "open", "high", "low")
-    on_next = (C("ticker") == C("_ticker")) & (C("bt") > C("t")) & (C("bt") <= C("t") + SEARCH) & (C("high") >= C("entry"))
+    ahead = F.collect_list(F.struct(C("t").alias("bt"), "open", "high")).over(Window.partitionBy("ticker").orderBy("t").rowsBetween(1, SEARCH))
     keys = ["ticker", "d", "t", "entry", "stop", "target"]
-    fills = signals.join(later, on_next).groupBy(*keys).agg(F.min(F.struct("bt", "open")).alias("f"))
+    fills = signals.join(bars.select("ticker", "t", ahead.alias("_ahead")), ["ticker", "t"])
+    fills = fills.withColumn("f", F.get(F.filter("_ahead", lambda x: (x.high >= C("entry")) & (x.bt <= C("t") + SEARCH)), F.lit(0))).where("f is not null")
     fill = C("entry") if idealised else F.greatest(C("entry"), C("f.open"))
-    fills = fills.select(*keys, C("f.bt").alias("entry_t"), fill.alias("fill"))
-    on_exit = (C("ticker") == C("_ticker")) & (C("bt") >= C("entry_t")) & ((C("low") <= C("stop")) | (C("high") >= C("target")))
-    exits = fills.join(later, on_exit).groupBy(*keys, "entry_t", "fill").agg(F.min(F.struct("bt", "open", "high", "low")).alias("x"))
+    exits = _first_touch(fills.select(*keys, C("f.bt").alias("entry_t"), fill.alias("fill")), bars)
     gap_down = (C("x.bt") > C("entry_t")) & (C("x.open") <= C("stop"))
     gap_up = C("x.open") >= C("target")
     loss = F.when(gap_down, True).when(gap_up, False).otherwise(C("x.low") <= C("stop"))
