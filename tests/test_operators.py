@@ -162,6 +162,36 @@ def test_hmm_finds_separated_states():
     assert sorted(model[2][:, 0].round(0).tolist()) == [-1, 0, 1] and len(set(path[:80])) == len(set(path[160:])) == 1
 
 
+def test_hmm_is_fitted_anew_every_63_dates_and_decodes_from_its_table(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(m, 0.1, (50, 4)) for m in (-1, 0, 1)])
+    day = dt.date(2020, 1, 1)
+    rows = [(day + dt.timedelta(days=i), *map(float, r)) for i, r in enumerate(x)]
+    features = spark.createDataFrame(rows, ["d", *regime.FEATURES]).withColumn("d", F.col("d").cast("date"))
+    models = regime.hmm_models(features).cache()
+    assert sorted(r.fit_rows for r in models.collect()) == [63, 126]
+    found = regime.hmm_stored_regime(features, models, 40).orderBy("d").collect()
+    assert len(found) == 40 and {(r.fit_rows, r.regime) for r in found} == {(126, "bull")}
+    whole = regime.hmm_regime(features.where(F.col("d") < day + dt.timedelta(days=126)), 126).orderBy("d").collect()
+    again = regime.hmm_stored_regime(features.where(F.col("d") < day + dt.timedelta(days=126)), models, 126).orderBy("d").collect()
+    assert [r.regime for r in whole] == [r.regime for r in again]
+    assert {r.regime for r in regime.hmm_stored_regime(features, models.where("false")).collect()} == {"bull"}
+
+
+def test_exits_far_from_their_entry_and_on_block_borders(spark):
+    rng = np.random.default_rng(2)
+    walk = 100 + rng.normal(0, 1, 400).cumsum()
+    rows = [(float(c), float(c + 1), float(c - 1), float(c)) for c in walk]
+    table = bars(spark, rows)
+    at = [(t, float(rows[t][1] + 0.2), float(rows[t][2] - 1 - t % 9), float(rows[t][1] + 2 + t % 13)) for t in range(0, 390, 3)]
+    signals = spark.createDataFrame([("A", dt.date(2020, 1, 1) + dt.timedelta(days=t), t, e, s, g) for t, e, s, g in at], "ticker string, d date, t long, entry double, stop double, target double")
+    found = {r.t: (r.entry_t, None if r.outcome is None else r.entry_t + r.holding) for r in backtest.simulate(signals, table).collect()}
+    for t, e, s, g in at:
+        entry = next((k for k in range(t + 1, min(t + 6, 400)) if rows[k][1] >= e), None)
+        exit_ = None if entry is None else next((k for k in range(entry, 400) if rows[k][2] <= s or rows[k][1] >= g), None)
+        assert found[t] == ((None, None) if exit_ is None else (entry, exit_))
+
+
 def test_bar_store_refresh_and_upsert(spark, tmp_path):
     day = dt.date(2024, 1, 30)
     rows = spark.createDataFrame([("A", day + dt.timedelta(days=i), 1.0, 2.0, 0.5, 1.5 + i, 10.0) for i in range(6)], tables.BAR)

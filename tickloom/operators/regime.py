@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import full
@@ -108,3 +108,43 @@ def hmm_regime(features: DataFrame, recent: int = 120) -> DataFrame:
         return pd.DataFrame({"d": last["d"], "regime": [names[s] for s in best_path(last[FEATURES].to_numpy(), *model)]})
 
     return features.groupBy(F.lit("INDEX")).applyInPandas(label, "d date, regime string")
+
+
+MODEL = "fit_rows int, start array<double>, move array<array<double>>, mean array<array<double>>, cov array<array<array<double>>>"
+
+
+def hmm_models(features: DataFrame, every: int = 63) -> DataFrame:
+    """The parameters of each fit: on the first ``every`` dates, and anew on all dates so far whenever ``every`` have come since.
+
+    Every fit is a task of its own.  A date takes part in all later fits, which a
+    series of one row a date allows.
+    """
+    n = F.row_number().over(Window.partitionBy(F.lit("INDEX")).orderBy("d"))
+    total = F.count("*").over(Window.partitionBy(F.lit("INDEX")))
+    rows = features.withColumns({"n": n, "fits": F.floor(total / every).cast("int")}).withColumn("first", F.ceil(C("n") / every).cast("int"))
+    rows = rows.where("first <= fits").withColumn("fit_rows", F.explode(F.sequence(C("first") * every, C("fits") * every, F.lit(every))))
+
+    def fit(key, dates: pd.DataFrame) -> pd.DataFrame:
+        model = fit_hmm(dates.sort_values("d")[FEATURES].to_numpy())
+        return pd.DataFrame({"fit_rows": [key[0]], **{name: [part.tolist()] for name, part in zip(("start", "move", "mean", "cov"), model, strict=True)}})
+
+    return rows.groupBy("fit_rows").applyInPandas(fit, MODEL)
+
+
+def hmm_stored_regime(features: DataFrame, models: DataFrame, recent: int = 120) -> DataFrame:
+    """Regime of the last ``recent`` dates by the newest of the stored models; "bull" while there is none."""
+    newest = models.orderBy(F.desc("fit_rows")).limit(1)
+    last = features.orderBy(F.desc("d")).limit(recent)
+
+    def label(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("d")
+        if model.empty:
+            return pd.DataFrame({"d": rows["d"], "regime": "bull", "fit_rows": 0})
+        stored = model.iloc[0]
+        parts = [np.array([np.array([np.array(x) for x in y]) for y in stored[n]]) if n == "cov" else np.array([np.array(y) for y in stored[n]]) for n in ("start", "move", "mean", "cov")]
+        names = dict(zip(np.argsort(parts[2][:, 0]).tolist(), ("bear", "sideways", "bull"), strict=True))
+        path = best_path(rows[FEATURES].to_numpy(), *parts)
+        return pd.DataFrame({"d": rows["d"], "regime": [names[s] for s in path], "fit_rows": stored["fit_rows"]})
+
+    one = F.lit("INDEX")
+    return last.groupBy(one).cogroup(newest.groupBy(one)).applyInPandas(label, "d date, regime string, fit_rows int")

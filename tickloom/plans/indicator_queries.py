@@ -128,11 +128,14 @@ def ind_significant_highs(spark, sf_dir):
     return indicators.significant_highs(market.bars(spark, sf_dir))
 
 
-@query(f"""SELECT ticker, d, t, pattern, round(CASE WHEN pattern = 'engulfing' THEN close ELSE high * 1.001e0 END + 1e-9, 2) AS entry FROM (
+oracle.CTE["candle"] = f"""SELECT ticker, d, t, pattern, round(CASE WHEN pattern = 'engulfing' THEN close ELSE high * 1.001e0 END + 1e-9, 2) AS entry FROM (
   SELECT *, CASE WHEN close > open AND pc < po AND close >= po AND open <= pc THEN 'engulfing'
     WHEN abs(close - open) > 0 AND least(open, close) - low >= 2 * abs(close - open) AND high - greatest(open, close) <= 0.5e0 * abs(close - open) THEN 'hammer'
     WHEN high < ph AND low > pl THEN 'inside' END AS pattern
-  FROM (SELECT *, lag(open) {oracle.T} AS po, lag(close) {oracle.T} AS pc, lag(high) {oracle.T} AS ph, lag(low) {oracle.T} AS pl FROM bars)) WHERE pattern IS NOT NULL""")
+  FROM (SELECT *, lag(open) {oracle.T} AS po, lag(close) {oracle.T} AS pc, lag(high) {oracle.T} AS ph, lag(low) {oracle.T} AS pl FROM bars)) WHERE pattern IS NOT NULL"""
+
+
+@query("SELECT ticker, d, t, pattern, entry FROM candle")
 def pattern_candles(spark, sf_dir):
     return indicators.candles(market.bars(spark, sf_dir))
 
@@ -224,7 +227,9 @@ ABLATIONS = (
     ("no_dip", 1.0, ("trend", "band", "volume")), ("trend_only", 1.0, ("trend",)),
 )
 VOLUMES = (("1.5", 1.5, ABLATIONS[0][2]), ("1.2", 1.2, ABLATIONS[0][2]), ("1.0", 1.0, ABLATIONS[0][2]))
-_GATE = {"trend": "close > dma_50 AND dma_50 > dma_200", "dip": "rsi_min_10 < 45", "band": "rsi_14 BETWEEN 45 AND 65", "volume": "volume > {v!r} * volume_ma_20"}
+#: The same with a candle pattern as one more filter, and without each.
+CANDLE_ABLATIONS = (*((n, v, (*use, "candle")) for n, v, use in ABLATIONS[:-1]), ("no_candle", *ABLATIONS[0][1:]), ABLATIONS[-1])
+_GATE = {"candle": "EXISTS (SELECT 1 FROM candle WHERE candle.ticker = loose_trades.ticker AND candle.t = loose_trades.t)", "trend": "close > dma_50 AND dma_50 > dma_200", "dip": "rsi_min_10 < 45", "band": "rsi_14 BETWEEN 45 AND 65", "volume": "volume > {v!r} * volume_ma_20"}
 
 
 def _study(spark, sf_dir, variants) -> DataFrame:
@@ -236,7 +241,9 @@ def _study(spark, sf_dir, variants) -> DataFrame:
     found = indicators.all_indicators(bars)
     trades = backtest.simulate(backtest.signals(found, use=()), bars)
     flags = found.select("ticker", "t", "close", "dma_50", "dma_200", "rsi_min_10", "rsi_14", "volume", "volume_ma_20")
-    gates = {"trend": (C("close") > C("dma_50")) & (C("dma_50") > C("dma_200")), "dip": C("rsi_min_10") < 45, "band": C("rsi_14").between(45, 65)}
+    if any("candle" in use for _, _, use in variants):
+        flags = flags.join(indicators.candles(bars).select("ticker", "t", F.lit(True).alias("candle")), ["ticker", "t"], "left")
+    gates = {"candle": C("candle"), "trend": (C("close") > C("dma_50")) & (C("dma_50") > C("dma_200")), "dip": C("rsi_min_10") < 45, "band": C("rsi_14").between(45, 65)}
 
     def mask(v: float, use) -> F.Column:
         return reduce(lambda a, b: a & b, [gates.get(u, C("volume") > v * C("volume_ma_20")) for u in use])
@@ -260,6 +267,11 @@ def study_ablation(spark, sf_dir):
     return _study(spark, sf_dir, ABLATIONS)
 
 
+@query(_study_sql(CANDLE_ABLATIONS))
+def study_ablation_candles(spark, sf_dir):
+    return _study(spark, sf_dir, CANDLE_ABLATIONS)
+
+
 @query(_study_sql(VOLUMES))
 def study_volume(spark, sf_dir):
     return _study(spark, sf_dir, VOLUMES)

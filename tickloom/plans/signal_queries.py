@@ -81,6 +81,20 @@ def hmm_regime(spark, sf_dir):
     return regime.hmm_regime(indicators.hmm_features(index, market.volatility_index(index)))
 
 
+@query(None)
+def hmm_models(spark, sf_dir):
+    index = market.index_bars(market.bars(spark, sf_dir))
+    return regime.hmm_models(indicators.hmm_features(index, market.volatility_index(index)))
+
+
+@query(None)
+def hmm_stored_regime(spark, sf_dir):
+    """The regime by the parameters table, written and read again."""
+    index = market.index_bars(market.bars(spark, sf_dir))
+    features = shared.written(indicators.hmm_features(index, market.volatility_index(index)), "hmm_features")
+    return regime.hmm_stored_regime(features, shared.written(regime.hmm_models(features), "hmm_models"))
+
+
 # --- scans, in SQL written from the rules -----------------------------------------------------------
 
 _EXP = {True: "WHEN expectancy_pct >= -5 THEN 5 ELSE 0", False: "ELSE 5"}
