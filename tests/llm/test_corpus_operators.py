@@ -570,7 +570,7 @@ def test_queries_against_sql(spark):
     from tickloom.llm import queries
 
     c = duckdb.connect()
-    for name in ("documents", "labels", "benchmark"):
+    for name in ("documents", "labels", "benchmark", "conversations"):
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         found, expected = queries.QUERIES[name](spark, SF), c.sql(sql)

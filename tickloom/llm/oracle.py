@@ -41,3 +41,43 @@ SHARDS = """
 SELECT doc_id, lang AS arrival, sha256(coalesce(text, '')) AS text_sha256, count(*) OVER () AS manifest_rows,
        arrivals, CAST(0 AS BIGINT) AS arrivals_again, arrivals >= 4 AS merged
 FROM documents, (SELECT count(DISTINCT coalesce(lang, 'none')) AS arrivals FROM documents)"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+said AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
+asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((CAST(2 AS DOUBLE) * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, said GROUP BY term, docs),
+scores AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+           FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), said GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+#: The root's key is empty; a node's key adds the digests of its last turn to its parent's.
+TRIE = """
+WITH RECURSIVE turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+                                md5(coalesce(role, '')) || md5(coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM turns),
+crc(c, s, i, v) AS (
+    SELECT c, s, 0, 4294967295::BIGINT FROM convs
+    UNION ALL
+    SELECT c, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+    FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(v, ascii(substr(s, i // 8 + 1, 1))::BIGINT) ELSE v END AS x FROM crc WHERE i < 8 * length(s))),
+heads AS (SELECT c, xor(v, 4294967295::BIGINT) % 9 AS h FROM crc WHERE i = 8 * length(s)),
+rebuilt AS (SELECT h.c, 0 AS piece, t.i, t.k, t.bytes FROM heads h JOIN turns t ON t.c = h.c - h.c % 5 AND t.i <= h.h
+            UNION ALL SELECT h.c, 1, t.i, t.k, t.bytes FROM heads h JOIN turns t ON t.c = h.c AND t.i > h.h),
+paths AS (SELECT c, row_number() OVER w AS depth, string_agg(k, '') OVER w AS path, bytes FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY piece, i)
+          UNION ALL SELECT c, 0, '', 0 FROM convs),
+lengths AS (SELECT c, max(depth) AS n FROM paths GROUP BY c),
+nodes AS (SELECT path, depth, min(p.c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+                 sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (depth = n), '')) AS ends_sha256
+          FROM paths p JOIN lengths l ON p.c = l.c GROUP BY path, depth),
+children AS (SELECT left(path, 64 * (depth - 1)) AS parent, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+each AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k ON k.parent = n.path),
+below AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved
+          FROM each a JOIN each b ON b.depth >= a.depth AND starts_with(b.path, a.path) GROUP BY a.path)
+SELECT e.conv_id, e.depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, e.ends_sha256
+FROM each e JOIN below b ON e.path = b.path LEFT JOIN nodes p ON e.depth > 0 AND p.path = left(e.path, 64 * (e.depth - 1))"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, decontam, exact_dedup, line_dedup, ngram_join, oracle, pii, quality, sharding, token_counts, toxicity
+from tickloom.llm import bpe, decontam, exact_dedup, lexical, line_dedup, lm, ngram_join, oracle, pii, quality, sharding, token_counts, toxicity, trie
 from tickloom.llm.common import shared_folder, staged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -95,6 +95,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text under a trigram model of the training fold, and under exact counts of single words."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(lm.fold(F.col("doc_id")) == 1, F.lit(False))
+    scores = lm.score(docs, lm.train(docs.where(~held_out)))
+    return scores.select("doc_id", F.coalesce(lm.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -106,6 +124,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,4 +134,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": oracle.ngram_components(3, 90, 100),
     "op5_exact_dedup": oracle.EXACT_GROUPS,
     "op6_line_dedup": oracle.LINES,
+    "op12_ranked_search": oracle.RANKED,
+    "op13_prefix_trie": oracle.TRIE,
 }
