@@ -4,13 +4,14 @@ All items are searched together, in three phases over postings that are
 partitioned and sorted by term and weight (a list that many documents are on is
 spread over partitions by its weights):
 
-1. The head of each list gives partial scores; an item's k-th best partial score
-   is a lower bound of its k-th best score.
-2. A document that reaches this bound has a list in which it reaches an equal
-   share of it (the bound over the item's number of lists).  So every list is cut
-   at that share, whatever its length, and all postings over it are fetched.  They
-   give better partial scores, a better bound, and an upper bound for each
-   document: a list in which it was not fetched adds less than the share.
+1. The documents at the heads of an item's lists are scored; the item's k-th best
+   of these scores is a lower bound of its k-th best score.
+2. All lists of an item are cut at one threshold: the largest at which a document
+   under it in every list stays below the bound (a list adds its first posting at
+   most, which the head tells).  All postings over it are fetched, whatever the
+   lists' lengths.  They give partial scores, hence a better bound, and an upper
+   bound for each document: a list in which it was not fetched adds the threshold
+   or the list's first posting at most.
 3. The exact scores of documents whose upper bound reaches the bound are looked up
    in the documents' own terms.
 
@@ -113,28 +114,36 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     lists = staged(lists.withColumn("lists", F.count("*").over(Window.partitionBy("item_id"))).select("item_id", "term", "worth", "lists"), "lists")
     ranked = postings.where("doc_id is not null")
 
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Scores of pairs of item and row, from all terms of the row."""
+        each = pairs.join(rows.select("row", "doc_id", m.alias("m"), "terms", "tfs"), "row").select("item_id", "row", "doc_id", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+        each = each.select("item_id", "row", "doc_id", C("x.terms").alias("term"), F.expr(f"({SCALE}L * x.tfs) div (1000L * x.tfs + 8L * m)").alias("part"))
+        return each.join(lists, ["item_id", "term"]).groupBy("item_id", "row", "doc_id").agg(F.sum(C("worth") * C("part")).alias("score"))
+
     best = Window.partitionBy("term").orderBy(F.desc("part"), "row")
-    heads = ranked.withColumn("_rank", F.row_number().over(best)).where(C("_rank") <= k).select("term", "part", "row")
-    partial = heads.join(lists, "term").groupBy("item_id", "row").agg(F.sum(C("worth") * C("part")).alias("seen"))
-    bounds = staged(_kth(partial, "seen", k), "bounds")
+    heads = staged(ranked.withColumn("_rank", F.row_number().over(best)).where(C("_rank") <= k).select("term", "part", "row"), "heads")
+    bounds = _kth(exact(heads.join(lists, "term").select("item_id", "row").distinct()), "score", k)
+
+    # the threshold: lists that cannot reach it (the first of them, by their first posting) leave it to the others
+    tops = lists.join(heads.groupBy("term").agg(F.max("part").alias("first")), "term").join(bounds, "item_id").withColumn("top", C("worth") * C("first"))
+    low = Window.partitionBy("item_id").orderBy("top", "term")
+    before = F.coalesce(F.sum("top").over(low.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.withColumns({"_sum": before, "_left": C("lists") - F.row_number().over(low) + 1})
+    tops = tops.withColumn("_share", F.when(C("bound") > 0, F.expr("(bound - 1 - _sum) div _left")).otherwise(F.lit(-1)))
+    share = F.coalesce(F.min(F.when(C("top") >= C("_share"), F.struct(-C("_left"), "_share"))).over(Window.partitionBy("item_id"))["_share"], F.lit(-1))
+    tops = tops.withColumn("share", share).withColumn("most", F.greatest(F.lit(0), F.least("share", "top")))
+    cuts = tops.select("item_id", "term", "worth", "bound", "most", F.when(C("share") < 0, F.lit(0)).otherwise(F.expr("share div worth + 1")).alias("cut"), F.sum("most").over(Window.partitionBy("item_id")).alias("unseen"))
+    cuts = staged(cuts, "cuts")
 
-    # the least part that a list's posting must have: worth * part * lists >= bound
-    cut = F.expr("(bound + worth * lists - 1) div (worth * lists)")
-    cuts = staged(lists.join(bounds, "item_id").withColumn("cut", cut), "cuts")
     over = ranked.join(cuts.groupBy("term").agg(F.min("cut").alias("least")), "term").where("part >= least").select("term", "part", "row")
-    fetched = over.join(cuts, "term").where("part >= cut")
-    fetched = fetched.groupBy("item_id", "row").agg(F.sum(C("worth") * C("part")).alias("seen"), F.count("*").alias("of"), F.first("lists").alias("lists"), F.first("bound").alias("bound"))
-    fetched = staged(fetched, "fetched")
-    better = _kth(fetched, "seen", k).withColumnRenamed("bound", "better")
-    unseen = F.expr("case when bound > 0 then (bound - 1) div lists else 0 end")
-    wanted = fetched.join(better, "item_id").where(C("seen") + (C("lists") - C("of")) * unseen >= F.greatest("better", "bound"))
-    wanted = staged(wanted.select("item_id", "row"), "wanted")
-
-    looked_up = wanted.join(rows.select("row", "doc_id", m.alias("m"), "terms", "tfs"), "row").select("item_id", "row", "doc_id", "m", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
-    exact = looked_up.select("item_id", "row", "doc_id", C("x.terms").alias("term"), F.expr(f"({SCALE}L * x.tfs) div (1000L * x.tfs + 8L * m)").alias("part"))
-    exact = exact.join(lists, ["item_id", "term"]).groupBy("item_id", "row", "doc_id").agg(F.sum(C("worth") * C("part")).alias("score")).where("score > 0")
+    # a document's postings meet first, and then the items: pairs of the two are summed where they arise
+    fetched = over.repartition("row").join(cuts, "term").where("part >= cut").withColumn("seen", C("worth") * C("part"))
+    fetched = fetched.groupBy("row", "item_id").agg(F.sum("seen").alias("seen"), (F.first("unseen") + F.sum(C("seen") - C("most"))).alias("upper"), F.first("bound").alias("bound"))
+    fetched = staged(fetched.where("upper >= bound"), "fetched")
+    wanted = fetched.join(_kth(fetched, "seen", k).withColumnRenamed("bound", "better"), "item_id").where("upper >= better").select("item_id", "row")
+    wanted = staged(wanted, "wanted")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "row")
-    out = staged(exact.withColumn("rank", F.row_number().over(order)).where(C("rank") <= k).select("item_id", "rank", "doc_id", "score"), "ranked")
-    for table in (asked, rows, postings, lists, bounds, cuts, fetched, wanted):
+    out = staged(exact(wanted).where("score > 0").withColumn("rank", F.row_number().over(order)).where(C("rank") <= k).select("item_id", "rank", "doc_id", "score"), "ranked")
+    for table in (asked, rows, postings, lists, heads, cuts, fetched, wanted):
         discard(table)
     return out
