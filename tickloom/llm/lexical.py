@@ -44,6 +44,7 @@ from tickloom.llm.common import as_batch, discard, light_batches, sent, small_ba
 from tickloom.llm.words import NO_TERM, Splitter
 
 C = F.col
+MOST_LISTS = 1 << 20  # lists of all items (some 40 bytes each) that are broadcast; beyond, they are joined by shuffles
 SCALE, LENGTH = 1_000_000_000, 75  # fixed values of the ranking rule: scale of a part, percent of length in its denominator
 
 _ITEM = pa.schema([("item_id", pa.int64()), ("term", pa.int64()), ("q", pa.int64())])
@@ -134,10 +135,11 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     tops = tops.withColumn("share", share).withColumn("most", F.greatest(F.lit(0), F.least("share", "top")))
     cuts = tops.select("item_id", "term", "worth", "bound", "most", F.when(C("share") < 0, F.lit(0)).otherwise(F.expr("share div worth + 1")).alias("cut"), F.sum("most").over(Window.partitionBy("item_id")).alias("unseen"))
     cuts = staged(cuts, "cuts")
+    sides = F.broadcast(cuts) if lists.count() <= MOST_LISTS else cuts
 
     over = ranked.join(cuts.groupBy("term").agg(F.min("cut").alias("least")), "term").where("part >= least").select("term", "part", "row")
     # a document's postings meet first, and then the items: pairs of the two are summed where they arise
-    fetched = over.repartition("row").join(cuts, "term").where("part >= cut").withColumn("seen", C("worth") * C("part"))
+    fetched = over.repartition("row").join(sides, "term").where("part >= cut").withColumn("seen", C("worth") * C("part"))
     fetched = fetched.groupBy("row", "item_id").agg(F.sum("seen").alias("seen"), (F.first("unseen") + F.sum(C("seen") - C("most"))).alias("upper"), F.first("bound").alias("bound"))
     fetched = staged(fetched.where("upper >= bound"), "fetched")
     wanted = fetched.join(_kth(fetched, "seen", k).withColumnRenamed("bound", "better"), "item_id").where("upper >= better").select("item_id", "row")
