@@ -143,6 +143,27 @@ def test_groups_of_a_merge_stay_near_the_target(spark, tmp_path):
     assert len(sizes) < 20 and max(sizes.values()) <= 1.6 * target and store.read().count() == 2000
 
 
+def test_similar_sizes_make_a_run_wherever_they_lie():
+    kb = lambda *sizes: [(s << 10, f"p{i}") for i, s in enumerate(sizes)]
+    merged = lambda shards, fan_in=4: [[s >> 10 for s, _ in run] for run in sharding.similar_runs(shards, fan_in)]
+    assert merged(kb(255, 257), 2) == [[255, 257]] and merged(kb(250, 255, 257, 260)) == [[250, 255, 257, 260]]
+    assert merged(kb(97, 109, 123, 520)) == [] and merged(kb(97, 109, 123, 388)) == [[97, 109, 123, 388]]
+    assert merged(kb(1, 2, 3, 60)) == [[1, 2, 3, 60]]  # the smallest count as equal
+    assert merged(kb(70, 300, 1000, 1001, 1002, 4000, 16000)) == [[300, 1000, 1001, 1002]]
+    assert merged(kb(500, 500, 500, 500)) == [[500] * 4] and merged([]) == []
+    rng = random.Random(3)
+    for _ in range(200):  # sixteen shards under half the target always hold a run
+        assert sharding.similar_runs(sorted((int(65536 * 1024 ** rng.random()), str(i)) for i in range(16)), 4)
+
+
+def test_shards_of_equal_size_merge_in_order_of_their_paths(spark, rows, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", docs.schema, fan_in=3)
+    for k in range(7):
+        store.append(docs.coalesce(1), f"day{k}")
+    shards = store.manifest().collect()
+    assert len(shards) < 7 and sum(s.rows for s in shards) == 7 * len(rows) == store.read().count()
+
+
 def test_shards_of_nothing_and_of_odd_names(spark, empty, docs, rows, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", empty.schema)
     assert store.read().count() == 0 and store.append_by(empty, F.col("lang")) == [] and not store.compact() and store.vacuum() == 0

@@ -38,9 +38,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 SHARDS = """
-SELECT doc_id, lang AS arrival, sha256(coalesce(text, '')) AS text_sha256, count(*) OVER () AS manifest_rows,
-       arrivals, CAST(0 AS BIGINT) AS arrivals_again, arrivals >= 4 AS merged
-FROM documents, (SELECT count(DISTINCT coalesce(lang, 'none')) AS arrivals FROM documents)"""
+WITH named AS (SELECT *, coalesce(lang, 'none') || coalesce('-' || CAST(((doc_id % 4) + 4) % 4 AS VARCHAR), '') AS arrival FROM documents)
+SELECT doc_id, arrival, sha256(coalesce(text, '')) AS text_sha256, count(*) OVER () AS manifest_rows,
+       arrivals, CAST(0 AS BIGINT) AS arrivals_again, arrivals >= 16 AS merged
+FROM named, (SELECT count(DISTINCT arrival) AS arrivals FROM named)"""
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 

@@ -1,10 +1,12 @@
 """Shards by size-tiered compaction, with a versioned manifest.
 
 An arrival is written as small immutable Parquet shards and becomes visible with
-the manifest version that lists it.  Shards of a similar size (a tier spans a
-factor of ``fan_in``) are merged once a tier holds ``fan_in`` of them, into files
-of about ``target`` bytes; files that have reached half the target are left alone, so
-a row is rewritten about once per tier.  A merge is one Spark job over all groups
+the manifest version that lists it.  Shards of a similar size are merged into files of
+about ``target`` bytes: sorted by size, ``fan_in`` or more shards of which the largest
+has at most ``fan_in`` times the bytes of the smallest make a run, wherever their sizes
+lie.  Files that have reached half the target are left alone, so a row is rewritten
+about once per factor of ``fan_in``, and at most ``fan_in - 1`` small shards stay for
+each such factor between ``SMALLEST`` bytes and half the target.  A merge is one Spark job over all groups
 of a compaction: every group (less than one and a half targets of shards) goes to
 one task, whatever the source or key of its rows.
 
@@ -27,8 +29,8 @@ schema.  A version file that a crash has torn is passed over.
 
 from __future__ import annotations
 
+import bisect
 import uuid
-from itertools import groupby
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +40,8 @@ from pyspark.sql.types import StructType
 from tickloom.llm.common import fresh
 from tickloom.llm.versions import Versions
 
-MANIFEST = "path string, batch string, tier int, bytes long, rows long"
-SMALLEST = 1 << 16  # bytes; smaller shards share the lowest tier
+MANIFEST = "path string, batch string, bytes long, rows long"
+SMALLEST = 1 << 16  # bytes; smaller shards count as of this size
 MOST_FILES = 50_000  # shards that one merge job reads; a compaction takes as many jobs as it needs
 
 
@@ -87,8 +89,7 @@ class ShardStore:
         """Manifest lines of the files in a folder, with sizes and row counts as Spark reads them."""
         rows = self._files(folder)
         rows = rows.select(self._file(rows).alias("path"), rows.metadataColumn("_metadata")["file_size"].alias("bytes")).groupBy("path", "bytes").agg(F.count("*").alias("rows"))
-        tier = F.greatest(F.lit(0), F.floor(F.log(float(self.fan_in), F.col("bytes") / SMALLEST))).cast("int")
-        return rows.select("path", F.lit(batch).alias("batch"), tier.alias("tier"), "bytes", "rows")
+        return rows.select("path", F.lit(batch).alias("batch"), "bytes", "rows")
 
     def append(self, rows: DataFrame, batch: str) -> bool:
         """Write and commit one arrival; False if it was committed before."""
@@ -123,20 +124,20 @@ class ShardStore:
         self.compact()
 
     def _groups(self) -> list[tuple[str, int]]:
-        """Small shards of full tiers with the numbers of the groups that they merge into."""
-        small = self.manifest().where(F.col("bytes") < self.target // 2).select("tier", "bytes", "path").collect()
+        """Shards of the runs that are long enough, with the numbers of the groups that they merge into."""
+        small = self.manifest().where(F.col("bytes") < self.target // 2).select("bytes", "path").collect()
         grouped, number = [], -1
-        for _, shards in groupby(sorted(small), key=lambda r: r.tier):
-            shards, held = list(shards), self.target
-            for s in shards if len(shards) >= self.fan_in else []:
+        for run in similar_runs(sorted(map(tuple, small)), self.fan_in):
+            held = self.target
+            for size, path in run:
                 if held >= self.target:
                     number, held = number + 1, 0
-                grouped.append((s.path, number))
-                held += s.bytes
+                grouped.append((path, number))
+                held += size
         return grouped
 
     def compact(self) -> bool:
-        """Merge the tiers that have filled up; True if a new version was committed."""
+        """Merge the runs of similar sizes; True if a new version was committed."""
         version = self.versions.latest()[0]
         grouped = self._groups()
         if not grouped:
@@ -177,6 +178,19 @@ class ShardStore:
         return went
 
 
+def similar_runs(shards: list[tuple[int, str]], fan_in: int) -> list[list[tuple[int, str]]]:
+    """Runs of at least ``fan_in`` sorted shards (bytes, path) whose sizes are within a factor of ``fan_in``, from the smallest on."""
+    sizes, runs, at = [max(SMALLEST, size) for size, _ in shards], [], 0
+    while at < len(shards):
+        end = bisect.bisect_right(sizes, sizes[at] * fan_in)
+        if end - at >= fan_in:
+            runs.append(shards[at:end])
+            at = end
+        else:
+            at += 1
+    return runs
+
+
 def _jobs(grouped: list, most: int) -> list[list]:
     """Whole groups, together at most ``most`` files a job (or one group)."""
     jobs: list[list] = [[]]
