@@ -215,9 +215,22 @@ def test_op8_query_has_all_base_spans(spark, tables):
 
 @needs_data
 @pytest.mark.skipif(not os.path.isdir(SF.replace("sf0.001", "sf0.01")), reason="test tables are not here")
-def test_op8_query_adds_spans_by_terms(spark):
+def test_op8_query_adds_spans_by_terms_and_filters_on_it_end(spark):
     found = queries.QUERIES["op8_pii"](spark, SF.replace("sf0.001", "sf0.01"))
+    began = time.time()
     assert found.where("spans rlike 'generalised|removed'").count() > 0
+    for c in found.columns:
+        assert found.where(F.col(c).cast("string") != "?").count() == found.count()
+    assert time.time() - began < 60
+
+
+def test_a_domain_that_very_many_addresses_share(spark):
+    """Terms reach texts through their parts: neither entities nor texts are multiplied with the domain's terms."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Farrowgate Velmarsh mail u"), F.col("id"), F.lit("@big.example.org\nplain words "), F.col("id") % 997).alias("text"))
+    began = time.time()
+    found = pii.sanitise(docs)
+    assert found.where(F.size("spans") < 1).count() == 0 and found.where("sanitised like '%@%'").count() == 0
+    assert time.time() - began < 120
 
 
 @needs_data

@@ -176,9 +176,12 @@ def _parts(span: Column) -> Column:
 
 
 def revealing_terms(docs: DataFrame, marked: DataFrame, least: int, blur: float) -> DataFrame:
-    """``entity, term, share`` of the terms whose share is ``blur`` or more.
+    """``mark, term, share``: the terms of each text whose share is ``blur`` or more, with the largest share of each.
 
-    ``docs`` has every text; ``marked`` the texts with base spans, and these.
+    ``docs`` has every text; ``marked`` the texts with base spans, and these; ``mark``
+    is the 64-bit hash of the text.  A part's terms reach a text through the text's
+    own parts and words, so a part that very many entities share (a mail domain)
+    gives rows for the words that its texts hold, never entities by terms.
     """
     total = docs.select(F.sum(F.size(F.split("text", "\n", -1)).cast("long"))).first()[0] or 0
     once = staged(marked.groupBy(F.xxhash64("text").alias("doc"), "text").agg(F.count("*").alias("copies")), "once")
@@ -217,12 +220,20 @@ def revealing_terms(docs: DataFrame, marked: DataFrame, least: int, blur: float)
     expected = F.col("n_t") * F.col("of") / n
     rare = (F.col("lines") > expected) & (F.col("lines") * F.log(F.col("lines") / expected) - F.col("lines") + expected >= F.log(n / CHANCE))
     whole = F.col("part").startswith("value ") & (F.col("lines") >= least)
-    told = joint.join(each, "term").where(whole | rare).select("part", "term", F.log(n * F.col("n_tp") / (F.col("n_t") * F.col("n_p"))).alias("told")).where("told > 0")
-    links = pairs.select("doc", F.explode("entities").alias("e")).select(F.col("e.entity").alias("entity"), F.explode(F.concat("e.parts", F.array(document))).alias("part")).distinct()
-    told = told.join(links, "part").join(entities, "entity").select("entity", "n_e", "term", "told")
-    told = told.union(own.join(each, "term").select("entity", "n_e", "term", F.log(n / F.greatest("n_t", "n_e")).alias("told")))
-    shares = told.select("entity", "term", (F.col("told") / F.log(n / F.col("n_e"))).alias("share")).where(F.col("share") >= blur)
-    return shares.groupBy("entity", "term").agg(F.max("share").alias("share"))
+    told = joint.join(each, "term").where(whole | rare).select("part", "term", F.log(n * F.col("n_tp") / (F.col("n_t") * F.col("n_p"))).alias("told"))
+    told = staged(told.where("told > 0"), "told")
+    # of each text: its parts that tell anything, with the least information of an entity behind them, and its words among the telling ones
+    information = F.log(n / F.col("n_e")).alias("information")
+    behind = pairs.select("doc", F.explode("entities").alias("e")).select("doc", F.col("e.entity").alias("entity"), F.concat("e.parts", F.array(document)).alias("parts")).distinct()
+    behind = behind.join(entities.select("entity", information), "entity")
+    parts_of = behind.select("doc", F.explode("parts").alias("part"), "information").groupBy("doc", "part").agg(F.min("information").alias("information"))
+    parts_of = parts_of.join(told.select("part").distinct(), "part", "left_semi")
+    words_of = once.select("doc", F.explode(_words(F.col("text"))).alias("term")).join(told.select("term").distinct(), "term", "left_semi")
+    shares = parts_of.join(words_of, "doc").join(told, ["part", "term"]).select("doc", "term", (F.col("told") / F.col("information")).alias("share"))
+    # an entity's own words
+    itself = own.join(each, "term").select("entity", "term", F.log(n / F.greatest("n_t", "n_e")).alias("told"))
+    shares = shares.union(behind.select("doc", "entity", "information").join(itself, "entity").select("doc", "term", (F.col("told") / F.col("information")).alias("share")))
+    return shares.where(F.col("share") >= blur).groupBy(F.col("doc").alias("mark"), "term").agg(F.max("share").alias("share"))
 
 
 def _with_terms(rows: DataFrame, remove: float) -> DataFrame:
@@ -274,14 +285,11 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     marked = staged(docs.where(F.col("text").rlike(HINT)).select("doc_id", "text").transform(with_base), "marked")
     marked = marked.withColumn("mark", F.xxhash64("text"))
     terms = revealing_terms(docs, marked.where(F.size("base") > 0), least, blur)
-    # the terms that give away an entity of the document, with the largest share of each
-    told = marked.select("doc_id", "mark", F.explode(_values(F.col("base"))).alias("entity")).distinct().join(terms, "entity")
-    told = told.groupBy("doc_id", "mark", "term").agg(F.max("share").alias("share"))
-    told = told.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
-    told = told.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "terms")
-    marked = marked.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    told = terms.groupBy(F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    marked = marked.join(told, F.col("mark") == F.col("_mark"), "left")
     marked = _with_terms(marked, remove).select("doc_id", "text", F.concat("base", "added").alias("spans"))
-    marked = _replaced(marked, "spans", _label, "sanitised")
+    # staged, as a filter on what the caller gets would be evaluated inside the lambdas of all these stages
+    marked = staged(_replaced(marked, "spans", _label, "sanitised"), "sanitised")
     plain = docs.where(~F.col("text").rlike(HINT)).select("doc_id", "text", F.array().cast(SPAN).alias("spans"), F.col("text").alias("sanitised"))
     return plain.union(marked)
 
