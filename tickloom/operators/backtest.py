@@ -1,4 +1,4 @@
-"""Historical signals, trade simulation by blocks of bars, and metrics."""
+"""Historical signals, trade simulation by a hierarchy of blocks of bars, and metrics."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 C = F.col
 COST = 0.10  # percent per trade
 SEARCH = 5  # bars in which an entry may trigger
-BLOCK = 64  # bars whose least low and greatest high are looked at first
+BLOCK = 64  # bars of a block, and blocks of an upper block, whose least low and greatest high are looked at first
 
 
 def signals(indicators: DataFrame, volume: float = 1.0, use: tuple[str, ...] = ("trend", "dip", "band", "volume")) -> DataFrame:
@@ -32,20 +32,43 @@ def signals(indicators: DataFrame, volume: float = 1.0, use: tuple[str, ...] = (
     return found.withColumn("target", F.round(C("entry") + 3 * (C("entry") - C("stop")), 2))
 
 
+def _summed(rows: DataFrame, place: str, *fields: str) -> DataFrame:
+    """Rows in blocks of ``BLOCK`` consecutive places: ``block``, the rows in order as ``rows``, and the least low and greatest high."""
+    kept = F.collect_list(F.struct(C(place).alias("at"), *fields, "low", "high"))
+    grouped = rows.groupBy("ticker", F.floor(C(place) / BLOCK).alias("block"))
+    return grouped.agg(F.sort_array(kept).alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def _first_touch(fills: DataFrame, bars: DataFrame) -> DataFrame:
     """``fills`` with their first bar from ``entry_t`` on whose low reaches the stop or whose high the target, as struct ``x``.
 
-    A fill meets the lows and highs of blocks of ``BLOCK`` bars, and then only the
-    bars of its own block and of the first later block that reaches a price.
+    Bars are summed up in blocks of 64, and blocks in upper blocks of 64.  A fill
+    looks through its own block, then the blocks of its own upper block, then the
+    ticker's upper blocks, and from the first that reaches a price back down: one
+    row of at most 64 entries each (of the ticker's length over 4096 at the top).
+    Rows without a fill have no ``x``.
     """
-    bars = bars.select("ticker", C("t").alias("bt"), "open", "high", "low", F.floor(C("t") / BLOCK).alias("_block"))
-    blocks = bars.groupBy("ticker", C("_block").alias("_later")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
-    own = F.floor(C("entry_t") / BLOCK)
-    touched = (C("_later") > own) & ((C("_low") <= C("stop")) | (C("_high") >= C("target")))
-    later = fills.join(blocks, "ticker").groupBy(*fills.columns).agg(F.min(F.when(touched, C("_later"))).alias("_later"))
-    found = later.withColumn("_block", F.explode(F.array_compact(F.array(own, "_later")))).join(bars, ["ticker", "_block"])
-    found = found.where((C("bt") >= C("entry_t")) & ((C("low") <= C("stop")) | (C("high") >= C("target"))))
-    return found.groupBy(*fills.columns).agg(F.min(F.struct("bt", "open", "high", "low")).alias("x"))
+    blocks = _summed(bars, "t", "open")
+    uppers = _summed(blocks, "block")
+    tops = uppers.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(C("block").alias("at"), "low", "high"))).alias("_tops"))
+
+    def first(rows, after):
+        return F.get(F.filter(rows, lambda x: after(x["at"]) & ((x["low"] <= C("stop")) | (x["high"] >= C("target")))), F.lit(0))
+
+    def look(found: DataFrame, table: DataFrame, block, name: str, after) -> DataFrame:
+        """``name``: the first row of the given block that reaches a price."""
+        side = table.select(C("ticker").alias("_ticker"), C("block").alias("_block"), C("rows").alias("_rows"))
+        found = found.join(side, (C("ticker") == C("_ticker")) & (block == C("_block")), "left")
+        return found.withColumn(name, first(C("_rows"), after)).drop("_ticker", "_block", "_rows")
+
+    own, upper = F.floor(C("entry_t") / BLOCK), F.floor(C("entry_t") / (BLOCK * BLOCK))
+    found = look(fills, blocks, own, "_bar", lambda at: at >= C("entry_t"))
+    found = look(found, uppers, F.when(C("_bar").isNull(), upper), "_near", lambda at: at > own)
+    found = found.join(tops, "ticker", "left").withColumn("_top", F.when(C("_bar").isNull() & C("_near").isNull(), first(C("_tops"), lambda at: at > upper))).drop("_tops")
+    found = look(found, uppers, C("_top.at"), "_far", lambda at: F.lit(True))
+    found = look(found, blocks, F.coalesce(C("_near.at"), C("_far.at")), "_later", lambda at: F.lit(True))
+    x = F.coalesce("_bar", "_later")
+    return found.withColumn("x", F.when(x.isNotNull(), F.struct(x["at"].alias("bt"), x["open"].alias("open"), x["low"].alias("low")))).drop("_bar", "_near", "_top", "_far", "_later")
 
 
 def simulate(signals: DataFrame, bars: DataFrame, idealised: bool = False) -> DataFrame:
@@ -56,24 +79,24 @@ def simulate(signals: DataFrame, bars: DataFrame, idealised: bool = False) -> Da
     at or under the stop, an open at or over the target, then low against stop,
     then high against target.  ``idealised`` fills at entry, stop and target and
     leaves costs out.  A signal's own bar carries the next ones, so an entry costs
-    one row; an exit costs the ticker's blocks and the bars of two of them.
+    one row; an exit costs a few rows of blocks, however long the series is.
     """
     ahead = F.collect_list(F.struct(C("t").alias("bt"), "open", "high")).over(Window.partitionBy("ticker").orderBy("t").rowsBetween(1, SEARCH))
-    keys = ["ticker", "d", "t", "entry", "stop", "target"]
-    fills = signals.join(bars.select("ticker", "t", ahead.alias("_ahead")), ["ticker", "t"])
-    fills = fills.withColumn("f", F.get(F.filter("_ahead", lambda x: (x.high >= C("entry")) & (x.bt <= C("t") + SEARCH)), F.lit(0))).where("f is not null")
+    rows = signals.select("ticker", "d", "t", "entry", "stop", "target").join(bars.select("ticker", "t", ahead.alias("_ahead")), ["ticker", "t"], "left")
+    rows = rows.withColumn("f", F.get(F.filter("_ahead", lambda x: (x.high >= C("entry")) & (x.bt <= C("t") + SEARCH)), F.lit(0))).drop("_ahead")
     fill = C("entry") if idealised else F.greatest(C("entry"), C("f.open"))
-    exits = _first_touch(fills.select(*keys, C("f.bt").alias("entry_t"), fill.alias("fill")), bars)
+    rows = _first_touch(rows.withColumns({"entry_t": C("f.bt"), "fill": F.when(C("f").isNotNull(), fill)}).drop("f"), bars)
     gap_down = (C("x.bt") > C("entry_t")) & (C("x.open") <= C("stop"))
     gap_up = C("x.open") >= C("target")
     loss = F.when(gap_down, True).when(gap_up, False).otherwise(C("x.low") <= C("stop"))
     price = F.when(loss, C("stop")).otherwise(C("target"))
     if not idealised:
         price = F.when(gap_down | gap_up, C("x.open")).otherwise(price)
-    exits = exits.select(*keys, "entry_t", "fill", F.when(loss, "loss").otherwise("win").alias("outcome"), (C("x.bt") - C("entry_t")).alias("holding"), price.alias("exit"))
     cost = 0.0 if idealised else COST
-    exits = exits.withColumn("return_pct", (C("exit") / C("fill") - 1) * 100 - cost).select("ticker", "t", "entry_t", "fill", "outcome", "holding", "exit", "return_pct")
-    return signals.join(exits, ["ticker", "t"], "left").select("ticker", "d", "t", "entry", "stop", "target", "entry_t", "fill", "outcome", "holding", "exit", "return_pct")
+    done = C("x").isNotNull()
+    rows = rows.withColumns({"outcome": F.when(done, F.when(loss, "loss").otherwise("win")), "holding": C("x.bt") - C("entry_t"), "exit": F.when(done, price)})
+    rows = rows.withColumns({"entry_t": F.when(done, C("entry_t")), "fill": F.when(done, C("fill")), "return_pct": (C("exit") / C("fill") - 1) * 100 - cost})
+    return rows.select("ticker", "d", "t", "entry", "stop", "target", "entry_t", "fill", "outcome", "holding", "exit", "return_pct")
 
 
 def _count(condition) -> F.Column:
