@@ -113,10 +113,21 @@ def exit_lots(positions: DataFrame, exits: DataFrame, history: DataFrame, today:
 
 
 def equity_curve(pnl: DataFrame, order: list[str], start: float = START_VALUE, *account: str) -> DataFrame:
-    """Value, peak and drawdown after each gain or loss of an account."""
-    w = Window.partitionBy(*(account or (F.lit(0),))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = pnl.withColumn("value", F.sum("pnl").over(w) + start)
-    rows = rows.withColumn("peak", F.greatest(F.lit(start), F.max("value").over(w)))
+    """Value, peak and drawdown after each gain or loss of an account.
+
+    ``order`` begins with the date.  Sums and their peaks are taken inside each
+    date, in parallel, then over one row per account and date, and put together;
+    so an account's ledger never goes through one task.
+    """
+    day, inside = order[0], [*account, order[0]]
+    upto = Window.partitionBy(*inside).orderBy(*(order[1:] or order)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = pnl.withColumn("_sum", F.sum("pnl").over(upto)).withColumn("_top", F.max("_sum").over(upto))
+    earlier = Window.partitionBy(*(account or (F.lit(0),))).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = pnl.groupBy(*inside).agg(F.sum("pnl").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0.0)))
+    tops = rows.groupBy(*inside).agg(F.max("_top").alias("_most"))
+    days = days.join(tops, inside).withColumn("_highest", F.max(C("_before") + C("_most")).over(earlier)).select(*inside, "_before", "_highest")
+    rows = rows.join(days, inside).withColumn("value", C("_before") + C("_sum") + start)
+    rows = rows.withColumn("peak", F.greatest(F.lit(start), C("_highest") + start, C("_before") + C("_top") + start)).drop("_sum", "_top", "_before", "_highest")
     return rows.withColumn("drawdown_pct", F.when(C("peak") > 0, (C("peak") - C("value")) / C("peak") * 100).otherwise(0.0))
 
 
