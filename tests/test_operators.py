@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import percentile_rank
 from tickloom.functions.recursive import decayed_sums, ema, from_first, wilder_sum
 from tickloom.operators import backtest, calendar, final, indicators, joins, positions, ranking, regime, sizing
-from tickloom.sources import tables
+from tickloom.sources import shared, tables
 from tickloom.streaming import ticks
 
 
@@ -192,6 +192,76 @@ def test_exits_far_from_their_entry_and_on_block_borders(spark):
         assert found[t] == ((None, None) if exit_ is None else (entry, exit_))
 
 
+def test_exits_of_a_very_long_series(spark):
+    """A million bars of one ticker: exits up to hundreds of thousands of bars away, through blocks of 64 and 4096."""
+    n = 1_000_000
+    close = 100 + 20 * np.sin(np.arange(n) / 90_000) + np.sin(np.arange(n) / 7)
+    t = F.col("id")
+    table = spark.range(n).select(F.lit("A").alias("ticker"), F.date_add(F.lit("1970-01-01").cast("date"), (t % 20_000).cast("int")).alias("d"), t.alias("t"), (100 + 20 * F.sin(t / 90_000) + F.sin(t / 7)).alias("close"))
+    table = table.withColumns({"open": F.col("close"), "high": F.col("close") + 0.5, "low": F.col("close") - 0.5})
+    rows = []
+    for at in range(0, n - 10, 9_973):
+        entry = float(close[at] - 5)  # fills at the next open
+        rows.append(("A", dt.date(2020, 1, 1), at, entry, float(close[at] - 1.2 - at % 37), float(close[at] + 1.2 + at % 41)))
+    signals = spark.createDataFrame(rows, "ticker string, d date, t long, entry double, stop double, target double")
+    found = {r.t: None if r.outcome is None else r.entry_t + r.holding for r in backtest.simulate(signals, table).collect()}
+    assert len(found) == len(rows)
+    for _, _, at, _, stop, target in rows:
+        hit = np.flatnonzero((close[at + 1 :] - 0.5 <= stop - 1e-9) | (close[at + 1 :] + 0.5 >= target + 1e-9))
+        near = np.flatnonzero((close[at + 1 :] - 0.5 <= stop + 1e-9) | (close[at + 1 :] + 0.5 >= target - 1e-9))
+        assert found[at] in ({None if not len(x) else at + 1 + int(x[0]) for x in (hit, near)})
+
+
+def test_equity_of_accounts_over_dates(spark):
+    rng = random.Random(4)
+    rows = [(a, dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(9)), i, round(rng.uniform(-50, 50), 2)) for a in ("x", "y") for i in range(70)]
+    table = spark.createDataFrame(rows, "account string, d date, n int, pnl double").repartition(5)
+    found = {(r.account, r.n): r for r in positions.equity_curve(table, ["d", "n"], 1000.0, "account").collect()}
+    for a in ("x", "y"):
+        value = peak = 1000.0
+        for _, d, n, pnl in sorted(r for r in rows if r[0] == a):
+            value += pnl
+            peak = max(peak, value)
+            r = found[a, n]
+            assert (r.value, r.peak, r.drawdown_pct) == (pytest.approx(value), pytest.approx(peak), pytest.approx((peak - value) / peak * 100, abs=1e-9))
+    assert positions.equity_curve(table.limit(0), ["d", "n"]).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_a_volatile_market_runs_two_scans_at_half_size(spark):
+    from tickloom.plans import signal_queries
+
+    sf = "/root/testdata/sf0.01"
+    found = signal_queries.bars_with_indicators(spark, sf)
+    metrics = shared.written(signal_queries.wide_metrics(found), "metrics")
+    dates = found.select("d").distinct()
+    calm = signal_queries.signals(spark, sf, found, dates.withColumn("vix", F.lit(40.0)), metrics)
+    wild = shared.written(signal_queries.signals(spark, sf, found, dates.withColumn("vix", F.lit(40.5)), metrics), "wild")
+    assert {r.size_mult for r in calm.select("size_mult").distinct().collect()} == {1.0}
+    assert {(r.strategy, r.regime, r.size_mult) for r in wild.select("strategy", "regime", "size_mult").distinct().collect()} <= {("mean_reversion", "bear", 0.5), ("pead", "bear", 0.5)}
+    assert wild.count() > 0
+    free = wild.withColumn("guard_reason", F.lit(None).cast("string"))
+    rich = lambda rows: {(r.d, r.ticker): r.allocated_dollars for r in final.recommended(rows, 10_000.0, 1e9).collect()}
+    half, whole = rich(free), rich(free.withColumn("size_mult", F.lit(1.0)))
+    assert half and set(half) == set(whole)
+    assert all(half[k] == pytest.approx(whole[k] / 2, abs=0.011) or whole[k] == 500.0 and half[k] <= 500.0 for k in half)
+
+
+def test_beta_counts_in_a_bear_market_only(spark):
+    rows = spark.createDataFrame([("bear", "Software", 0.9), ("bear", "Software", 1.0), ("bear", "Software", None), ("bear", "Utilities", 2.0), ("bull", "Software", 0.5)], "regime string, industry string, beta double")
+    rows = rows.withColumns({"current_rsi": F.lit(80.0), "price": F.lit(10.0), "dma_50": F.lit(9.0)})
+    assert [r[0] for r in rows.select(ranking.regime_score(F.col("beta"))).collect()] == [100.0, 0.0, 0.0, 100.0, 0.0]
+    assert [r[0] for r in rows.select(ranking.regime_score()).collect()] == [0.0, 0.0, 0.0, 100.0, 0.0]
+
+
+def test_buckets_spare_the_shuffle(spark):
+    from pyspark.sql import Window
+
+    rows = shared.bucketed(spark.range(500).select((F.col("id") % 7).cast("string").alias("ticker"), F.col("id").alias("t")), "rows", "ticker")
+    moved = rows.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("t")))
+    assert "Exchange" not in moved._jdf.queryExecution().executedPlan().toString() and moved.count() == 500
+
+
 def test_bar_store_refresh_and_upsert(spark, tmp_path):
     day = dt.date(2024, 1, 30)
     rows = spark.createDataFrame([("A", day + dt.timedelta(days=i), 1.0, 2.0, 0.5, 1.5 + i, 10.0) for i in range(6)], tables.BAR)

@@ -59,7 +59,7 @@ def recommended(signals: DataFrame, portfolio_value: float, cash: float, multipl
     if positions is not None:
         best = without_open(best, positions)
     best = sizing.ceiling(best if "atr" in best.columns else best.withColumn("atr", F.lit(0.0)))
-    sized = best.withColumns({"fraction": sizing.half_kelly(C("composite_score"), C("weighted_rr")) * multiplier, "portfolio_value": F.lit(portfolio_value), "cash": F.lit(cash)})
+    sized = best.withColumns({"fraction": sizing.half_kelly(C("composite_score"), C("weighted_rr")) * multiplier * (C("size_mult") if "size_mult" in best.columns else F.lit(1.0)), "portfolio_value": F.lit(portfolio_value), "cash": F.lit(cash)})
     rows = sizing.normalised(sized, "d")
     return rows.withColumns({"entry_date": calendar.next_trading_day(C("d")), "status": F.lit("pending")}).drop("wanted", "fraction", "portfolio_value", "cash")
 

@@ -22,9 +22,9 @@ def raw_momentum() -> Column:
     return (rsi + near + clip(50 * C("volume_ratio"), 0.0, 100.0) + clip(50 + 200 * C("macd_hist"), 0.0, 100.0)) / 4
 
 
-def regime_score() -> Column:
-    """100 where a stock suits the regime, else 0 (beta unknown counts as 1)."""
-    defensive = F.lit(False)
+def regime_score(beta: Column | None = None) -> Column:
+    """100 where a stock suits the regime, else 0; in a bear regime defensive industries do, and betas under 1 (unknown counts as 1)."""
+    defensive = F.coalesce(beta < 1, F.lit(False)) if beta is not None else F.lit(False)
     for name in DEFENSIVE:
         defensive = defensive | F.coalesce(F.trim(C("industry")).contains(name), F.lit(False))
     suits = F.when(C("regime") == "bull", C("current_rsi").between(50, 70) & (C("price") > C("dma_50"))).when(C("regime") == "bear", defensive).when(C("regime") == "sideways", F.abs(C("current_rsi") - 50) < 8)
@@ -47,7 +47,7 @@ def scores(pool: DataFrame) -> DataFrame:
     pool = pool.withColumns({
         "expectancy_score": F.when(C("expectancy_pct") < 0, F.greatest(F.lit(5.0), curve - 30)).otherwise(curve),
         "winrate_score": percentile_rank(C("win_rate"), *POOL),
-        "regime_score": regime_score(),
+        "regime_score": regime_score(C("beta") if "beta" in pool.columns else None),
     }).drop("_z")
     context = F.coalesce(C("context_score"), F.lit(0.0)) if "context_score" in pool.columns else F.lit(0.0)
     parts = [C("momentum_score"), C("expectancy_score"), C("winrate_score"), C("regime_score"), context]

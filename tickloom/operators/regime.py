@@ -19,7 +19,7 @@ def sma_regime(index: DataFrame) -> DataFrame:
 
 
 def vix_override(regimes: DataFrame, vix: DataFrame) -> DataFrame:
-    """Bear with half sizes where the volatility index is over 40."""
+    """Bear with half sizes where the volatility index is over 40; a date without one is left as it is."""
     both = regimes.join(vix, "d", "left")
     stressed = F.coalesce(C("vix") > 40, F.lit(False))
     return both.select("d", F.when(stressed, "bear").otherwise(C("regime")).alias("regime"), F.when(stressed, 0.5).otherwise(1.0).alias("size_mult"))

@@ -19,7 +19,7 @@ from tickloom.operators import indicators as ind
 C = F.col
 SIGNAL = (
     "strategy", "ticker", "d", "price", "entry_price", "stop_loss", "target_1", "target_2", "target_3", "upside_pct", "weighted_rr", "current_rsi", "volume_ratio",
-    "adx_value", "momentum_pts", "composite_score", "tier_label", "guard_reason", "quality_score", "narrative", "returns_3m", "days_since", "regime",
+    "adx_value", "momentum_pts", "composite_score", "tier_label", "guard_reason", "quality_score", "narrative", "returns_3m", "days_since", "regime", "size_mult",
 )
 REGIMES = {
     "bull": ("pullback", "trend", "sector", "pead", "high_52w", "csm"),
@@ -88,6 +88,7 @@ def _finish(found: DataFrame, strategy: str, entry: Column, stop: Column, moment
         "tier_label": F.when(C("guard_reason").isNotNull(), "Blocked").otherwise(steps(C("composite_score"), TIERS, F.lit("Speculative"))),
         "quality_score": F.round(F.lit(0.0) if strategy == "pullback" else quality, 4), "volume_ratio": F.round("volume_ratio", 4), "returns_3m": F.round("return_63", 4),
         "days_since": C("days_since") if "days_since" in found.columns else F.lit(None).cast("int"),
+        "size_mult": C("size_mult") if "size_mult" in found.columns else F.lit(1.0),
     })
     return found.select(*SIGNAL)
 

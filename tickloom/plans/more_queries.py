@@ -112,7 +112,7 @@ def table_upsert(spark, sf_dir):
     from tickloom.plans.signal_queries import wide_metrics
 
     bars = market.bars(spark, sf_dir)
-    new = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars).select("ticker", "total_signals", "win_rate")
+    new = wide_metrics(indicators.all_indicators(bars)).select("ticker", "total_signals", "win_rate")
     return tables.upserted(bt_metrics(spark, sf_dir).select("ticker", "total_signals", "win_rate"), new, ["ticker"])
 
 
@@ -190,7 +190,7 @@ def metrics_current(spark, sf_dir):
 
     bars = market.bars(spark, sf_dir)
     stamps = bars.groupBy("ticker").agg(F.max(F.struct("close", "d")).getField("d").alias("updated"))
-    stored = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars).join(stamps, "ticker")
+    stored = wide_metrics(indicators.all_indicators(bars)).join(stamps, "ticker")
     return tables.current(stored, "updated", F.lit("2001-10-30").cast("timestamp"), 24 * 1200).select("ticker", "total_signals")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import calendar, indicators, joins, positions, ranking, sizing
 from tickloom.plans import oracle
 from tickloom.plans.indicator_queries import C, query
-from tickloom.plans.signal_queries import percent_up, scan_union, wide_metrics
+from tickloom.plans.signal_queries import bars_with_indicators, percent_up, scan_union, signals, wide_metrics
 from tickloom.sources import market, shared, tables
 
 CTE = oracle.CTE
@@ -22,9 +22,9 @@ CTE["held"] = f"""SELECT *, CASE WHEN day(d) % 3 <> 0 THEN max_shares0 END AS ma
     ([{', '.join(repr(x) for x in LABELS)}])[day(d) % 5 + 1] AS position_sizing, round(200 + composite_score * 5, 2) AS dollars FROM deduped))"""
 
 
-def held(spark, sf_dir) -> DataFrame:
-    """Positions made of the best signal of each ticker and date, in all states."""
-    best, day = ranking.best_of_ticker(scan_union(spark, sf_dir)), F.dayofmonth("d")
+def held(spark, sf_dir, found: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """Positions made of the best signal of each ticker and date, in all states; of bars with indicators, and metrics, where a plan has them already."""
+    best, day = ranking.best_of_ticker(signals(spark, sf_dir, found, metrics=metrics)), F.dayofmonth("d")
     dollars = F.round(200 + C("composite_score") * 5, 2)
     rows = best.select(
         F.concat_ws(":", "strategy", "ticker", C("d").cast("string")).alias("id"), "strategy", "ticker", "d", "entry_price", "stop_loss", "target_1", "target_2", "target_3", "composite_score", "weighted_rr", "narrative",
@@ -59,6 +59,15 @@ def size_normalized(spark, sf_dir):
     return sizing.normalised(rows, "d").select("d", "ticker", "allocated_dollars", "max_shares", "position_sizing")
 
 
+@query(f"""SELECT d, ticker, size_mult, round(wanted * CASE WHEN sum(wanted) OVER (PARTITION BY d) > {CASH} THEN {CASH} / sum(wanted) OVER (PARTITION BY d) ELSE 1e0 END, 2) AS allocated_dollars
+  FROM (SELECT *, least({VALUE} * fraction * size_mult, {VALUE * sizing.CAP}) AS wanted FROM kelly)""")
+def size_override(spark, sf_dir):
+    """Dollars of each date's signals, halved where the volatility index has overridden the regime."""
+    best = ranking.best_of_ticker(scan_union(spark, sf_dir))
+    rows = best.withColumns({"fraction": sizing.half_kelly(C("composite_score"), C("weighted_rr")) * C("size_mult"), "portfolio_value": F.lit(VALUE), "cash": F.lit(CASH)})
+    return sizing.normalised(rows, "d").select("d", "ticker", "size_mult", "allocated_dollars")
+
+
 _BAD = "target_1 <= entry_price"
 
 
@@ -69,9 +78,9 @@ def _anew(k: int, m: float, p: int) -> str:
 @query(f"""SELECT id, greatest(stop_loss, round(entry_price * 0.93e0, 2)) AS stop_loss, {_anew(1, 1.5, 7)}, {_anew(2, 2.5, 12)}, {_anew(3, 3.5, 18)}
   FROM (SELECT h.id, h.entry_price, h.stop_loss, CASE WHEN day(h.d) % 2 = 0 THEN h.entry_price ELSE h.target_1 END AS target_1, h.target_2, h.target_3, CASE WHEN day(h.d) % 4 = 0 THEN i.atr_proxy ELSE 0e0 END AS atr FROM held h JOIN ind i ON h.ticker = i.ticker AND h.d = i.d)""")
 def size_stop_ceiling(spark, sf_dir):
-    bars = indicators.window_indicators(indicators.recursive_indicators(indicators.moves(market.bars(spark, sf_dir)))).select("ticker", "d", "atr_proxy")
+    found = bars_with_indicators(spark, sf_dir)
     day = F.dayofmonth("d")
-    rows = held(spark, sf_dir).join(bars, ["ticker", "d"])
+    rows = held(spark, sf_dir, found).join(found.select("ticker", "d", "atr_proxy"), ["ticker", "d"])
     rows = rows.withColumns({"target_1": F.when(day % 2 == 0, C("entry_price")).otherwise(C("target_1")), "atr": F.when(day % 4 == 0, C("atr_proxy")).otherwise(0.0)})
     return sizing.ceiling(rows).select("id", "stop_loss", "target_1", "target_2", "target_3")
 
@@ -100,14 +109,13 @@ CTE["outcome"] = """SELECT id, strategy, ticker, d, entry_price, stop_loss, targ
   WHERE d <= (SELECT max(d) - CASE dayofweek(max(d)) WHEN 0 THEN 2 WHEN 6 THEN 1 ELSE 0 END - 14 FROM bars)""")
 def pos_outcomes(spark, sf_dir):
     """Outcomes of the positions that are ten business days old on the last bar's date."""
-    bars = market.bars(spark, sf_dir)
-    last = bars.agg(F.max("d")).first()[0]
-    return positions.outcomes(held(spark, sf_dir), bars, today=F.lit(last))
+    found = bars_with_indicators(spark, sf_dir)
+    return positions.outcomes(held(spark, sf_dir, found), found, today=found.select(F.max("d")).scalar())
 
 
-def last_bars(spark, sf_dir) -> DataFrame:
-    bars = market.bars(spark, sf_dir)
-    return indicators.latest(indicators.all_indicators(bars)).select("ticker", "open", "high", "low", "close", C("atr_proxy").alias("atr"))
+def last_bars(spark, sf_dir, found: DataFrame | None = None) -> DataFrame:
+    found = indicators.all_indicators(market.bars(spark, sf_dir)) if found is None else found
+    return indicators.latest(found).select("ticker", "open", "high", "low", "close", C("atr_proxy").alias("atr"))
 
 
 CTE["lastbar"] = "SELECT ticker, open, high, low, close, atr_proxy AS atr FROM ind QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC) = 1"
@@ -120,13 +128,15 @@ CTE["night"] = """SELECT *, CASE outcome WHEN 'stopped' THEN least(stop_loss, lo
 
 @query("SELECT id, outcome, exit_price, fraction, new_stop AS stop_loss FROM night")
 def pos_nightly_eval(spark, sf_dir):
-    return positions.nightly(held(spark, sf_dir), last_bars(spark, sf_dir)).select("id", "outcome", "exit_price", "fraction", "stop_loss")
+    found = bars_with_indicators(spark, sf_dir)
+    return positions.nightly(held(spark, sf_dir, found), last_bars(spark, sf_dir, found)).select("id", "outcome", "exit_price", "fraction", "stop_loss")
 
 
 @query("""SELECT id, CASE WHEN status = 'open' THEN first_open ELSE entry_price END AS entry_price, round(gap + 1e-9, 4) AS gap_pct, status FROM (SELECT *, CASE WHEN gap > 2 THEN 'cancelled_gap_up' WHEN first_open <= stop_loss THEN 'cancelled_gap_down' ELSE 'open' END AS status
   FROM (SELECT h.* EXCLUDE (status), l.open AS first_open, CASE WHEN entry_price > 0 THEN (l.open / entry_price - 1) * 100 ELSE 0e0 END AS gap FROM held h JOIN lastbar l ON h.ticker = l.ticker WHERE h.status = 'pending'))""")
 def pos_pending_gate(spark, sf_dir):
-    return positions.pending_gate(held(spark, sf_dir).where("status = 'pending'"), last_bars(spark, sf_dir)).select("id", "entry_price", "gap_pct", "status")
+    found = bars_with_indicators(spark, sf_dir)
+    return positions.pending_gate(held(spark, sf_dir, found).where("status = 'pending'"), last_bars(spark, sf_dir, found)).select("id", "entry_price", "gap_pct", "status")
 
 
 _SPLIT = "CASE WHEN due THEN round({c} / ratio + 1e-9, 2) ELSE {c} END AS {c}"
@@ -143,8 +153,9 @@ def pos_split_adjust(spark, sf_dir):
 
 
 def _exits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = held(spark, sf_dir)
-    decided = positions.nightly(rows, last_bars(spark, sf_dir)).where("outcome is not null").select("id", "exit_price", "outcome", "reason", "fraction")
+    found = bars_with_indicators(spark, sf_dir)
+    rows = held(spark, sf_dir, found)
+    decided = positions.nightly(rows, last_bars(spark, sf_dir, found)).where("outcome is not null").select("id", "exit_price", "outcome", "reason", "fraction")
     none = rows.limit(0).select("d", "ticker", F.lit("").alias("outcome"))
     return positions.exit_lots(rows, decided, none, F.lit("2001-11-05").cast("date"))
 
@@ -169,7 +180,8 @@ def pos_exit_changes(spark, sf_dir):
   SELECT *, greatest(10000e0, max(value) OVER (ORDER BY outcome_date, id)) AS peak FROM (SELECT id, outcome_date, 10000 + sum(round(return_pct, 2)) OVER (ORDER BY outcome_date, id) AS value FROM outcome))""")
 def pos_equity_curve(spark, sf_dir):
     """Equity after every outcome, at one unit per percent."""
-    rows = positions.outcomes(held(spark, sf_dir), market.bars(spark, sf_dir))
+    found = bars_with_indicators(spark, sf_dir)
+    rows = positions.outcomes(held(spark, sf_dir, found), found)
     pnl = rows.select(F.concat_ws(":", "strategy", "ticker", C("d").cast("string")).alias("id"), "outcome_date", F.round("return_pct", 2).alias("pnl"))
     return positions.equity_curve(pnl, ["outcome_date", "id"]).select("id", *(F.round(c, 4).alias(c) for c in ("value", "peak", "drawdown_pct")))
 
@@ -179,7 +191,8 @@ def regime_drawdown(spark, sf_dir):
     """The size multiplier at a drawdown as large as each outcome's return."""
     from tickloom.operators.regime import drawdown_multiplier
 
-    rows = positions.outcomes(held(spark, sf_dir), market.bars(spark, sf_dir)).select(F.concat_ws(":", "strategy", "ticker", C("d").cast("string")).alias("id"), F.abs(F.round("return_pct", 2)).alias("drawdown"))
+    found = bars_with_indicators(spark, sf_dir)
+    rows = positions.outcomes(held(spark, sf_dir, found), found).select(F.concat_ws(":", "strategy", "ticker", C("d").cast("string")).alias("id"), F.abs(F.round("return_pct", 2)).alias("drawdown"))
     return rows.withColumn("multiplier", drawdown_multiplier(C("drawdown")))
 
 
@@ -197,17 +210,18 @@ def pos_rotation(spark, sf_dir):
 
 @query("SELECT h.id, CASE WHEN l.close > h.entry_price AND round(l.close - CASE WHEN l.atr > 0 THEN 2 * l.atr ELSE l.close * 0.02e0 END, 2) > h.stop_loss THEN round(l.close - CASE WHEN l.atr > 0 THEN 2 * l.atr ELSE l.close * 0.02e0 END, 2) ELSE h.stop_loss END AS stop_loss FROM held h JOIN lastbar l ON h.ticker = l.ticker")
 def pos_ratchet_step(spark, sf_dir):
-    rows = held(spark, sf_dir).join(last_bars(spark, sf_dir), "ticker")
+    found = bars_with_indicators(spark, sf_dir)
+    rows = held(spark, sf_dir, found).join(last_bars(spark, sf_dir, found), "ticker")
     return rows.select("id", positions.ratchet(C("low"), C("stop_loss"), C("close"), C("entry_price"), C("atr")).alias("stop_loss"))
 
 
 def _view(spark, sf_dir) -> DataFrame:
-    bars = market.bars(spark, sf_dir)
-    rows = shared.written(held(spark, sf_dir), "held")
+    bars = bars_with_indicators(spark, sf_dir)
+    metrics = shared.written(wide_metrics(bars), "metrics")
+    rows = shared.written(held(spark, sf_dir, bars, metrics), "held")
     found = positions.outcomes(rows, bars).select("strategy", "ticker", "d", "outcome", "outcome_date", "return_pct")
     history = rows.where("status = 'closed'").drop("status", "sell_signal_reason").join(found, ["strategy", "ticker", "d"]).withColumn("exit_price", F.round(C("entry_price") * (1 + C("return_pct") / 100), 4))
-    metrics = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars).select("ticker", "win_rate", "expectancy_pct", "wins", "losses")
-    return positions.recommendations(rows, history, metrics)
+    return positions.recommendations(rows, history, metrics.select("ticker", "win_rate", "expectancy_pct", "wins", "losses"))
 
 
 CTE["view"] = """SELECT v.*, coalesce(m.wins, 0) AS wins, coalesce(m.losses, 0) AS losses, coalesce(m.win_rate, 0e0) AS win_rate, coalesce(m.expectancy_pct, 0e0) AS expectancy_pct, coalesce(m.wins, 0) + coalesce(m.losses, 0) AS total_trades FROM (
@@ -228,8 +242,7 @@ def view_validation(spark, sf_dir):
     """Tickers whose stored and recomputed metrics differ."""
     from tickloom.plans.indicator_queries import bt_metrics
 
-    bars = market.bars(spark, sf_dir)
-    again = wide_metrics(spark, sf_dir, indicators.all_indicators(bars), bars)
+    again = wide_metrics(indicators.all_indicators(market.bars(spark, sf_dir)))
     return joins.differing(bt_metrics(spark, sf_dir), again, ["ticker"], ["win_rate", "expectancy_pct"])
 
 
@@ -237,7 +250,8 @@ def view_validation(spark, sf_dir):
   SELECT CASE WHEN max_shares > 0 THEN (close - entry_price) * max_shares WHEN allocated_dollars > 0 THEN allocated_dollars * (close / entry_price - 1) ELSE {VALUE * 0.05} * (close / entry_price - 1) END AS gain FROM held h JOIN lastbar l ON h.ticker = l.ticker WHERE status = 'open')""")
 def dash_summary(spark, sf_dir):
     """Unrealised gain of open positions by shares, dollars or the 5 % fallback, and total value."""
-    rows = held(spark, sf_dir).where("status = 'open'").join(last_bars(spark, sf_dir).select("ticker", "close"), "ticker")
+    found = bars_with_indicators(spark, sf_dir)
+    rows = held(spark, sf_dir, found).where("status = 'open'").join(last_bars(spark, sf_dir, found).select("ticker", "close"), "ticker")
     up = C("close") / C("entry_price") - 1
     gain = F.when(C("max_shares") > 0, (C("close") - C("entry_price")) * C("max_shares")).when(C("allocated_dollars") > 0, C("allocated_dollars") * up).otherwise(VALUE * 0.05 * up)
     total = rows.agg(F.count("*").alias("open_positions"), F.sum(gain).alias("g"))
@@ -273,6 +287,18 @@ def cal_market_open(spark, sf_dir):
     return market.table(spark, sf_dir, "events").select("event_id", calendar.market_open(C("ts").cast("timestamp")).alias("open"))
 
 
+_MARCH, _NOVEMBER = (f"make_date(year(u), {m}, {d}) + CAST((7 - isodow(make_date(year(u), {m}, {d}))) % 7 AS INTEGER) + INTERVAL {h} HOUR" for m, d, h in ((3, 8, 7), (11, 1, 6)))
+
+
+@query(f"""SELECT event_id, u AS at, isodow(l) < 6 AND CAST(CAST(l AS DATE) AS VARCHAR) NOT IN ({', '.join(repr(d) for d in calendar.HOLIDAYS)}) AND hour(l) BETWEEN 4 AND 19 AS open
+  FROM (SELECT *, u - CASE WHEN u >= {_MARCH} AND u < {_NOVEMBER} THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS l FROM (SELECT event_id, ts + INTERVAL 1 DAY * (event_id % 1461) AS u FROM events))""")
+def cal_market_hours(spark, sf_dir):
+    """Events spread over four years: clock changes (second Sunday in March, first in November), holidays and weekends."""
+    at = (C("ts").cast("timestamp") + F.make_dt_interval(days=(C("event_id") % 1461).cast("int"))).alias("at")
+    rows = market.table(spark, sf_dir, "events").select("event_id", at)
+    return rows.select("event_id", C("at").cast("timestamp_ntz").alias("at"), calendar.market_open(C("at")).alias("open"))
+
+
 @query("""SELECT d, (SELECT max(b) FROM (SELECT b, row_number() OVER (ORDER BY b DESC) AS n FROM (SELECT CAST(unnest(range(e.d - 20, e.d + 1, INTERVAL 1 DAY)) AS DATE) AS b) WHERE isodow(b) < 6) WHERE n = 11) AS ago FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events) e""")
 def cal_bday_ago(spark, sf_dir):
     days = market.table(spark, sf_dir, "events").select(F.to_date("ts").alias("d")).distinct()

@@ -16,35 +16,48 @@ CTE["earn"] = """SELECT b.ticker, b.d - CAST(1 + u.n % 5 AS INTEGER) AS earnings
   CASE WHEN b.t % 26 = 5 THEN round((b.t % 11) * 1.5e0 - 6, 2) END AS surprise FROM (SELECT *, coalesce(close / lag(close) OVER (PARTITION BY ticker ORDER BY d) - 1 >= 0.02e0, false) AS jump FROM bars) b JOIN universe u ON b.ticker = u.ticker WHERE b.t % 13 = 5 OR jump"""
 CTE["regimes"] = f"""SELECT d, close, CASE WHEN far IS NULL OR far > 0.02e0 THEN 'bull' WHEN far < -0.02e0 THEN 'bear' ELSE 'sideways' END AS regime
   FROM (SELECT d, close, close / (CASE WHEN t >= 199 THEN avg(close) {oracle.w(200)} END) - 1 AS far FROM idx)"""
+#: Before the scans, which run on it.
+CTE["overridden"] = "SELECT r.d, CASE WHEN coalesce(vix > 40, false) THEN 'bear' ELSE regime END AS regime, CASE WHEN coalesce(vix > 40, false) THEN 0.5e0 ELSE 1e0 END AS size_mult FROM regimes r LEFT JOIN vix v ON r.d = v.d"
 CTE["wide_sig"] = """SELECT *, round(entry + 3 * (entry - stop), 2) AS target FROM (SELECT ticker, d, t, round(high * 1.001e0, 2) AS entry, swing_low AS stop FROM (SELECT *, max(t) OVER (PARTITION BY ticker) AS last FROM ind)
   WHERE t >= 200 AND t <= last - 1 AND swing_low IS NOT NULL AND close > dma_50 AND dma_50 > dma_200) WHERE stop < entry"""
 CTE["wide_trades"] = oracle.trades("wide_sig")
 CTE["wide"] = f"SELECT ticker, {oracle.METRICS} FROM wide_trades GROUP BY ticker"
-CTE["scanned"] = """SELECT i.*, u.industry, u.is_etf, r.regime, coalesce(m.win_rate, 0e0) AS win_rate, coalesce(m.expectancy_pct, 0e0) AS expectancy_pct, coalesce(m.total_signals, 0) AS total_signals,
-  e.days_since, n.days_to_earnings FROM ind i JOIN universe u ON i.ticker = u.ticker JOIN regimes r ON i.d = r.d LEFT JOIN wide m ON i.ticker = m.ticker
+CTE["scanned"] = """SELECT i.*, u.industry, u.is_etf, r.regime, r.size_mult, coalesce(m.win_rate, 0e0) AS win_rate, coalesce(m.expectancy_pct, 0e0) AS expectancy_pct, coalesce(m.total_signals, 0) AS total_signals,
+  e.days_since, n.days_to_earnings FROM ind i JOIN universe u ON i.ticker = u.ticker JOIN overridden r ON i.d = r.d LEFT JOIN wide m ON i.ticker = m.ticker
   LEFT JOIN (SELECT i.ticker, i.d, CASE WHEN i.d - max(e.earnings_date) BETWEEN 1 AND 5 THEN CAST(i.d - max(e.earnings_date) AS INTEGER) END AS days_since FROM bars i JOIN earn e ON i.ticker = e.ticker AND e.earnings_date <= i.d GROUP BY 1, i.d) e
     ON i.ticker = e.ticker AND i.d = e.d
   LEFT JOIN (SELECT i.ticker, i.d, CAST(min(e.earnings_date) - i.d AS INTEGER) AS days_to_earnings FROM bars i JOIN earn e ON i.ticker = e.ticker AND e.earnings_date > i.d GROUP BY 1, i.d) n
     ON i.ticker = n.ticker AND i.d = n.d"""
 
 
-def wide_metrics(spark, sf_dir, found: DataFrame, bars: DataFrame) -> DataFrame:
+def bars_with_indicators(spark, sf_dir) -> DataFrame:
+    """All bars and indicators, written once for a plan that reads them several times, in buckets by ticker."""
+    return shared.bucketed(indicators.all_indicators(market.bars(spark, sf_dir)), "indicators", "ticker")
+
+
+def wide_metrics(found: DataFrame) -> DataFrame:
     """Ticker metrics of the trend-only backtest, which has trades enough for the gates."""
-    trades = backtest.simulate(backtest.signals(found, use=("trend",)), bars)
+    trades = backtest.simulate(backtest.signals(found, use=("trend",)), found)
     return backtest.metrics(trades, "ticker").select("ticker", "win_rate", "expectancy_pct", "total_signals", "wins", "losses")
 
 
-def scan_input(spark, sf_dir) -> DataFrame:
-    """Bars with indicators, universe, regime, metrics and days around earnings."""
-    bars, universe = market.bars(spark, sf_dir), market.universe(spark, sf_dir)
-    found = indicators.all_indicators(bars)
-    reports = market.earnings(bars, universe)
+def scan_input(spark, sf_dir, found: DataFrame | None = None, vix: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """Bars with indicators, universe, regime, metrics and days around earnings.
+
+    The regime is overridden where the volatility index is over 40 (``vix``, by
+    default the index's own): bear, with half sizes.
+    """
+    found = bars_with_indicators(spark, sf_dir) if found is None else found
+    metrics = wide_metrics(found) if metrics is None else metrics
+    universe = market.universe(spark, sf_dir)
+    reports = market.earnings(found, universe)
     rows = joins.as_of(found, reports, "ticker", "d", "earnings_date", ["earnings_date"]).withColumnRenamed("earnings_date", "_last")
     rows = joins.as_of(rows, reports, "ticker", "d", "earnings_date", ["earnings_date"], forward=True).withColumnRenamed("earnings_date", "_next")
     since = F.datediff("d", "_last")
     rows = rows.withColumns({"days_since": F.when(since.between(1, 5), since), "days_to_earnings": F.datediff("_next", "d")}).drop("_last", "_next")
-    metrics = wide_metrics(spark, sf_dir, found, bars).drop("wins", "losses")
-    rows = rows.join(universe.select("ticker", "industry", "is_etf"), "ticker").join(regime.sma_regime(market.index_bars(bars)).select("d", "regime"), "d").join(metrics, "ticker", "left")
+    index = market.index_bars(found)
+    regimes = regime.vix_override(regime.sma_regime(index), market.volatility_index(index) if vix is None else vix)
+    rows = rows.join(universe.select("ticker", "industry", "is_etf"), "ticker").join(regimes, "d").join(metrics.drop("wins", "losses"), "ticker", "left")
     return rows.withColumns({c: F.coalesce(C(c), F.lit(0.0)) for c in ("win_rate", "expectancy_pct")} | {"total_signals": F.coalesce(C("total_signals"), F.lit(0))})
 
 
@@ -53,8 +66,6 @@ def regime_sma(spark, sf_dir):
     return regime.sma_regime(market.index_bars(market.bars(spark, sf_dir)))
 
 
-CTE["overridden"] = "SELECT r.d, CASE WHEN coalesce(vix > 40, false) THEN 'bear' ELSE regime END AS regime, CASE WHEN coalesce(vix > 40, false) THEN 0.5e0 ELSE 1e0 END AS size_mult FROM regimes r LEFT JOIN vix v ON r.d = v.d"
-
 
 @query("SELECT * FROM overridden")
 def regime_vix_override(spark, sf_dir):
@@ -186,7 +197,7 @@ def _scan_sql(name: str) -> str:
   round(CASE WHEN entry_price > stop_loss THEN (0.5e0 * (target_1 - entry_price) + 0.3e0 * (target_2 - entry_price) + 0.2e0 * (target_3 - entry_price)) / (entry_price - stop_loss) ELSE 0e0 END, 4) AS weighted_rr,
   round(rsi_14, 4) AS current_rsi, round(volume_ratio, 4) AS volume_ratio, round(adx_14, 4) AS adx_value, CAST(momentum AS DOUBLE) AS momentum_pts, composite_score,
   CASE WHEN guard_reason IS NOT NULL THEN 'Blocked' WHEN composite_score >= 70 THEN 'Strong Buy' WHEN composite_score >= 50 THEN 'Buy' WHEN composite_score >= 35 THEN 'Watch' ELSE 'Speculative' END AS tier_label,
-  guard_reason, {quality} AS quality_score, narrative, round(return_63, 4) AS returns_3m, days_since, regime
+  guard_reason, {quality} AS quality_score, narrative, round(return_63, 4) AS returns_3m, days_since, regime, size_mult
   FROM (SELECT *, round(CAST(momentum AS DOUBLE) + {points}, 4) AS composite_score, {reason} AS guard_reason, {t[0]} AS target_1, {t[1]} AS target_2, {t[2]} AS target_3
     FROM (SELECT *, round({entry} + 1e-9, 2) AS entry_price, round({stop} + 1e-9, 2) AS stop_loss, {momentum} AS momentum, {told} AS narrative FROM {source} WHERE {gates}))
   WHERE NOT coalesce((entry_price - stop_loss) / entry_price * 100 < {risk}e0, false)"""
@@ -211,7 +222,11 @@ CTE["all_signals"] = " UNION ALL ".join(f"SELECT * FROM s_{s} WHERE regime IN ({
 @query("SELECT * FROM all_signals")
 def scan_union(spark, sf_dir):
     """All scans that the regimes run."""
-    return strategies.scan_all(shared.written(scan_input(spark, sf_dir), "scan"))  # read by seven scans
+    return signals(spark, sf_dir)
+
+
+def signals(spark, sf_dir, found: DataFrame | None = None, vix: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    return strategies.scan_all(shared.bucketed(scan_input(spark, sf_dir, found, vix, metrics), "scan", "ticker"))  # read by seven scans
 
 
 @query("SELECT d, ticker, round(return_63, 6) AS return_63 FROM strong")
@@ -257,7 +272,7 @@ CTE["ctx"] = """SELECT ticker, greatest(0e0, least(100e0, CASE WHEN a + e + f +
 
 
 def context_scores(spark, sf_dir) -> DataFrame:
-    bars, universe = market.bars(spark, sf_dir), market.universe(spark, sf_dir)
+    bars, universe = shared.written(market.bars(spark, sf_dir), "bars"), market.universe(spark, sf_dir)
     last = indicators.latest(indicators.all_indicators(bars).withColumn("event", indicators.price_volume_event())).select("ticker", "rsi_14", "adx_14", "volume_ratio", "event")
     reports = market.earnings(bars, universe)
     percent = context.surprise(C("actual"), C("estimate"), C("surprise"))
@@ -297,7 +312,7 @@ def ctx_cache_hits(spark, sf_dir):
 
 def pool(spark, sf_dir) -> DataFrame:
     """All signals with what the ranker needs."""
-    rows = shared.written(scan_input(spark, sf_dir), "scan")
+    rows = shared.bucketed(scan_input(spark, sf_dir), "scan", "ticker")
     more = rows.select("ticker", "d", "industry", "dma_50", "macd_hist", "win_rate", "expectancy_pct", "total_signals")
     return strategies.scan_all(rows).join(more, ["ticker", "d"])
 
@@ -312,6 +327,8 @@ CTE["pool3"] = """SELECT *, CASE WHEN expectancy_pct < 0 THEN greatest(5e0, 100
 CTE["ranked"] = """SELECT *, round(0.3e0 * momentum_score + 0.4e0 * expectancy_score + 0.2e0 * winrate_score + 0.1e0 * regime_score, 4) AS preliminary,
   round(CASE regime WHEN 'bull' THEN 0.3e0 * momentum_score + 0.3e0 * expectancy_score + 0.15e0 * winrate_score + 0.1e0 * regime_score WHEN 'bear' THEN 0.15e0 * momentum_score + 0.35e0 * expectancy_score + 0.1e0 * winrate_score + 0.1e0 * regime_score
     ELSE 0.25e0 * momentum_score + 0.35e0 * expectancy_score + 0.15e0 * winrate_score + 0.1e0 * regime_score END, 4) AS rank_score FROM pool3"""
+CTE["beta_ranked"] = """SELECT *, CASE WHEN CASE regime WHEN 'bull' THEN current_rsi BETWEEN 50 AND 70 AND price > dma_50 WHEN 'bear' THEN industry LIKE '%Utilities%' OR industry LIKE '%Health Care%' OR beta < 1
+  ELSE abs(current_rsi - 50) < 8 END THEN 100e0 ELSE 0e0 END AS beta_score FROM (SELECT p.*, CASE WHEN n % 4 > 0 THEN round(0.7e0 + n % 5 * 0.15e0, 2) END AS beta FROM pool2 p JOIN universe u ON p.ticker = u.ticker)"""
 KEYS = "strategy, ticker, d"
 
 
@@ -335,6 +352,13 @@ def rank_composite(spark, sf_dir):
     return ranking.scores(pool(spark, sf_dir)).select("strategy", "ticker", "d", "regime", "preliminary", "rank_score")
 
 
+@query(f"SELECT {KEYS}, regime, beta, beta_score AS regime_score FROM beta_ranked")
+def rank_beta(spark, sf_dir):
+    """Regime scores with each stock's beta; a quarter of the stocks have none."""
+    rows = pool(spark, sf_dir).join(market.betas(market.universe(spark, sf_dir)), "ticker", "left")
+    return ranking.scores(rows).select("strategy", "ticker", "d", "regime", "beta", "regime_score")
+
+
 CTE["tiers"] = """SELECT *, CASE WHEN rank_score >= CASE WHEN regime = 'bull' THEN 80 ELSE 75 END AND regime <> 'bear' AND expectancy_pct > 0 AND win_rate >= 35 AND total_signals >= 10 THEN 1
   WHEN rank_score >= 50 AND expectancy_pct >= 0 AND win_rate >= 25 AND total_signals >= 10 THEN 2 WHEN rank_score >= 40 AND expectancy_pct >= -2 THEN 3 ELSE 4 END AS tier FROM ranked"""
 

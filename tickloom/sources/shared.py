@@ -38,3 +38,11 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def bucketed(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """Rows written once into the shared folder in buckets by ``key``, so that windows, joins and sums by it read them without a shuffle."""
+    spark = rows.sparkSession
+    made, buckets = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(buckets, key).write.option("path", f"{shared_folder(spark)}/tickloom/{made}").bucketBy(buckets, key).sortBy(key).saveAsTable(made)
+    return spark.table(made)
