@@ -109,11 +109,15 @@ class ShardStore:
             return []
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         named.where(F.col(name).isin(new)).write.option("compression", "zstd").partitionBy(name).parquet(folder)
-        rows = self._files(folder)
-        places = rows.select(F.regexp_extract(self._file(rows), "^(.*)/[^/]*$", 1).alias("folder")).distinct().collect()
-        parts = {unquote(r.folder.rpartition(f"{name}=")[2]): r.folder for r in places}
+        # all arrivals' files are listed in one pass; the driver holds a line per file, as for any commit
+        parts: dict[str, list] = {}
+        for r in self._listed(folder, "").collect():
+            arrival = unquote(r.path.rpartition("/")[0].rpartition(f"{name}=")[2])
+            parts.setdefault(arrival, []).append((r.path, arrival, r.bytes, r.rows))
         for arrival in sorted(parts):
-            self._arrived(parts[arrival], arrival)
+            lines = self.spark.createDataFrame(parts[arrival], MANIFEST)
+            self._commit(self.versions.latest()[0] + 1, self.manifest().union(lines), arrival)
+            self.compact()
         return sorted(parts)
 
     def _columns(self) -> list[F.Column]:
