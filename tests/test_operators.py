@@ -9,9 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import percentile_rank
+from tickloom.functions.columns import in_order, percentile_rank
 from tickloom.functions.recursive import decayed_sums, ema, from_first, wilder_sum
-from tickloom.operators import backtest, calendar, final, indicators, joins, positions, ranking, regime, sizing
+from tickloom.operators import backtest, calendar, context, final, indicators, joins, positions, ranking, regime, sizing
 from tickloom.sources import shared, tables
 from tickloom.streaming import ticks
 
@@ -162,6 +162,84 @@ def test_hmm_finds_separated_states():
     assert sorted(model[2][:, 0].round(0).tolist()) == [-1, 0, 1] and len(set(path[:80])) == len(set(path[160:])) == 1
 
 
+def test_blocks_of_a_series_give_the_beliefs_of_the_plain_recursion():
+    rng = np.random.default_rng(3)
+    for rows in (1, 2, 3, 30, 97, 1000):
+        likely, move, start = rng.random((rows, 3)) ** 6, rng.random((3, 3)) ** 4, np.array([0.2, 0.5, 0.3])
+        move /= move.sum(axis=1, keepdims=True)
+        ahead, behind = [start * likely[0] / (start * likely[0]).sum()], [np.ones(3)]
+        for seen in likely[1:]:
+            now = seen * (ahead[-1] @ move)
+            ahead.append(now / now.sum())
+        for seen in likely[:0:-1]:
+            now = move @ (seen * behind[-1])
+            behind.append(now / now.sum())
+        belief = np.array(ahead) * np.array(behind[::-1])
+        moves = np.zeros((3, 3))
+        for t in range(rows - 1):
+            both = np.outer(ahead[t], likely[t + 1] * behind[::-1][t + 1]) * move
+            moves += both / both.sum()
+        found = regime.forward_backward(likely, start, move)
+        np.testing.assert_allclose(found[0], belief / belief.sum(axis=1, keepdims=True), atol=1e-12)
+        np.testing.assert_allclose(found[1], moves, atol=1e-9)
+
+
+def test_a_state_left_for_good_does_not_break_a_block():
+    likely = np.zeros((400, 3))
+    likely[:200, 0] = likely[200:, 1] = 1.0
+    move = np.array([[0.99, 0.01, 0], [0, 1, 0], [0, 0, 1]])
+    belief, moves = regime.forward_backward(likely, np.array([1.0, 0, 0]), move)
+    assert belief[:200, 0].min() == belief[200:, 1].min() == 1.0
+    np.testing.assert_allclose(moves, [[199, 1, 0], [0, 199, 0], [0, 0, 0]], atol=1e-9)
+
+
+def test_each_series_has_its_own_regimes(spark):
+    rng = np.random.default_rng(5)
+    day = dt.date(2020, 1, 1)
+    levels = {"UP": (-1, 0, 1), "DOWN": (1, 0, -1)}
+    rows = [(name, day + dt.timedelta(days=i), *map(float, r)) for name, of in levels.items() for i, r in enumerate(np.concatenate([rng.normal(m, 0.1, (50, 4)) for m in of]))]
+    both = spark.createDataFrame(rows + [("NEW", day, 0.0, 0.0, 0.0, 0.0)], ["ticker", "d", *regime.FEATURES]).withColumn("d", F.col("d").cast("date")).cache()
+    last = {(r.ticker, r.regime) for r in regime.hmm_regime(both, 30).collect()}
+    assert last == {("UP", "bull"), ("DOWN", "bear"), ("NEW", "bull")}
+    models = regime.hmm_models(both).cache()
+    assert sorted((r.ticker, r.fit_rows) for r in models.collect()) == [("DOWN", 63), ("DOWN", 126), ("UP", 63), ("UP", 126)]
+    stored = {(r.ticker, r.regime, r.fit_rows) for r in regime.hmm_stored_regime(both, models, 20).collect()}
+    assert stored == {("UP", "bull", 126), ("DOWN", "bear", 126), ("NEW", "bull", 0)}
+    alone = regime.hmm_models(both.where("ticker = 'UP'")).orderBy("fit_rows").collect()
+    for x, y in zip(alone, models.where("ticker = 'UP'").orderBy("fit_rows").collect(), strict=True):
+        np.testing.assert_allclose(np.array(x.mean), np.array(y.mean))
+
+
+def test_weights_from_a_file(spark, tmp_path):
+    path = tmp_path / "weights.yaml"
+    path.write_text("# weights\nanalyst:\n  buy_bonus: 25  # points\nnews:\n  sentiment_positive_threshold: 0.5\nmax_scores:\n  analyst: 30\n")
+    assert context.load_weights(spark, str(path)) == context.DEFAULTS | {"buy_bonus": 25.0, "sentiment_positive": 0.5}
+    assert context.load_weights(spark, str(tmp_path / "none")) == context.DEFAULTS
+    path.write_text("buy_bonus: much\n")
+    with pytest.raises(ValueError):
+        context.load_weights(spark, str(path))
+
+
+def test_a_store_in_each_mode(spark, tmp_path):
+    day = dt.date(2024, 1, 30)
+    rows = spark.createDataFrame([("A", day + dt.timedelta(days=i), 1.0, 2.0, 0.5, 1.5 + i, 10.0) for i in range(6)], tables.BAR)
+    path = str(tmp_path / "bars")
+    tables.write_bars(rows.where("d < '2024-02-02'"), path)
+    late = rows.where("d > '2024-01-31'")
+    assert tables.brought_up(spark, path, late, "local", "2024-02-02") is None and tables.read_bars(spark, path).count() == 3
+    assert tables.brought_up(spark, path, late, "local", "2024-02-07") == 3 and tables.read_bars(spark, path).count() == 6
+    assert tables.brought_up(spark, path, late, "incremental", "2024-02-07") == 0
+    assert tables.brought_up(spark, path, late, "force", "2024-02-07") == tables.read_bars(spark, path).count() == 4
+    with pytest.raises(ValueError):
+        tables.brought_up(spark, path, late, "odd", "2024-02-07")
+
+
+def test_rows_in_the_order_of_a_column(spark):
+    rows = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0), (4, 2.0)], "id int, x double")
+    assert [r.id for r in in_order(rows, "x").collect()] == [1, 4, 3, 2]
+    assert [r.id for r in in_order(rows, "x", descending=True).collect()] == [3, 1, 4, 2]
+
+
 def test_hmm_is_fitted_anew_every_63_dates_and_decodes_from_its_table(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(m, 0.1, (50, 4)) for m in (-1, 0, 1)])

@@ -1,8 +1,8 @@
-"""Column helpers: windows over a ticker's bars, clipping, ranks, step functions."""
+"""Column helpers: windows over a ticker's bars, clipping, ranks, step functions, order of shown rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,9 @@ def percent_up(price: Column, percent: int) -> Column:
     """A price in cents raised by whole percents, rounded half up to cents by integer arithmetic."""
     cents = F.round(price * 100).cast("long") * (100 + percent)
     return F.floor((cents + 50) / 100) / 100e0
+
+
+def in_order(rows: DataFrame, column: str, descending: bool = False, tie: str = "id") -> DataFrame:
+    """Rows by any column, either way, missing values last; a sort over ranges, so no task gets them all."""
+    by = F.col(column)
+    return rows.orderBy(by.desc_nulls_last() if descending else by.asc_nulls_last(), tie)

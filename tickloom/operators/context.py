@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -20,6 +20,22 @@ def with_weights(**changed: float) -> dict[str, float]:
     return DEFAULTS | changed
 
 
+def load_weights(spark: SparkSession, path: str) -> dict[str, float]:
+    """Weights from a file of ``name: number`` lines under section names, on any path that Spark reads; the defaults for what it lacks, or where there is no file.
+
+    Sections, comments and names that no rule uses are passed over; a known name without a number is an error.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return dict(DEFAULTS)
+    changed = {}
+    for (line,) in spark.read.text(path).collect():  # a settings file
+        name, _, value = line.partition("#")[0].partition(":")
+        if (name := name.strip().removesuffix("_threshold")) in DEFAULTS:
+            changed[name] = float(value)
+    return with_weights(**changed)
+
+
 def parts(w: dict[str, float] = DEFAULTS) -> dict[str, Column]:
     """Points by source; a missing figure gives none."""
     upside = (C("target_mean_price") - C("price")) / C("price")

@@ -130,7 +130,7 @@ def latest(indicators: DataFrame, *partition: str) -> DataFrame:
 
 
 def hmm_features(index: DataFrame, vix: DataFrame) -> DataFrame:
-    """20-bar log return, annualised deviation, vix/100 and share of rising bars, on dates that both tables have."""
+    """20-bar log return, annualised deviation, vix/100 and share of rising bars of each series, on dates that both tables have."""
     both = index.join(vix.where("vix is not null"), "d").withColumn("t", (F.row_number().over(by_ticker()) - 1).cast("long"))
     both = both.withColumn("lr", F.log(C("close") / F.lag("close").over(by_ticker())))
     return both.withColumns({
@@ -138,7 +138,7 @@ def hmm_features(index: DataFrame, vix: DataFrame) -> DataFrame:
         "vol_20": F.when(C("t") >= 20, F.stddev_samp("lr").over(last_bars(20)) * F.sqrt(F.lit(252e0))),
         "vix_norm": C("vix") / 100,
         "breadth_20": full(F.when(C("lr") > 0, 1.0).otherwise(0.0), 20, F.avg),
-    }).where("return_20 is not null and vol_20 is not null").select("d", "return_20", "vol_20", "vix_norm", "breadth_20")
+    }).where("return_20 is not null and vol_20 is not null").select("ticker", "d", "return_20", "vol_20", "vix_norm", "breadth_20")
 
 
 def significant_highs(bars: DataFrame, apart: float = 0.02) -> DataFrame:

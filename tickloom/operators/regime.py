@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +46,52 @@ def gaussian_log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np
     return out
 
 
+def forward_backward(likely: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Beliefs of the states at each row, and the expected moves between them.
+
+    The series is cut into about as many blocks as a block has rows, and all blocks step
+    together: first each block's effect from every state it may begin in, then what each
+    block begins (or ends) with, then the rows.  So a series of n rows takes some
+    multiple of the root of n array steps.
+    """
+    rows, states = likely.shape
+    length = max(1, math.isqrt(rows))
+    blocks = -(-rows // length)
+    # rows that fill the last block say nothing: they change no belief before them
+    at = np.vstack([likely, np.ones((blocks * length - rows, states))]).reshape(blocks, length, states)
+    effect, size = np.broadcast_to(np.eye(states), (blocks, states, states)), np.zeros((blocks, states))
+    with np.errstate(divide="ignore"):
+        for k in range(length):
+            effect = (effect @ move if k else effect) * at[:, k, None, :]
+            total = effect.sum(axis=2)
+            size += np.log(total)
+            effect = effect / np.where(total > 0, total, 1)[:, :, None]
+        before = np.empty((blocks, states))
+        before[0] = start
+        for b in range(1, blocks):
+            weight = np.log(before[b - 1]) + size[b - 1]
+            last = np.exp(weight - weight.max()) @ effect[b - 1]
+            before[b] = last / last.sum() @ move
+    ahead, scale = np.empty_like(at), np.empty((blocks, length))
+    for k in range(length):
+        now = at[:, k] * (ahead[:, k - 1] @ move if k else before)
+        scale[:, k] = now.sum(axis=1)
+        ahead[:, k] = now / scale[:, k, None]
+    told = at / scale[:, :, None]
+    effect = np.broadcast_to(np.eye(states), (blocks, states, states))
+    for k in range(1, length):
+        effect = effect @ move * told[:, k, None, :]
+    behind = np.empty_like(at)
+    behind[-1, -1] = 1
+    for b in range(blocks - 2, -1, -1):
+        behind[b, -1] = move @ (told[b + 1, 0] * (effect[b + 1] @ behind[b + 1, -1]))
+    for k in range(length - 2, -1, -1):
+        behind[:, k] = (told[:, k + 1] * behind[:, k + 1]) @ move.T
+    ahead, reached = ahead.reshape(-1, states)[:rows], (told * behind).reshape(-1, states)[:rows]
+    belief = ahead * behind.reshape(-1, states)[:rows]
+    return belief / belief.sum(axis=1, keepdims=True), move * (ahead[:-1].T @ reached[1:])
+
+
 def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Full-covariance Gaussian HMM by EM from equal chunks of the series: start, transition, means, covariances."""
     chunks = np.array_split(x, states)
@@ -53,18 +101,7 @@ def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 100) -> tuple[np.ndarr
     start, move = np.full(states, 1 / states), np.full((states, states), 1 / states)
     for _ in range(rounds):
         logs = gaussian_log_density(x, mean, cov)
-        likely = np.exp(logs - logs.max(axis=1, keepdims=True))
-        ahead, scale = np.empty_like(likely), np.empty(len(x))
-        for t in range(len(x)):
-            ahead[t] = likely[t] * (start if t == 0 else ahead[t - 1] @ move)
-            scale[t] = ahead[t].sum()
-            ahead[t] /= scale[t]
-        behind = np.ones_like(likely)
-        for t in range(len(x) - 2, -1, -1):
-            behind[t] = move @ (likely[t + 1] * behind[t + 1]) / scale[t + 1]
-        belief = ahead * behind
-        belief /= belief.sum(axis=1, keepdims=True)
-        pairs = np.einsum("ti,ij,tj->ij", ahead[:-1], move, likely[1:] * behind[1:] / scale[1:, None])
+        belief, pairs = forward_backward(np.exp(logs - logs.max(axis=1, keepdims=True)), start, move)
         start, move = belief[0], pairs / pairs.sum(axis=1, keepdims=True)
         weight = belief.sum(axis=0)
         mean = belief.T @ x / weight[:, None]
@@ -91,60 +128,67 @@ def best_path(x: np.ndarray, start, move, mean, cov) -> np.ndarray:
 FEATURES = ["return_20", "vol_20", "vix_norm", "breadth_20"]
 
 
+def _by_series(features: DataFrame) -> DataFrame:
+    """Features with the series that each row is of; without a column ``ticker`` there is one."""
+    return features if "ticker" in features.columns else features.withColumn("ticker", F.lit("INDEX"))
+
+
 def hmm_regime(features: DataFrame, recent: int = 120) -> DataFrame:
-    """Regime of the last ``recent`` dates by a three-state HMM; states are named by ascending mean return.
+    """Regime of the last ``recent`` dates of each series by a three-state HMM; states are named by ascending mean return.
 
-    One index is one short series (a row per date), so it is one group.
+    A series (``ticker``: an index, with a row per date) is a group of its own.
     """
 
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
+    def label(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("d")
-        x = rows[FEATURES].to_numpy()
+        x, last = rows[FEATURES].to_numpy(), rows.tail(recent)
         if len(x) < 30:
-            return pd.DataFrame({"d": rows["d"].tail(recent), "regime": "bull"})
+            return pd.DataFrame({"ticker": key[0], "d": last["d"], "regime": "bull"})
         model = fit_hmm(x)
-        names = dict(zip(np.argsort(model[2][:, 0]).tolist(), ("bear", "sideways", "bull"), strict=True))
-        last = rows.tail(recent)
-        return pd.DataFrame({"d": last["d"], "regime": [names[s] for s in best_path(last[FEATURES].to_numpy(), *model)]})
+        return pd.DataFrame({"ticker": key[0], "d": last["d"], "regime": _named(last, model)})
+
+    return _by_series(features).groupBy("ticker").applyInPandas(label, "ticker string, d date, regime string")
+
 
-    return features.groupBy(F.lit("INDEX")).applyInPandas(label, "d date, regime string")
+def _named(rows: pd.DataFrame, model: tuple) -> list[str]:
+    names = dict(zip(np.argsort(model[2][:, 0]).tolist(), ("bear", "sideways", "bull"), strict=True))
+    return [names[s] for s in best_path(rows[FEATURES].to_numpy(), *model)]
 
 
-MODEL = "fit_rows int, start array<double>, move array<array<double>>, mean array<array<double>>, cov array<array<array<double>>>"
+MODEL = "ticker string, fit_rows int, start array<double>, move array<array<double>>, mean array<array<double>>, cov array<array<array<double>>>"
 
 
 def hmm_models(features: DataFrame, every: int = 63) -> DataFrame:
-    """The parameters of each fit: on the first ``every`` dates, and anew on all dates so far whenever ``every`` have come since.
+    """The parameters of each fit of a series: on its first ``every`` dates, and anew on all dates so far whenever ``every`` have come since.
 
-    Every fit is a task of its own.  A date takes part in all later fits, which a
-    series of one row a date allows.
+    Every fit of every series is a task of its own.  A fit is a full one, as a state that
+    a series has not met before changes what its earlier dates count as: a date takes part
+    in all later fits, which a series of one row a date allows.
     """
-    n = F.row_number().over(Window.partitionBy(F.lit("INDEX")).orderBy("d"))
-    total = F.count("*").over(Window.partitionBy(F.lit("INDEX")))
-    rows = features.withColumns({"n": n, "fits": F.floor(total / every).cast("int")}).withColumn("first", F.ceil(C("n") / every).cast("int"))
+    n = F.row_number().over(Window.partitionBy("ticker").orderBy("d"))
+    total = F.count("*").over(Window.partitionBy("ticker"))
+    rows = _by_series(features).withColumns({"n": n, "fits": F.floor(total / every).cast("int")}).withColumn("first", F.ceil(C("n") / every).cast("int"))
     rows = rows.where("first <= fits").withColumn("fit_rows", F.explode(F.sequence(C("first") * every, C("fits") * every, F.lit(every))))
 
-    def fit(key, dates: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, dates: pd.DataFrame) -> pd.DataFrame:
         model = fit_hmm(dates.sort_values("d")[FEATURES].to_numpy())
-        return pd.DataFrame({"fit_rows": [key[0]], **{name: [part.tolist()] for name, part in zip(("start", "move", "mean", "cov"), model, strict=True)}})
+        return pd.DataFrame({"ticker": [key[0]], "fit_rows": [key[1]], **{name: [part.tolist()] for name, part in zip(("start", "move", "mean", "cov"), model, strict=True)}})
 
-    return rows.groupBy("fit_rows").applyInPandas(fit, MODEL)
+    return rows.groupBy("ticker", "fit_rows").applyInPandas(fit, MODEL)
 
 
 def hmm_stored_regime(features: DataFrame, models: DataFrame, recent: int = 120) -> DataFrame:
-    """Regime of the last ``recent`` dates by the newest of the stored models; "bull" while there is none."""
-    newest = models.orderBy(F.desc("fit_rows")).limit(1)
-    last = features.orderBy(F.desc("d")).limit(recent)
+    """Regime of the last ``recent`` dates of each series by the newest of its stored models; "bull" while there is none."""
+    late = Window.partitionBy("ticker")
+    newest = models.groupBy("ticker").agg(F.max_by(F.struct("fit_rows", "start", "move", "mean", "cov"), "fit_rows").alias("m")).select("ticker", "m.*")
+    last = _by_series(features).withColumn("_n", F.row_number().over(late.orderBy(F.desc("d")))).where(C("_n") <= recent)
 
-    def label(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    def label(key: tuple, rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("d")
-        if model.empty:
-            return pd.DataFrame({"d": rows["d"], "regime": "bull", "fit_rows": 0})
+        if model.empty or rows.empty:
+            return pd.DataFrame({"ticker": key[0], "d": rows["d"], "regime": "bull", "fit_rows": 0})
         stored = model.iloc[0]
         parts = [np.array([np.array([np.array(x) for x in y]) for y in stored[n]]) if n == "cov" else np.array([np.array(y) for y in stored[n]]) for n in ("start", "move", "mean", "cov")]
-        names = dict(zip(np.argsort(parts[2][:, 0]).tolist(), ("bear", "sideways", "bull"), strict=True))
-        path = best_path(rows[FEATURES].to_numpy(), *parts)
-        return pd.DataFrame({"d": rows["d"], "regime": [names[s] for s in path], "fit_rows": stored["fit_rows"]})
+        return pd.DataFrame({"ticker": key[0], "d": rows["d"], "regime": _named(rows, parts), "fit_rows": stored["fit_rows"]})
 
-    one = F.lit("INDEX")
-    return last.groupBy(one).cogroup(newest.groupBy(one)).applyInPandas(label, "d date, regime string, fit_rows int")
+    return last.groupBy("ticker").cogroup(newest.groupBy("ticker")).applyInPandas(label, "ticker string, d date, regime string, fit_rows int")

@@ -123,9 +123,13 @@ def ind_latest_snapshot(spark, sf_dir):
     return last.select(*AT, "close", *(F.round(c, 9).alias(c) for c in ("dma_50", "dma_200")), *(F.round(c, 6).alias(c) for c in ("rsi_14", "volume_ma_20", "adx_14")), "volume")
 
 
-@query(None)
+@query("""SELECT * FROM (WITH RECURSIVE tops AS (SELECT DISTINCT ticker, round(high, 2) AS high FROM (
+    SELECT *, max(high) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS top, max(t) OVER (PARTITION BY ticker) - t AS age FROM bars) WHERE high = top AND age < 120),
+  kept(ticker, high) AS (SELECT ticker, min(high) FROM tops GROUP BY ticker UNION ALL
+    SELECT k.ticker, min(s.high) FROM kept k JOIN tops s ON s.ticker = k.ticker AND s.high > k.high * (1 + 0.02e0) GROUP BY k.ticker, k.high)
+  SELECT ticker, high FROM kept)""")
 def ind_significant_highs(spark, sf_dir):
-    return indicators.significant_highs(market.bars(spark, sf_dir))
+    return indicators.significant_highs(market.bars(spark, sf_dir)).select("ticker", F.explode("highs").alias("high"))
 
 
 oracle.CTE["candle"] = f"""SELECT ticker, d, t, pattern, round(CASE WHEN pattern = 'engulfing' THEN close ELSE high * 1.001e0 END + 1e-9, 2) AS entry FROM (

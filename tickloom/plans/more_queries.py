@@ -126,9 +126,10 @@ def table_update(spark, sf_dir):
     return tables.updated(rows.select("id", "stop_loss", "entry_price"), changes, ["id"])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in market.SECTOR_FUNDS) + ") t(ticker, sector)")
+@query("SELECT f.ticker, f.sector, count(u.ticker) AS members FROM (VALUES " + ", ".join(f"('{t}', '{s}')" for t, s in market.SECTOR_FUNDS) + ") f(ticker, sector) LEFT JOIN universe u ON u.industry = f.sector GROUP BY 1, 2")
 def universe_funds(spark, sf_dir):
-    return market.sector_funds(spark)
+    """The sector funds, and how many tickers of the universe are of each one's sector."""
+    return market.fund_members(spark, market.universe(spark, sf_dir))
 
 
 @query("SELECT ticker, month, count(*) AS bars FROM (SELECT ticker, strftime(d, '%Y-%m') AS month FROM bars) GROUP BY ALL")
@@ -175,6 +176,20 @@ def store_refresh(spark, sf_dir):
     return tables.read_bars(spark, path).groupBy("ticker").agg(F.count("*").alias("bars"), F.max("d").alias("last"))
 
 
+@query("""SELECT 'force' AS mode, count(*) AS bars, min(d) AS first, max(d) AS last FROM bars WHERE d >= DATE '1996-06-01'
+  UNION ALL SELECT mode, count(*), min(d), max(d) FROM bars, (VALUES ('incremental'), ('local')) m(mode) GROUP BY mode
+  UNION ALL SELECT 'local, fresh', count(*), min(d), max(d) FROM bars WHERE d <= DATE '1997-06-10'""")
+def store_refresh_modes(spark, sf_dir):
+    """A store that ends in June 1997 meets bars since June 1996 in each mode, and in local mode also on the next day."""
+    bars, found = shared.written(market.bars(spark, sf_dir), "bars"), None
+    for label, today in (("force", "2001-10-30"), ("incremental", "2001-10-30"), ("local", "2001-10-30"), ("local, fresh", "1997-06-10")):
+        path = _store(bars.where("d <= date'1997-06-10'"), "bars")
+        tables.brought_up(spark, path, bars.where("d >= date'1996-06-01'"), tables.refresh_mode(label.partition(",")[0]), today)
+        rows = tables.read_bars(spark, path).agg(F.count("*").alias("bars"), F.min("d").alias("first"), F.max("d").alias("last")).select(F.lit(label).alias("mode"), "bars", "first", "last")
+        found = found.union(rows) if found else rows
+    return found
+
+
 @query("SELECT ticker, min(d) <= DATE '1994-01-01' AND max(d) >= DATE '2000-01-01' AS covered FROM bars GROUP BY ticker")
 def store_coverage(spark, sf_dir):
     """Whether each ticker's stored bars reach over a range."""

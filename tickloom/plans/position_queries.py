@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import in_order
 from tickloom.operators import calendar, indicators, joins, positions, ranking, sizing
 from tickloom.plans import oracle
 from tickloom.plans.indicator_queries import C, query
@@ -275,6 +276,12 @@ def dash_search(spark, sf_dir):
     return held(spark, sf_dir).where(text.contains("strong volume")).select("id", "ticker", "narrative")
 
 
+@query("SELECT id, ticker, status, composite_score FROM held")
+def dash_sorted(spark, sf_dir):
+    """All positions in the dashboard's order: the best score first, rows without one last."""
+    return in_order(held(spark, sf_dir).select("id", "ticker", "status", "composite_score"), "composite_score", descending=True)
+
+
 @query("SELECT DISTINCT d, CASE dayofweek(d) WHEN 5 THEN d + 3 WHEN 6 THEN d + 2 ELSE d + 1 END AS next_day FROM (SELECT CAST(ts AS DATE) AS d FROM events)")
 def cal_next_trading_day(spark, sf_dir):
     days = market.table(spark, sf_dir, "events").select(F.to_date("ts").alias("d")).distinct()

@@ -86,23 +86,28 @@ def regime_should_trade(spark, sf_dir):
     return kinds.select("d", "kind", regime.should_trade(C("kind"), C("regime")).alias("trade"))
 
 
+def _hmm_features(spark, sf_dir):
+    """Features of the whole market's index and of each industry's, all with the market's volatility."""
+    bars = shared.written(market.bars(spark, sf_dir).join(market.universe(spark, sf_dir).select("ticker", "industry"), "ticker"), "bars")
+    index = market.index_bars(bars)
+    series = index.unionByName(market.index_bars(bars, "industry"))
+    return shared.written(indicators.hmm_features(series, market.volatility_index(index)), "hmm_features")
+
+
 @query(None)
 def hmm_regime(spark, sf_dir):
-    index = market.index_bars(market.bars(spark, sf_dir))
-    return regime.hmm_regime(indicators.hmm_features(index, market.volatility_index(index)))
+    return regime.hmm_regime(_hmm_features(spark, sf_dir))
 
 
 @query(None)
 def hmm_models(spark, sf_dir):
-    index = market.index_bars(market.bars(spark, sf_dir))
-    return regime.hmm_models(indicators.hmm_features(index, market.volatility_index(index)))
+    return regime.hmm_models(_hmm_features(spark, sf_dir))
 
 
 @query(None)
 def hmm_stored_regime(spark, sf_dir):
     """The regime by the parameters table, written and read again."""
-    index = market.index_bars(market.bars(spark, sf_dir))
-    features = shared.written(indicators.hmm_features(index, market.volatility_index(index)), "hmm_features")
+    features = _hmm_features(spark, sf_dir)
     return regime.hmm_stored_regime(features, shared.written(regime.hmm_models(features), "hmm_models"))
 
 

@@ -28,6 +28,12 @@ def sector_funds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SECTOR_FUNDS), "ticker string, sector string")
 
 
+def fund_members(spark: SparkSession, universe: DataFrame) -> DataFrame:
+    """``ticker, sector, members``: each sector fund with how many tickers of the universe are of its sector."""
+    sizes = universe.groupBy(F.col("industry").alias("sector")).agg(F.count("*").alias("members"))
+    return sector_funds(spark).join(sizes, "sector", "left").select("ticker", "sector", F.coalesce("members", F.lit(0)).alias("members"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,10 +77,11 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("ticker", "n", F.concat("ticker", F.lit(" Corp")).alias("company_name"), industry.alias("industry"), (F.col("n") % 3 == 0).alias("is_etf"))
 
 
-def index_bars(bars: DataFrame) -> DataFrame:
-    """The equal-weight index: ``ticker, d, close, t`` with one bar per date."""
+def index_bars(bars: DataFrame, series: str | None = None) -> DataFrame:
+    """The equal-weight index: ``ticker, d, close, t`` with one bar per date; or one index for each value of a column."""
     mean = F.sum(F.round(F.col("close") * 10000).cast("long")) * 1e0 / F.count("*") / 1e4
-    by_date = bars.groupBy("d").agg(F.round(mean, 4).alias("close")).withColumn("ticker", F.lit("INDEX"))
+    name = F.col(series) if series else F.lit("INDEX")
+    by_date = bars.groupBy(name.alias("ticker"), "d").agg(F.round(mean, 4).alias("close"))
     return by_date.select("ticker", "d", "close", (F.row_number().over(by_ticker()) - 1).cast("long").alias("t"))
 
 

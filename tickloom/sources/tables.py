@@ -46,9 +46,9 @@ def month(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Bars by month (not by day: a file per day is too small to scan); only months that occur are replaced."""
-    bars.select("ticker", "d", "open", "high", "low", "close", "volume", month(C("d")).alias("month")).write.option("partitionOverwriteMode", "dynamic").partitionBy("month").mode("overwrite").parquet(path)
+def write_bars(bars: DataFrame, path: str, whole: bool = False) -> None:
+    """Bars by month (not by day: a file per day is too small to scan); only months that occur are replaced, or the whole store."""
+    bars.select("ticker", "d", "open", "high", "low", "close", "volume", month(C("d")).alias("month")).write.option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy("month").mode("overwrite").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str, first: str | None = None, last: str | None = None, end_exclusive: bool = False) -> DataFrame:
@@ -164,6 +164,25 @@ def refresh_mode(*choices: str | None, ci: bool = False) -> str:
     return next((c for c in named if c in MODES), "incremental" if ci else "local")
 
 
+def brought_up(spark: SparkSession, path: str, incoming: DataFrame, mode: str, today: str) -> int | None:
+    """Bring a store up to date in one of ``MODES``; how many bars came, or None where nothing was asked for.
+
+    "force" puts the incoming bars, which are not read from the store, in place of all
+    that it holds.  "incremental" adds the bars later than its last date.  "local" does
+    so only where that date is more than two trading days old, or there is none.
+    """
+    if mode not in MODES:
+        raise ValueError(f"a mode is one of {MODES}")
+    if mode == "force":
+        write_bars(incoming, path, whole=True)
+        return read_bars(spark, path).count()
+    if mode == "local":
+        last = read_bars(spark, path).agg(F.max("d").alias("last"))
+        if last.select(F.coalesce(stale(C("last"), F.lit(today).cast("date"), 2), F.lit(True))).first()[0] is False:
+            return None
+    return refresh(spark, path, incoming)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of CSV files with a header, in the given schema; unreadable values are null."""
     return spark.read.option("header", True).schema(schema).csv(path)

@@ -59,7 +59,7 @@ def step(state: tuple, price: float) -> tuple[tuple, tuple | None]:
     if price <= stop:
         return (entry, stop, t1, t2, t3, atr, taken, "closed"), ("stopped", stop if has_targets else price, 1.0)
     if price > entry:
-        raised = round(price - (2 * atr if pd.notna(atr) and atr > 0 else price * 0.02), 2)
+        raised = round(price - (2 * atr if pd.notna(atr) and atr > 0 else price * 0.02) + 1e-9, 2)  # ties up, as everywhere
         if raised > stop:
             return (entry, raised, t1, t2, t3, atr, taken, status), ("ratchet", price, 0.0)
     return state, None
