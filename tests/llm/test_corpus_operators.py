@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tickloom.llm import bloom, bpe, components, decontam, exact_dedup, line_dedup, ngram_join, oracle, pii, quality, sharding, token_counts, toxicity
+from tickloom.llm import bloom, bpe, common, components, decontam, exact_dedup, line_dedup, ngram_join, oracle, pii, quality, sharding, token_counts, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -346,6 +346,18 @@ def test_flattened_trees_equal_a_walk():
 # --- 5 exact dedup ------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_rows_of_a_hot_key_are_dealt_and_join_as_before(spark, how, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 30)
+    many = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), (F.col("id") % 100).cast("string"))).alias("key"))
+    few = many.where("key < 'k7' or key = 'hot'").groupBy("key").agg(F.count("*").alias("times"), F.min("id").alias("least"))
+    many, few = common.staged(many, "many"), common.staged(few, "few")
+    want = many.join(few.drop("times"), "key", how)
+    found = common.spread_join(many, few, "key", ["id"], how)
+    assert "xxhash64" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 500):

@@ -132,6 +132,30 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
+HOT_KEYS = 4096  # a hot key has more than one of so many parts of the rows, so there are fewer hot keys than this
+HOT_ROWS = 1 << 16  # and more rows than these, which any task takes
+SALTS = 64
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, deal: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined on ``key`` with ``few``, which has a row for each key and in ``times`` its rows in ``many``; both are staged.
+
+    Rows of hot keys are dealt over partitions by the columns ``deal``, and the row of
+    ``few`` goes to each of these.  Hot keys are told by 64-bit hashes, at most
+    ``HOT_KEYS`` of them; another key with such a hash is dealt as well.  Null keys match nothing.
+    """
+    tag = F.xxhash64(key)
+    hot = few.where(F.col("times") > max(many.count() / HOT_KEYS, HOT_ROWS)).select(tag.alias("tag")).distinct().collect()
+    few = few.drop("times")
+    if not hot:
+        return many.join(few, key, how)
+    is_hot = tag.isin([r.tag for r in hot])
+    (salt,) = fresh([*many.columns, *few.columns], "_salt")
+    many = many.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(*deal), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    few = few.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return many.join(few, [key, salt], how).drop(salt)
+
+
 @contextmanager
 def sent(spark: SparkSession, value):
     """A value broadcast to the executors and freed there afterwards: for passes whose result is staged inside."""

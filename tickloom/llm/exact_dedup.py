@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, fresh, light_batches, small_batches, staged, texts_of
+from tickloom.llm.common import as_batch, discard, fresh, light_batches, sent, small_batches, spread_join, staged, texts_of
 
 BITS = 48  # of a fingerprint
 LIST = 1 << 18  # rows that a task holds before it sends its lists
@@ -118,12 +118,12 @@ def _opened(batches):
             yield as_batch(_ROWS, ids, shas, marked[np.frombuffer(slots, "<u4")].astype(bool))
 
 
-def _texts_of_suspects(batches, wanted: np.ndarray):
+def _texts_of_suspects(batches, wanted):
     missing = -1
     for batch in batches:
         if batch.num_rows:
             keys = batch.column("doc_id").fill_null(missing).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(bloom.contains(wanted, keys)))
+            yield batch.filter(pa.array(bloom.contains(wanted.value, keys)))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -140,13 +140,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = staged(mine.transform(light_batches).mapInArrow(_opened, "doc_id long, sha binary, suspect boolean"), "prints")
 
     suspects = rows.where("suspect").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))
-    wanted = bloom.of_longs(suspects, suspects.count())
-    texts = docs.transform(light_batches).mapInArrow(partial(_texts_of_suspects, wanted=wanted), "doc_id long, text string")
-    groups = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    # the digest only addresses the verified group from here on
-    groups = groups.select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
+    with sent(docs.sparkSession, bloom.of_longs(suspects, suspects.count())) as wanted:
+        texts = docs.transform(light_batches).mapInArrow(partial(_texts_of_suspects, wanted=wanted), "doc_id long, text string")
+        groups = texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+        # the digest only addresses the verified group from here on
+        groups = staged(groups.select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size", F.col("group_size").alias("times")), "groups")
+    discard(lists)
     single = rows.where("not suspect").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    several = rows.where("suspect").join(groups, "sha", "left")
+    several = spread_join(rows.where("suspect"), groups, "sha", ["doc_id"], "left")
     several = several.select("doc_id", "sha", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
     out = single.union(several)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

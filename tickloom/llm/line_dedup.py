@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, ddl_of, fresh, light_batches, plain_names, quoted, sent, small_batches, staged, texts_of
+from tickloom.llm.common import as_batch, ddl_of, discard, fresh, light_batches, plain_names, quoted, sent, small_batches, spread_join, staged, texts_of
 
 BYTES_A_LINE = 64  # guessed, for the size of the filters
 LAST = (1 << 63) - 1  # stands for a missing id, after all others
@@ -113,11 +113,12 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     twice = bloom.gathered(plain.select("text").transform(light_batches).mapInArrow(partial(_fill, least=least, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
     with sent(spark, twice) as held:
         suspects = staged(plain.transform(light_batches).mapInArrow(partial(_suspects, least=least, twice=held), _SUSPECT_DDL), "lines")
-    repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
-    # as a table of its own it is shuffled for the join alone, which lets Spark split the rows of a very common line
-    repeated = staged(repeated, "repeated")
-    drops = suspects.join(repeated, "key").where("doc_id > first").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("at")).alias("at"))
+    repeated = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("times"))
+    repeated = staged(repeated.where("first < last").select("key", "first", "times"), "repeated")
+    drops = spread_join(suspects, repeated, "key", ["doc_id", "mark"]).where("doc_id > first").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("at")).alias("at"))
     drops = staged(drops, "drops")
+    discard(suspects)
+    discard(repeated)
 
     losing = spark.sparkContext.broadcast(bloom.of_longs(drops.select("doc_id"), drops.count()))  # read when the result is
 
