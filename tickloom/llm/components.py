@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, light_batches, staged
+from tickloom.llm.common import as_batch, discard, light_batches, staged
 
 
 CHUNK = 1 << 18  # links that one task contracts at a time
@@ -93,7 +93,8 @@ def components(links: DataFrame, most_rounds: int = 60, chunk: int = CHUNK) -> D
     for _ in range(most_rounds):
         if _settled(links):
             break
-        links = staged(_star(_star(links, True), False), "links")
+        before, links = links, staged(_star(_star(links, True), False), "links")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(links.select("b", "b").distinct())

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
-from tickloom.llm.common import as_batch, discard, group_bounds, light_batches, runs, small_batches, splitmix, staged, texts_of, without_ids
+from tickloom.llm.common import as_batch, discard, group_bounds, light_batches, runs, sent, small_batches, splitmix, staged, texts_of, without_ids
 from tickloom.llm.components import components, forest
 
 SKETCH = 1 << 18  # counters of the count sketch
@@ -179,10 +179,10 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _entries(batches, n: int, num: int, den: int, classes: np.ndarray, owners: np.ndarray):
+def _entries(batches, n: int, num: int, den: int, classes: np.ndarray, owners):
     """The leading n-grams of each distinct set, from the document with the least id that has it (and few others)."""
     for batch in small_batches(batches, "text"):
-        batch = batch.filter(pa.array(bloom.contains(owners, _ids(batch))))
+        batch = batch.filter(pa.array(bloom.contains(owners.value, _ids(batch))))
         for _, sets, sids in _rows([batch], n):
             rows = []
             for s, sid in zip(sets, sids.tolist(), strict=True):
@@ -205,7 +205,7 @@ def _fill(batches, bits: int):
     yield pair.segments()
 
 
-def _met_twice(batches, twice: np.ndarray, num: int, den: int):
+def _met_twice(batches, twice, num: int, den: int):
     """Columns that several rows may share, of rows that have as many of these as any link needs."""
     for batch in batches:
         if not batch.num_rows:
@@ -213,7 +213,7 @@ def _met_twice(batches, twice: np.ndarray, num: int, den: int):
         sizes = batch.column("n").to_numpy()
         keys, each = _keys(batch), np.array([prefix_length(n, num, den) for n in sizes.tolist()])
         owner = np.repeat(np.arange(len(sizes)), each)
-        shared = bloom.contains(twice, keys)
+        shared = bloom.contains(twice.value, keys)
         need = np.array([shared_at_least(-(-n * num // den), num, den) for n in sizes.tolist()])
         shared &= (np.bincount(owner[shared], minlength=len(sizes)) >= need)[owner]
         owner = owner[shared]
@@ -330,10 +330,10 @@ def _clusters(batches, num: int, den: int):
 _SET = pa.schema([("doc_id", pa.int64()), ("sid", pa.int64()), ("grams", pa.binary())])
 
 
-def _sets_of(batches, n: int, wanted: np.ndarray):
+def _sets_of(batches, n: int, wanted):
     known = _Words()
     for batch in small_batches(batches, "text"):
-        batch = batch.filter(pa.array(bloom.contains(wanted, _ids(batch))))
+        batch = batch.filter(pa.array(bloom.contains(wanted.value, _ids(batch))))
         sets = [shingles(t.lower().split(), n, known) for t in texts_of(batch.column("text"))]
         yield as_batch(_SET, batch.column("doc_id"), [_set_id(s) for s in sets], [s.tobytes() for s in sets])
 
@@ -367,20 +367,22 @@ def _dealt(marked: DataFrame, group: str, block: int) -> DataFrame:
     return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
 
-def _links(rows: DataFrame, sizes: DataFrame, group: str, block: int, attach, work) -> DataFrame:
+def _links(rows: DataFrame, sizes: DataFrame, group: str, block: int, attach, work, made: list[DataFrame]) -> DataFrame:
     """``a, b``: links whose components are those of all pairs that ``work`` links inside the groups.
 
     A group of up to ``block`` rows is one block.  In a larger one every row is
     multiplied with about ``PIVOTS`` of the group's rows first; rows joined by
     that have one label, and only pairs with two labels, or none, are left for the
     block pairs.  ``sizes`` has the groups' ``members``; ``attach`` adds what
-    ``work`` needs to the dealt rows.
+    ``work`` needs to the dealt rows.  ``made`` receives the tables that the links
+    are read from, for the caller to discard.
     """
     names = [*rows.columns, "block", "x", "y"]
     multiply = lambda dealt: _together(attach(dealt.select(*names)), group).transform(light_batches).mapInArrow(work, "a long, b long")
     zero = F.lit(0)
     alone = rows.join(sizes.where(F.col("members") <= block), group).withColumns({"block": zero, "x": zero, "y": zero})
     large = staged(sizes.where(F.col("members") > block), "large")
+    made.append(large)
     if large.isEmpty():
         return multiply(alone)
     rows = staged(rows.distinct().join(large, group).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")), "large_rows")
@@ -388,6 +390,7 @@ def _links(rows: DataFrame, sizes: DataFrame, group: str, block: int, attach, wo
     pivots = rows.where(F.pmod(F.xxhash64("sid", F.lit(11)), F.ceil(F.col("members") / PIVOTS)) == 0)
     pivots = pivots.withColumns({"block": F.lit(-1), "x": F.lit(-1)}).withColumn("y", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     labels = staged(components(multiply(own.select(*names).union(pivots.select(*names)))).toDF("sid", "label"), "labels")
+    made += [rows, labels]
     marked = rows.drop("blocks").join(labels, "sid", "left")
     left = _dealt(marked, group, block)
     return multiply(alone.select(*names).union(left.select(*names))).union(labels.toDF("a", "b"))
@@ -408,37 +411,43 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, spark = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), docs.sparkSession
     first = staged(docs.transform(light_batches).mapInArrow(partial(_first_pass, n=n, num=num, den=den), _FIRST_DDL), "sets")
     classes = common_classes(first)
     rows = first.where("counts is null").select("doc_id", "n", "sid", "parity")
     distinct = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("parity").alias("parity"))
 
     owners = distinct.select(F.coalesce("least", F.lit(NO_ID)).alias("least"))
-    owners = bloom.of_longs(owners, distinct.count())
-    entries = docs.transform(light_batches).mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes, owners=owners), "sid long, n long, keys binary")
-    columns = entries = staged(entries, "columns")
+    with sent(spark, bloom.of_longs(owners, distinct.count())) as held:
+        entries = docs.transform(light_batches).mapInArrow(partial(_entries, n=n, num=num, den=den, classes=classes, owners=held), "sid long, n long, keys binary")
+        columns = entries = staged(entries, "columns")
     bits = bloom.bits_for(entries.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0, 4)
     twice = bloom.gathered(entries.transform(light_batches).mapInArrow(partial(_fill, bits=bits), "seg int, once binary, twice binary"), "twice", bits)
-    shared = entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=twice, num=num, den=den), "key long, sid long, n long"), "shared")
+    with sent(spark, twice) as held:
+        shared = entries = staged(entries.transform(light_batches).mapInArrow(partial(_met_twice, twice=held, num=num, den=den), "key long, sid long, n long"), "shared")
     discard(columns)
     # the filter of owners lets a few copies through: one row of a set is enough
     sketched = lambda dealt: dealt.distinct().join(distinct.select("sid", "parity"), "sid")
-    maybe = components(_links(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK, sketched, partial(_columns, num=num, den=den)))
-    discard(shared)
+    made = [shared]
+    maybe = components(_links(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK, sketched, partial(_columns, num=num, den=den), made))
+    for table in made:
+        discard(table)
 
     members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least"), "sid"), "clusters")
     wanted = bloom.of_longs(members.select(F.coalesce("least", F.lit(NO_ID)).alias("least")), members.count())
-    grams = docs.transform(light_batches).mapInArrow(partial(_sets_of, n=n, wanted=wanted), "doc_id long, sid long, grams binary")
     sizes = members.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
-    grams = staged(grams.toDF("doc_id", "set", "grams"), "grams")
+    with sent(spark, wanted) as held:
+        grams = docs.transform(light_batches).mapInArrow(partial(_sets_of, n=n, wanted=held), "doc_id long, sid long, grams binary")
+        grams = staged(grams.toDF("doc_id", "set", "grams"), "grams")
 
     def filled(blocks: DataFrame) -> DataFrame:
         found = blocks.join(grams, (F.col("sid") == F.col("set")) & F.col("doc_id").eqNullSafe(F.col("least")))
         return found.select("sid", "root", "block", "x", "y", "grams")
 
-    found = components(_links(members, sizes, "root", CLUSTER_BLOCK, filled, partial(_clusters, num=num, den=den))).toDF("sid", "root")
-    discard(grams)
+    made = [grams, members]
+    found = components(_links(members, sizes, "root", CLUSTER_BLOCK, filled, partial(_clusters, num=num, den=den), made)).toDF("sid", "root")
+    for table in made:
+        discard(table)
 
     labelled = distinct.select("sid", "least").join(found, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
