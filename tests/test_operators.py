@@ -458,3 +458,44 @@ def test_outcomes_look_no_further_than_their_bars(spark):
     found = {r.d: (r.outcome, r.holding) for r in positions.outcomes(signals, bars).collect()}
     assert found == {day + dt.timedelta(days=5): ("expired", 20), day + dt.timedelta(days=25): ("hit_t2", 5)}
     assert positions.outcomes(signals, bars, today=F.lit(day + dt.timedelta(days=25))).count() == 1
+
+
+class Shaky:
+    """A provider that is busy at first, fails on calls with more than one ticker where "BAD" is among them, and never has it."""
+
+    def __init__(self, folder: str, busy: int):
+        self.folder, self.busy = folder, busy
+
+    def history(self, tickers, first, last):
+        import os
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        from tickloom.sources import provider
+
+        mark = Path(self.folder, "-".join(tickers))
+        mark.mkdir(exist_ok=True)
+        calls = len(os.listdir(mark)) + 1
+        (mark / str(calls)).touch()
+        if "BAD" in tickers:
+            raise ValueError("no such ticker")
+        if calls <= self.busy:
+            raise provider.Throttled
+        return pa.table({"ticker": tickers, "d": [first] * len(tickers), **{c: [1.0] * len(tickers) for c in ("open", "high", "low", "close", "volume")}}).cast(provider.SCHEMA)
+
+
+@pytest.mark.parametrize("busy", [0, 2, 3])
+def test_provider_is_asked_again_and_then_for_single_tickers(spark, tmp_path, busy):
+    import os
+    from datetime import date
+
+    from tickloom.sources import provider
+
+    tickers = spark.createDataFrame([("A",), ("B",), ("BAD",), ("C",), (None,), ("A",)], "name string")
+    asked = provider.fetched(tickers, Shaky(str(tmp_path), busy), date(2020, 1, 2), date(2020, 1, 9), chunk=10, calls=1, wait=0.01)
+    bars = sorted(tuple(r) for r in asked.collect())
+    assert bars == ([(t, date(2020, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0) for t in "ABC"] if busy < 3 else [])
+    assert len(os.listdir(tmp_path / "A")) == min(busy + 1, 3) and len(os.listdir(tmp_path / "BAD")) == 1
+    empty = provider.fetched(tickers.limit(0), Shaky(str(tmp_path), 0), date(2020, 1, 2), date(2020, 1, 9))
+    assert empty.count() == 0 and provider.missing(tickers.where("name in ('A', 'BAD')"), empty.limit(0)).count() == 2

@@ -141,7 +141,7 @@ def bars_by_month(spark, sf_dir):
 # --- stores and keyed tables that are really written and read back ------------------------------------
 
 
-def _store(bars, name: str) -> str:
+def store(bars, name: str) -> str:
     path = f"{shared.shared_folder(bars.sparkSession)}/tickloom/{name}-{uuid.uuid4().hex}"
     tables.write_bars(bars, path)
     return path
@@ -150,13 +150,13 @@ def _store(bars, name: str) -> str:
 @query("SELECT ticker, d, open, high, low, close, volume FROM bars WHERE d BETWEEN DATE '2000-02-10' AND DATE '2000-08-20'")
 def store_range(spark, sf_dir):
     """A range of dates out of a store by month: other months are never opened."""
-    return tables.read_bars(spark, _store(market.bars(spark, sf_dir), "bars"), "2000-02-10", "2000-08-20")
+    return tables.read_bars(spark, store(market.bars(spark, sf_dir), "bars"), "2000-02-10", "2000-08-20")
 
 
 @query("SELECT ticker, d, open, high, low, close, volume FROM bars WHERE d >= DATE '1999-03-01' AND d < DATE '1999-06-01'")
 def store_slice(spark, sf_dir):
     """A slice that leaves its last date out."""
-    return tables.read_bars(spark, _store(market.bars(spark, sf_dir), "bars"), "1999-03-01", "1999-06-01", end_exclusive=True)
+    return tables.read_bars(spark, store(market.bars(spark, sf_dir), "bars"), "1999-03-01", "1999-06-01", end_exclusive=True)
 
 
 @query("SELECT ticker, d, open, high, low, close, volume FROM bars WHERE d = (SELECT max(d) FROM bars)")
@@ -164,14 +164,14 @@ def store_one_date(spark, sf_dir):
     """All tickers of the last date, from that date's month alone."""
     bars = market.bars(spark, sf_dir)
     last = str(bars.agg(F.max("d")).first()[0])
-    return tables.read_bars(spark, _store(bars, "bars"), last, last)
+    return tables.read_bars(spark, store(bars, "bars"), last, last)
 
 
 @query("SELECT ticker, count(*) AS bars, max(d) AS last FROM bars GROUP BY ticker")
 def store_refresh(spark, sf_dir):
     """A store that ends in 1997 is brought up to date by the later bars only."""
     bars = market.bars(spark, sf_dir)
-    path = _store(bars.where("d <= date'1997-06-10'"), "bars")
+    path = store(bars.where("d <= date'1997-06-10'"), "bars")
     tables.refresh(spark, path, bars)
     return tables.read_bars(spark, path).groupBy("ticker").agg(F.count("*").alias("bars"), F.max("d").alias("last"))
 
@@ -183,7 +183,7 @@ def store_refresh_modes(spark, sf_dir):
     """A store that ends in June 1997 meets bars since June 1996 in each mode, and in local mode also on the next day."""
     bars, found = shared.written(market.bars(spark, sf_dir), "bars"), None
     for label, today in (("force", "2001-10-30"), ("incremental", "2001-10-30"), ("local", "2001-10-30"), ("local, fresh", "1997-06-10")):
-        path = _store(bars.where("d <= date'1997-06-10'"), "bars")
+        path = store(bars.where("d <= date'1997-06-10'"), "bars")
         tables.brought_up(spark, path, bars.where("d >= date'1996-06-01'"), tables.refresh_mode(label.partition(",")[0]), today)
         rows = tables.read_bars(spark, path).agg(F.count("*").alias("bars"), F.min("d").alias("first"), F.max("d").alias("last")).select(F.lit(label).alias("mode"), "bars", "first", "last")
         found = found.union(rows) if found else rows

@@ -276,14 +276,14 @@ CTE["ctx"] = """SELECT ticker, greatest(0e0, least(100e0, CASE WHEN a + e + f +
   least(a, 40e0) AS analyst_pts, e AS earnings_pts, f AS fundamental_pts, s AS news_pts FROM ctx1"""
 
 
-def context_scores(spark, sf_dir) -> DataFrame:
+def context_scores(spark, sf_dir, weights: dict[str, float] = context.DEFAULTS) -> DataFrame:
     bars, universe = shared.written(market.bars(spark, sf_dir), "bars"), market.universe(spark, sf_dir)
     last = indicators.latest(indicators.all_indicators(bars).withColumn("event", indicators.price_volume_event())).select("ticker", "rsi_14", "adx_14", "volume_ratio", "event")
     reports = market.earnings(bars, universe)
     percent = context.surprise(C("actual"), C("estimate"), C("surprise"))
     surprises = reports.groupBy("ticker").agg(F.max_by(percent, "earnings_date").alias("surprise_percent"))
     rows = market.fundamentals(bars, universe).join(last, "ticker").join(context.sentiment(market.news(spark, sf_dir, universe)), "ticker", "left").join(surprises, "ticker", "left")
-    return context.scored(rows)
+    return context.scored(rows, weights)
 
 
 @query("SELECT ticker, round(context_score, 6) AS context_score FROM ctx")
