@@ -129,6 +129,41 @@ def test_probabilities_of_a_history_sum_to_one_at_most(spark):
     assert 0.9 < sums < 1.05
 
 
+def witten_bell(train, texts, powers, order=3):
+    """Scores under exact counts."""
+    grams = lambda t: [((b"",) + tuple(tokens_of(t)), i, o) for i in range(1, len(tokens_of(t)) + 1) for o in range(1, order + 1) if o <= i + 1]
+    c = Counter(x[i - o + 1 : i + 1] for t in train for x, i, o in grams(t))
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    out = []
+    for t in texts:
+        p = {}
+        for x, i, o in grams(t):
+            if o == 1:
+                p[i] = (c[x[i : i + 1]] + 0.5) / (n + 0.5 * (v + 1))
+            elif h := c[x[i - o + 1 : i]]:
+                more = min(h, h ** powers[o - 2])
+                p[i] = (c[x[i - o + 1 : i + 1]] + more * p[i]) / (h + more)
+        out.append(sum(math.log10(min(1.0, q)) for q in p.values()))
+    return out
+
+
+@pytest.mark.parametrize("each", [1 << 40, 40, 10])
+def test_n_grams_under_the_floor_keep_their_counts(spark, monkeypatch, each):
+    monkeypatch.setattr(lm, "BITS_EACH", each)
+    rng = random.Random(11)
+    texts = [prose(rng, rng.randrange(1, 60), 80) for _ in range(120)] + [None, "", "One", "one ONE one"]
+    have = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    model = lm.train(have.where("doc_id % 4 > 0"), most_bytes=1 << 13)
+    assert model.floors[2] > 1 and bool(model.held.any()) == (each < 1 << 40)
+    want = witten_bell([t for i, t in enumerate(texts) if i % 4 > 0], texts, model.powers)
+    found = {r.doc_id: r for r in lm.score(have, model).collect()}
+    assert len(found) == len(texts)
+    if each == 1 << 40:  # the filter holds nothing: every count is asked for
+        assert [found[i].score for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+    # otherwise the filter's own errors remain: steps of a quarter, and levels too high
+    assert sum(abs(found[i].score - w) for i, w in enumerate(want)) < 0.01 * -sum(want)
+
+
 def test_floors_rise_with_the_order_until_the_keys_fit():
     numbers = np.array([[100, 50, 10, 0], [1000, 100, 10, 0], [3000, 50, 1, 0]])
     assert lm.floors_for(numbers, 1e6) == [1, 1, 1]

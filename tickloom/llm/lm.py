@@ -12,21 +12,23 @@ shorter n-grams inside it were found, and never counts more than they do.
 The filter is broadcast, so its size is bounded (``most_bytes``) whatever the
 corpus.  Where the n-grams of all levels need more, the order with the most keys
 is held from a higher count on; how many keys that spares is known from the
-histogram of all counts.  N-grams under the floor go to the shorter history, whose
-share grows by what they held.
+histogram of all counts.  N-grams under that floor are not lost: what the filter
+does not hold is asked of the owners, who answer with the exact count, 0 included.
+A task sends each owner one list of its texts' open n-grams and leaves a record of
+its texts, in which every token has a level of the filter or a place in the lists;
+the answers meet that record.
 
 Smoothing is Witten-Bell's, from the shortest n-gram up:
 
     P(w | h) = (c(h w) + M(h) P(w | h')) / (c(h) + M(h))
 
 M(h) is how many different words follow h.  That is c(h)**b, with b per order such
-that the sum over all histories is the number of different n-grams, and more by
-what fell under the floor.  Every text is followed by an end, which is also the
+that the sum over all histories is the number of different n-grams.  Every text is followed by an end, which is also the
 history of a text's first word.
 
 Beside the model's score stands the base score of the exact counts of single
-words.  The most frequent words travel with the filter, words that the filter
-does not know have count 0, and for the others the exact counts are joined.
+words.  The most frequent words travel with the filter, words that a filter of all
+words does not know have count 0, and the others are asked of the owners too.
 
 Defined cases: a null or empty text is its end alone; without training texts every
 probability is that of an unknown word; rows without an id, repeated rows and
@@ -36,14 +38,15 @@ taken whole.  Words are told apart by 64-bit hashes, longer n-grams by 48 bits.
 
 from __future__ import annotations
 
-import math
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import as_batch, discard, light_batches, runs, sent, small_batches, splitmix, staged
@@ -56,6 +59,9 @@ SEGMENTS = 256  # ranges of hashes that the filter is built by
 HEAD = 1 << 17  # most frequent words whose exact counts travel with the filter
 OWNED = 1 << 22  # bytes of text for each owner of counts
 FLUSH = 1 << 20  # tokens that a task counts before it sends
+ASKED = 1 << 19  # tokens that a task looks up before it sends
+PARTS = 4  # of the texts, scored one after the other where n-grams are asked of owners: bounds the disk that lists take
+FOUND = 256  # codes under this are levels, those from here on places among the n-grams asked for
 U = np.uint64
 END = splitmix(np.array([0xE0F], U))[0]
 _ODD = splitmix(np.arange(1, 33, dtype=U)) | U(1)
@@ -260,16 +266,16 @@ def _or(batches):
 
 @dataclass
 class Model:
-    """What scoring needs on a worker, and the exact counts of words as a table (``word, c``)."""
+    """What scoring needs on a worker, and the exact counts of all n-grams as the owners' table."""
 
     held: np.ndarray
     floors: list[int]  # least level held, by order
     powers: list[float]  # different words after a history of count c: c**power, by order from 2 on
-    lost: list[float]  # how many times more goes to the shorter history, as n-grams under the floor are not held
     total: int  # tokens
     distinct: int
     head: tuple[np.ndarray, np.ndarray]  # most frequent words, sorted by hash, and their counts
-    counts: DataFrame
+    owner_bits: int
+    grams: DataFrame
 
 
 def floors_for(numbers: np.ndarray, most_keys: float) -> list[int]:
@@ -298,6 +304,18 @@ def _power(histories: np.ndarray, different: float) -> float:
     return (lo + hi) / 2
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends, not when the driver collects its garbage: for results that are staged."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: int = MOST_BYTES) -> Model:
     """The model of the texts of ``docs``.  To the driver come a histogram, the filter and the ``HEAD`` most frequent words."""
     spark = docs.sparkSession
@@ -307,7 +325,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: i
     counted = docs.transform(light_batches).mapInArrow(lambda b: _count(b, order, owner_bits), _COUNTED_DDL)
     # equal hashes meet under one owner; a word in every text is one entry of each list
     added = counted.repartition("owner").sortWithinPartitions("owner", "o").transform(light_batches).mapInArrow(_add, _GRAMS_DDL)
-    grams = staged(added, "grams")
+    with freed(spark):
+        grams = staged(added, "grams")
 
     numbers, totals = np.zeros((order, len(LEAST)), np.int64), np.zeros(order, np.int64)
     for r in grams.select("o", F.posexplode("levels").alias("level", "n")).where("n > 0").groupBy("o", "level").agg(F.sum("n").alias("n")).collect():
@@ -325,18 +344,12 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: i
     for seg, blob in made.toLocalIterator():
         held[seg * width : (seg + 1) * width] = np.frombuffer(z.decompress(bytes(blob)), np.uint8)
 
-    powers, lost = [], []
-    for o in range(1, order):
-        different = float(numbers[o].sum())
-        powers.append(_power(numbers[o - 1], different))
-        under = float((numbers[o, : floors[o] - 1] * VALUE[1 : floors[o]]).sum())
-        lost.append(1 + under / max(1.0, different))
-    counts = staged(grams.where("o = 1").select("keys", "counts").transform(light_batches).mapInArrow(_words, "word long, c long"), "words")
-    discard(grams)
+    powers = [_power(numbers[o - 1], float(numbers[o].sum())) for o in range(1, order)]
+    counts = grams.where("o = 1").select("keys", "counts").transform(light_batches).mapInArrow(_words, "word long, c long")
     head = np.array([tuple(r) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()], np.int64).reshape(-1, 2)
     words = head[:, 0].view(U) if len(head) else np.empty(0, U)
     by_hash = np.argsort(words)
-    return Model(held, floors, powers, lost, int(totals[0]), int(numbers[0].sum()), (words[by_hash], head[by_hash, 1]), counts)
+    return Model(held, floors, powers, int(totals[0]), int(numbers[0].sum()), (words[by_hash], head[by_hash, 1]), owner_bits, grams)
 
 
 _WORDS = pa.schema([("word", pa.int64()), ("c", pa.int64())])
@@ -351,76 +364,206 @@ def _words(batches):
 # --- scoring --------------------------------------------------------------------------------------------------------
 
 
-def _log_probabilities(m: Model, grams: list[np.ndarray], word_levels: np.ndarray) -> np.ndarray:
-    """log10 P of every token, from the shortest n-gram up."""
+def _codes(m: Model, grams: list[np.ndarray], word_levels: np.ndarray, open_words: np.ndarray | None = None):
+    """Of each order from 2 on: every token's code, and the sorted n-grams that the codes from ``FOUND`` on are places in.
+
+    A code under ``FOUND`` is the filter's level, 0 where the n-gram cannot be there: one of the shorter n-grams inside it is not.
+    ``open_words`` may be there though the filter has no level for them.
+    """
+    there = word_levels > 0 if open_words is None else (word_levels > 0) | open_words
+    for o in range(2, len(grams) + 1):
+        key = grams[o - 1]
+        first = there[-1] if o == 2 else False  # the last token is an end, the history of a text's first word
+        wanted = np.flatnonzero((key != 0) & np.concatenate([[first], there[:-1]]) & there)
+        own, back = np.unique(key[wanted] >> U(16), return_inverse=True)
+        code = read_levels(m.held, own, m.floors[o - 1])
+        asked = np.flatnonzero(code == 0) if m.floors[o - 1] > 1 else np.empty(0, np.int64)
+        code[asked] = FOUND + np.arange(len(asked))
+        codes = np.zeros(len(key), np.int64)
+        codes[wanted] = code[back]
+        there = codes > 0
+        yield codes, own[asked]
+
+
+def _smoothed(m: Model, counts: list[np.ndarray], whole: list[np.ndarray]) -> np.ndarray:
+    """log10 P of every token, from the shortest n-gram up; ``counts`` and ``whole`` (whether the text reaches so far back) by order."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        c = VALUE[word_levels]
+        c = counts[0]
         p = (c + 0.5) / (m.total + 0.5 * (m.distinct + 1))
-        for o in range(2, len(grams) + 1):
-            first = c[-1] if o == 2 else 0.0  # the last token is an end, the history of a text's first word
-            history = np.concatenate([[first], c[:-1]])
-            key = grams[o - 1]
-            wanted = np.flatnonzero((key != 0) & (history > 0) & (c > 0))
-            own, back = np.unique(key[wanted] >> U(16), return_inverse=True)
-            longer = np.zeros(len(c))
-            longer[wanted] = np.minimum(np.minimum(VALUE[read_levels(m.held, own, m.floors[o - 1])][back], history[wanted]), c[wanted])
-            history[key == 0] = 0.0
-            more = np.minimum(history, history ** m.powers[o - 2]) * m.lost[o - 2]
+        for o in range(2, len(counts) + 1):
+            history = np.concatenate([[c[-1] if o == 2 else 0.0], c[:-1]])
+            longer = np.minimum(np.minimum(counts[o - 1], history), c)
+            history[~whole[o - 1]] = 0.0
+            more = np.minimum(history, history ** m.powers[o - 2])
             p = np.where(history > 0, (longer + more * p) / (history + more), p)
             c = longer
         return np.log10(np.minimum(p, 1.0))
 
 
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))])
-_SCORED_DDL = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rest array<long>"
+def _log_probabilities(m: Model, grams: list[np.ndarray], word_levels: np.ndarray) -> np.ndarray:
+    """log10 P of every token by the filter alone: for models whose n-grams it holds all."""
+    longer = [VALUE[np.where(codes < FOUND, codes, 0)] for codes, _ in _codes(m, grams, word_levels)]
+    return _smoothed(m, [VALUE[word_levels], *longer], [key != 0 for key in grams])
+
+
+# A list for an owner (o: its order), or the record of a task's texts (o: RECORD); answers take the place of keys.
+RECORD = 1 << 30
+_ASKED_DDL = "block long, o int, owner int, keys binary, doc_id array<long>, size array<long>, known array<long>, base array<double>, score array<double>, codes array<binary>"
+_LISTS = ["doc_id", "size", "known", "base", "score", "codes"]
+_ASKED = pa.schema([
+    ("block", pa.int64()), ("o", pa.int32()), ("owner", pa.int32()), ("keys", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())),
+    ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())), ("codes", pa.list_(pa.binary())),
+])
 
 
 def _base(m: Model, c: np.ndarray) -> np.ndarray:
     return np.log10((c + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
 
 
-def _score(batches, sent_model):
+def _lists(block: int, o: int, keys: np.ndarray, owner_bits: int):
+    """Sorted keys as a list for each of their owners."""
+    if len(keys):
+        owners = (keys >> U((64 if o == 1 else 48) - owner_bits)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.append(True, owners[1:] != owners[:-1])), len(keys))
+        packed, none = [_pack(keys[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], [None] * (len(cuts) - 1)
+        yield as_batch(_ASKED, [block] * len(none), [o] * len(none), owners[cuts[:-1]], packed, *[none] * len(_LISTS))
+
+
+def _ask(batches, sent_model):
     m: Model = sent_model.value
-    splitter, row = Splitter(SPACE), TaskContext.get().partitionId() << 33
-    head, head_counts = m.head
+    splitter, block = Splitter(SPACE), TaskContext.get().partitionId() << 33
+    held, size = [], 0
     for batch in small_batches(batches, "text"):
-        tokens, first = _tokens(splitter, batch.column("text"))
-        grams = _grams(tokens, first, len(m.floors))
-        words, back = np.unique(tokens, return_inverse=True)
-        levels = read_levels(m.held, words >> U(16), m.floors[0])
-        log_p = np.add.reduceat(_log_probabilities(m, grams, levels[back]), first)
-        # exact counts: of the head from its table, 0 where the filter holds all words and not this one, else to be joined
-        at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
-        in_head = head[at] == words if len(head) else np.zeros(len(words), bool)
-        count = np.where(in_head, head_counts[at] if len(head) else 0, 0)
-        open_ = ~in_head & ((levels > 0) | (m.floors[0] > 1))
-        value = np.where(open_, 0.0, _base(m, count))
-        base = np.add.reduceat(value[back], first)
-        known = np.add.reduceat((count > 0).astype(np.int64)[back], first)
-        rest = open_[back]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.add.reduceat(rest.astype(np.int64), first).cumsum()).astype(np.int32)), pa.array(tokens[rest].view(np.int64)))
-        k = batch.num_rows
-        yield as_batch(_SCORED, np.arange(row, row + k), batch.column("doc_id"), np.diff(np.append(first, len(tokens))), known, base, log_p, lists)
-        row += k
+        held.append((*_tokens(splitter, batch.column("text")), batch.column("doc_id").to_pylist()))
+        size += len(held[-1][0])
+        if size >= ASKED:
+            yield from _ask_block(m, block, held)
+            held, size, block = [], 0, block + 1
+    if held:
+        yield from _ask_block(m, block, held)
+
+
+def _ask_block(m: Model, block: int, held: list[tuple]):
+    """The lists and the record of some texts."""
+    before = np.cumsum([0, *(len(tokens) for tokens, _, _ in held)])
+    tokens, first = np.concatenate([x[0] for x in held]), np.concatenate([x[1] + at for x, at in zip(held, before, strict=False)])
+    ids = [i for x in held for i in x[2]]
+    grams = _grams(tokens, first, len(m.floors))
+    words, back = np.unique(tokens, return_inverse=True)
+    levels = read_levels(m.held, words >> U(16), m.floors[0])
+    # exact counts: of the head from its table, 0 where the filter holds all words and not this one, else to be asked for
+    head, head_counts = m.head
+    at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
+    in_head = head[at] == words if len(head) else np.zeros(len(words), bool)
+    count = np.where(in_head, head_counts[at] if len(head) else 0, 0)
+    levels = np.where(in_head & (levels == 0), FOUND + count, levels)  # of a word under its floor, that is
+    open_ = ~in_head & ((levels > 0) | (m.floors[0] > 1))
+    base = np.add.reduceat(np.where(open_, 0.0, _base(m, count))[back], first)
+    known = np.add.reduceat((count > 0).astype(np.int64)[back], first)
+    places = np.where(open_, np.cumsum(open_), 0)  # from 1 on
+    yield from _lists(block, 1, words[open_], m.owner_bits)
+    codes, score = [places[back]], np.zeros(len(first))
+    if max(m.floors) > 1:
+        codes.append(levels[back])
+        for o, (code, asked) in enumerate(_codes(m, grams, levels[back], open_[back] if m.floors[0] > 1 else None), 2):
+            yield from _lists(block, o, asked, m.owner_bits)
+            codes.append(code)
+    else:
+        score = np.add.reduceat(_log_probabilities(m, grams, levels[back]), first)
+    sizes = np.diff(np.append(first, len(tokens)))
+    record = [[ids], [sizes.tolist()], [known.tolist()], [base.tolist()], [score.tolist()], [[_plain(x) for x in codes]]]
+    yield as_batch(_ASKED, [block], [RECORD], [None], [None], *record)
+
+
+_ANSWERS = pa.schema([("block", pa.int64()), ("o", pa.int32()), ("owner", pa.int32()), ("keys", pa.binary())])
+
+
+def _answer(batches):
+    """Each list's exact counts; the owner's own list of an order comes before those that ask for it."""
+    at, keys, counts = None, np.empty(0, U), np.zeros(1, np.int64)
+    for batch in batches:
+        rows = [batch.column(c).to_pylist() for c in ("block", "o", "owner", "keys", "counts")]
+        out = []
+        for block, o, owner, packed, own in zip(*rows, strict=True):
+            if (owner, o) != at:
+                at, keys, counts = (owner, o), np.empty(0, U), np.zeros(1, np.int64)
+            if own is not None:
+                keys, counts = _unpacked(packed), np.append(_opened(own), 0).astype(np.int64)
+                continue
+            asked = _unpacked(packed)
+            place = np.searchsorted(keys, asked)
+            if len(keys):
+                place = np.where(keys[np.minimum(place, len(keys) - 1)] == asked, place, len(keys))
+            out.append((block, o, owner, _plain(counts[place])))
+        if out:
+            yield as_batch(_ANSWERS, *(list(c) for c in zip(*out, strict=True)))
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORED_DDL = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _finish(batches, m: Model):
+    """Scores of the texts of each record, which comes after the answers to its lists."""
+    at, answers = None, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["block"] != at:
+                at, answers = row["block"], {}
+            if row["o"] != RECORD:
+                answers.setdefault(row["o"], []).append(row["keys"])
+                continue
+            # by owner, so in the order of the keys
+            exact = {o: np.concatenate([_opened(x) for x in lists]).astype(np.int64) for o, lists in answers.items()}
+            yield as_batch(_SCORED, *_scores(m, row, exact))
+
+
+def _scores(m: Model, row: dict, exact: dict[int, np.ndarray]):
+    none = np.zeros(0, np.int64)
+    sizes = np.array(row["size"], np.int64)
+    first = np.cumsum(sizes) - sizes
+    codes = [_opened(x).astype(np.int64) for x in row["codes"]]
+    rest, count = codes[0] > 0, np.append(0, exact.get(1, none))[codes[0]]
+    known = np.array(row["known"], np.int64) + np.add.reduceat((count > 0).astype(np.int64), first)
+    base = np.array(row["base"]) + np.add.reduceat(np.where(rest, _base(m, count), 0.0), first)
+    score = np.array(row["score"])
+    if len(codes) > 1:
+        held = np.where(codes[1] < FOUND, VALUE[np.minimum(codes[1], len(LEAST))], codes[1] - FOUND)
+        counts = [np.where((codes[1] == 0) & rest, count, held)]
+        counts += [np.concatenate([VALUE, np.zeros(FOUND - len(VALUE)), exact.get(o, none)])[code] for o, code in enumerate(codes[2:], 2)]
+        place = np.arange(len(rest)) - np.repeat(first, sizes)
+        score = np.add.reduceat(_smoothed(m, counts, [place >= o - 2 for o in range(1, len(counts) + 1)]), first)
+    return row["doc_id"], sizes, known, base, score
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row.
+
+    Where n-grams are asked of their owners, ``docs`` is read once for each of ``PARTS``.
+    """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    light = Model(**(model.__dict__ | {"counts": None}))
-    with sent(docs.sparkSession, light) as held:
-        # row numbers are given once, as the rows are written
-        rows = staged(docs.transform(light_batches).mapInArrow(lambda b: _score(b, held), _SCORED_DDL), "scored")
-    rest = rows.select("row", F.explode("rest").alias("word")).join(model.counts, "word")
-    total = float(model.total + 0.5 * (model.distinct + 1))
-    rest = rest.groupBy("row").agg(F.count("*").alias("known_rest"), F.sum(F.log10((F.col("c") + 0.5) / total)).alias("base_rest"))
-    none = math.log10(0.5 / total)
-    missing = F.size("rest") - F.coalesce("known_rest", F.lit(0))
-    out = rows.select("row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rest").join(rest, "row", "left")
-    return out.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("base_rest", F.lit(0.0)) + missing * none).alias("base_score"), "score",
-    )
+    parts = PARTS if max(model.floors) > 1 else 1
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    light = Model(**(model.__dict__ | {"grams": None}))
+    bare = Model(**(light.__dict__ | {"held": None, "head": None}))
+    orders = [o for o, floor in enumerate(model.floors, 1) if o == 1 or floor > 1]
+    own = model.grams.where(F.col("o").isin(orders)).select(F.lit(-1).cast("long").alias("block"), "o", "owner", "keys", "counts")
+    scored = []
+    with sent(spark, light) as held:
+        for k in range(parts):
+            rows = docs.where(part == k) if parts > 1 else docs
+            asked = staged(rows.transform(light_batches).mapInArrow(lambda b: _ask(b, held), _ASKED_DDL), "asked")
+            lists = asked.where(F.col("o") < RECORD).select("block", "o", "owner", "keys", F.lit(None).cast("binary").alias("counts"))
+            both = own.unionByName(lists).repartition("owner").sortWithinPartitions("owner", "o", "block")
+            answers = both.transform(light_batches).mapInArrow(_answer, "block long, o int, owner int, keys binary")
+            records = asked.where(F.col("o") == RECORD).unionByName(answers, allowMissingColumns=True)
+            met = records.repartition("block").sortWithinPartitions("block", "o", "owner")
+            with freed(spark):
+                scored.append(staged(met.transform(light_batches).mapInArrow(lambda b: _finish(b, bare), _SCORED_DDL), "scored"))
+            discard(asked)
+    out = reduce(DataFrame.unionByName, scored)
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
