@@ -38,6 +38,7 @@ taken whole.  Words are told apart by 64-bit hashes, longer n-grams by 48 bits.
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
@@ -49,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_batch, discard, light_batches, runs, sent, small_batches, splitmix, staged
+from tickloom.llm.common import as_batch, discard, light_batches, runs, sent, shared_folder, small_batches, splitmix, staged
 from tickloom.llm.words import SPACE, Splitter
 
 MOST_BYTES = 1 << 26  # of the filter
@@ -208,8 +209,8 @@ def _has(held: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:
     b = (a >> U(32)) | U(1)
     for _ in range(PROBES):
         p = base + (a & U(each - 1))
-        hit = (held[(p >> U(3)).astype(np.int64)] >> (p & U(7)).astype(np.uint8)) & 1 == 1
-        if not hit.all():
+        hit = np.flatnonzero((held[(p >> U(3)).view(np.int64)] >> (p & U(7)).astype(np.uint8)) & 1)
+        if len(hit) < len(p):
             alive, base, a, b = alive[hit], base[hit], a[hit], b[hit]
         a = a + b
     out = np.zeros(len(keys), bool)
@@ -316,6 +317,17 @@ def freed(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_buckets(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """Rows as tasks make them, written once in buckets by ``key``, so that groups by it are read without a shuffle."""
+    spark, made = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    rows.write.option("path", f"{shared_folder(spark)}/tickloom/{made}").bucketBy(_buckets(spark), key).saveAsTable(made)
+    return spark.table(made)
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: int = MOST_BYTES) -> Model:
     """The model of the texts of ``docs``.  To the driver come a histogram, the filter and the ``HEAD`` most frequent words."""
     spark = docs.sparkSession
@@ -324,9 +336,9 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: i
     owner_bits = min(20, max(4, (size // OWNED).bit_length()))
     counted = docs.transform(light_batches).mapInArrow(lambda b: _count(b, order, owner_bits), _COUNTED_DDL)
     # equal hashes meet under one owner; a word in every text is one entry of each list
-    added = counted.repartition("owner").sortWithinPartitions("owner", "o").transform(light_batches).mapInArrow(_add, _GRAMS_DDL)
+    added = counted.repartition(_buckets(spark), "owner").sortWithinPartitions("owner", "o").transform(light_batches).mapInArrow(_add, _GRAMS_DDL)
     with freed(spark):
-        grams = staged(added, "grams")
+        grams = _in_buckets(added, "grams", "owner")
 
     numbers, totals = np.zeros((order, len(LEAST)), np.int64), np.zeros(order, np.int64)
     for r in grams.select("o", F.posexplode("levels").alias("level", "n")).where("n > 0").groupBy("o", "level").agg(F.sum("n").alias("n")).collect():
@@ -406,7 +418,7 @@ def _log_probabilities(m: Model, grams: list[np.ndarray], word_levels: np.ndarra
     return _smoothed(m, [VALUE[word_levels], *longer], [key != 0 for key in grams])
 
 
-# A list for an owner (o: its order), or the record of a task's texts (o: RECORD); answers take the place of keys.
+# A list for an owner (o: its order), or the record of a task's texts (o: RECORD).
 RECORD = 1 << 30
 _ASKED_DDL = "block long, o int, owner int, keys binary, doc_id array<long>, size array<long>, known array<long>, base array<double>, score array<double>, codes array<binary>"
 _LISTS = ["doc_id", "size", "known", "base", "score", "codes"]
@@ -450,13 +462,14 @@ def _ask_block(m: Model, block: int, held: list[tuple]):
     ids = [i for x in held for i in x[2]]
     grams = _grams(tokens, first, len(m.floors))
     words, back = np.unique(tokens, return_inverse=True)
-    levels = read_levels(m.held, words >> U(16), m.floors[0])
     # exact counts: of the head from its table, 0 where the filter holds all words and not this one, else to be asked for
     head, head_counts = m.head
     at = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
     in_head = head[at] == words if len(head) else np.zeros(len(words), bool)
     count = np.where(in_head, head_counts[at] if len(head) else 0, 0)
-    levels = np.where(in_head & (levels == 0), FOUND + count, levels)  # of a word under its floor, that is
+    levels = np.searchsorted(LEAST, count, "right")
+    levels = np.where(levels >= m.floors[0], levels, np.where(in_head, FOUND + count, 0))
+    levels[~in_head] = read_levels(m.held, words[~in_head] >> U(16), m.floors[0])
     open_ = ~in_head & ((levels > 0) | (m.floors[0] > 1))
     base = np.add.reduceat(np.where(open_, 0.0, _base(m, count))[back], first)
     known = np.add.reduceat((count > 0).astype(np.int64)[back], first)
@@ -475,47 +488,38 @@ def _ask_block(m: Model, block: int, held: list[tuple]):
     yield as_batch(_ASKED, [block], [RECORD], [None], [None], *record)
 
 
-_ANSWERS = pa.schema([("block", pa.int64()), ("o", pa.int32()), ("owner", pa.int32()), ("keys", pa.binary())])
+_ANSWERS = pa.schema([("block", pa.int64()), ("o", pa.int32()), ("owner", pa.int32()), ("counts", pa.binary())])
+_ANSWERS_DDL = "block long, o int, owner int, counts binary"
 
 
-def _answer(batches):
-    """Each list's exact counts; the owner's own list of an order comes before those that ask for it."""
-    at, keys, counts = None, np.empty(0, U), np.zeros(1, np.int64)
-    for batch in batches:
-        rows = [batch.column(c).to_pylist() for c in ("block", "o", "owner", "keys", "counts")]
-        out = []
-        for block, o, owner, packed, own in zip(*rows, strict=True):
-            if (owner, o) != at:
-                at, keys, counts = (owner, o), np.empty(0, U), np.zeros(1, np.int64)
-            if own is not None:
-                keys, counts = _unpacked(packed), np.append(_opened(own), 0).astype(np.int64)
-                continue
-            asked = _unpacked(packed)
-            place = np.searchsorted(keys, asked)
-            if len(keys):
-                place = np.where(keys[np.minimum(place, len(keys) - 1)] == asked, place, len(keys))
-            out.append((block, o, owner, _plain(counts[place])))
-        if out:
-            yield as_batch(_ANSWERS, *(list(c) for c in zip(*out, strict=True)))
+def _answer(own: pa.Table, asked: pa.Table) -> pa.Table:
+    """The exact counts of an owner to every list that asks for them."""
+    held = {o: (_unpacked(keys), np.append(_opened(counts), 0).astype(np.int64)) for o, keys, counts in zip(*(own.column(c).to_pylist() for c in ("o", "keys", "counts")), strict=True)}
+    answers = []
+    for o, packed in zip(asked.column("o").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+        keys, counts = held.get(o, (np.empty(0, U), np.zeros(1, np.int64)))
+        wanted = _unpacked(packed)
+        place = np.searchsorted(keys, wanted)
+        if len(keys):
+            place = np.where(keys[np.minimum(place, len(keys) - 1)] == wanted, place, len(keys))
+        answers.append(_plain(counts[place]))
+    columns = [asked.column(c).combine_chunks() for c in ("block", "o", "owner")]
+    return pa.Table.from_arrays([*columns, pa.array(answers, pa.binary())], schema=_ANSWERS)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORED_DDL = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _finish(batches, m: Model):
-    """Scores of the texts of each record, which comes after the answers to its lists."""
-    at, answers = None, {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["block"] != at:
-                at, answers = row["block"], {}
-            if row["o"] != RECORD:
-                answers.setdefault(row["o"], []).append(row["keys"])
-                continue
-            # by owner, so in the order of the keys
-            exact = {o: np.concatenate([_opened(x) for x in lists]).astype(np.int64) for o, lists in answers.items()}
-            yield as_batch(_SCORED, *_scores(m, row, exact))
+def _finish(record: pa.Table, answers: pa.Table, m: Model) -> pa.Table:
+    """Scores of the texts of a record, with the answers to its lists."""
+    lists: dict[int, list] = {}
+    # by owner, so in the order of the keys
+    answers = answers.sort_by([("o", "ascending"), ("owner", "ascending")])
+    for o, counts in zip(answers.column("o").to_pylist(), answers.column("counts").to_pylist(), strict=True):
+        lists.setdefault(o, []).append(_opened(counts))
+    exact = {o: np.concatenate(x).astype(np.int64) for o, x in lists.items()}
+    return pa.Table.from_batches([as_batch(_SCORED, *_scores(m, row, exact)) for row in record.to_pylist()], _SCORED)
 
 
 def _scores(m: Model, row: dict, exact: dict[int, np.ndarray]):
@@ -548,19 +552,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     light = Model(**(model.__dict__ | {"grams": None}))
     bare = Model(**(light.__dict__ | {"held": None, "head": None}))
     orders = [o for o, floor in enumerate(model.floors, 1) if o == 1 or floor > 1]
-    own = model.grams.where(F.col("o").isin(orders)).select(F.lit(-1).cast("long").alias("block"), "o", "owner", "keys", "counts")
+    own = model.grams.where(F.col("o").isin(orders)).select("owner", "o", "keys", "counts").groupBy("owner")
     scored = []
     with sent(spark, light) as held:
         for k in range(parts):
             rows = docs.where(part == k) if parts > 1 else docs
-            asked = staged(rows.transform(light_batches).mapInArrow(lambda b: _ask(b, held), _ASKED_DDL), "asked")
-            lists = asked.where(F.col("o") < RECORD).select("block", "o", "owner", "keys", F.lit(None).cast("binary").alias("counts"))
-            both = own.unionByName(lists).repartition("owner").sortWithinPartitions("owner", "o", "block")
-            answers = both.transform(light_batches).mapInArrow(_answer, "block long, o int, owner int, keys binary")
-            records = asked.where(F.col("o") == RECORD).unionByName(answers, allowMissingColumns=True)
-            met = records.repartition("block").sortWithinPartitions("block", "o", "owner")
+            asked = _in_buckets(rows.transform(light_batches).mapInArrow(lambda b: _ask(b, held), _ASKED_DDL), "asked", "block")
+            lists = asked.where(F.col("o") < RECORD).select("owner", "block", "o", "keys").groupBy("owner")
+            answers = own.cogroup(lists).applyInArrow(_answer, _ANSWERS_DDL).groupBy("block")
+            records = asked.where(F.col("o") == RECORD).select("block", *_LISTS).groupBy("block")
             with freed(spark):
-                scored.append(staged(met.transform(light_batches).mapInArrow(lambda b: _finish(b, bare), _SCORED_DDL), "scored"))
+                scored.append(staged(records.cogroup(answers).applyInArrow(lambda r, a: _finish(r, a, bare), _SCORED_DDL), "scored"))
             discard(asked)
     out = reduce(DataFrame.unionByName, scored)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
