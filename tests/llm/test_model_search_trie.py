@@ -164,6 +164,15 @@ def test_n_grams_under_the_floor_keep_their_counts(spark, monkeypatch, each):
     assert sum(abs(found[i].score - w) for i, w in enumerate(want)) < 0.01 * -sum(want)
 
 
+def test_only_the_head_of_the_words_comes_to_the_driver(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 100)
+    model = lm.train(docs)
+    assert 0 < len(model.head[0]) <= 100 and len(model.head[0]) == len(set(model.head[0].tolist()))
+    n, want = exact([t for _, t in rows], [t for _, t in rows])
+    found = sorted((r.n_tokens, r.n_known, round(r.base_score, 3)) for r in lm.score(docs, model).collect())
+    assert found == sorted((a, b, round(c, 3)) for a, b, c in want)
+
+
 def test_floors_rise_with_the_order_until_the_keys_fit():
     numbers = np.array([[100, 50, 10, 0], [1000, 100, 10, 0], [3000, 50, 1, 0]])
     assert lm.floors_for(numbers, 1e6) == [1, 1, 1]

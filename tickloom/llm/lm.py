@@ -57,7 +57,7 @@ MOST_BYTES = 1 << 26  # of the filter
 BITS_EACH = 10  # of the filter for a key, at least (or the floor of an order rises)
 PROBES = 5
 SEGMENTS = 256  # ranges of hashes that the filter is built by
-HEAD = 1 << 17  # most frequent words whose exact counts travel with the filter
+HEAD = 1 << 17  # most frequent words whose exact counts travel with the filter, at most
 OWNED = 1 << 22  # bytes of text for each owner of counts
 FLUSH = 1 << 20  # tokens that a task counts before it sends
 ASKED = 1 << 19  # tokens that a task looks up before it sends
@@ -329,7 +329,7 @@ def _in_buckets(rows: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: int = MOST_BYTES) -> Model:
-    """The model of the texts of ``docs``.  To the driver come a histogram, the filter and the ``HEAD`` most frequent words."""
+    """The model of the texts of ``docs``.  To the driver come a histogram, the filter and at most ``HEAD`` frequent words."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = docs.select(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -357,8 +357,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: i
         held[seg * width : (seg + 1) * width] = np.frombuffer(z.decompress(bytes(blob)), np.uint8)
 
     powers = [_power(numbers[o - 1], float(numbers[o].sum())) for o in range(1, order)]
-    counts = grams.where("o = 1").select("keys", "counts").transform(light_batches).mapInArrow(_words, "word long, c long")
-    head = np.array([tuple(r) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()], np.int64).reshape(-1, 2)
+    # the histogram tells from which level on at most so many words lie, so no more than these leave the tasks
+    least = int(LEAST[np.argmax(numbers[0, ::-1].cumsum()[::-1] <= HEAD)])
+    counts = grams.where("o = 1").select("keys", "counts").transform(light_batches).mapInArrow(lambda b: _words(b, least), "word long, c long")
+    head = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
     words = head[:, 0].view(U) if len(head) else np.empty(0, U)
     by_hash = np.argsort(words)
     return Model(held, floors, powers, int(totals[0]), int(numbers[0].sum()), (words[by_hash], head[by_hash, 1]), owner_bits, grams)
@@ -367,10 +369,11 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3, most_bytes: i
 _WORDS = pa.schema([("word", pa.int64()), ("c", pa.int64())])
 
 
-def _words(batches):
+def _words(batches, least: int):
     for batch in batches:
         for keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield as_batch(_WORDS, _unpacked(keys).view(np.int64), _opened(counts).astype(np.int64))
+            keys, counts = _unpacked(keys).view(np.int64), _opened(counts).astype(np.int64)
+            yield as_batch(_WORDS, keys[counts >= least], counts[counts >= least])
 
 
 # --- scoring --------------------------------------------------------------------------------------------------------
