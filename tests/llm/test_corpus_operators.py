@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from tickloom.llm import bloom, bpe, common, components, decontam, exact_dedup, line_dedup, ngram_join, oracle, pii, quality, sharding, token_counts, toxicity
@@ -230,6 +231,63 @@ def test_large_groups_are_joined_over_pivots(spark, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 3, 80, 100)
 
 
+def test_blocks_of_long_texts_have_fewer_rows(spark, monkeypatch):
+    """No task gets more n-grams than a few full blocks, however long a group's texts are, and nothing is lost by it."""
+
+    class MostOf(AccumulatorParam):  # here, so that it travels by value
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 300, raising=False)
+    texts, most = near_copies(50), spark.sparkContext.accumulator(0, MostOf())
+
+    def measured(batches, num, den, work=ngram_join._clusters):
+        def seen():
+            held = {}
+            for batch in batches:
+                for x, y, g in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "grams")), strict=True):
+                    held[x, y] = held.get((x, y), 0) + len(g) // 8
+                    most.add(held[x, y])
+                yield batch
+
+        yield from work(seen(), num, den)
+
+    monkeypatch.setattr(ngram_join, "_clusters", measured)
+    found = ngram_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 3, 80, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts, 3, 80, 100)
+    assert 0 < most.value < 1500  # the group's 61 rows have 3538; rows are dealt by hashes, so blocks differ in size
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_product_of_shared_and_rare_columns(same):
+    """Overlaps are exact where a column is multiplied as part of a matrix and where it is not."""
+    rng = np.random.default_rng(3)
+    common = rng.permutation(5000)[:2500]
+    sets = [np.unique(np.concatenate([common[rng.random(2500) < 0.8], rng.integers(5000, 9000, 300)])).astype(np.uint64) for _ in range(24)]
+    left = np.arange(24) if same else np.arange(9)
+    right = left if same else np.arange(9, 24)
+    pairs = [(a, b) for a in left for b in right if not same or a < b]
+    share = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in pairs}
+    cut = int(100 * np.median(list(share.values())))
+    i, j = ngram_join._product(sets, left, right, cut, 100)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(int(a), int(b)) for (a, b), s in share.items() if 100 * s >= cut}
+
+
+def test_rows_joined_in_one_column_are_not_compared_in_the_next():
+    """Near copies share most of their columns; only the first has their links."""
+    rng = np.random.default_rng(4)
+    grams = np.sort(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+    parity = [ngram_join._parity(np.append(grams, np.uint64(i)), 80, 100) for i in range(6)]
+    sid, n, side, joined = np.arange(6), np.full(6, 401), np.zeros(6), {}
+    links = lambda rows: ngram_join._column_block(sid[rows], n[rows], [parity[i] for i in rows], side[rows], False, 80, 100, joined)
+    assert len(links(np.arange(5))[0]) == 4
+    assert len(links(np.arange(5))[0]) == 0
+    assert len(links(np.arange(1, 6))[0]) == 1
+
+
 def test_rows_of_one_label_are_not_dealt_to_pairs(spark):
     """40 rows with one label, 6 with another, 5 without: every pair of different or no labels meets in one block pair."""
     labels = [1] * 40 + [2] * 6 + [None] * 5

@@ -21,18 +21,21 @@ CHUNK = 1 << 18  # links that one task contracts at a time
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _root(parent: dict[int, int], x: int) -> int:
+def root_of(parent: dict[int, int], x: int) -> int:
     while (p := parent.setdefault(x, x)) != x:
         parent[x] = x = parent.setdefault(p, p)
     return x
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Indices of links that join two trees, taken in order (union-find over the given integer nodes)."""
-    parent: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int] | None = None) -> np.ndarray:
+    """Indices of links that join two trees, taken in order (union-find over the given integer nodes).
+
+    ``parent`` may have the trees of earlier links, and gets those of these.
+    """
+    parent = {} if parent is None else parent
     kept = []
     for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = _root(parent, x), _root(parent, y)
+        x, y = root_of(parent, x), root_of(parent, y)
         if x != y:
             parent[max(x, y)] = min(x, y)
             kept.append(i)
@@ -56,10 +59,10 @@ def _rooted(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     parent: dict[int, int] = {}
     for batch in batches:
         for x, y in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-            x, y = _root(parent, x), _root(parent, y)
+            x, y = root_of(parent, x), root_of(parent, y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    found = [(x, r) for x in list(parent) if (r := _root(parent, x)) != x]
+    found = [(x, r) for x in list(parent) if (r := root_of(parent, x)) != x]
     nodes, roots = zip(*found, strict=True) if found else ((), ())
     return as_batch(_LINK, nodes, roots)
 

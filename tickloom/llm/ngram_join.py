@@ -45,13 +45,17 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import bloom
 from tickloom.llm.common import as_batch, discard, group_bounds, light_batches, runs, sent, small_batches, splitmix, staged, texts_of, without_ids
-from tickloom.llm.components import components, forest
+from tickloom.llm.components import components, forest, root_of
 
 SKETCH = 1 << 18  # counters of the count sketch
 PARTS = 64  # pieces that the counters are sent in
 LEAST_PARITY = 128  # bits of a parity sketch
 COLUMN_BLOCK = 1024  # rows of a column that one task multiplies
 CLUSTER_BLOCK = 512  # rows of a cluster that one task multiplies
+BLOCK_GRAMS = 1 << 20  # n-grams of a block's rows (8 MB of hashes), about: a block has fewer rows where texts are long
+CLUSTER_WEIGHT, COLUMN_WEIGHT = "n", "n div 12"  # of a row: its n-grams; its sketch, which has a 12th of their bytes or less
+DENSE_COLUMNS = 2048  # columns of the product that are multiplied as one matrix
+MOST_JOINED = 1 << 18  # rows that a task remembers as joined
 PIVOTS = 128  # rows of a larger column or cluster that all its rows are multiplied with first, about
 MOST_WORDS = 400_000  # word hashes remembered by a worker
 SHARED, SHARED_PART = 16, 24  # leading n-grams that linked rows must share: so many, or a 24th of the row
@@ -228,10 +232,19 @@ def _enough(overlap, n, m, num: int, den: int):
     return (num + den) * overlap >= num * (n + m)
 
 
-def _column_block(sid: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray, both_sides: bool, num: int, den: int):
-    """Pairs of one column's block pair that the bounds leave, as a spanning forest."""
+def _column_block(sid: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray, both_sides: bool, num: int, den: int, joined: dict[int, int] | None = None):
+    """Pairs of one column's block pair that the bounds leave, as a spanning forest.
+
+    ``joined`` has the trees that the task's earlier columns have made, and gets
+    this column's: rows of near copies meet in most of their columns, and rows of
+    one tree need no further pair.
+    """
+    none, joined = (np.empty(0, np.int64), np.empty(0, np.int64)), {} if joined is None else joined
+    tree = np.array([root_of(joined, x) if x in joined else x for x in sid.tolist()], np.int64)
+    if (tree == tree[0]).all():
+        return none
     order = np.argsort(n, kind="stable")
-    sid, n, side = sid[order], n[order], side[order]
+    sid, n, side, tree = sid[order], n[order], side[order], tree[order]
     width = np.array([len(parity[i]) for i in order]) // 8  # grows with n
     cuts = np.append(np.flatnonzero(np.append(True, width[1:] != width[:-1])), len(n))
     sketch = [np.frombuffer(b"".join(parity[i] for i in order[lo:hi]), np.uint64).reshape(hi - lo, -1) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -246,19 +259,24 @@ def _column_block(sid: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.
             for rows, begin, end in within:
                 lo, hi = max(i + 1, begin), min(int(last[i]), end)
                 if lo < hi:
-                    apart = np.bitwise_count(own[i - cuts[c]] ^ rows[lo - begin : hi - begin]).sum(axis=1, dtype=np.int64)
-                    sizes = n[i] + n[lo:hi]
-                    ok = _enough((sizes - apart) // 2, sizes, 0, num, den)
+                    apart_yet = tree[lo:hi] != tree[i]
                     if both_sides:
-                        ok &= side[lo:hi] != side[i]
-                    if ok.any():
-                        other = lo + np.flatnonzero(ok)
+                        apart_yet &= side[lo:hi] != side[i]
+                    other = lo + np.flatnonzero(apart_yet)
+                    if not len(other):
+                        continue
+                    apart = np.bitwise_count(own[i - cuts[c]] ^ rows[other - begin]).sum(axis=1, dtype=np.int64)
+                    sizes = n[i] + n[other]
+                    other = other[_enough((sizes - apart) // 2, sizes, 0, num, den)]
+                    if len(other):
                         a.append(np.full(len(other), sid[i]))
                         b.append(sid[other])
     if not a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return none
     a, b = np.concatenate(a), np.concatenate(b)
-    kept = forest(a, b)
+    if len(joined) > MOST_JOINED:
+        joined.clear()
+    kept = forest(a, b, joined)
     return a[kept], b[kept]
 
 
@@ -271,7 +289,7 @@ def _block_sides(x: int, y: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _columns(batches, num: int, den: int):
-    names = ["key", "x", "y"]
+    names, joined = ["key", "x", "y"], {}
     for table in runs(batches, names):
         bounds = group_bounds(table, names)
         x, y, own, sid, n = (table.column(c).to_numpy() for c in ("x", "y", "block", "sid", "n"))
@@ -279,7 +297,7 @@ def _columns(batches, num: int, den: int):
         found = []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo > 1:
-                found.append(_column_block(sid[lo:hi], n[lo:hi], parity[lo:hi], own[lo:hi], x[lo] != y[lo], num, den))
+                found.append(_column_block(sid[lo:hi], n[lo:hi], parity[lo:hi], own[lo:hi], x[lo] != y[lo], num, den, joined))
         if found:
             a, b = (np.concatenate(v) for v in zip(*found, strict=True))
             kept = forest(a, b)
@@ -287,7 +305,10 @@ def _columns(batches, num: int, den: int):
 
 
 def _product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int):
-    """Exact links between two row blocks: the sparse product's overlap counts against the size-derived bound."""
+    """Exact links between two row blocks: the sparse product's overlap counts against the size-derived bound.
+
+    Columns that many of the rows share are multiplied as matrices.
+    """
     same = left is right
     rows = left if same else np.concatenate([left, right])
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -297,10 +318,18 @@ def _product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: i
     values, owner = values[order], owner[order]
     cuts = np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values))
     overlap = np.zeros((len(rows), len(rows)), np.int32)
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if hi - lo > 1:
-            o = owner[lo:hi]
-            overlap[np.ix_(o, o)] += 1
+    held = np.diff(cuts)
+    many = held * 8 > len(rows)
+    for lo, hi in zip(cuts[:-1][~many & (held > 1)].tolist(), cuts[1:][~many & (held > 1)].tolist(), strict=True):
+        o = owner[lo:hi]
+        overlap[np.ix_(o, o)] += 1
+    column = np.repeat(np.where(many, np.cumsum(many) - 1, -1), held)
+    owner, column = owner[column >= 0], column[column >= 0]
+    for at in range(0, int(many.sum()), DENSE_COLUMNS):  # sums of so few ones are exact in single precision
+        lo, hi = np.searchsorted(column, (at, at + DENSE_COLUMNS))
+        dense = np.zeros((len(rows), DENSE_COLUMNS), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - at] = 1
+        overlap += (dense @ dense.T).astype(np.int32)
     if same:
         i, j = np.triu_indices(len(rows), 1)
     else:
@@ -347,11 +376,14 @@ def _dealt(marked: DataFrame, group: str, block: int) -> DataFrame:
     """Rows of large groups by pairs of blocks, for all pairs of rows but those with one label.
 
     Labels with half a block of rows or more get blocks of their own, which are not
-    paired with each other; the rest share blocks that meet every block.
+    paired with each other; the rest share blocks that meet every block.  A row
+    fills ``load`` of the ``BLOCK_GRAMS`` of its block, without that column a
+    ``block``-th.
     """
-    parts = marked.groupBy(group, "label").agg(F.count("*").alias("held"))
-    parts = parts.withColumn("part", F.when(F.col("held") * 2 >= block, F.col("label")))
-    sizes = parts.groupBy(group, "part").agg(F.ceil(F.sum("held") / block).cast("int").alias("blocks"))
+    load = F.col("load") if "load" in marked.columns else F.lit(BLOCK_GRAMS // block)
+    parts = marked.groupBy(group, "label").agg(F.sum(load).alias("held"))
+    parts = parts.withColumn("part", F.when(F.col("held") * 2 >= BLOCK_GRAMS, F.col("label")))
+    sizes = parts.groupBy(group, "part").agg(F.ceil(F.sum("held") / BLOCK_GRAMS).cast("int").alias("blocks"))
     whole = Window.partitionBy(group)
     before = F.sum("blocks").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.withColumns({"start": F.coalesce(before, F.lit(0)).cast("int"), "total": F.sum("blocks").over(whole).cast("int")})
@@ -367,27 +399,35 @@ def _dealt(marked: DataFrame, group: str, block: int) -> DataFrame:
     return rows.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
 
-def _links(rows: DataFrame, sizes: DataFrame, group: str, block: int, attach, work, made: list[DataFrame]) -> DataFrame:
+def _load(weight: str, block: int):
+    """What a row fills of the ``BLOCK_GRAMS`` of a block: its weight, a ``block``-th at least."""
+    return F.greatest(F.expr(weight), F.lit(BLOCK_GRAMS // block))
+
+
+def _links(rows: DataFrame, sizes: DataFrame, group: str, block: int, weight: str, attach, work, made: list[DataFrame]) -> DataFrame:
     """``a, b``: links whose components are those of all pairs that ``work`` links inside the groups.
 
-    A group of up to ``block`` rows is one block.  In a larger one every row is
-    multiplied with about ``PIVOTS`` of the group's rows first; rows joined by
-    that have one label, and only pairs with two labels, or none, are left for the
-    block pairs.  ``sizes`` has the groups' ``members``; ``attach`` adds what
+    A group of up to ``block`` rows, fewer if their ``weight`` is large, is one
+    block.  In a larger one every row is multiplied with about ``PIVOTS`` of the
+    group's rows (a block of them at most) first; rows joined by that have one
+    label, and only pairs with two labels, or none, are left for the block pairs.
+    ``sizes`` has the groups' ``members`` and their ``filled``, the sum of their
+    rows' loads; ``attach`` adds what
     ``work`` needs to the dealt rows.  ``made`` receives the tables that the links
     are read from, for the caller to discard.
     """
     names = [*rows.columns, "block", "x", "y"]
     multiply = lambda dealt: _together(attach(dealt.select(*names)), group).transform(light_batches).mapInArrow(work, "a long, b long")
     zero = F.lit(0)
-    alone = rows.join(sizes.where(F.col("members") <= block), group).withColumns({"block": zero, "x": zero, "y": zero})
-    large = staged(sizes.where(F.col("members") > block), "large")
+    alone = rows.join(sizes.where(F.col("filled") <= BLOCK_GRAMS), group).withColumns({"block": zero, "x": zero, "y": zero})
+    large = staged(sizes.where(F.col("filled") > BLOCK_GRAMS), "large")
     made.append(large)
     if large.isEmpty():
         return multiply(alone)
-    rows = staged(rows.distinct().join(large, group).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")), "large_rows")
+    rows = rows.distinct().join(large, group).withColumns({"load": _load(weight, block), "blocks": F.ceil(F.col("filled") / BLOCK_GRAMS).cast("int")})
+    rows = staged(rows, "large_rows")
     own = rows.withColumn("block", _spread("blocks")).withColumns({"x": F.lit(-1), "y": F.col("block")})
-    pivots = rows.where(F.pmod(F.xxhash64("sid", F.lit(11)), F.ceil(F.col("members") / PIVOTS)) == 0)
+    pivots = rows.where(F.pmod(F.xxhash64("sid", F.lit(11)), F.greatest(F.ceil(F.col("members") / PIVOTS), F.col("blocks"))) == 0)
     pivots = pivots.withColumns({"block": F.lit(-1), "x": F.lit(-1)}).withColumn("y", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     labels = staged(components(multiply(own.select(*names).union(pivots.select(*names)))).toDF("sid", "label"), "labels")
     made += [rows, labels]
@@ -398,8 +438,9 @@ def _links(rows: DataFrame, sizes: DataFrame, group: str, block: int, attach, wo
 
 def _worth_a_look(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Columns with different rows, unless there are two whose sizes alone rule a link out."""
-    found = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    return found.where(f"lo <> hi and (members > 2 or {den} * least >= {num} * most)").select("key", "members")
+    filled = F.sum(_load(COLUMN_WEIGHT, COLUMN_BLOCK)).alias("filled")
+    found = entries.groupBy("key").agg(F.count("*").alias("members"), filled, F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return found.where(f"lo <> hi and (members > 2 or {den} * least >= {num} * most)").select("key", "members", "filled")
 
 
 def _together(rows: DataFrame, group: str) -> DataFrame:
@@ -415,7 +456,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     first = staged(docs.transform(light_batches).mapInArrow(partial(_first_pass, n=n, num=num, den=den), _FIRST_DDL), "sets")
     classes = common_classes(first)
     rows = first.where("counts is null").select("doc_id", "n", "sid", "parity")
-    distinct = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("parity").alias("parity"))
+    distinct = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("parity").alias("parity"))
 
     owners = distinct.select(F.coalesce("least", F.lit(NO_ID)).alias("least"))
     with sent(spark, bloom.of_longs(owners, distinct.count())) as held:
@@ -429,13 +470,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # the filter of owners lets a few copies through: one row of a set is enough
     sketched = lambda dealt: dealt.distinct().join(distinct.select("sid", "parity"), "sid")
     made = [shared]
-    maybe = components(_links(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK, sketched, partial(_columns, num=num, den=den), made))
+    maybe = components(_links(entries, _worth_a_look(entries, num, den), "key", COLUMN_BLOCK, COLUMN_WEIGHT, sketched, partial(_columns, num=num, den=den), made))
     for table in made:
         discard(table)
 
-    members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least"), "sid"), "clusters")
+    members = staged(maybe.toDF("sid", "root").join(distinct.select("sid", "least", "n"), "sid"), "clusters")
     wanted = bloom.of_longs(members.select(F.coalesce("least", F.lit(NO_ID)).alias("least")), members.count())
-    sizes = members.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum(_load(CLUSTER_WEIGHT, CLUSTER_BLOCK)).alias("filled")).where("members > 1")
     with sent(spark, wanted) as held:
         grams = docs.transform(light_batches).mapInArrow(partial(_sets_of, n=n, wanted=held), "doc_id long, sid long, grams binary")
         grams = staged(grams.toDF("doc_id", "set", "grams"), "grams")
@@ -445,7 +486,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         return found.select("sid", "root", "block", "x", "y", "grams")
 
     made = [grams, members]
-    found = components(_links(members, sizes, "root", CLUSTER_BLOCK, filled, partial(_clusters, num=num, den=den), made)).toDF("sid", "root")
+    found = components(_links(members, sizes, "root", CLUSTER_BLOCK, CLUSTER_WEIGHT, filled, partial(_clusters, num=num, den=den), made)).toDF("sid", "root")
     for table in made:
         discard(table)
 
